@@ -65,7 +65,7 @@ def sample_stddev(c) -> Column:
     s1 = F.sum(x).cast("double")
     s2 = F.sum(x * x).cast("double")
     var = (s2 - s1 * s1 / n) / F.nullif(n - F.lit(1), F.lit(0))
-    return F.sqrt(F.greatest(var, F.lit(0.0)))
+    return F.sqrt(F.when(var < F.lit(0.0), F.lit(0.0)).otherwise(var))
 
 
 def coerce_numeric(c, fill: float | None = 0.0) -> Column:

@@ -64,3 +64,133 @@ def q_land_prices(spark, sf_dir):
 def q_land_mix(spark, sf_dir):
     """The landed mix feed (binding E) before normalization."""
     return B.raw_mix_e(spark, sf_dir)
+
+
+# --- snapshot and history (gold E) ---------------------------------------------
+from tierline.operators import anomaly as Z  # noqa: E402
+from tierline.operators import distribution as D  # noqa: E402
+from tierline.operators import snapshot as SN  # noqa: E402
+
+SELECTED_ENTITIES = ["click", "purchase", "view"]
+RANGE_START = "2024-01-10 00:00:00"
+RANGE_END = "2024-01-20 23:00:00"
+# fixed values: zones of the binding-E entities; 'error' has none (UTC)
+E_ZONES = {"click": "America/Chicago", "purchase": "America/New_York",
+           "signup": "America/Los_Angeles", "view": "Europe/Berlin"}
+
+
+@query("latest_rows")
+def q_latest_rows(spark, sf_dir):
+    """Gold rows at the global latest window."""
+    return SN.latest_rows(gold_e(spark, sf_dir))
+
+
+@query("latest_per_entity")
+def q_latest_per_entity(spark, sf_dir):
+    """Each entity's own latest gold row."""
+    return SN.latest_per_entity(gold_e(spark, sf_dir))
+
+
+@query("snapshot_lookback")
+def q_snapshot_lookback(spark, sf_dir):
+    """Latest row per entity with the 48 h min/max of the hourly average."""
+    return SN.snapshot_lookback(gold_e(spark, sf_dir), 48, B.E_MIX)
+
+
+@query("price_history")
+def q_price_history(spark, sf_dir):
+    return SN.price_history(gold_e(spark, sf_dir))
+
+
+@query("mix_history")
+def q_mix_history(spark, sf_dir):
+    return SN.mix_history(gold_e(spark, sf_dir), B.E_MIX)
+
+
+@query("filter_entities")
+def q_filter_entities(spark, sf_dir):
+    return SN.filter_entities(gold_e(spark, sf_dir), SELECTED_ENTITIES)
+
+
+@query("filter_time_range")
+def q_filter_time_range(spark, sf_dir):
+    return SN.filter_time_range(gold_e(spark, sf_dir), RANGE_START, RANGE_END)
+
+
+@query("head_per_entity")
+def q_head_per_entity(spark, sf_dir):
+    """First 10 price rows per entity in time order (the per-fetch cap)."""
+    return SN.head_per_entity(B.prices_e(spark, sf_dir), 10)
+
+
+@query("price_band")
+def q_price_band(spark, sf_dir):
+    g = gold_e(spark, sf_dir)
+    return SN.price_band(g).select("entity", "window_start", "avg_price", "band")
+
+
+@query("local_window")
+def q_local_window(spark, sf_dir):
+    """Latest rows' 48 h window in each entity's local time."""
+    rows = SN.latest_rows(gold_e(spark, sf_dir))
+    return SN.local_window(rows, SN.zone_table(spark, E_ZONES), 48)
+
+
+@query("status_board")
+def q_status_board(spark, sf_dir):
+    g = gold_e(spark, sf_dir)
+    return SN.status_board(SN.latest_rows(g), Z.anomaly_scores(g))
+
+
+# --- anomaly (gold E) -----------------------------------------------------------
+@query("anomaly_baseline")
+def q_anomaly_baseline(spark, sf_dir):
+    return Z.anomaly_baseline(gold_e(spark, sf_dir))
+
+
+@query("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    return Z.anomaly_scores(gold_e(spark, sf_dir))
+
+
+# --- distributions (gold E) -----------------------------------------------------
+@query("price_cdf")
+def q_price_cdf(spark, sf_dir):
+    return D.price_cdf(gold_e(spark, sf_dir))
+
+
+@query("price_histogram")
+def q_price_histogram(spark, sf_dir):
+    return D.price_histogram(gold_e(spark, sf_dir), bins=20)
+
+
+@query("box_stats")
+def q_box_stats(spark, sf_dir):
+    return D.box_stats(gold_e(spark, sf_dir))
+
+
+@query("box_outliers")
+def q_box_outliers(spark, sf_dir):
+    return D.box_outliers(gold_e(spark, sf_dir))
+
+
+@query("quantile_spread")
+def q_quantile_spread(spark, sf_dir):
+    return D.quantile_spread(gold_e(spark, sf_dir))
+
+
+@query("mix_timeseries")
+def q_mix_timeseries(spark, sf_dir):
+    return D.mix_timeseries(gold_e(spark, sf_dir), B.E_MIX)
+
+
+@query("mix_share")
+def q_mix_share(spark, sf_dir):
+    return D.mix_share(gold_e(spark, sf_dir), B.E_MIX)
+
+
+@query("history_summary")
+def q_history_summary(spark, sf_dir):
+    """Date range, rows, entities and hours per entity of the selected entities."""
+    g = SN.filter_entities(gold_e(spark, sf_dir), SELECTED_ENTITIES)
+    return D.history_summary(g, entities=len(SELECTED_ENTITIES))

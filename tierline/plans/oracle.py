@@ -28,7 +28,8 @@ def xstd(x: str) -> str:
     s1 = f"CAST(SUM({d}) AS DOUBLE)"
     s2 = f"CAST(SUM({d} * {d}) AS DOUBLE)"
     n = f"COUNT({x})"
-    return f"sqrt(greatest(({s2} - {s1} * {s1} / {n}) / NULLIF({n} - 1, 0), 0.0))"
+    var = f"(({s2} - {s1} * {s1} / {n}) / NULLIF({n} - 1, 0))"
+    return f"sqrt(CASE WHEN {var} < 0.0 THEN 0.0 ELSE {var} END)"
 
 
 def coerce(x: str, fill: str = "0.0") -> str:
@@ -80,14 +81,7 @@ raw_mix_e AS (
   WHERE NOT (event_type = 'view' AND hour(ts) = 3)
   GROUP BY 1, 2)"""
 
-MIX_E = f"""
-mix_e AS (
-  SELECT entity, time,
-         {", ".join(f"{coerce_num(c)} AS {c}" for c in E_COMPONENTS)},
-         {share(["c1", "c2"], E_COMPONENTS)} AS share_pct
-  FROM (SELECT entity, time, {", ".join(E_COMPONENTS)} FROM raw_mix_e) r)"""
-
-# share must see the already filled components, as on the Spark side
+# share is taken over the already filled components, as on the Spark side
 MIX_E = f"""
 mix_e0 AS (
   SELECT entity, time, {", ".join(f"{coerce_num(c)} AS {c}" for c in E_COMPONENTS)}
@@ -135,9 +129,39 @@ GOLD_E_CTES = ",".join([PRICES_E, RAW_MIX_E, MIX_E, hourly_prices_sql("prices_e"
 gold AS ({gold_select("hp", "hm", E_COMPONENTS)})"""
 
 
-def with_gold(body: str) -> str:
+def with_gold(body: str, *ctes: str) -> str:
     """A query over the binding-E gold table (as a CTE named ``gold``)."""
-    return f"WITH {GOLD_E_CTES}\n{body}"
+    extra = "".join(f",\n{c}" for c in ctes)
+    return f"WITH {GOLD_E_CTES}{extra}\n{body}"
+
+
+def spark_quantiles(src: str, col: str, qs: dict[str, float], name: str = "qt") -> str:
+    """CTEs ``{name}_r``, ``{name}_b``, ``{name}``: per entity n and the exact
+    quantiles with Spark's interpolation, (hi - pos) * v_lo + (pos - lo) * v_hi
+    at pos = (n - 1) * p, so both engines do the same double operations."""
+    def pos(p: float) -> str:
+        return f"(CAST(n - 1 AS DOUBLE) * CAST({p!r} AS DOUBLE))"
+    picks = ",\n    ".join(
+        f"MAX(CASE WHEN rn = CAST(floor({pos(p)}) AS BIGINT) + 1 THEN v END) AS lo_{k},\n    "
+        f"MAX(CASE WHEN rn = CAST(ceil({pos(p)}) AS BIGINT) + 1 THEN v END) AS hi_{k}"
+        for k, p in qs.items())
+    interp = ",\n    ".join(
+        f"CASE WHEN ceil({pos(p)}) = floor({pos(p)}) OR hi_{k} = lo_{k} THEN lo_{k} "
+        f"ELSE (ceil({pos(p)}) - {pos(p)}) * lo_{k} + ({pos(p)} - floor({pos(p)})) * hi_{k} END AS {k}"
+        for k, p in qs.items())
+    return f"""{name}_r AS (
+  SELECT entity, {col} AS v,
+         ROW_NUMBER() OVER (PARTITION BY entity ORDER BY {col}) AS rn,
+         COUNT(*) OVER (PARTITION BY entity) AS n
+  FROM {src} WHERE {col} IS NOT NULL),
+{name}_b AS (
+  SELECT entity, n,
+    {picks}
+  FROM {name}_r GROUP BY entity, n),
+{name} AS (
+  SELECT entity, n,
+    {interp}
+  FROM {name}_b)"""
 
 
 # --- binding S ---------------------------------------------------------------
@@ -178,3 +202,142 @@ ORACLE["gold_summary"] = with_gold("SELECT * FROM gold")
 ORACLE["gold_summary_star"] = f"WITH {GOLD_S_CTES}\n{gold_select('hp', 'hm', S_COMPONENTS)}"
 ORACLE["land_prices"] = f"WITH {PRICES_E}\nSELECT * FROM prices_e"
 ORACLE["land_mix"] = f"WITH {RAW_MIX_E}\nSELECT * FROM raw_mix_e"
+
+# --- snapshot and history (gold E) ---------------------------------------------
+_E_MIX_COLS = ", ".join(["share_pct", *E_COMPONENTS])
+LATEST = "(SELECT MAX(window_start) FROM gold)"
+
+ORACLE["latest_rows"] = with_gold(f"SELECT * FROM gold WHERE window_start = {LATEST}")
+ORACLE["latest_per_entity"] = with_gold(
+    "SELECT g.* FROM gold g JOIN (SELECT entity, MAX(window_start) AS mw FROM gold GROUP BY entity) m "
+    "ON g.entity = m.entity AND g.window_start = m.mw")
+ORACLE["snapshot_lookback"] = with_gold(f"""
+SELECT g.entity, g.window_start, g.window_end, g.avg_price, lb.range_min, lb.range_max,
+       {", ".join("g." + c for c in ["share_pct", *E_COMPONENTS])}, g.computed_at
+FROM gold g JOIN lb ON g.entity = lb.entity
+WHERE g.window_start = {LATEST}
+ORDER BY g.entity""", f"""lb AS (
+  SELECT entity, MIN(avg_price) AS range_min, MAX(avg_price) AS range_max FROM gold
+  WHERE window_start >= {LATEST} - INTERVAL 48 HOUR GROUP BY entity)""")
+ORACLE["price_history"] = with_gold("SELECT entity, window_start, avg_price FROM gold ORDER BY entity, window_start")
+ORACLE["mix_history"] = with_gold(
+    f"SELECT entity, window_start, window_end, avg_price, {_E_MIX_COLS} FROM gold ORDER BY entity, window_start")
+ORACLE["filter_entities"] = with_gold("SELECT * FROM gold WHERE entity IN ('click', 'purchase', 'view')")
+ORACLE["filter_time_range"] = with_gold(
+    "SELECT * FROM gold WHERE window_start BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'")
+ORACLE["head_per_entity"] = f"""WITH {PRICES_E}
+SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY interval_start, location, price) AS rn
+FROM prices_e QUALIFY rn <= 10"""
+ORACLE["price_band"] = with_gold("""
+SELECT entity, window_start, avg_price,
+       CASE WHEN avg_price < 50.0 THEN 'normal' WHEN avg_price < 100.0 THEN 'off'
+            WHEN avg_price IS NOT NULL THEN 'inverse' END AS band
+FROM gold""")
+ORACLE["local_window"] = with_gold(f"""
+SELECT entity, window_end, tz, local_start, local_end,
+       strftime(local_start, '%b %d %I:%M%p') || ' to ' || strftime(local_end, '%b %d %I:%M%p') AS label
+FROM (
+  SELECT g.entity, g.window_end, COALESCE(z.tz, 'UTC') AS tz,
+         timezone(COALESCE(z.tz, 'UTC'), (g.window_end - INTERVAL 48 HOUR) AT TIME ZONE 'UTC') AS local_start,
+         timezone(COALESCE(z.tz, 'UTC'), g.window_end AT TIME ZONE 'UTC') AS local_end
+  FROM gold g LEFT JOIN zones z ON g.entity = z.entity
+  WHERE g.window_start = {LATEST}) t""", """zones AS (
+  SELECT * FROM (VALUES ('click', 'America/Chicago'), ('purchase', 'America/New_York'),
+                        ('signup', 'America/Los_Angeles'), ('view', 'Europe/Berlin')) v(entity, tz))""")
+
+# --- anomaly (gold E) -----------------------------------------------------------
+def r6(x: str) -> str:
+    return r2(x, 6)
+
+
+ANOMALY_CTES = (f"""cur AS (
+  SELECT entity, avg_price AS current_price FROM gold WHERE window_start = {LATEST})""",
+                f"""base AS (
+  SELECT entity, COUNT(avg_price) AS n, {xmean("avg_price")} AS mean, {xstd("avg_price")} AS std
+  FROM gold WHERE avg_price IS NOT NULL GROUP BY entity)""",
+                """zj AS (
+  SELECT cur.entity, current_price, n, mean, std, (current_price - mean) / NULLIF(std, 0.0) AS z
+  FROM cur LEFT JOIN base ON cur.entity = base.entity)""",
+                f"""scores AS (
+  SELECT entity,
+         CASE WHEN COALESCE(n, 0) < 5 THEN 'grey'
+              WHEN z IS NULL OR isnan(z) THEN 'grey'
+              WHEN abs(z) < 1.0 THEN 'green' WHEN abs(z) < 2.0 THEN 'yellow'
+              WHEN abs(z) < 3.0 THEN 'red' ELSE 'critical' END AS status,
+         current_price,
+         CASE WHEN COALESCE(n, 0) >= 5 AND z IS NOT NULL AND NOT isnan(z) THEN {r2("z")} END AS z_score,
+         CASE WHEN COALESCE(n, 0) < 5 THEN 'insufficient data (need 5 points)'
+              WHEN z IS NOT NULL AND NOT isnan(z) THEN printf('z_score=%.2f', z)
+              ELSE 'std=0' END AS reason,
+         COALESCE(n, 0) AS n, {r6("mean")} AS mean, {r6("std")} AS std
+  FROM zj)""")
+
+ORACLE["anomaly_scores"] = with_gold("SELECT * FROM scores", *ANOMALY_CTES)
+ORACLE["status_board"] = with_gold(f"""
+SELECT g.entity, g.window_start, g.avg_price, COALESCE(s.status, 'grey') AS status, s.z_score
+FROM gold g LEFT JOIN scores s ON g.entity = s.entity
+WHERE g.window_start = {LATEST}""", *ANOMALY_CTES)
+ORACLE["anomaly_baseline"] = with_gold(f"""
+SELECT m.entity, m.n, {r6("m.mean")} AS mean, {r6("m.std")} AS std, {r6("q.q25")} AS q25, {r6("q.q75")} AS q75,
+       {r6("q.q75 - q.q25")} AS spread, m.n >= 5 AS has_baseline
+FROM (SELECT entity, COUNT(avg_price) AS n, {xmean("avg_price")} AS mean, {xstd("avg_price")} AS std
+      FROM gold WHERE avg_price IS NOT NULL GROUP BY entity) m
+JOIN qt q ON m.entity = q.entity""", spark_quantiles("gold", "avg_price", {"q25": 0.25, "q75": 0.75}))
+
+# --- distributions (gold E) -----------------------------------------------------
+ORACLE["price_cdf"] = with_gold("""
+SELECT entity, window_start, avg_price,
+       ROW_NUMBER() OVER (PARTITION BY entity ORDER BY avg_price, window_start)
+         / COUNT(*) OVER (PARTITION BY entity) * 100.0 AS cdf_pct
+FROM gold WHERE avg_price IS NOT NULL""")
+ORACLE["price_histogram"] = with_gold("""
+SELECT entity, bin, lo + bin * w AS bin_lo, lo + (bin + 1) * w AS bin_hi, COUNT(*) AS count
+FROM (SELECT entity, lo, w,
+             CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((avg_price - lo) / w), 19) END AS INTEGER) AS bin
+      FROM gold, rng WHERE avg_price IS NOT NULL) b
+GROUP BY entity, bin, lo, w""", """rng AS (
+  SELECT MIN(avg_price) AS lo, (MAX(avg_price) - MIN(avg_price)) / 20.0 AS w
+  FROM gold WHERE avg_price IS NOT NULL)""")
+
+_BOX_CTES = (spark_quantiles("gold", "avg_price", {"q1": 0.25, "median": 0.5, "q3": 0.75}),
+             f"""fence AS (
+  SELECT q.entity, q.n, q.q1, q.median, q.q3, m.mean,
+         q.q1 - 1.5 * (q.q3 - q.q1) AS lower_fence, q.q3 + 1.5 * (q.q3 - q.q1) AS upper_fence
+  FROM qt q JOIN (SELECT entity, {xmean("avg_price")} AS mean FROM gold
+                  WHERE avg_price IS NOT NULL GROUP BY entity) m ON q.entity = m.entity)""")
+ORACLE["box_stats"] = with_gold(f"""
+SELECT f.entity, f.n, {r6("f.q1")} AS q1, {r6("f.median")} AS median, {r6("f.q3")} AS q3, {r6("f.mean")} AS mean,
+       {r6("f.lower_fence")} AS lower_fence, {r6("f.upper_fence")} AS upper_fence,
+       MIN(CASE WHEN g.avg_price >= f.lower_fence AND g.avg_price <= f.upper_fence THEN g.avg_price END) AS whisker_low,
+       MAX(CASE WHEN g.avg_price >= f.lower_fence AND g.avg_price <= f.upper_fence THEN g.avg_price END) AS whisker_high,
+       COUNT(*) FILTER (WHERE NOT (g.avg_price >= f.lower_fence AND g.avg_price <= f.upper_fence)) AS outliers
+FROM gold g JOIN fence f ON g.entity = f.entity
+WHERE g.avg_price IS NOT NULL
+GROUP BY f.entity, f.n, f.q1, f.median, f.q3, f.mean, f.lower_fence, f.upper_fence""", *_BOX_CTES)
+ORACLE["box_outliers"] = with_gold("""
+SELECT g.entity, g.window_start, g.avg_price
+FROM gold g JOIN fence f ON g.entity = f.entity
+WHERE g.avg_price IS NOT NULL AND (g.avg_price < f.lower_fence OR g.avg_price > f.upper_fence)""", *_BOX_CTES)
+ORACLE["quantile_spread"] = with_gold(
+    f"SELECT entity, {r2('q25')} AS q25, {r2('q75')} AS q75, {r2('q75 - q25')} AS spread FROM qt",
+    spark_quantiles("gold", "avg_price", {"q25": 0.25, "q75": 0.75}))
+
+_long = " UNION ALL ".join(
+    f"SELECT entity, window_start, '{c}' AS component, CAST({c} AS DOUBLE) AS value FROM gold" for c in E_COMPONENTS)
+ORACLE["mix_timeseries"] = with_gold("""
+SELECT l.entity, l.window_start, l.component, l.value FROM lg l
+JOIN (SELECT entity, component FROM lg GROUP BY entity, component
+      HAVING SUM(CAST(value AS DECIMAL(18,4))) <> 0) t
+  ON l.entity = t.entity AND l.component = t.component""",
+    f"lg AS (SELECT entity, window_start, component, COALESCE(value, 0.0) AS value FROM ({_long}) u)")
+_long_latest = " UNION ALL ".join(
+    f"SELECT entity, '{c}' AS component, CAST({c} AS DOUBLE) AS value FROM gold WHERE window_start = {LATEST}"
+    for c in E_COMPONENTS)
+ORACLE["mix_share"] = with_gold(f"""
+SELECT entity, component, value,
+       {r2("value / CAST(SUM(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY entity) AS DOUBLE) * 100.0")} AS pct
+FROM (SELECT entity, component, {r2("value", 1)} AS value FROM ({_long_latest}) u WHERE value > 1.0) s""")
+ORACLE["history_summary"] = with_gold("""
+SELECT MIN(window_start) AS first_window, MAX(window_start) AS last_window, COUNT(*) AS rows,
+       COUNT(DISTINCT entity) AS entities, CAST(floor(COUNT(*) / 3) AS BIGINT) AS hours_per_entity
+FROM gold WHERE entity IN ('click', 'purchase', 'view')""")
