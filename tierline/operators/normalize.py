@@ -24,11 +24,19 @@ from tierline.settings import (
 
 
 def first_present(df: DataFrame, *candidates: str) -> Column:
-    """First non-null value among the candidate columns that exist (zero kept)."""
-    present = [F.col(f"`{c}`") for c in candidates if c in df.columns]
-    if not present:
+    """First non-null value among the candidate columns that exist (zero kept).
+
+    Candidates of different types are compared as text, so a typed column and
+    a text column of the same meaning can stand in for each other.
+    """
+    names = [c for c in candidates if c in df.columns]
+    if not names:
         return F.lit(None)
-    return F.coalesce(*present) if len(present) > 1 else present[0]
+    types = {df.schema[c].dataType.simpleString() for c in names}
+    cols = [F.col(f"`{c}`") for c in names]
+    if len(types) > 1:
+        cols = [c.cast("string") for c in cols]
+    return F.coalesce(*cols) if len(cols) > 1 else cols[0]
 
 
 def rename_by_contract(df: DataFrame, column_map: dict[str, str]) -> DataFrame:

@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tierline.operators import gold as G
 from tierline.session import ensure_session
@@ -194,3 +195,181 @@ def q_history_summary(spark, sf_dir):
     """Date range, rows, entities and hours per entity of the selected entities."""
     g = SN.filter_entities(gold_e(spark, sf_dir), SELECTED_ENTITIES)
     return D.history_summary(g, entities=len(SELECTED_ENTITIES))
+
+
+# --- normalization, contracts, silver (binding X) -------------------------------
+from tierline.operators import bronze as BR  # noqa: E402
+from tierline.operators import contracts as CT  # noqa: E402
+from tierline.operators import normalize as N  # noqa: E402
+from tierline.operators import silver as SV  # noqa: E402
+from tierline.settings import MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS  # noqa: E402
+
+# Arrival batches: the first covers event time before SPLIT_LATE, the second
+# starts at SPLIT_EARLY, so a day of rows arrives twice.
+SPLIT_EARLY = "2024-01-15 00:00:00"
+SPLIT_LATE = "2024-01-16 00:00:00"
+GOLD_SPLIT = "2024-01-16 12:30:00"     # existing gold ends inside an hour
+EVOLVE_SPLIT = "2024-01-10 00:00:00"   # gold rows before it have the old layout
+
+
+def norm_x(spark, sf_dir, since=None, until=None):
+    return N.normalize_prices(B.raw_prices_x(spark, sf_dir, since, until))
+
+
+def norm_mix_x(spark, sf_dir, since=None, until=None):
+    return N.normalize_mix(B.raw_mix_x(spark, sf_dir, since, until))
+
+
+@query("first_present_column")
+def q_first_present_column(spark, sf_dir):
+    """Start time from the first non-null of two source columns of different type."""
+    raw = B.raw_prices_x(spark, sf_dir)
+    return raw.select("entity",
+                      N.first_present(raw, "Interval Start", "time").try_cast("timestamp").alias("interval_start"),
+                      N.first_present(raw, "Location", "location").alias("location"))
+
+
+@query("rename_by_contract")
+def q_rename_by_contract(spark, sf_dir):
+    renamed = N.rename_by_contract(B.raw_prices_x(spark, sf_dir), PRICE_COLUMN_MAP)
+    return N.normalize_timestamps(renamed, ["interval_start"])
+
+
+@query("normalize_timestamps")
+def q_normalize_timestamps(spark, sf_dir):
+    raw = B.raw_prices_x(spark, sf_dir).select("entity", F.col("`Interval Start`").alias("start_text"),
+                                                F.col("`Interval Start`").alias("interval_start"))
+    return N.normalize_timestamps(raw, ["interval_start"])
+
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    raw = B.raw_prices_x(spark, sf_dir).select("entity", F.col("LMP").alias("price_text"),
+                                                F.col("LMP").alias("price"))
+    return N.coerce_numeric(raw, ["price"], fill=0.0)
+
+
+@query("project_to_contract")
+def q_project_to_contract(spark, sf_dir):
+    renamed = N.rename_by_contract(B.raw_prices_x(spark, sf_dir), PRICE_COLUMN_MAP)
+    return N.project_to_contract(N.normalize_timestamps(renamed, ["interval_start"]), PRICE_SILVER_COLUMNS)
+
+
+@query("normalize_prices")
+def q_normalize_prices(spark, sf_dir):
+    return norm_x(spark, sf_dir)
+
+
+@query("normalize_mix")
+def q_normalize_mix(spark, sf_dir):
+    return norm_mix_x(spark, sf_dir)
+
+
+@query("renewable_share")
+def q_renewable_share(spark, sf_dir):
+    return norm_mix_x(spark, sf_dir).select("entity", "time", "wind", "solar", "share_pct")
+
+
+@query("union_feeds")
+def q_union_feeds(spark, sf_dir):
+    """A normalized raw feed stacked with a feed that lacks location_type."""
+    return N.union_feeds(norm_x(spark, sf_dir), B.prices_e(spark, sf_dir).drop("location_type"))
+
+
+@query("contract_presence")
+def q_contract_presence(spark, sf_dir):
+    """Presence check of a feed that lacks the optional location column."""
+    return CT.contract_presence(norm_x(spark, sf_dir).drop("location"), PRICE_CONTRACT)
+
+
+@query("contract_null_counts")
+def q_contract_null_counts(spark, sf_dir):
+    return CT.contract_null_counts(norm_x(spark, sf_dir), PRICE_CONTRACT)
+
+
+@query("contract_type_failures")
+def q_contract_type_failures(spark, sf_dir):
+    """Type conformance of the renamed, still textual feed."""
+    renamed = N.rename_by_contract(B.raw_prices_x(spark, sf_dir), PRICE_COLUMN_MAP)
+    return CT.contract_type_failures(renamed, PRICE_CONTRACT)
+
+
+@query("contract_report")
+def q_contract_report(spark, sf_dir):
+    return CT.contract_report(norm_x(spark, sf_dir), PRICE_CONTRACT)
+
+
+@query("gate_by_entity")
+def q_gate_by_entity(spark, sf_dir):
+    n = norm_x(spark, sf_dir)
+    return CT.gate_by_entity(n, CT.contract_report(n, PRICE_CONTRACT))
+
+
+@query("silver_prices")
+def q_silver_prices(spark, sf_dir):
+    """Rows the second batch adds to silver after the first batch was loaded."""
+    existing = SV.silver_prices(norm_x(spark, sf_dir, until=SPLIT_LATE))
+    return SV.silver_prices(norm_x(spark, sf_dir, since=SPLIT_EARLY), existing)
+
+
+@query("silver_mix")
+def q_silver_mix(spark, sf_dir):
+    existing = SV.silver_mix(norm_mix_x(spark, sf_dir, until=SPLIT_LATE), None, contract=MIX_CONTRACT)
+    return SV.silver_mix(norm_mix_x(spark, sf_dir, since=SPLIT_EARLY), existing, contract=MIX_CONTRACT)
+
+
+# --- bronze (binding E) ------------------------------------------------------------
+@query("bronze_prices")
+def q_bronze_prices(spark, sf_dir):
+    """Bronze landing of the price feed (arrival time = event time); audit text aside."""
+    p = B.prices_e(spark, sf_dir)
+    return BR.bronze_prices(p, ingested_at=F.col("interval_start")).drop("raw_json")
+
+
+@query("bronze_mix")
+def q_bronze_mix(spark, sf_dir):
+    m = B.raw_mix_e(spark, sf_dir)
+    srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
+    return BR.bronze_mix(m, ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json")
+
+
+@query("raw_json_audit")
+def q_raw_json_audit(spark, sf_dir):
+    """The source rows read back from the bronze JSON audit copy."""
+    p = B.prices_e(spark, sf_dir)
+    return BR.parse_audit(BR.bronze_prices(p, ingested_at=COMPUTED_AT), p.schema)
+
+
+# --- gold maintenance (binding E) ----------------------------------------------------
+def _old_layout_gold(spark, sf_dir):
+    g = gold_e(spark, sf_dir)
+    old = g.filter(F.col("window_start") < F.lit(EVOLVE_SPLIT).cast("timestamp")).drop(*B.E_MIX.components)
+    new = g.filter(F.col("window_start") >= F.lit(EVOLVE_SPLIT).cast("timestamp"))
+    return G.evolve_schema(old, new)
+
+
+@query("gold_incremental")
+def q_gold_incremental(spark, sf_dir):
+    """Gold after an incremental run: hours already present are kept as first written."""
+    p = B.prices_e(spark, sf_dir)
+    m = B.mix_e(spark, sf_dir)
+    cut = F.col("interval_start") < F.lit(GOLD_SPLIT).cast("timestamp")
+    existing = G.gold_summary(p.filter(cut), m, B.E_MIX, computed_at=COMPUTED_AT)
+    incoming = p.filter(F.col("interval_start") >= F.lit(SPLIT_EARLY).cast("timestamp"))
+    new = G.gold_incremental(incoming, m, existing, B.E_MIX, computed_at=COMPUTED_AT)
+    return G.append_gold(existing, new)
+
+
+@query("evolve_schema")
+def q_evolve_schema(spark, sf_dir):
+    return _old_layout_gold(spark, sf_dir)
+
+
+@query("count_incomplete")
+def q_count_incomplete(spark, sf_dir):
+    return G.count_incomplete(_old_layout_gold(spark, sf_dir), B.E_MIX)
+
+
+@query("gold_backfill")
+def q_gold_backfill(spark, sf_dir):
+    return G.gold_backfill(_old_layout_gold(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX)

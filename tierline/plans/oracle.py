@@ -341,3 +341,227 @@ ORACLE["history_summary"] = with_gold("""
 SELECT MIN(window_start) AS first_window, MAX(window_start) AS last_window, COUNT(*) AS rows,
        COUNT(DISTINCT entity) AS entities, CAST(floor(COUNT(*) / 3) AS BIGINT) AS hours_per_entity
 FROM gold WHERE entity IN ('click', 'purchase', 'view')""")
+
+# --- binding X -----------------------------------------------------------------
+def raw_x(since: str | None = None, until: str | None = None, name: str = "raw_x") -> str:
+    cond = ["TRUE"]
+    if since:
+        cond.append(f"ts >= TIMESTAMP '{since}'")
+    if until:
+        cond.append(f"ts < TIMESTAMP '{until}'")
+    return f"""{name}_0 AS (
+  SELECT CASE WHEN event_id % 89 = 0 THEN NULL ELSE event_type END AS entity,
+         CASE WHEN event_id % 7 = 0 THEN NULL
+              WHEN event_id % 101 = 0 AND event_type = 'error' THEN 'not a time'
+              ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "Interval Start",
+         CASE WHEN event_id % 7 = 0 THEN ts END AS time,
+         CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS "Location",
+         CASE WHEN user_id % 2 = 0 THEN 'HUB' ELSE 'NODE' END AS "Location Type",
+         CASE WHEN event_id % 97 = 0 THEN 'abc' WHEN event_id % 53 = 0 THEN ''
+              WHEN event_id % 59 = 0 THEN '1e3' WHEN event_id % 61 = 0 THEN '12.5f'
+              WHEN event_id % 67 = 0 THEN '1_000' WHEN event_id % 71 = 0 THEN NULL
+              ELSE printf('%.2f', value) END AS "LMP",
+         CASE WHEN event_id % 10 = 0 THEN 'SYNTHETIC' WHEN event_id % 10 = 1 THEN NULL ELSE 'REAL' END AS "Market",
+         value AS energy, CAST(0.0 AS DOUBLE) AS congestion, event_id
+  FROM events WHERE {" AND ".join(cond)}),
+{name} AS (
+  SELECT * EXCLUDE (event_id) FROM {name}_0
+  UNION ALL SELECT * EXCLUDE (event_id) FROM {name}_0 WHERE event_id % 83 = 0)"""
+
+
+def norm_x(src: str = "raw_x", name: str = "norm_x") -> str:
+    return f"""{name} AS (
+  SELECT entity,
+         TRY_CAST(COALESCE("Interval Start", CAST(time AS VARCHAR)) AS TIMESTAMP) AS interval_start,
+         "Location" AS location, "Location Type" AS location_type,
+         {coerce('"LMP"')} AS price,
+         COALESCE("Market", 'UNKNOWN') AS market
+  FROM {src})"""
+
+
+X_MIX_NAMES = ["Natural Gas", "Wind", "Solar", "Coal", "Nuclear", "Other"]
+
+
+def raw_mix_x(since: str | None = None, until: str | None = None, name: str = "raw_mix_x") -> str:
+    cond = ["TRUE"]
+    if since:
+        cond.append(f"time >= TIMESTAMP '{since}'")
+    if until:
+        cond.append(f"time < TIMESTAMP '{until}'")
+    cols = []
+    for src, nm in zip(E_COMPONENTS, X_MIX_NAMES):
+        text = f"printf('%.2f', {src})"
+        if nm == "Wind":
+            text = f"CASE WHEN dayofmonth(time) % 5 = 0 AND minute(time) = 45 THEN 'n/a' ELSE {text} END"
+        if nm == "Other":
+            text = f"CASE WHEN dayofmonth(time) % 7 = 0 AND minute(time) = 30 THEN NULL ELSE {text} END"
+        cols.append(f'CASE WHEN {src} IS NOT NULL THEN {text} END AS "{nm}"')
+    return f"""{name} AS (
+  SELECT entity, strftime(time, '%Y-%m-%d %H:%M:%S') AS "Time", {", ".join(cols)}
+  FROM raw_mix_e WHERE {" AND ".join(cond)})"""
+
+
+def norm_mix_x(src: str = "raw_mix_x", name: str = "norm_mix_x") -> str:
+    fuels = ", ".join(f'{coerce(chr(34) + nm + chr(34))} AS {f}' for nm, f in zip(X_MIX_NAMES, FUELS))
+    return f"""{name}_0 AS (
+  SELECT entity, TRY_CAST("Time" AS TIMESTAMP) AS time, {fuels} FROM {src}),
+{name} AS (
+  SELECT entity, time, {", ".join(FUELS)}, {share(["wind", "solar"], FUELS)} AS share_pct FROM {name}_0)"""
+
+
+def w(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+ORACLE["first_present_column"] = w(raw_x()) + """
+SELECT entity, TRY_CAST(COALESCE("Interval Start", CAST(time AS VARCHAR)) AS TIMESTAMP) AS interval_start,
+       "Location" AS location FROM raw_x"""
+ORACLE["rename_by_contract"] = w(raw_x()) + """
+SELECT entity, TRY_CAST(COALESCE("Interval Start", CAST(time AS VARCHAR)) AS TIMESTAMP) AS interval_start,
+       "Location" AS location, "Location Type" AS location_type, "LMP" AS price, "Market" AS market,
+       energy, congestion FROM raw_x"""
+ORACLE["normalize_timestamps"] = w(raw_x()) + """
+SELECT entity, "Interval Start" AS start_text, TRY_CAST("Interval Start" AS TIMESTAMP) AS interval_start FROM raw_x"""
+ORACLE["coerce_numeric"] = w(raw_x()) + f"""
+SELECT entity, "LMP" AS price_text, {coerce('"LMP"')} AS price FROM raw_x"""
+ORACLE["project_to_contract"] = w(raw_x()) + """
+SELECT entity, TRY_CAST(COALESCE("Interval Start", CAST(time AS VARCHAR)) AS TIMESTAMP) AS interval_start,
+       "Location" AS location, "Location Type" AS location_type, "LMP" AS price, "Market" AS market FROM raw_x"""
+ORACLE["normalize_prices"] = w(raw_x(), norm_x()) + "SELECT * FROM norm_x"
+ORACLE["normalize_mix"] = w(RAW_MIX_E, raw_mix_x(), norm_mix_x()) + "SELECT * FROM norm_mix_x"
+ORACLE["renewable_share"] = w(RAW_MIX_E, raw_mix_x(), norm_mix_x()) + \
+    "SELECT entity, time, wind, solar, share_pct FROM norm_mix_x"
+ORACLE["union_feeds"] = w(raw_x(), norm_x(), PRICES_E) + """
+SELECT * FROM norm_x
+UNION ALL SELECT entity, interval_start, location, NULL AS location_type, price, market FROM prices_e"""
+ORACLE["contract_presence"] = """
+SELECT * FROM (VALUES
+  ('entity', 'ok', 'Field ''entity'' is present'),
+  ('interval_start', 'ok', 'Field ''interval_start'' is present'),
+  ('price', 'ok', 'Field ''price'' is present'),
+  ('location', 'warning', 'Optional field ''location'' is missing from DataFrame'),
+  ('location_type', 'ok', 'Field ''location_type'' is present'),
+  ('market', 'ok', 'Field ''market'' is present')) v(field, status, message)
+WHERE (SELECT COUNT(*) FROM events) >= 0"""
+
+PRICE_REQUIRED = ["entity", "interval_start", "price"]
+PRICE_FIELDS = [("entity", "string"), ("interval_start", "datetime"), ("price", "float"),
+                ("location", "string"), ("location_type", "string"), ("market", "string")]
+
+
+def null_counts(src: str, name: str = "nc") -> str:
+    return f"""{name} AS (
+  SELECT entity, COUNT(*) AS rows_checked,
+         {", ".join(f"COUNT(*) FILTER (WHERE {f} IS NULL) AS n_{f}" for f, _ in PRICE_FIELDS)}
+  FROM {src} GROUP BY entity)"""
+
+
+ORACLE["contract_null_counts"] = w(raw_x(), norm_x(), null_counts("norm_x")) + " UNION ALL ".join(
+    f"SELECT entity, '{f}' AS field, rows_checked, n_{f} AS nulls FROM nc" for f in PRICE_REQUIRED)
+
+_num = NUMBER_PATTERN
+ORACLE["contract_type_failures"] = w(raw_x(), """rn AS (
+  SELECT entity, COALESCE("Interval Start", CAST(time AS VARCHAR)) AS interval_start,
+         "Location" AS location, "Location Type" AS location_type, "LMP" AS price, "Market" AS market
+  FROM raw_x)""", f"""tc AS (
+  SELECT entity,
+    {", ".join(f"COUNT({f}) AS v_{f}" for f, _ in PRICE_FIELDS)},
+    COUNT(*) FILTER (WHERE interval_start IS NOT NULL AND TRY_CAST(interval_start AS TIMESTAMP) IS NULL) AS t_interval_start,
+    COUNT(*) FILTER (WHERE price IS NOT NULL AND NOT regexp_matches(price, '{_num}')) AS t_price
+  FROM rn GROUP BY entity)""") + " UNION ALL ".join(
+    f"SELECT entity, '{f}' AS field, '{t}' AS expected, "
+    f"{'v_price = 0' if f == 'price' else 'TRUE'} AS type_ok, "
+    f"CASE WHEN v_{f} > 0 THEN {('t_' + f) if f in ('interval_start', 'price') else '0'} ELSE 0 END AS type_failures FROM tc"
+    for f, t in PRICE_FIELDS)
+
+
+def report_sql(src: str) -> str:
+    msgs = ", ".join(
+        f"CASE WHEN n_{f} > 0 THEN printf('Field ''%s'' has %d null values but is required non-null', '{f}', n_{f}) END"
+        for f in PRICE_REQUIRED)
+    nerr = " + ".join(f"CASE WHEN n_{f} > 0 THEN 1 ELSE 0 END" for f in PRICE_REQUIRED)
+    return f"""rep AS (
+  SELECT entity, ({nerr}) = 0 AS valid, ({nerr}) AS n_errors, 0 AS n_warnings,
+         concat_ws('; ', {msgs}) AS errors, '' AS warnings, rows_checked,
+         CASE WHEN ({nerr}) > 0 THEN rows_checked ELSE 0 END AS rows_failed
+  FROM {src})"""
+
+
+ORACLE["contract_report"] = w(raw_x(), norm_x(), null_counts("norm_x"), report_sql("nc")) + "SELECT * FROM rep"
+ORACLE["gate_by_entity"] = w(raw_x(), norm_x(), null_counts("norm_x"), report_sql("nc")) + """
+SELECT n.* FROM norm_x n
+WHERE n.entity IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM rep r WHERE NOT r.valid AND r.entity = n.entity)"""
+
+
+def gated_new_prices(batch: str, name: str) -> str:
+    """Contract gate, distinct, required-not-null of one normalized batch."""
+    return f"""{name}_nc AS (
+  SELECT entity, COUNT(*) FILTER (WHERE interval_start IS NULL) + COUNT(*) FILTER (WHERE price IS NULL) AS bad
+  FROM {batch} GROUP BY entity),
+{name} AS (
+  SELECT DISTINCT entity, interval_start, location, location_type, price, market FROM {batch} b
+  WHERE entity IS NOT NULL AND price IS NOT NULL AND interval_start IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM {name}_nc c WHERE c.entity = b.entity AND c.bad > 0))"""
+
+
+ORACLE["silver_prices"] = w(
+    raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
+    raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2")) + """
+SELECT * FROM s2
+WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_start = s2.interval_start
+                  AND COALESCE(s1.location, '') = COALESCE(s2.location, ''))"""
+
+
+def gated_new_mix(batch: str, name: str) -> str:
+    return f"""{name}_nc AS (
+  SELECT entity, COUNT(*) FILTER (WHERE time IS NULL) AS bad FROM {batch} GROUP BY entity),
+{name} AS (
+  SELECT DISTINCT entity, time, {", ".join(FUELS)}, share_pct FROM {batch} b
+  WHERE entity IS NOT NULL AND time IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM {name}_nc c WHERE c.entity = b.entity AND c.bad > 0))"""
+
+
+ORACLE["silver_mix"] = w(
+    RAW_MIX_E,
+    raw_mix_x(until="2024-01-16 00:00:00", name="rm1"), norm_mix_x("rm1", "nm1"), gated_new_mix("nm1", "m1"),
+    raw_mix_x(since="2024-01-15 00:00:00", name="rm2"), norm_mix_x("rm2", "nm2"), gated_new_mix("nm2", "m2")) + """
+SELECT * FROM m2
+WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.entity = m2.entity AND m1.time = m2.time)"""
+
+# --- bronze (binding E) ----------------------------------------------------------
+ORACLE["bronze_prices"] = w(PRICES_E) + """
+SELECT entity, interval_start, CAST(NULL AS TIMESTAMP) AS interval_end, location, location_type, price, market,
+       interval_start AS ingested_at FROM prices_e"""
+ORACLE["bronze_mix"] = w(RAW_MIX_E) + f"""
+SELECT entity, time, {", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in E_COMPONENTS)}, time AS ingested_at
+FROM raw_mix_e"""
+ORACLE["raw_json_audit"] = w(PRICES_E) + "SELECT * FROM prices_e"
+
+# --- gold maintenance (binding E) ------------------------------------------------
+_OLD = "window_start < TIMESTAMP '2024-01-10 00:00:00'"
+EVOLVED = f"""evolved AS (
+  SELECT entity, window_start, window_end, avg_price, max_price, min_price, share_pct,
+         {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in E_COMPONENTS)}, computed_at
+  FROM gold WHERE {_OLD}
+  UNION ALL SELECT * FROM gold WHERE NOT ({_OLD}))"""
+ORACLE["evolve_schema"] = with_gold("SELECT * FROM evolved", EVOLVED)
+ORACLE["count_incomplete"] = with_gold(
+    "SELECT COUNT(*) FILTER (WHERE c0 IS NULL OR c1 IS NULL OR c2 IS NULL) AS incomplete_rows FROM evolved", EVOLVED)
+ORACLE["gold_backfill"] = with_gold(f"""
+SELECT e.entity, e.window_start, e.window_end, e.avg_price, e.max_price, e.min_price,
+       CASE WHEN e.c0 IS NULL THEN hm.share_pct ELSE e.share_pct END AS share_pct,
+       {", ".join(f"CASE WHEN e.c0 IS NULL THEN hm.{c} ELSE e.{c} END AS {c}" for c in E_COMPONENTS)},
+       e.computed_at
+FROM evolved e LEFT JOIN hm ON e.entity = hm.entity AND e.window_start = hm.window_start""", EVOLVED)
+
+_GI = f"""ex_p AS (SELECT * FROM prices_e WHERE interval_start < TIMESTAMP '2024-01-16 12:30:00'),
+{hourly_prices_sql("ex_p", "ex_hp").strip()},
+existing AS ({gold_select("ex_hp", "hm", E_COMPONENTS)}),
+fresh AS (
+  SELECT * FROM prices_e p WHERE interval_start >= TIMESTAMP '2024-01-15 00:00:00'
+    AND NOT EXISTS (SELECT 1 FROM existing g WHERE g.entity = p.entity
+                    AND g.window_start = date_trunc('hour', p.interval_start))),
+{hourly_prices_sql("fresh", "new_hp").strip()},
+new_rows AS ({gold_select("new_hp", "hm", E_COMPONENTS)})"""
+ORACLE["gold_incremental"] = with_gold("SELECT * FROM existing UNION ALL SELECT * FROM new_rows", _GI)

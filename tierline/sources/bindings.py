@@ -103,9 +103,21 @@ def _text_price(value, event_id):
             .otherwise(F.format_string("%.2f", value)))
 
 
-def raw_prices_x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binding X raw price feed: API column names, text values, dirt, repeats."""
-    ev = events(spark, sf_dir)
+def _between(df: DataFrame, col: str, since, until) -> DataFrame:
+    """Batch split by event time: since <= col < until (either bound optional)."""
+    if since is not None:
+        df = df.filter(F.col(col).cast("timestamp") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        df = df.filter(F.col(col).cast("timestamp") < F.lit(until).cast("timestamp"))
+    return df
+
+
+def raw_prices_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
+    """Binding X raw price feed: API column names, text values, dirt, repeats.
+
+    ``since``/``until`` cut the feed into arrival batches by event time.
+    """
+    ev = _between(events(spark, sf_dir), "ts", since, until)
     eid = F.col("event_id")
     ts = _instant("ts")
     rows = ev.select(
@@ -132,13 +144,13 @@ def raw_prices_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 _X_MIX_NAMES = ("Natural Gas", "Wind", "Solar", "Coal", "Nuclear", "Other")
 
 
-def raw_mix_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_mix_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     """Binding X raw mix feed: E's buckets with API names and text values.
 
     Broken values are planted by bucket time: day-of-month % 5 = 0 at minute
     45 gives 'n/a' wind; day % 7 = 0 at minute 30 drops the Other column value.
     """
-    raw = raw_mix_e(spark, sf_dir)
+    raw = _between(raw_mix_e(spark, sf_dir), E_MIX.time_col, since, until)
     t = F.col(E_MIX.time_col)
     cols = [F.col("entity"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("Time")]
     for src, name in zip(E_MIX.components, _X_MIX_NAMES):
