@@ -373,3 +373,159 @@ def q_count_incomplete(spark, sf_dir):
 @query("gold_backfill")
 def q_gold_backfill(spark, sf_dir):
     return G.gold_backfill(_old_layout_gold(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX)
+
+
+# --- data health (binding E; now = last arrival + 20 minutes) -------------------------
+from tierline.functions.time import plus_minutes  # noqa: E402
+from tierline.operators import health as H  # noqa: E402
+from tierline.operators import retention as R  # noqa: E402
+from tierline.session import fresh_dir  # noqa: E402
+
+CONFIGURED_ENTITIES = ["click", "error", "purchase", "refund", "signup"]
+AS_OF_LAG_MINUTES = 20
+AGE_DAYS = 10
+SIZE_GB = 5.5
+
+
+def bronze_e(spark, sf_dir):
+    """Bronze prices of binding E with arrival time = event time (no audit text)."""
+    return BR.bronze_prices(B.prices_e(spark, sf_dir), ingested_at=F.col("interval_start")).drop("raw_json")
+
+
+def bronze_mix_e(spark, sf_dir):
+    srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
+    return BR.bronze_mix(B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs,
+                         mix=B.E_MIX).drop("raw_json")
+
+
+def as_of_e(spark, sf_dir):
+    """'Now' for the health queries: the last arrival plus 20 minutes (scalar subquery)."""
+    return (bronze_e(spark, sf_dir).select(plus_minutes(F.max("ingested_at"), AS_OF_LAG_MINUTES))
+            .scalar())
+
+
+@query("last_ingest")
+def q_last_ingest(spark, sf_dir):
+    return H.last_ingest(bronze_e(spark, sf_dir), "prices").unionByName(
+        H.last_ingest(bronze_mix_e(spark, sf_dir), "mix"))
+
+
+@query("freshness_status")
+def q_freshness_status(spark, sf_dir):
+    return H.freshness_status(bronze_e(spark, sf_dir), as_of_e(spark, sf_dir))
+
+
+@query("missed_intervals")
+def q_missed_intervals(spark, sf_dir):
+    now = as_of_e(spark, sf_dir)
+    return H.missed_intervals(bronze_e(spark, sf_dir), "prices", now).unionByName(
+        H.missed_intervals(bronze_mix_e(spark, sf_dir), "mix", now))
+
+
+def _layers(spark, sf_dir):
+    return {"bronze_prices": bronze_e(spark, sf_dir), "bronze_mix": bronze_mix_e(spark, sf_dir),
+            "silver_prices": B.prices_e(spark, sf_dir), "silver_mix": B.mix_e(spark, sf_dir),
+            "gold": gold_e(spark, sf_dir)}
+
+
+@query("layer_row_counts")
+def q_layer_row_counts(spark, sf_dir):
+    return H.layer_row_counts(_layers(spark, sf_dir))
+
+
+@query("row_count_status")
+def q_row_count_status(spark, sf_dir):
+    return H.row_count_status(H.layer_row_counts(_layers(spark, sf_dir)))
+
+
+@query("gap_by_entity")
+def q_gap_by_entity(spark, sf_dir):
+    return H.gap_by_entity(gold_e(spark, sf_dir), expected_minutes=5)
+
+
+@query("date_ranges_by_category")
+def q_date_ranges_by_category(spark, sf_dir):
+    return H.date_ranges_by_category(B.prices_e(spark, sf_dir))
+
+
+@query("gold_date_ranges")
+def q_gold_date_ranges(spark, sf_dir):
+    return H.gold_date_ranges(gold_e(spark, sf_dir))
+
+
+@query("dataset_size_status")
+def q_dataset_size_status(spark, sf_dir):
+    """Stored size of the events table's files (file metadata only; no oracle)."""
+    return H.dataset_size_status(H.dataset_size(B.events(spark, sf_dir)))
+
+
+def _health_checks(spark, sf_dir):
+    g = gold_e(spark, sf_dir)
+    return H.health_report(
+        H.freshness_status(bronze_e(spark, sf_dir), as_of_e(spark, sf_dir)),
+        H.row_count_status(H.layer_row_counts(_layers(spark, sf_dir))),
+        H.data_gap_status(H.gap_by_entity(g, expected_minutes=5)),
+        H.schema_check(g, ["avg_price", "window_end", *B.E_MIX.components]),
+    )
+
+
+@query("health_report")
+def q_health_report(spark, sf_dir):
+    return _health_checks(spark, sf_dir)
+
+
+@query("health_rollup")
+def q_health_rollup(spark, sf_dir):
+    return H.health_rollup(_health_checks(spark, sf_dir), H.domain_table(spark))
+
+
+@query("entity_coverage")
+def q_entity_coverage(spark, sf_dir):
+    return H.entity_coverage(bronze_e(spark, sf_dir), CONFIGURED_ENTITIES)
+
+
+# --- retention (binding E) ---------------------------------------------------------------
+@query("retention_by_age")
+def q_retention_by_age(spark, sf_dir):
+    """Bronze rows kept by a 10-day age rule."""
+    return R.retention_by_age(bronze_e(spark, sf_dir), R.age_cutoff(as_of_e(spark, sf_dir), AGE_DAYS))
+
+
+@query("median_cutoff")
+def q_median_cutoff(spark, sf_dir):
+    return R.median_cutoff(bronze_e(spark, sf_dir))
+
+
+@query("archive_split")
+def q_archive_split(spark, sf_dir):
+    """Archive and keep counts at the median cutoff; they add up to the input."""
+    b = bronze_e(spark, sf_dir)
+    cut = R.median_cutoff(b).select("cutoff").scalar()
+    old, keep = R.archive_split(b, cut)
+    total = b.agg(F.count(F.lit(1)).alias("total"))
+    return total.select(old.select(F.count(F.lit(1))).scalar().alias("archived"),
+                        keep.select(F.count(F.lit(1))).scalar().alias("kept"), "total")
+
+
+@query("retention_by_size")
+def q_retention_by_size(spark, sf_dir):
+    """Size rule at 5.5 GB (over the cap): both feeds cut at the prices' median arrival."""
+    return R.retention_by_size(bronze_e(spark, sf_dir), bronze_mix_e(spark, sf_dir), SIZE_GB)
+
+
+@query("archive_export")
+def q_archive_export(spark, sf_dir):
+    """Rows older than the median cutoff written to a new archive, read back."""
+    b = bronze_e(spark, sf_dir)
+    path = fresh_dir(spark, "archive")
+    R.archive_export(b, R.median_cutoff(b).select("cutoff").scalar(), path)
+    return spark.read.parquet(path)
+
+
+@query("archive_listing")
+def q_archive_listing(spark, sf_dir):
+    """Newest files of an archive written from the bronze feed."""
+    b = bronze_e(spark, sf_dir)
+    path = fresh_dir(spark, "archive")
+    R.archive_export(b.repartition(4, "entity"), R.median_cutoff(b).select("cutoff").scalar(), path)
+    return R.archive_listing(spark, path).select("file_name", "size_bytes", "size_mb")

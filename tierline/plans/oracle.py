@@ -565,3 +565,150 @@ fresh AS (
 {hourly_prices_sql("fresh", "new_hp").strip()},
 new_rows AS ({gold_select("new_hp", "hm", E_COMPONENTS)})"""
 ORACLE["gold_incremental"] = with_gold("SELECT * FROM existing UNION ALL SELECT * FROM new_rows", _GI)
+
+# --- data health (binding E) ---------------------------------------------------------
+BRONZE_E = """bp AS (
+  SELECT entity, interval_start, CAST(NULL AS TIMESTAMP) AS interval_end, location, location_type, price, market,
+         interval_start AS ingested_at FROM prices_e)"""
+BRONZE_MIX_E = f"""bm AS (
+  SELECT entity, time, {", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in E_COMPONENTS)}, time AS ingested_at
+  FROM raw_mix_e)"""
+AS_OF = "((SELECT MAX(ingested_at) FROM bp) + INTERVAL 20 MINUTE)"
+
+
+def minutes(a: str, b: str) -> str:
+    return f"((epoch_us({a}) - epoch_us({b})) / 60000000.0)"
+
+
+def with_bronze(body: str, *ctes: str) -> str:
+    return with_gold(body, BRONZE_E, BRONZE_MIX_E, *ctes)
+
+
+ORACLE["last_ingest"] = with_bronze("""
+SELECT 'prices' AS "table", MAX(ingested_at) AS last_ingested_at FROM bp
+UNION ALL SELECT 'mix', MAX(ingested_at) FROM bm""")
+
+_gap = r2(minutes(AS_OF, "last"), 1)
+ORACLE["freshness_status"] = with_bronze(f"""
+SELECT 'last_ingest' AS "check",
+       CASE WHEN last IS NULL THEN 'warning' WHEN {_gap} >= 60 THEN 'error' WHEN {_gap} >= 15 THEN 'warning'
+            ELSE 'ok' END AS status,
+       CASE WHEN last IS NULL THEN 'No data ingested yet — run the pipeline'
+            WHEN {_gap} >= 15 THEN printf('No new data for %.1f minutes', {_gap})
+            ELSE printf('Last ingest %.1f minutes ago', {_gap}) END AS message,
+       {_gap} AS value, last AS last_ingested_at
+FROM (SELECT MAX(ingested_at) AS last FROM bp) t""")
+
+
+def _missed(table: str, src: str) -> str:
+    gap = minutes(AS_OF, "last")
+    ratio = f"({gap} / 5.0)"
+    exp = f"CAST(CASE WHEN {ratio} >= 0 THEN floor({ratio}) ELSE ceil({ratio}) END AS BIGINT)"
+    g1 = r2(gap, 1)
+    return f"""SELECT '{table}' AS "table", last AS last_ingested_at, {g1} AS gap_minutes,
+       CASE WHEN last IS NOT NULL THEN greatest({exp} - 1, 0) END AS missed_intervals,
+       COALESCE({exp} > 1, FALSE) AS has_gap,
+       CASE WHEN last IS NULL THEN 'No data in database yet — first run.'
+            WHEN {exp} > 1 THEN printf('Gap detected: %d missed intervals (%.1f minutes)', {exp} - 1, {g1})
+            ELSE printf('No gap detected. Last ingested %.1f minutes ago.', {g1}) END AS message
+FROM (SELECT MAX(ingested_at) AS last FROM {src}) t"""
+
+
+ORACLE["missed_intervals"] = with_bronze(_missed("prices", "bp") + "\nUNION ALL\n" + _missed("mix", "bm"))
+
+LAYER_COUNTS = """lc AS (
+  SELECT 0 AS position, 'bronze_prices' AS layer, COUNT(*) AS rows FROM bp
+  UNION ALL SELECT 1, 'bronze_mix', COUNT(*) FROM bm
+  UNION ALL SELECT 2, 'silver_prices', COUNT(*) FROM prices_e
+  UNION ALL SELECT 3, 'silver_mix', COUNT(*) FROM mix_e
+  UNION ALL SELECT 4, 'gold', COUNT(*) FROM gold)"""
+ROW_STATUS = """rs AS (
+  SELECT 'row_counts' AS "check",
+         CASE WHEN COUNT(*) FILTER (WHERE rows = 0) > 0 THEN 'warning' ELSE 'ok' END AS status,
+         CASE WHEN COUNT(*) FILTER (WHERE rows = 0) > 0
+              THEN 'Empty layers: ' || string_agg(CASE WHEN rows = 0 THEN layer END, ', ' ORDER BY position)
+              ELSE printf('All layers populated — %s: %d rows', 'gold', MAX(CASE WHEN layer = 'gold' THEN rows END))
+         END AS message,
+         CAST(MAX(CASE WHEN layer = 'gold' THEN rows END) AS DOUBLE) AS value
+  FROM lc)"""
+ORACLE["layer_row_counts"] = with_bronze("SELECT * FROM lc", LAYER_COUNTS)
+ORACLE["row_count_status"] = with_bronze("SELECT * FROM rs", LAYER_COUNTS, ROW_STATUS)
+
+_sp = r2(f"({minutes('latest', 'earliest')} / NULLIF(rows - 1, 0))", 1)
+GAPS = f"""gaps AS (
+  SELECT entity, rows, earliest, latest, {_sp} AS avg_interval_minutes,
+         COALESCE({_sp} > 0 AND {_sp} > 10.0, FALSE) AS has_gap
+  FROM (SELECT entity, COUNT(*) AS rows, MIN(window_start) AS earliest, MAX(window_start) AS latest
+        FROM gold GROUP BY entity) t)"""
+ORACLE["gap_by_entity"] = with_gold("SELECT * FROM gaps", GAPS)
+ORACLE["date_ranges_by_category"] = w(PRICES_E) + """
+SELECT entity, market, COUNT(*) AS rows, MIN(interval_start) AS earliest, MAX(interval_start) AS latest,
+       CASE WHEN market = 'SYNTHETIC' THEN 'synthetic' ELSE 'real' END AS data_type
+FROM prices_e GROUP BY entity, market ORDER BY entity, market"""
+ORACLE["gold_date_ranges"] = with_gold("""
+SELECT entity, COUNT(*) AS rows, MIN(window_start) AS earliest, MAX(window_start) AS latest
+FROM gold GROUP BY entity ORDER BY entity""")
+
+FRESH = f"""fr AS (
+  SELECT 'last_ingest' AS "check",
+         CASE WHEN last IS NULL THEN 'warning' WHEN {_gap} >= 60 THEN 'error' WHEN {_gap} >= 15 THEN 'warning'
+              ELSE 'ok' END AS status,
+         CASE WHEN last IS NULL THEN 'No data ingested yet — run the pipeline'
+              WHEN {_gap} >= 15 THEN printf('No new data for %.1f minutes', {_gap})
+              ELSE printf('Last ingest %.1f minutes ago', {_gap}) END AS message,
+         {_gap} AS value
+  FROM (SELECT MAX(ingested_at) AS last FROM bp) t)"""
+GAP_STATUS = """gs AS (
+  SELECT 'data_gap' AS "check",
+         CASE WHEN COUNT(*) = 0 OR COUNT(*) FILTER (WHERE has_gap) > 0 THEN 'warning' ELSE 'ok' END AS status,
+         CASE WHEN COUNT(*) = 0 THEN 'No gold data available for gap analysis'
+              WHEN COUNT(*) FILTER (WHERE has_gap) > 0 THEN printf('%d entities with gaps', COUNT(*) FILTER (WHERE has_gap))
+              ELSE 'No significant data gaps detected' END AS message,
+         CAST(COUNT(*) FILTER (WHERE has_gap) AS DOUBLE) AS value
+  FROM gaps)"""
+REPORT = """report AS (
+  SELECT * FROM fr UNION ALL SELECT * FROM rs UNION ALL SELECT * FROM gs
+  UNION ALL SELECT 'schema', 'ok', 'All expected columns present', 8.0 FROM (SELECT COUNT(*) FROM gold) t)"""
+_HEALTH = (LAYER_COUNTS, ROW_STATUS, GAPS, FRESH, GAP_STATUS, REPORT)
+ORACLE["health_report"] = with_bronze("SELECT * FROM report", *_HEALTH)
+ORACLE["health_rollup"] = with_bronze("""
+SELECT COUNT(*) AS checks,
+       COUNT(*) FILTER (WHERE status = 'error') AS errors,
+       COUNT(*) FILTER (WHERE status = 'warning') AS warnings,
+       CASE WHEN COUNT(*) FILTER (WHERE status = 'error') > 0 THEN 'error'
+            WHEN COUNT(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'ok' END AS overall,
+       CASE WHEN COUNT(*) FILTER (WHERE status = 'error') > 0
+              THEN array_to_string(list_sort(list_distinct(list(domain) FILTER (WHERE status = 'error'))), ', ')
+            WHEN COUNT(*) FILTER (WHERE status = 'warning') > 0
+              THEN array_to_string(list_sort(list_distinct(list(domain) FILTER (WHERE status = 'warning'))), ', ')
+            ELSE '' END AS domains
+FROM (SELECT r.*, COALESCE(d.domain, r."check") AS domain FROM report r LEFT JOIN dom d ON r."check" = d."check") t""",
+    *_HEALTH, """dom AS (SELECT * FROM (VALUES ('connectivity', 'System'), ('dataset_size', 'Storage'),
+      ('schema', 'System'), ('last_ingest', 'Data Freshness'), ('row_counts', 'Data Quality'),
+      ('data_gap', 'Data Quality')) v("check", domain))""")
+ORACLE["entity_coverage"] = with_bronze("""
+SELECT COALESCE(c.entity, o.entity) AS entity, c.entity IS NOT NULL AS configured, o.entity IS NOT NULL AS observed,
+       CASE WHEN c.entity IS NOT NULL AND o.entity IS NOT NULL THEN 'active'
+            WHEN c.entity IS NOT NULL THEN 'not observed' ELSE 'not configured' END AS status
+FROM (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('signup')) v(entity)) c
+FULL OUTER JOIN (SELECT DISTINCT entity FROM bp WHERE entity IS NOT NULL) o ON c.entity = o.entity""")
+
+# --- retention (binding E) -------------------------------------------------------------
+MEDIAN = """med AS (
+  SELECT COUNT(ingested_at) AS n, CAST(COUNT(ingested_at) / 2 AS BIGINT) AS k,
+         (SELECT ingested_at FROM bp WHERE ingested_at IS NOT NULL ORDER BY ingested_at
+          LIMIT 1 OFFSET (SELECT COUNT(ingested_at) / 2 FROM bp)) AS cutoff
+  FROM bp)"""
+ORACLE["retention_by_age"] = with_bronze(f"SELECT * FROM bp WHERE ingested_at >= {AS_OF} - INTERVAL 10 DAY")
+ORACLE["median_cutoff"] = with_bronze("SELECT * FROM med", MEDIAN)
+ORACLE["archive_split"] = with_bronze("""
+SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived,
+       COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept,
+       COUNT(*) AS total FROM bp""", MEDIAN)
+ORACLE["retention_by_size"] = with_bronze("""
+SELECT CAST(5.5 AS DOUBLE) AS size_gb, 'aged off' AS action, (SELECT cutoff FROM med) AS cutoff,
+       p.archived_prices, p.kept_prices, m.archived_mix, m.kept_mix
+FROM (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_prices,
+             COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_prices FROM bp) p,
+     (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_mix,
+             COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_mix FROM bm) m""", MEDIAN)
