@@ -529,3 +529,83 @@ def q_archive_listing(spark, sf_dir):
     path = fresh_dir(spark, "archive")
     R.archive_export(b.repartition(4, "entity"), R.median_cutoff(b).select("cutoff").scalar(), path)
     return R.archive_listing(spark, path).select("file_name", "size_bytes", "size_mb")
+
+
+# --- streaming (binding E / X landed as files) ------------------------------------------------
+from tierline.streaming import pipeline as ST  # noqa: E402
+
+STREAM_SPLIT = "2024-01-16 12:30:00"    # first landing batch ends inside an hour
+
+
+def _stream_dirs(spark, label):
+    base = fresh_dir(spark, label)
+    return f"{base}/landing", f"{base}/sink", f"{base}/checkpoint"
+
+
+@query("stream_gold")
+def q_stream_gold(spark, sf_dir):
+    """Hourly price statistics from a file stream; closed hours only."""
+    landing, sink, ckpt = _stream_dirs(spark, "stream-gold")
+    p = B.prices_e(spark, sf_dir)
+    ST.land(p, landing)
+    stream = ST.file_stream(spark, landing, p.schema)
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream), sink, ckpt))
+    return spark.read.parquet(sink)
+
+
+@query("stream_late_rows")
+def q_stream_late_rows(spark, sf_dir):
+    """Two landings; the second repeats a closed day. Closed hours are emitted once
+    and the late repeats are dropped."""
+    landing, sink, ckpt = _stream_dirs(spark, "stream-late")
+    p = B.prices_e(spark, sf_dir)
+    t = F.col("interval_start")
+    split = F.lit(STREAM_SPLIT).cast("timestamp")
+    ST.land(p.filter(t < split), landing)
+    stream = ST.file_stream(spark, landing, p.schema)
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream), sink, ckpt))
+    late = p.filter((t >= F.lit(SPLIT_EARLY).cast("timestamp")) & (t < F.lit(SPLIT_LATE).cast("timestamp")))
+    ST.land(p.filter(t >= split).unionByName(late), landing)
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(ST.file_stream(spark, landing, p.schema)), sink, ckpt))
+    return spark.read.parquet(sink)
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """Normalized raw feed, landed in two overlapping batches, deduplicated by key."""
+    landing, sink, ckpt = _stream_dirs(spark, "stream-dedup")
+    first = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
+    ST.land(first, landing)
+    for _ in range(2):
+        stream = N.normalize_prices(ST.file_stream(spark, landing, first.schema))
+        ST.run_available(ST.to_parquet(ST.dedup_stream(stream), sink, ckpt))
+        ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), landing)
+    return spark.read.parquet(sink)
+
+
+@query("stream_gold_join")
+def q_stream_gold_join(spark, sf_dir):
+    """Hourly prices left-joined to the hourly mix, both as streams; closed hours only."""
+    base = fresh_dir(spark, "stream-join")
+    p, m = B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir)
+    ST.land(p, f"{base}/prices")
+    ST.land(m, f"{base}/mix")
+    ps = ST.file_stream(spark, f"{base}/prices", p.schema)
+    ms = ST.file_stream(spark, f"{base}/mix", m.schema)
+    ST.run_available(ST.to_parquet(ST.gold_join_stream(ps, ms, B.E_MIX), f"{base}/sink", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/sink")
+
+
+@query("stream_pipeline")
+def q_stream_pipeline(spark, sf_dir):
+    """Raw files -> normalize -> contract gate -> silver -> incremental gold, per micro-batch."""
+    base = fresh_dir(spark, "stream-pipeline")
+    landing = f"{base}/landing"
+    first = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
+    ST.land(first, landing)
+    mix = B.mix_e(spark, sf_dir)
+    for _ in range(2):
+        ST.run_pipeline(ST.file_stream(spark, landing, first.schema), f"{base}/silver", f"{base}/gold",
+                        f"{base}/checkpoint", mix, B.E_MIX, COMPUTED_AT)
+        ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), landing)
+    return spark.read.parquet(f"{base}/gold").drop("batch_id")

@@ -712,3 +712,34 @@ FROM (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS a
              COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_prices FROM bp) p,
      (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_mix,
              COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_mix FROM bm) m""", MEDIAN)
+
+# --- streaming ------------------------------------------------------------------------
+# A stream emits an hour once the watermark (max event time seen, no delay)
+# passes its end; with two inputs the watermark is the smaller of the two.
+_HOURLY_CLOSED = f"""
+SELECT entity, window_start, window_start + INTERVAL 1 HOUR AS window_end, avg_price, max_price, min_price
+FROM hp WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events)"""
+ORACLE["stream_gold"] = w(PRICES_E, hourly_prices_sql("prices_e")) + _HOURLY_CLOSED
+ORACLE["stream_late_rows"] = ORACLE["stream_gold"]
+ORACLE["stream_dedup"] = w(raw_x(), norm_x()) + """
+SELECT DISTINCT * FROM norm_x
+WHERE entity IS NOT NULL AND interval_start IS NOT NULL AND price IS NOT NULL"""
+ORACLE["stream_gold_join"] = with_gold(f"""
+SELECT entity, window_start, window_end, avg_price, max_price, min_price, share_pct, {", ".join(E_COMPONENTS)}
+FROM gold
+WHERE window_end <= least((SELECT MAX(ts) FROM events), (SELECT MAX(time) FROM raw_mix_e))""")
+ORACLE["stream_pipeline"] = w(
+    raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
+    raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2"),
+    """s2new AS (
+  SELECT * FROM s2 WHERE NOT EXISTS (
+    SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_start = s2.interval_start
+      AND COALESCE(s1.location, '') = COALESCE(s2.location, '')))""",
+    RAW_MIX_E, MIX_E, hourly_mix_sql("mix_e", E_COMPONENTS),
+    hourly_prices_sql("s1", "hp1"),
+    f"g1 AS ({gold_select('hp1', 'hm', E_COMPONENTS)})",
+    """fresh2 AS (
+  SELECT * FROM s2new s WHERE NOT EXISTS (
+    SELECT 1 FROM g1 WHERE g1.entity = s.entity AND g1.window_start = date_trunc('hour', s.interval_start)))""",
+    hourly_prices_sql("fresh2", "hp2"),
+    f"g2 AS ({gold_select('hp2', 'hm', E_COMPONENTS)})") + "SELECT * FROM g1 UNION ALL SELECT * FROM g2"
