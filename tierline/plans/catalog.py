@@ -532,7 +532,7 @@ def q_archive_listing(spark, sf_dir):
 
 
 # --- streaming (binding E / X landed as files) ------------------------------------------------
-from tierline.streaming import pipeline as ST  # noqa: E402
+from tierline.streaming import feeds as ST  # noqa: E402
 
 STREAM_SPLIT = "2024-01-16 12:30:00"    # first landing batch ends inside an hour
 
@@ -596,16 +596,59 @@ def q_stream_gold_join(spark, sf_dir):
     return spark.read.parquet(f"{base}/sink")
 
 
-@query("stream_pipeline")
-def q_stream_pipeline(spark, sf_dir):
+@query("stream_medallion")
+def q_stream_medallion(spark, sf_dir):
     """Raw files -> normalize -> contract gate -> silver -> incremental gold, per micro-batch."""
-    base = fresh_dir(spark, "stream-pipeline")
+    base = fresh_dir(spark, "stream-medallion")
     landing = f"{base}/landing"
     first = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
     ST.land(first, landing)
     mix = B.mix_e(spark, sf_dir)
     for _ in range(2):
-        ST.run_pipeline(ST.file_stream(spark, landing, first.schema), f"{base}/silver", f"{base}/gold",
+        ST.run_medallion(ST.file_stream(spark, landing, first.schema), f"{base}/silver", f"{base}/gold",
                         f"{base}/checkpoint", mix, B.E_MIX, COMPUTED_AT)
         ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), landing)
     return spark.read.parquet(f"{base}/gold").drop("batch_id")
+
+
+# --- landed-file sources (binding E written as files, read back) ---------------------------
+from tierline.sources import landing as L  # noqa: E402
+
+HISTORY_END = "2024-01-30 00:00:00"
+HISTORY_DAYS = 7
+
+
+@query("history_range_scan")
+def q_history_range_scan(spark, sf_dir):
+    """The 7 days of prices before the end date."""
+    return L.history_range(B.prices_e(spark, sf_dir), HISTORY_END, HISTORY_DAYS)
+
+
+@query("land_prices_json")
+def q_land_prices_json(spark, sf_dir):
+    """Prices landed as JSON lines, read back with the explicit schema."""
+    p = B.prices_e(spark, sf_dir)
+    path = fresh_dir(spark, "landing-json")
+    L.write_landed(p, path, "json")
+    good, _ = L.split_quarantine(L.read_landed(spark, path, p.schema, "json"))
+    return good
+
+
+@query("land_mix_csv")
+def q_land_mix_csv(spark, sf_dir):
+    """The raw mix landed as CSV, read back with the explicit schema."""
+    m = B.raw_mix_e(spark, sf_dir)
+    path = fresh_dir(spark, "landing-csv")
+    L.write_landed(m, path, "csv")
+    good, _ = L.split_quarantine(L.read_landed(spark, path, m.schema, "csv"))
+    return good
+
+
+@query("gold_summary_sql")
+def q_gold_summary_sql(spark, sf_dir):
+    """The gold summary through temp views and spark.sql (same plan as the DataFrame form)."""
+    from tierline.sources.views import gold_sql, register_views
+
+    register_views(spark, sf_dir, prefix="e_")
+    return spark.sql(gold_sql("e_silver_prices", "e_silver_mix", list(B.E_MIX.components),
+                              computed_at=COMPUTED_AT.isoformat(sep=" ")))

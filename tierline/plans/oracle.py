@@ -728,7 +728,7 @@ ORACLE["stream_gold_join"] = with_gold(f"""
 SELECT entity, window_start, window_end, avg_price, max_price, min_price, share_pct, {", ".join(E_COMPONENTS)}
 FROM gold
 WHERE window_end <= least((SELECT MAX(ts) FROM events), (SELECT MAX(time) FROM raw_mix_e))""")
-ORACLE["stream_pipeline"] = w(
+ORACLE["stream_medallion"] = w(
     raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
     raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2"),
     """s2new AS (
@@ -743,3 +743,11 @@ ORACLE["stream_pipeline"] = w(
     SELECT 1 FROM g1 WHERE g1.entity = s.entity AND g1.window_start = date_trunc('hour', s.interval_start)))""",
     hourly_prices_sql("fresh2", "hp2"),
     f"g2 AS ({gold_select('hp2', 'hm', E_COMPONENTS)})") + "SELECT * FROM g1 UNION ALL SELECT * FROM g2"
+
+# --- landed-file sources ---------------------------------------------------------------
+ORACLE["history_range_scan"] = w(PRICES_E) + """
+SELECT * FROM prices_e
+WHERE interval_start BETWEEN TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-30 00:00:00'"""
+ORACLE["land_prices_json"] = ORACLE["land_prices"]
+ORACLE["land_mix_csv"] = ORACLE["land_mix"]
+ORACLE["gold_summary_sql"] = ORACLE["gold_summary"]

@@ -7,7 +7,7 @@ first-written partial hour; see ``gold.gold_incremental``).
 
 Checkpoints and sinks live under the shared folder (``session.shared_dir``),
 so a restarted driver or a lost executor resumes from the last commit. The
-``foreachBatch`` pipeline writes every micro-batch to its own ``batch_id``
+``foreachBatch`` medallion job writes every micro-batch to its own ``batch_id``
 folder with overwrite, so a replayed batch replaces its own output instead of
 duplicating it.
 """
@@ -150,7 +150,7 @@ class MedallionBatch:
         new_gold.write.mode("overwrite").parquet(f"{self.gold_path}/batch_id={batch_id}")
 
 
-def run_pipeline(raw_stream: DataFrame, silver_path: str, gold_path: str, checkpoint: str,
+def run_medallion(raw_stream: DataFrame, silver_path: str, gold_path: str, checkpoint: str,
                  mix: DataFrame, spec: MixSpec = DEFAULT_MIX, computed_at=None):
     body = MedallionBatch(silver_path, gold_path, mix, spec, computed_at)
     writer = raw_stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
