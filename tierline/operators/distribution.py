@@ -38,9 +38,9 @@ def price_histogram(gold: DataFrame, col: str = "avg_price", bins: int = HISTOGR
     partial aggregate. Only non-empty bins are reported.
     """
     vals = gold.filter(F.col(col).isNotNull())
-    rng = vals.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = rng.select("lo").scalar()
-    width = rng.select((F.col("hi") - F.col("lo")) / F.lit(float(bins))).scalar()
+    rng = vals.agg(F.struct(F.min(col).alias("lo"),
+                            ((F.max(col) - F.min(col)) / F.lit(float(bins))).alias("w"))).scalar()
+    lo, width = rng.getField("lo"), rng.getField("w")
     raw_bin = F.floor((F.col(col) - lo) / width)
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int")
     counted = vals.groupBy("entity", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

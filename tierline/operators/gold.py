@@ -78,10 +78,9 @@ def gold_incremental(prices: DataFrame, mix: DataFrame, existing_gold: DataFrame
     """
     p = prices.withColumn("window_start", hour_start("interval_start"))
     fresh = p.join(existing_gold.select(*KEY), KEY, "left_anti")
-    bounds = fresh.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select(plus_hours(F.col("hi"), 1)).scalar()
-    m = mix.filter((F.col(spec.time_col) >= lo) & (F.col(spec.time_col) < hi))
+    b = p.agg(F.struct(F.min("window_start").alias("lo"),
+                       plus_hours(F.max("window_start"), 1).alias("hi"))).scalar()
+    m = mix.filter((F.col(spec.time_col) >= b.getField("lo")) & (F.col(spec.time_col) < b.getField("hi")))
     agg = (fresh.groupBy("entity", "window_start")
            .agg(round_half_away(exact_mean("price")).alias("avg_price"),
                 round_half_away(F.max("price")).alias("max_price"),

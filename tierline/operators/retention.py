@@ -31,39 +31,54 @@ def archive_split(df: DataFrame, cutoff: Column, col: str = "ingested_at") -> tu
     return df.filter(F.col(col) < cutoff), df.filter(F.col(col) >= cutoff)
 
 
-def _pick(counts: DataFrame, k: Column) -> DataFrame:
-    """The bucket holding 0-based rank ``k`` in a small (bucket, cnt) table.
+def _pick(counts: DataFrame, k: int):
+    """(bucket, rows before it) of the bucket holding 0-based rank ``k``.
 
-    The running sum is a window without partitioning, which runs in one task;
-    callers only pass tables whose size is bounded by construction (days of
-    history, seconds of a day, microseconds of a second).
+    ``counts`` is a small (b, cnt) table; its running sum is a window without
+    partitioning, i.e. one task, which is why callers only pass tables bounded
+    by construction (days of history, seconds of a day, instants of a second).
+    Returns None when k is out of range.
     """
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = counts.withColumn("cum", F.sum("cnt").over(w)).withColumn("prev", F.col("cum") - F.col("cnt"))
-    return c.filter((F.col("prev") <= k) & (k < F.col("cum"))).select("b", "prev")
+    row = c.filter((F.col("prev") <= k) & (F.lit(k) < F.col("cum"))).select("b", "prev").first()
+    return None if row is None else (row["b"], row["prev"])
 
 
-def kth_instant(df: DataFrame, col: str, k: Column) -> Column:
-    """Exact k-th smallest instant (0-based, duplicates counted), as a scalar subquery.
+def kth_instant(df: DataFrame, col: str, k: int):
+    """Exact k-th smallest instant (0-based, duplicates counted), or None.
 
-    Counts are refined in three levels: per day over the whole input, per
-    second inside the chosen day, per instant inside the chosen second. Each
-    level is an ordinary aggregate (combined map-side) and each running sum
-    sees a bounded number of buckets, so no task ever holds all instants, even
-    when one day or one second holds a third of the rows.
+    Selection in three rounds: count per day over the whole input, per second
+    inside the chosen day, per instant inside the chosen second. Each round is
+    one aggregate (combined map-side) whose result is bounded, and only the
+    chosen bucket and its offset (two values) come back to the driver. No task
+    ever holds all instants, even when one day or one second holds a third of
+    the rows.
     """
     t = F.col(col).cast("timestamp")
     vals = df.filter(F.col(col).isNotNull())
-    lvl1 = vals.groupBy(F.date_trunc("day", t).alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
-    p1 = _pick(lvl1, k)
-    day, r1 = p1.select("b").scalar(), k - p1.select("prev").scalar()
-    lvl2 = (vals.filter(F.date_trunc("day", t) == day)
-            .groupBy(F.date_trunc("second", t).alias("b")).agg(F.count(F.lit(1)).alias("cnt")))
-    p2 = _pick(lvl2, r1)
-    sec, r2 = p2.select("b").scalar(), r1 - p2.select("prev").scalar()
-    lvl3 = (vals.filter(F.date_trunc("second", t) == sec)
-            .groupBy(t.alias("b")).agg(F.count(F.lit(1)).alias("cnt")))
-    return _pick(lvl3, r2).select("b").scalar()
+    cnt = F.count(F.lit(1)).alias("cnt")
+    day = _pick(vals.groupBy(F.date_trunc("day", t).alias("b")).agg(cnt), k)
+    if day is None:
+        return None
+    r1 = k - day[1]
+    in_day = vals.filter((t >= F.lit(day[0])) & (t < F.lit(day[0]) + F.expr("INTERVAL 1 DAY")))
+    sec = _pick(in_day.groupBy(F.date_trunc("second", t).alias("b")).agg(cnt), r1)
+    r2 = r1 - sec[1]
+    in_sec = in_day.filter((t >= F.lit(sec[0])) & (t < F.lit(sec[0]) + F.expr("INTERVAL 1 SECOND")))
+    return _pick(in_sec.groupBy(t.alias("b")).agg(cnt), r2)[0]
+
+
+def median_position(n: int) -> int:
+    """0-based position n / 2 rounded half to even (2, 2, 3, 4 for n = 4..7)."""
+    return round(n / 2)
+
+
+def median_cutoff_value(df: DataFrame, col: str = "ingested_at"):
+    """(n, k, cutoff instant) of the older-half cut."""
+    n = df.agg(F.count(col)).first()[0]
+    k = median_position(n)
+    return n, k, kth_instant(df, col, k)
 
 
 def median_cutoff(df: DataFrame, col: str = "ingested_at") -> DataFrame:
@@ -71,9 +86,9 @@ def median_cutoff(df: DataFrame, col: str = "ingested_at") -> DataFrame:
 
     Rows before it are the older half that size-based retention removes.
     """
-    n = df.agg(F.count(col).alias("n"))
-    k = n.select(F.rint(F.col("n") / F.lit(2.0)).cast("bigint")).scalar()
-    return n.select("n", k.alias("k"), kth_instant(df, col, k).alias("cutoff"))
+    n, k, cut = median_cutoff_value(df, col)
+    return df.agg(F.count(col).alias("n")).select(
+        "n", F.lit(k).cast("bigint").alias("k"), F.lit(cut).cast("timestamp").alias("cutoff"))
 
 
 def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
@@ -84,7 +99,7 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
     One row: size, action, cutoff, and archived/kept row counts per feed.
     """
     over_cap = size_gb >= cap_gb
-    cut = median_cutoff(prices, col).select("cutoff").scalar() if over_cap else F.lit(None).cast("timestamp")
+    cut = F.lit(median_cutoff_value(prices, col)[2] if over_cap else None).cast("timestamp")
     action = "aged off" if over_cap else ("warning" if size_gb >= warning_gb else "none")
 
     def counts(df: DataFrame, label: str) -> list[Column]:

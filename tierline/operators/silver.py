@@ -25,14 +25,22 @@ PRICE_KEY = ["entity", "interval_start", "__loc"]
 
 
 def _time_pruned(existing: DataFrame, incoming: DataFrame, time_col: str) -> DataFrame:
-    bounds = incoming.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    return existing.filter((F.col(time_col) >= lo) & (F.col(time_col) <= hi))
+    """Existing rows inside the incoming batch's time range (one scalar subquery).
 
+    The bounds come from a plain scan of the batch (min/max, combined
+    map-side), a superset of the range of the rows that survive the gate.
+    """
+    b = incoming.agg(F.struct(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))).scalar()
+    return existing.filter((F.col(time_col) >= b.getField("lo")) & (F.col(time_col) <= b.getField("hi")))
 
-def new_price_rows(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Distinct, complete rows of a normalized price batch whose key is new."""
+
+def new_price_rows(batch: DataFrame, existing: DataFrame | None, bounds_from: DataFrame | None = None) -> DataFrame:
+    """Distinct, complete rows of a normalized price batch whose key is new.
+
+    ``bounds_from`` (default: the batch) supplies the time range that prunes
+    the existing side; pass the ungated batch so the range is a plain scan.
+    """
+    raw = batch if bounds_from is None else bounds_from
     rows = (batch.select(*PRICE_SILVER_COLUMNS)
             .filter(F.col("price").isNotNull() & F.col("interval_start").isNotNull())
             .withColumn("__loc", F.coalesce(F.col("location"), F.lit(""))))
@@ -40,19 +48,20 @@ def new_price_rows(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
     # adding it changes nothing but lets the dedup reuse the key partitioning.
     rows = rows.dropDuplicates([*PRICE_KEY, "location", "location_type", "price", "market"])
     if existing is not None:
-        old = (_time_pruned(existing, rows, "interval_start")
+        old = (_time_pruned(existing, raw, "interval_start")
                .select("entity", "interval_start", F.coalesce(F.col("location"), F.lit("")).alias("__loc")))
         rows = rows.join(old, PRICE_KEY, "left_anti")
     return rows.select(*PRICE_SILVER_COLUMNS)
 
 
-def new_mix_rows(batch: DataFrame, existing: DataFrame | None, mix: MixSpec = DEFAULT_MIX) -> DataFrame:
+def new_mix_rows(batch: DataFrame, existing: DataFrame | None, mix: MixSpec = DEFAULT_MIX,
+                 bounds_from: DataFrame | None = None) -> DataFrame:
     key = ["entity", mix.time_col]
     cols = mix.silver_columns()
     rows = batch.select(*cols).filter(F.col(mix.time_col).isNotNull())
     rows = rows.dropDuplicates([*key, *[c for c in cols if c not in key]])
     if existing is not None:
-        old = _time_pruned(existing, rows, mix.time_col).select(*key)
+        old = _time_pruned(existing, batch if bounds_from is None else bounds_from, mix.time_col).select(*key)
         rows = rows.join(old, key, "left_anti")
     return rows.select(*cols)
 
@@ -61,13 +70,13 @@ def silver_prices(normalized: DataFrame, existing: DataFrame | None = None,
                   contract=PRICE_CONTRACT) -> DataFrame:
     """Contract gate per entity, then the new distinct rows (what gets appended)."""
     report = contract_report(normalized, contract)
-    return new_price_rows(gate_by_entity(normalized, report), existing)
+    return new_price_rows(gate_by_entity(normalized, report), existing, bounds_from=normalized)
 
 
 def silver_mix(normalized: DataFrame, existing: DataFrame | None = None,
                mix: MixSpec = DEFAULT_MIX, contract=MIX_CONTRACT) -> DataFrame:
     report = contract_report(normalized, contract)
-    return new_mix_rows(gate_by_entity(normalized, report), existing, mix)
+    return new_mix_rows(gate_by_entity(normalized, report), existing, mix, bounds_from=normalized)
 
 
 def append(df: DataFrame, path: str, partition_col: str | None = None,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tierline.operators import gold as G
 from tierline.session import ensure_session
 from tierline.sources import bindings as B
+from tierline.sources.tables import session_memo
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -38,8 +39,8 @@ def query(name: str):
 
 def gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding-E gold: the input of every analytics query."""
-    return G.gold_summary(B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX,
-                          computed_at=COMPUTED_AT)
+    return session_memo(spark, ("gold_e", sf_dir), lambda: G.gold_summary(
+        B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX, computed_at=COMPUTED_AT))
 
 
 @query("gold_summary")
@@ -213,11 +214,13 @@ EVOLVE_SPLIT = "2024-01-10 00:00:00"   # gold rows before it have the old layout
 
 
 def norm_x(spark, sf_dir, since=None, until=None):
-    return N.normalize_prices(B.raw_prices_x(spark, sf_dir, since, until))
+    return session_memo(spark, ("norm_x", sf_dir, since, until),
+                        lambda: N.normalize_prices(B.raw_prices_x(spark, sf_dir, since, until)))
 
 
 def norm_mix_x(spark, sf_dir, since=None, until=None):
-    return N.normalize_mix(B.raw_mix_x(spark, sf_dir, since, until))
+    return session_memo(spark, ("norm_mix_x", sf_dir, since, until),
+                        lambda: N.normalize_mix(B.raw_mix_x(spark, sf_dir, since, until)))
 
 
 @query("first_present_column")
@@ -389,13 +392,14 @@ SIZE_GB = 5.5
 
 def bronze_e(spark, sf_dir):
     """Bronze prices of binding E with arrival time = event time (no audit text)."""
-    return BR.bronze_prices(B.prices_e(spark, sf_dir), ingested_at=F.col("interval_start")).drop("raw_json")
+    return session_memo(spark, ("bronze_e", sf_dir), lambda: BR.bronze_prices(
+        B.prices_e(spark, sf_dir), ingested_at=F.col("interval_start")).drop("raw_json"))
 
 
 def bronze_mix_e(spark, sf_dir):
     srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
-    return BR.bronze_mix(B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs,
-                         mix=B.E_MIX).drop("raw_json")
+    return session_memo(spark, ("bronze_mix_e", sf_dir), lambda: BR.bronze_mix(
+        B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json"))
 
 
 def as_of_e(spark, sf_dir):
@@ -500,11 +504,10 @@ def q_median_cutoff(spark, sf_dir):
 def q_archive_split(spark, sf_dir):
     """Archive and keep counts at the median cutoff; they add up to the input."""
     b = bronze_e(spark, sf_dir)
-    cut = R.median_cutoff(b).select("cutoff").scalar()
-    old, keep = R.archive_split(b, cut)
-    total = b.agg(F.count(F.lit(1)).alias("total"))
-    return total.select(old.select(F.count(F.lit(1))).scalar().alias("archived"),
-                        keep.select(F.count(F.lit(1))).scalar().alias("kept"), "total")
+    cut = F.lit(R.median_cutoff_value(b)[2]).cast("timestamp")
+    return b.agg(F.count_if(F.col("ingested_at") < cut).alias("archived"),
+                 F.count_if(F.col("ingested_at") >= cut).alias("kept"),
+                 F.count(F.lit(1)).alias("total"))
 
 
 @query("retention_by_size")
@@ -518,7 +521,7 @@ def q_archive_export(spark, sf_dir):
     """Rows older than the median cutoff written to a new archive, read back."""
     b = bronze_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
-    R.archive_export(b, R.median_cutoff(b).select("cutoff").scalar(), path)
+    R.archive_export(b, F.lit(R.median_cutoff_value(b)[2]).cast("timestamp"), path)
     return spark.read.parquet(path)
 
 
@@ -527,7 +530,7 @@ def q_archive_listing(spark, sf_dir):
     """Newest files of an archive written from the bronze feed."""
     b = bronze_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
-    R.archive_export(b.repartition(4, "entity"), R.median_cutoff(b).select("cutoff").scalar(), path)
+    R.archive_export(b.repartition(4, "entity"), F.lit(R.median_cutoff_value(b)[2]).cast("timestamp"), path)
     return R.archive_listing(spark, path).select("file_name", "size_bytes", "size_mb")
 
 

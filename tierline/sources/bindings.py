@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions.numeric import as_exact
 from tierline.settings import MixSpec
-from tierline.sources.tables import read_table
+from tierline.sources.tables import read_table, session_memo
 
 # --- fixed values: binding E ----------------------------------------------
 E_MIX = MixSpec(components=("c0", "c1", "c2", "c3", "c4", "c5"), share_of=("c1", "c2"))
@@ -42,6 +42,10 @@ def _instant(c: str):
 
 
 def prices_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("prices_e", sf_dir), lambda: _prices_e(spark, sf_dir))
+
+
+def _prices_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding E price feed, already in normalized (silver) shape."""
     ev = events(spark, sf_dir)
     start = _instant("ts")
@@ -62,6 +66,10 @@ def _bucket_start(ts, minutes: int):
 
 
 def raw_mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("raw_mix_e", sf_dir), lambda: _raw_mix_e(spark, sf_dir))
+
+
+def _raw_mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding E mix feed before normalization: components may be null.
 
     One row per (event_type, 15-minute bucket); component i is the exact sum
@@ -84,6 +92,10 @@ def raw_mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("mix_e", sf_dir), lambda: _mix_e(spark, sf_dir))
+
+
+def _mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding E mix feed in silver shape (components filled, share derived)."""
     from tierline.operators.normalize import normalize_mix
 
@@ -117,6 +129,11 @@ def raw_prices_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> Da
 
     ``since``/``until`` cut the feed into arrival batches by event time.
     """
+    return session_memo(spark, ("raw_prices_x", sf_dir, since, until),
+                        lambda: _raw_prices_x(spark, sf_dir, since, until))
+
+
+def _raw_prices_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     ev = _between(events(spark, sf_dir), "ts", since, until)
     eid = F.col("event_id")
     ts = _instant("ts")
@@ -145,6 +162,11 @@ _X_MIX_NAMES = ("Natural Gas", "Wind", "Solar", "Coal", "Nuclear", "Other")
 
 
 def raw_mix_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
+    return session_memo(spark, ("raw_mix_x", sf_dir, since, until),
+                        lambda: _raw_mix_x(spark, sf_dir, since, until))
+
+
+def _raw_mix_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     """Binding X raw mix feed: E's buckets with API names and text values.
 
     Broken values are planted by bucket time: day-of-month % 5 = 0 at minute
@@ -173,6 +195,10 @@ def _supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("prices_s", sf_dir), lambda: _prices_s(spark, sf_dir))
+
+
+def _prices_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     sn = _supplier_nation(spark, sf_dir)
@@ -187,6 +213,10 @@ def prices_s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("raw_mix_s", sf_dir), lambda: _raw_mix_s(spark, sf_dir))
+
+
+def _raw_mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by order priority per entity-day (lineitem x orders x supplier x nation)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
@@ -203,6 +233,10 @@ def raw_mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_memo(spark, ("mix_s", sf_dir), lambda: _mix_s(spark, sf_dir))
+
+
+def _mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tierline.operators.normalize import normalize_mix
 
     return normalize_mix(raw_mix_s(spark, sf_dir), mix=S_MIX, column_map={})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -14,6 +16,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A lazy scan; Catalyst prunes it to the columns and rows a query uses."""
-    return spark.read.parquet(table_path(sf_dir, name))
+_HANDLES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def session_memo(spark: SparkSession, key, build):
+    """One DataFrame handle per session and key.
+
+    A DataFrame is an immutable plan, so reusing the handle of a read-only
+    input saves the file listing, footer reads and analysis on every use.
+    Only for inputs that do not change while the session lives.
+    """
+    cache = _HANDLES.setdefault(spark, {})
+    if key not in cache:
+        cache[key] = build()
+    return cache[key]
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """A lazy scan of a given (read-only) table; Catalyst prunes it to the
+    columns and rows a query uses."""
+    path = table_path(sf_dir, name)
+    if refresh:
+        return spark.read.parquet(path)
+    return session_memo(spark, ("table", path), lambda: spark.read.parquet(path))
