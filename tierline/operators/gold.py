@@ -76,15 +76,13 @@ def gold_incremental(prices: DataFrame, mix: DataFrame, existing_gold: DataFrame
     by scalar subqueries, which reach the scan as partition filters when the
     mix table is partitioned by date.
     """
-    p = prices.withColumn("window_start", hour_start("interval_start"))
-    fresh = p.join(existing_gold.select(*KEY), KEY, "left_anti")
-    b = p.agg(F.struct(F.min("window_start").alias("lo"),
-                       plus_hours(F.max("window_start"), 1).alias("hi"))).scalar()
+    # The NOT-IN predicate depends only on the group key, so filtering groups
+    # after aggregating equals filtering rows before: the shuffle then moves
+    # partial aggregates, and the anti-join sees one row per (entity, hour).
+    agg = hourly_prices(prices).join(existing_gold.select(*KEY), KEY, "left_anti")
+    b = prices.agg(F.struct(hour_start(F.min("interval_start")).alias("lo"),
+                            plus_hours(hour_start(F.max("interval_start")), 1).alias("hi"))).scalar()
     m = mix.filter((F.col(spec.time_col) >= b.getField("lo")) & (F.col(spec.time_col) < b.getField("hi")))
-    agg = (fresh.groupBy("entity", "window_start")
-           .agg(round_half_away(exact_mean("price")).alias("avg_price"),
-                round_half_away(F.max("price")).alias("max_price"),
-                round_half_away(F.min("price")).alias("min_price")))
     return _assemble(agg, hourly_mix(m, spec), spec, computed_at)
 
 

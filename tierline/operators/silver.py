@@ -44,9 +44,12 @@ def new_price_rows(batch: DataFrame, existing: DataFrame | None, bounds_from: Da
     rows = (batch.select(*PRICE_SILVER_COLUMNS)
             .filter(F.col("price").isNotNull() & F.col("interval_start").isNotNull())
             .withColumn("__loc", F.coalesce(F.col("location"), F.lit(""))))
-    # distinct over the silver columns; __loc is a function of location, so
-    # adding it changes nothing but lets the dedup reuse the key partitioning.
-    rows = rows.dropDuplicates([*PRICE_KEY, "location", "location_type", "price", "market"])
+    # One shuffle, by the key: the distinct over all silver columns (which
+    # include the key; __loc is a function of location) and the anti-join on
+    # the key both reuse this partitioning. Duplicates are rare in a batch, so
+    # a map-side dedup before a wider shuffle would save little.
+    rows = (rows.repartition(*PRICE_KEY)
+            .dropDuplicates([*PRICE_KEY, "location", "location_type", "price", "market"]))
     if existing is not None:
         old = (_time_pruned(existing, raw, "interval_start")
                .select("entity", "interval_start", F.coalesce(F.col("location"), F.lit("")).alias("__loc")))
@@ -59,7 +62,7 @@ def new_mix_rows(batch: DataFrame, existing: DataFrame | None, mix: MixSpec = DE
     key = ["entity", mix.time_col]
     cols = mix.silver_columns()
     rows = batch.select(*cols).filter(F.col(mix.time_col).isNotNull())
-    rows = rows.dropDuplicates([*key, *[c for c in cols if c not in key]])
+    rows = rows.repartition(*key).dropDuplicates([*key, *[c for c in cols if c not in key]])
     if existing is not None:
         old = _time_pruned(existing, batch if bounds_from is None else bounds_from, mix.time_col).select(*key)
         rows = rows.join(old, key, "left_anti")
