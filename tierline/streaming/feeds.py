@@ -25,6 +25,22 @@ from tierline.operators.silver import new_price_rows
 from tierline.settings import DEFAULT_MIX, PRICE_CONTRACT, MixSpec
 
 STREAM_TIMEOUT_S = 600
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state (open hours, dedup keys, join buffers) in RocksDB.
+
+    State then lives off the JVM heap and is checkpointed incrementally
+    (changelog), so large state does not cause GC pauses or full snapshots.
+    Only set when the cluster has not chosen a provider itself; a checkpoint
+    keeps the provider it was created with.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if current is None or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def land(df: DataFrame, landing: str, files: int = 4) -> None:
@@ -33,6 +49,7 @@ def land(df: DataFrame, landing: str, files: int = 4) -> None:
 
 
 def file_stream(spark: SparkSession, landing: str, schema, max_files: int | None = None) -> DataFrame:
+    use_rocksdb_state(spark)
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
