@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierline.functions.numeric import as_exact, round_half_away
+from tierline.functions.numeric import SCALE, exact_mean, round_half_away, scaled
 from tierline.operators.snapshot import latest_rows
 from tierline.settings import DEFAULT_MIX, HISTOGRAM_BINS, MIX_DISPLAY_MIN, MixSpec
 
@@ -57,7 +57,7 @@ def _quartile_stats(gold: DataFrame, col: str) -> DataFrame:
     return vals.groupBy("entity").agg(
         F.count(col).alias("n"),
         F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        (F.sum(as_exact(col)).cast("double") / F.count(col)).alias("mean"),
+        exact_mean(col).alias("mean"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     ).select("entity", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
              F.col("q")[2].alias("q3"), "mean", "min", "max")
@@ -116,7 +116,7 @@ def mix_timeseries(gold: DataFrame, mix: MixSpec = DEFAULT_MIX) -> DataFrame:
     """Mix series in long form, nulls as 0, without components whose total for
     the entity is 0 (an all-zero series is not drawn)."""
     long = _long_mix(gold, mix).withColumn("value", F.coalesce(F.col("value"), F.lit(0.0)))
-    totals = (long.groupBy("entity", "component").agg(F.sum(as_exact("value")).alias("total"))
+    totals = (long.groupBy("entity", "component").agg(F.sum(scaled("value")).alias("total"))
               .filter(F.col("total") != 0).select("entity", "component"))
     return long.join(totals, ["entity", "component"], "left_semi")
 
@@ -126,7 +126,7 @@ def mix_share(gold: DataFrame, mix: MixSpec = DEFAULT_MIX, min_value: float = MI
     ``min_value``, rounded to 1 decimal, as percent of the shown total."""
     long = _long_mix(latest_rows(gold), mix).filter(F.col("value") > min_value)
     shown = long.withColumn("value", round_half_away(F.col("value"), 1))
-    total = F.sum(as_exact("value")).over(Window.partitionBy("entity")).cast("double")
+    total = F.sum(scaled("value")).over(Window.partitionBy("entity")).cast("double") / F.lit(SCALE)
     return shown.select("entity", "component", "value",
                         round_half_away(F.col("value") / total * F.lit(100.0), 2).alias("pct"))
 

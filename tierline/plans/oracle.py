@@ -15,12 +15,17 @@ def r2(x: str, digits: int = 2) -> str:
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale})"
 
 
-def xmean(x: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL({EXACT_PRECISION},{EXACT_SCALE}))) AS DOUBLE) / COUNT({x}))"
+def sc(x: str) -> str:
+    """The value in units of 10^-4 as BIGINT, rounded half away from zero."""
+    return f"CAST(sign({x}) * floor(abs({x}) * 10000.0 + 0.5) AS BIGINT)"
 
 
 def xsum(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL({EXACT_PRECISION},{EXACT_SCALE}))) AS DOUBLE)"
+    return f"(CAST(SUM({sc(x)}) AS DOUBLE) / 10000.0)"
+
+
+def xmean(x: str) -> str:
+    return f"({xsum(x)} / COUNT({x}))"
 
 
 def xstd(x: str) -> str:
@@ -69,7 +74,7 @@ prices_e AS (
   FROM events)"""
 
 _mix_cols = ",\n         ".join(
-    f"CAST(SUM(CASE WHEN event_id % 6 = {i} THEN CAST(value AS DECIMAL(18,4)) END) AS DOUBLE) AS {c}"
+    f"{xsum(f'CASE WHEN event_id % 6 = {i} THEN value END')} AS {c}"
     for i, c in enumerate(E_COMPONENTS))
 
 RAW_MIX_E = f"""
@@ -178,7 +183,7 @@ prices_s AS (
   FROM lineitem JOIN sn ON l_suppkey = s_suppkey)"""
 
 _s_cols = ",\n         ".join(
-    f"CAST(SUM(CASE WHEN o_orderpriority = '{p}' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS DOUBLE) AS {c}"
+    f"{xsum(f'CASE WHEN o_orderpriority = {chr(39)}{p}{chr(39)} THEN l_extendedprice END')} AS {c}"
     for p, c in zip(S_PRIORITIES, S_COMPONENTS))
 
 RAW_MIX_S = f"""
@@ -327,7 +332,7 @@ _long = " UNION ALL ".join(
 ORACLE["mix_timeseries"] = with_gold("""
 SELECT l.entity, l.window_start, l.component, l.value FROM lg l
 JOIN (SELECT entity, component FROM lg GROUP BY entity, component
-      HAVING SUM(CAST(value AS DECIMAL(18,4))) <> 0) t
+      HAVING SUM(CAST(sign(value) * floor(abs(value) * 10000.0 + 0.5) AS BIGINT)) <> 0) t
   ON l.entity = t.entity AND l.component = t.component""",
     f"lg AS (SELECT entity, window_start, component, COALESCE(value, 0.0) AS value FROM ({_long}) u)")
 _long_latest = " UNION ALL ".join(
@@ -335,7 +340,7 @@ _long_latest = " UNION ALL ".join(
     for c in E_COMPONENTS)
 ORACLE["mix_share"] = with_gold(f"""
 SELECT entity, component, value,
-       {r2("value / CAST(SUM(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY entity) AS DOUBLE) * 100.0")} AS pct
+       {r2("value / (CAST(SUM(" + sc("value") + ") OVER (PARTITION BY entity) AS DOUBLE) / 10000.0) * 100.0")} AS pct
 FROM (SELECT entity, component, {r2("value", 1)} AS value FROM ({_long_latest}) u WHERE value > 1.0) s""")
 ORACLE["history_summary"] = with_gold("""
 SELECT MIN(window_start) AS first_window, MAX(window_start) AS last_window, COUNT(*) AS rows,

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions.numeric import as_exact
+from tierline.functions.numeric import exact_sum
 from tierline.settings import MixSpec
 from tierline.sources.tables import read_table, session_memo
 
@@ -82,7 +82,7 @@ def _raw_mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ev.filter(~((F.col("event_type") == kind) & (F.hour(ts) == hour)))
     slot = F.col("event_id") % len(E_MIX.components)
     aggs = [
-        F.sum(F.when(slot == i, as_exact("value"))).cast("double").alias(name)
+        exact_sum(F.when(slot == i, F.col("value"))).alias(name)
         for i, name in enumerate(E_MIX.components)
     ]
     return (kept
@@ -224,7 +224,7 @@ def _raw_mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (li.join(od, li.l_orderkey == od.o_orderkey)
               .join(sn, li.l_suppkey == sn.s_suppkey))
     aggs = [
-        F.sum(F.when(F.col("o_orderpriority") == p, as_exact("l_extendedprice"))).cast("double").alias(name)
+        exact_sum(F.when(F.col("o_orderpriority") == p, F.col("l_extendedprice"))).alias(name)
         for p, name in zip(S_PRIORITIES, S_MIX.components)
     ]
     return (joined.groupBy(F.col("n_name").alias("entity"),

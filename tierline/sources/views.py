@@ -22,7 +22,8 @@ def gold_sql(prices_view: str, mix_view: str, components: list[str], share_col:
              computed_at: str | None = None) -> str:
     """The gold summary as Spark SQL text over two views (aggregate, then join)."""
     def mean(c: str) -> str:
-        return f"CAST(SUM(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / COUNT({c})"
+        scaled = f"CAST(signum({c}) * floor(abs({c}) * 10000.0 + 0.5) AS BIGINT)"
+        return f"CAST(SUM({scaled}) AS DOUBLE) / 10000.0 / COUNT({c})"
 
     def r2(x: str) -> str:
         return f"(signum({x}) * floor(abs({x}) * 100.0 + 0.5) / 100.0)"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions.numeric import as_exact, round_half_away
+from tierline.functions.numeric import SCALE, round_half_away, scaled
 from tierline.operators import gold as G
 from tierline.operators.contracts import contract_report, gate_by_entity
 from tierline.operators.normalize import normalize_prices
@@ -77,11 +77,11 @@ def hourly_price_stream(prices: DataFrame, delay: str = "0 seconds", time_col: s
     w = F.window(F.col(time_col), "1 hour")
     agg = (prices.withWatermark(time_col, delay)
            .groupBy(w.alias("w"), F.col("entity"))
-           .agg(F.sum(as_exact("price")).alias("s"), F.count("price").alias("n"),
+           .agg(F.sum(scaled("price")).alias("s"), F.count("price").alias("n"),
                 F.max("price").alias("mx"), F.min("price").alias("mn")))
     return agg.select(
         "entity", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        round_half_away(F.col("s").cast("double") / F.col("n")).alias("avg_price"),
+        round_half_away(F.col("s").cast("double") / F.lit(SCALE) / F.col("n")).alias("avg_price"),
         round_half_away(F.col("mx")).alias("max_price"),
         round_half_away(F.col("mn")).alias("min_price"),
     )
@@ -92,11 +92,11 @@ def hourly_mix_stream(mix: DataFrame, spec: MixSpec = DEFAULT_MIX, delay: str =
     cols = [spec.share_col, *spec.components]
     agg = (mix.withWatermark(spec.time_col, delay)
            .groupBy(w.alias("w"), F.col("entity"))
-           .agg(*[F.sum(as_exact(c)).alias(f"s_{c}") for c in cols],
+           .agg(*[F.sum(scaled(c)).alias(f"s_{c}") for c in cols],
                 *[F.count(c).alias(f"n_{c}") for c in cols]))
     return agg.select(
         F.col("entity").alias("m_entity"), F.col("w").alias("m_w"),
-        *[round_half_away(F.col(f"s_{c}").cast("double") / F.col(f"n_{c}")).alias(c) for c in cols])
+        *[round_half_away(F.col(f"s_{c}").cast("double") / F.lit(SCALE) / F.col(f"n_{c}")).alias(c) for c in cols])
 
 
 def gold_join_stream(prices: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX,
@@ -105,13 +105,13 @@ def gold_join_stream(prices: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_
     w = F.window(F.col("interval_start"), "1 hour")
     p = (prices.withWatermark("interval_start", delay)
          .groupBy(w.alias("w"), F.col("entity"))
-         .agg(F.sum(as_exact("price")).alias("s"), F.count("price").alias("n"),
+         .agg(F.sum(scaled("price")).alias("s"), F.count("price").alias("n"),
               F.max("price").alias("mx"), F.min("price").alias("mn")))
     m = hourly_mix_stream(mix, spec, delay)
     j = p.join(m, (p.entity == m.m_entity) & (p.w == m.m_w), "left_outer")
     return j.select(
         "entity", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        round_half_away(F.col("s").cast("double") / F.col("n")).alias("avg_price"),
+        round_half_away(F.col("s").cast("double") / F.lit(SCALE) / F.col("n")).alias("avg_price"),
         round_half_away(F.col("mx")).alias("max_price"),
         round_half_away(F.col("mn")).alias("min_price"),
         spec.share_col, *spec.components)
