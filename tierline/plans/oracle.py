@@ -231,7 +231,7 @@ ORACLE["filter_entities"] = with_gold("SELECT * FROM gold WHERE entity IN ('clic
 ORACLE["filter_time_range"] = with_gold(
     "SELECT * FROM gold WHERE window_start BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'")
 ORACLE["head_per_entity"] = f"""WITH {PRICES_E}
-SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY interval_start, location, price) AS rn
+SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY entity ORDER BY interval_start, location, price) AS INTEGER) AS rn
 FROM prices_e QUALIFY rn <= 10"""
 ORACLE["price_band"] = with_gold("""
 SELECT entity, window_start, avg_price,

@@ -14,6 +14,7 @@ duplicating it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,10 +154,19 @@ class MedallionBatch:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        norm = normalize_prices(batch)
+        # The batch feeds both the contract report and the row path; keep the
+        # normalized rows (memory, spilling to disk) instead of re-reading the
+        # source files for each. Released when the batch is done.
+        norm = normalize_prices(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._load(spark, norm, batch_id)
+        finally:
+            norm.unpersist()
+
+    def _load(self, spark: SparkSession, norm: DataFrame, batch_id: int) -> None:
         gated = gate_by_entity(norm, contract_report(norm, PRICE_CONTRACT))
         silver_before = self._prior(spark, self.silver_path, batch_id)
-        fresh = new_price_rows(gated, silver_before)
+        fresh = new_price_rows(gated, silver_before, bounds_from=norm)
         fresh.write.mode("overwrite").parquet(f"{self.silver_path}/batch_id={batch_id}")
         new_silver = spark.read.parquet(f"{self.silver_path}/batch_id={batch_id}")
         gold_before = self._prior(spark, self.gold_path, batch_id)
