@@ -41,9 +41,19 @@ def presence(df: DataFrame, contract: Contract) -> list[tuple[str, str, str]]:
 
 
 def contract_presence(df: DataFrame, contract: Contract) -> DataFrame:
-    """Presence check as rows (field, status, message); reads only the schema."""
+    """Presence check as rows (field, status, message, non_null).
+
+    Presence comes from the schema; ``non_null`` counts the values each
+    present field holds (one aggregate over the data; null when absent).
+    """
     rows = presence(df, contract)
-    return df.sparkSession.createDataFrame(rows, "field string, status string, message string")
+    base = df.sparkSession.createDataFrame(rows, "field string, status string, message string")
+    present = [f.name for f in contract.fields if f.name in df.columns]
+    if not present:
+        return base.withColumn("non_null", F.lit(None).cast("bigint"))
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in present]).unpivot(
+        [], present, "field", "non_null")
+    return base.join(F.broadcast(counts), "field", "left").select("field", "status", "message", "non_null")
 
 
 def _type_failure(df: DataFrame, name: str, expected: str) -> Column | None:

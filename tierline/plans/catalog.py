@@ -308,6 +308,13 @@ def q_gate_by_entity(spark, sf_dir):
     return CT.gate_by_entity(n, CT.contract_report(n, PRICE_CONTRACT))
 
 
+@query("contract_quarantine")
+def q_contract_quarantine(spark, sf_dir):
+    """Rows the gate holds back: failing entities and rows without an entity."""
+    n = norm_x(spark, sf_dir)
+    return CT.quarantine(n, CT.contract_report(n, PRICE_CONTRACT))
+
+
 @query("silver_prices")
 def q_silver_prices(spark, sf_dir):
     """Rows the second batch adds to silver after the first batch was loaded."""

@@ -439,15 +439,20 @@ ORACLE["renewable_share"] = w(RAW_MIX_E, raw_mix_x(), norm_mix_x()) + \
 ORACLE["union_feeds"] = w(raw_x(), norm_x(), PRICES_E) + """
 SELECT * FROM norm_x
 UNION ALL SELECT entity, interval_start, location, NULL AS location_type, price, market FROM prices_e"""
-ORACLE["contract_presence"] = """
-SELECT * FROM (VALUES
+ORACLE["contract_presence"] = w(raw_x(), norm_x()) + """
+SELECT v.field, v.status, v.message, c.non_null FROM (VALUES
   ('entity', 'ok', 'Field ''entity'' is present'),
   ('interval_start', 'ok', 'Field ''interval_start'' is present'),
   ('price', 'ok', 'Field ''price'' is present'),
   ('location', 'warning', 'Optional field ''location'' is missing from DataFrame'),
   ('location_type', 'ok', 'Field ''location_type'' is present'),
   ('market', 'ok', 'Field ''market'' is present')) v(field, status, message)
-WHERE (SELECT COUNT(*) FROM events) >= 0"""
+LEFT JOIN (
+  SELECT 'entity' AS field, COUNT(entity) AS non_null FROM norm_x
+  UNION ALL SELECT 'interval_start', COUNT(interval_start) FROM norm_x
+  UNION ALL SELECT 'price', COUNT(price) FROM norm_x
+  UNION ALL SELECT 'location_type', COUNT(location_type) FROM norm_x
+  UNION ALL SELECT 'market', COUNT(market) FROM norm_x) c ON v.field = c.field"""
 
 PRICE_REQUIRED = ["entity", "interval_start", "price"]
 PRICE_FIELDS = [("entity", "string"), ("interval_start", "datetime"), ("price", "float"),
@@ -493,6 +498,9 @@ def report_sql(src: str) -> str:
 
 
 ORACLE["contract_report"] = w(raw_x(), norm_x(), null_counts("norm_x"), report_sql("nc")) + "SELECT * FROM rep"
+ORACLE["contract_quarantine"] = w(raw_x(), norm_x(), null_counts("norm_x"), report_sql("nc")) + """
+SELECT n.* FROM norm_x n
+WHERE n.entity IS NULL OR EXISTS (SELECT 1 FROM rep r WHERE NOT r.valid AND r.entity = n.entity)"""
 ORACLE["gate_by_entity"] = w(raw_x(), norm_x(), null_counts("norm_x"), report_sql("nc")) + """
 SELECT n.* FROM norm_x n
 WHERE n.entity IS NOT NULL
@@ -706,6 +714,7 @@ MEDIAN = """med AS (
   FROM bp)"""
 ORACLE["retention_by_age"] = with_bronze(f"SELECT * FROM bp WHERE ingested_at >= {AS_OF} - INTERVAL 10 DAY")
 ORACLE["median_cutoff"] = with_bronze("SELECT * FROM med", MEDIAN)
+ORACLE["archive_export"] = with_bronze("SELECT * FROM bp WHERE ingested_at < (SELECT cutoff FROM med)", MEDIAN)
 ORACLE["archive_split"] = with_bronze("""
 SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived,
        COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept,
