@@ -37,16 +37,30 @@ def query(name: str):
     return deco
 
 
+def compute_gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.gold_summary(B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX, computed_at=COMPUTED_AT)
+
+
 def gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binding-E gold: the input of every analytics query."""
-    return session_memo(spark, ("gold_e", sf_dir), lambda: G.gold_summary(
-        B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX, computed_at=COMPUTED_AT))
+    """Binding-E gold as a stored table: the input of every analytics query.
+
+    Written once per session to the shared folder (sorted by entity and time
+    inside each file, so row-group statistics prune entity and time filters)
+    and read back, as the analytics read the gold layer in production.
+    """
+    def build() -> DataFrame:
+        from tierline.session import fresh_dir
+
+        path = fresh_dir(spark, "gold-e")
+        compute_gold_e(spark, sf_dir).sortWithinPartitions("entity", "window_start").write.parquet(path)
+        return spark.read.parquet(path)
+    return session_memo(spark, ("gold_e", sf_dir), build)
 
 
 @query("gold_summary")
 def q_gold_summary(spark, sf_dir):
     """Hourly price avg/max/min per entity left-joined to hourly mix averages."""
-    return gold_e(spark, sf_dir)
+    return compute_gold_e(spark, sf_dir)
 
 
 @query("gold_summary_star")
