@@ -101,3 +101,25 @@ def test_gold_plan_aggregates_before_join(spark):
     plan = g._jdf.queryExecution().optimizedPlan().toString()
     join_at = plan.find("Join LeftOuter")
     assert join_at >= 0 and plan.find("Aggregate", join_at) > join_at
+
+
+def test_hot_group_of_copies_is_collapsed_map_side(spark):
+    """A third of the batch is one row copied: one silver row, dedup combined before the shuffle."""
+    hot = [("E", ts(0), "n", None, 10.0, "R")] * 50
+    rest = [("E", ts(h % 24, h % 60), f"n{h}", None, float(h), "R") for h in range(100)]
+    batch = prices(spark, hot + rest).repartition(4)
+    out = S.new_price_rows(batch, None)
+    assert out.count() == 101
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchange_at = plan.find("Exchange hashpartitioning")
+    assert exchange_at >= 0 and plan.find("HashAggregate", exchange_at) > exchange_at
+
+
+def test_write_gold_partitions_by_window_date(spark, tmp_dir):
+    mixdf = spark.createDataFrame([], MIX_SCHEMA)
+    g = G.gold_summary(prices(spark, [("E", ts(0, 5), "n", None, 10.0, "R"),
+                                      ("E", ts(0, 5, day=2), "n", None, 12.0, "R")]), mixdf, MIX, "2026-02-01")
+    G.write_gold(g, tmp_dir)
+    back = G.read_gold(spark, tmp_dir)
+    assert back.count() == 2 and "window_date" in back.columns
+    assert back.filter("window_date = DATE'2026-01-02'").count() == 1

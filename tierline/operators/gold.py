@@ -113,9 +113,14 @@ def gold_backfill(gold: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX)
     (copy-on-write: write it to a new path, then switch).
     """
     filled = [spec.share_col, *spec.components]
-    hourly = hourly_mix(mix, spec).select(
-        *KEY, *[F.col(c).alias(f"__new_{c}") for c in filled])
     needs = F.col(spec.components[0]).isNull()
+    # Only the hours of incomplete rows need mix averages: prune the mix scan
+    # to their time range (one scalar subquery).
+    b = gold.filter(needs).agg(F.struct(F.min("window_start").alias("lo"),
+                                        plus_hours(F.max("window_start"), 1).alias("hi"))).scalar()
+    m = mix.filter((F.col(spec.time_col) >= b.getField("lo")) & (F.col(spec.time_col) < b.getField("hi")))
+    hourly = hourly_mix(m, spec).select(
+        *KEY, *[F.col(c).alias(f"__new_{c}") for c in filled])
     joined = gold.join(hourly, KEY, "left")
     return joined.select(*[
         (F.when(needs, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in filled else F.col(c))
@@ -123,6 +128,13 @@ def gold_backfill(gold: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX)
     ])
 
 
+def write_gold(gold: DataFrame, path: str, mode: str = "append") -> None:
+    """Write gold partitioned by window date (time filters prune partitions)."""
+    (gold.withColumn("window_date", F.to_date("window_start"))
+     .sortWithinPartitions("entity", "window_start")
+     .write.mode(mode).partitionBy("window_date").parquet(path))
+
+
 def read_gold(spark, path: str) -> DataFrame:
     """Read a gold dataset written in several layouts (``mergeSchema``)."""
     return spark.read.option("mergeSchema", "true").parquet(path)

@@ -138,16 +138,17 @@ def gold_date_ranges(gold: DataFrame) -> DataFrame:
             .orderBy("entity"))
 
 
-def dataset_size(df: DataFrame) -> DataFrame:
-    """Stored bytes of the files behind a file-based DataFrame (one row).
+def dataset_size(spark, path: str, glob: str = "*.parquet") -> DataFrame:
+    """Stored bytes and file count of a dataset folder (one row).
 
-    File sizes come from the ``_metadata`` column; a per-file aggregate first
-    keeps the shuffle at one row per file and partition.
+    The files are listed by the binary-file source without reading their
+    content, so the work grows with the number of files, not of rows.
     """
-    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    per_file = files.groupBy("path").agg(F.max("size").alias("size"))
-    return per_file.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size_bytes"),
-                        F.count(F.lit(1)).alias("files"))
+    from tierline.operators.retention import list_files
+
+    return list_files(spark, path, glob).agg(
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.count(F.lit(1)).alias("files"))
 
 
 def dataset_size_status(sizes: DataFrame, warning_gb: float = SIZE_WARNING_GB,

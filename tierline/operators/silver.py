@@ -5,10 +5,11 @@ but differing in price both enter); a row whose key is already in silver is
 refused. For prices the key is (entity, interval_start, location) with a null
 location treated as the empty string; for the mix it is (entity, time).
 
-Plan shape: the incoming side is hash-partitioned once on the key; the
-distinct over all silver columns includes the key columns, so it reuses that
-partitioning, and the anti-join against existing silver is a sort-merge (or,
-when Spark measures the existing side small, broadcast) join on the same key.
+Plan shape: the distinct over all silver columns is a partial aggregate
+(copies collapse inside each input partition, so a hot group of copies never
+reaches one task), then the anti-join against existing silver is a sort-merge
+join on the key (or a broadcast join when Spark measures the existing side
+small); AQE splits skewed anti-join partitions.
 Existing silver is first pruned to the batch's time range by scalar
 subqueries, which become partition filters on a date-partitioned table.
 """
@@ -44,12 +45,13 @@ def new_price_rows(batch: DataFrame, existing: DataFrame | None, bounds_from: Da
     rows = (batch.select(*PRICE_SILVER_COLUMNS)
             .filter(F.col("price").isNotNull() & F.col("interval_start").isNotNull())
             .withColumn("__loc", F.coalesce(F.col("location"), F.lit(""))))
-    # One shuffle, by the key: the distinct over all silver columns (which
-    # include the key; __loc is a function of location) and the anti-join on
-    # the key both reuse this partitioning. Duplicates are rare in a batch, so
-    # a map-side dedup before a wider shuffle would save little.
-    rows = (rows.repartition(*PRICE_KEY)
-            .dropDuplicates([*PRICE_KEY, "location", "location_type", "price", "market"]))
+    # The distinct runs as a partial aggregate first: copies of one row are
+    # collapsed inside each input partition before anything is shuffled, so a
+    # feed that re-sends one row millions of times costs one row per
+    # partition. (__loc is a function of location; keeping it in the distinct
+    # changes nothing.) The anti-join then shuffles the deduplicated rows by
+    # key, or broadcasts the existing side when Spark measures it small.
+    rows = rows.dropDuplicates([*PRICE_KEY, "location", "location_type", "price", "market"])
     if existing is not None:
         old = (_time_pruned(existing, raw, "interval_start")
                .select("entity", "interval_start", F.coalesce(F.col("location"), F.lit("")).alias("__loc")))
@@ -62,7 +64,7 @@ def new_mix_rows(batch: DataFrame, existing: DataFrame | None, mix: MixSpec = DE
     key = ["entity", mix.time_col]
     cols = mix.silver_columns()
     rows = batch.select(*cols).filter(F.col(mix.time_col).isNotNull())
-    rows = rows.repartition(*key).dropDuplicates([*key, *[c for c in cols if c not in key]])
+    rows = rows.dropDuplicates([*key, *[c for c in cols if c not in key]])
     if existing is not None:
         old = _time_pruned(existing, batch if bounds_from is None else bounds_from, mix.time_col).select(*key)
         rows = rows.join(old, key, "left_anti")

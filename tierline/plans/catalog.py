@@ -481,7 +481,9 @@ def q_gold_date_ranges(spark, sf_dir):
 @query("dataset_size_status")
 def q_dataset_size_status(spark, sf_dir):
     """Stored size of the events table's files (file metadata only; no oracle)."""
-    return H.dataset_size_status(H.dataset_size(B.events(spark, sf_dir)))
+    from tierline.sources.tables import table_path
+
+    return H.dataset_size_status(H.dataset_size(spark, table_path(sf_dir, "events")))
 
 
 def _health_checks(spark, sf_dir):

@@ -44,9 +44,12 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def land(df: DataFrame, landing: str, files: int = 4) -> None:
-    """Drop a batch of raw rows into the landing folder as new Parquet files."""
-    df.repartition(files).write.mode("append").parquet(landing)
+def land(df: DataFrame, landing: str, files: int | None = 4) -> None:
+    """Drop a batch of raw rows into the landing folder as new Parquet files
+    (at most ``files`` of them, merged without a shuffle; None keeps one file
+    per partition)."""
+    out = df.coalesce(files) if files else df
+    out.write.mode("append").parquet(landing)
 
 
 def file_stream(spark: SparkSession, landing: str, schema, max_files: int | None = None) -> DataFrame:
