@@ -21,9 +21,17 @@ def age_cutoff(as_of: Column, days: int = RETENTION_DAYS) -> Column:
     return as_of.cast("timestamp") - F.make_interval(days=F.lit(days))
 
 
-def retention_by_age(bronze: DataFrame, cutoff: Column, col: str = "ingested_at") -> DataFrame:
-    """The rows that stay: arrival at or after the cutoff."""
-    return bronze.filter(F.col(col) >= cutoff)
+def retention_by_age(bronze: DataFrame, cutoff: Column, col: str = "ingested_at",
+                     partition_col: str = "ingest_date") -> DataFrame:
+    """The rows that stay: arrival at or after the cutoff.
+
+    On a table partitioned by ingest date the implied date predicate reaches
+    the scan as a partition filter, so older partitions are never read.
+    """
+    keep = F.col(col) >= cutoff
+    if partition_col in bronze.columns:
+        keep = (F.col(partition_col) >= F.to_date(cutoff)) & keep
+    return bronze.filter(keep)
 
 
 def archive_split(df: DataFrame, cutoff: Column, col: str = "ingested_at") -> tuple[DataFrame, DataFrame]:

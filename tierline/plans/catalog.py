@@ -403,7 +403,7 @@ def q_gold_backfill(spark, sf_dir):
 from tierline.functions.time import plus_minutes  # noqa: E402
 from tierline.operators import health as H  # noqa: E402
 from tierline.operators import retention as R  # noqa: E402
-from tierline.session import fresh_dir  # noqa: E402
+from tierline.session import fresh_dir  # noqa: E402,F811
 
 CONFIGURED_ENTITIES = ["click", "error", "purchase", "refund", "signup"]
 AS_OF_LAG_MINUTES = 20
@@ -411,16 +411,31 @@ AGE_DAYS = 10
 SIZE_GB = 5.5
 
 
-def bronze_e(spark, sf_dir):
-    """Bronze prices of binding E with arrival time = event time (no audit text)."""
-    return session_memo(spark, ("bronze_e", sf_dir), lambda: BR.bronze_prices(
+def _stored_bronze(spark, key, build_rows):
+    """A bronze table written once per session (partitioned by ingest date) and read back."""
+    def build():
+        path = fresh_dir(spark, key)
+        BR.write_bronze(build_rows(), path)
+        return spark.read.parquet(path)
+    return session_memo(spark, (key, "table"), build)
+
+
+def bronze_table_e(spark, sf_dir):
+    """Stored bronze prices of binding E (arrival time = event time, audit text aside),
+    with its ``ingest_date`` partition column."""
+    return _stored_bronze(spark, f"bronze-e-{sf_dir}".replace("/", "_"), lambda: BR.bronze_prices(
         B.prices_e(spark, sf_dir), ingested_at=F.col("interval_start")).drop("raw_json"))
 
 
+def bronze_e(spark, sf_dir):
+    return bronze_table_e(spark, sf_dir).drop("ingest_date")
+
+
 def bronze_mix_e(spark, sf_dir):
     srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
-    return session_memo(spark, ("bronze_mix_e", sf_dir), lambda: BR.bronze_mix(
-        B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json"))
+    return _stored_bronze(spark, f"bronze-mix-e-{sf_dir}".replace("/", "_"), lambda: BR.bronze_mix(
+        B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json")
+    ).drop("ingest_date")
 
 
 def as_of_e(spark, sf_dir):
@@ -515,7 +530,8 @@ def q_entity_coverage(spark, sf_dir):
 @query("retention_by_age")
 def q_retention_by_age(spark, sf_dir):
     """Bronze rows kept by a 10-day age rule."""
-    return R.retention_by_age(bronze_e(spark, sf_dir), R.age_cutoff(as_of_e(spark, sf_dir), AGE_DAYS))
+    kept = R.retention_by_age(bronze_table_e(spark, sf_dir), R.age_cutoff(as_of_e(spark, sf_dir), AGE_DAYS))
+    return kept.drop("ingest_date")
 
 
 @query("median_cutoff")
