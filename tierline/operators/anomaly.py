@@ -1,8 +1,8 @@
 """Z-score anomaly status per entity against its gold history.
 
-The baseline for every entity comes from one ``groupBy(entity)``; the exact
-moments are decimal sums (partial aggregation, so a hot entity is combined
-map-side). The quartiles use Spark's exact ``percentile`` (linear
+The baseline for every entity comes from one ``groupBy(entity)``; the mean
+and the sample standard deviation come from exact sums (partial aggregation,
+so a hot entity is combined map-side). The quartiles use Spark's exact ``percentile`` (linear
 interpolation), which buffers a value->count map per entity; over gold that
 map is bounded by the number of hours of history. For raw-feed scale use
 ``approx=True`` (``percentile_approx``, a mergeable sketch).
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions.numeric import exact_mean, round_half_away, sample_stddev
 from tierline.operators.snapshot import latest_rows
-from tierline.settings import DEFAULT_THRESHOLDS, Thresholds
+from tierline.settings import DEFAULT_THRESHOLDS, MSG_Z_FLAT, MSG_Z_SCORE, MSG_Z_SHORT, Thresholds
 
 STAT_DIGITS = 6   # published precision of the baseline statistics
 
@@ -83,9 +83,9 @@ def anomaly_scores(gold: DataFrame, col: str = "avg_price", th: Thresholds = DEF
     z = z_score(F.col("current_price"), F.col("mean"), F.col("std"))
     z_ok = z.isNotNull() & ~F.isnan(z)
     status = F.when(~enough, F.lit("grey")).otherwise(anomaly_status(z, th))
-    reason = (F.when(~enough, F.lit(f"insufficient data (need {th.min_points} points)"))
-              .when(z_ok, F.format_string("z_score=%.2f", z))
-              .otherwise(F.lit("std=0")))
+    reason = (F.when(~enough, F.lit(MSG_Z_SHORT % th.min_points))
+              .when(z_ok, F.format_string(MSG_Z_SCORE, z))
+              .otherwise(F.lit(MSG_Z_FLAT)))
     return j.select(
         "entity", status.alias("status"), "current_price",
         F.when(enough & z_ok, round_half_away(z, 2)).alias("z_score"),

@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.functions.numeric import NUMBER_PATTERN
-from tierline.settings import Contract
+from tierline.settings import (
+    MSG_BAD_VALUES,
+    MSG_FIELD_PRESENT,
+    MSG_OPTIONAL_MISSING,
+    MSG_REQUIRED_MISSING,
+    MSG_REQUIRED_NULLS,
+    MSG_WRONG_TYPE,
+    Contract,
+)
 
 _TYPE_OK = {
     "string": (T.StringType,),
@@ -32,11 +40,11 @@ def presence(df: DataFrame, contract: Contract) -> list[tuple[str, str, str]]:
     out = []
     for f in contract.fields:
         if f.name in df.columns:
-            out.append((f.name, "ok", f"Field '{f.name}' is present"))
+            out.append((f.name, "ok", MSG_FIELD_PRESENT % f.name))
         elif f.nullable:
-            out.append((f.name, "warning", f"Optional field '{f.name}' is missing from DataFrame"))
+            out.append((f.name, "warning", MSG_OPTIONAL_MISSING % f.name))
         else:
-            out.append((f.name, "error", f"Required field '{f.name}' is missing from DataFrame"))
+            out.append((f.name, "error", MSG_REQUIRED_MISSING % f.name))
     return out
 
 
@@ -129,19 +137,19 @@ def contract_report(df: DataFrame, contract: Contract, by: str = "entity") -> Da
     joined with '; ' in contract order.
     """
     missing = [(f.name, f.nullable) for f in contract.fields if f.name not in df.columns]
-    missing_errors = [f"Required field '{n}' is missing" for n, nullable in missing if not nullable]
-    missing_warnings = [f"Optional field '{n}' is missing" for n, nullable in missing if nullable]
+    missing_errors = [MSG_REQUIRED_MISSING % n for n, nullable in missing if not nullable]
+    missing_warnings = [MSG_OPTIONAL_MISSING % n for n, nullable in missing if nullable]
     c = contract_counts(df, contract, by)
     null_msg = F.when(
         (~F.col("nullable")) & (F.col("nulls") > 0),
-        F.format_string("Field '%s' has %d null values but is required non-null", F.col("field"), F.col("nulls")))
+        F.format_string(MSG_REQUIRED_NULLS, F.col("field"), F.col("nulls")))
     checked = F.col("non_null") > 0
     type_msg = F.when(
         checked & ~F.col("type_ok"),
-        F.format_string("Field '%s' expected type '%s'", F.col("field"), F.col("expected"))
+        F.format_string(MSG_WRONG_TYPE, F.col("field"), F.col("expected"))
     ).when(
         checked & (F.col("type_failures") > 0),
-        F.format_string("Field '%s' has %d values not of type '%s'", F.col("field"),
+        F.format_string(MSG_BAD_VALUES, F.col("field"),
                         F.col("type_failures"), F.col("expected")))
     order = {f.name: i for i, f in enumerate(contract.fields)}
     pos = F.coalesce(*[F.when(F.col("field") == n, F.lit(i)) for n, i in order.items()], F.lit(999))

@@ -15,6 +15,22 @@ from tierline.functions.numeric import round_half_away
 from tierline.functions.time import minutes_between
 from tierline.settings import (
     CHECK_DOMAINS,
+    MSG_FRESH_NONE,
+    MSG_FRESH_OK,
+    MSG_FRESH_STALE,
+    MSG_GAP_FOUND,
+    MSG_GAP_NONE,
+    MSG_GAP_OK,
+    MSG_LAYERS_EMPTY,
+    MSG_LAYERS_OK,
+    MSG_SCHEMA_MISSING,
+    MSG_SCHEMA_OK,
+    MSG_SIZE_ERROR,
+    MSG_SIZE_OK,
+    MSG_SIZE_WARNING,
+    MSG_SPACING_FOUND,
+    MSG_SPACING_NONE,
+    MSG_SPACING_OK,
     FRESHNESS_ERROR_MINUTES,
     FRESHNESS_WARNING_MINUTES,
     POLL_INTERVAL_MINUTES,
@@ -44,12 +60,12 @@ def freshness_status(bronze: DataFrame, as_of=None, warning: float = FRESHNESS_W
     """Minutes since the last arrival: >= error -> error, >= warning -> warning."""
     last = bronze.agg(F.max(col).cast("timestamp").alias("last"))
     gap = round_half_away(minutes_between(_as_of(as_of), F.col("last")), 1)
-    stale = F.format_string("No new data for %.1f minutes", gap)
+    stale = F.format_string(MSG_FRESH_STALE, gap)
     status = (F.when(F.col("last").isNull(), F.lit("warning"))
               .when(gap >= error, F.lit("error")).when(gap >= warning, F.lit("warning")).otherwise(F.lit("ok")))
-    message = (F.when(F.col("last").isNull(), F.lit("No data ingested yet — run the pipeline"))
+    message = (F.when(F.col("last").isNull(), F.lit(MSG_FRESH_NONE))
                .when(gap >= warning, stale)
-               .otherwise(F.format_string("Last ingest %.1f minutes ago", gap)))
+               .otherwise(F.format_string(MSG_FRESH_OK, gap)))
     return last.select(F.lit("last_ingest").alias("check"), status.alias("status"), message.alias("message"),
                        gap.alias("value"), F.col("last").alias("last_ingested_at"))
 
@@ -63,9 +79,9 @@ def missed_intervals(bronze: DataFrame, table: str, as_of=None, poll_minutes: fl
     expected = F.when(ratio >= 0, F.floor(ratio)).otherwise(F.ceil(ratio))
     has_gap = F.coalesce(expected > 1, F.lit(False))
     g1 = round_half_away(gap, 1)
-    message = (F.when(F.col("last").isNull(), F.lit("No data in database yet — first run."))
-               .when(has_gap, F.format_string("Gap detected: %d missed intervals (%.1f minutes)", expected - 1, g1))
-               .otherwise(F.format_string("No gap detected. Last ingested %.1f minutes ago.", g1)))
+    message = (F.when(F.col("last").isNull(), F.lit(MSG_GAP_NONE))
+               .when(has_gap, F.format_string(MSG_GAP_FOUND, expected - 1, g1))
+               .otherwise(F.format_string(MSG_GAP_OK, g1)))
     return last.select(
         F.lit(table).alias("table"), F.col("last").alias("last_ingested_at"), g1.alias("gap_minutes"),
         F.when(F.col("last").isNotNull(), F.greatest(expected - 1, F.lit(0))).cast("bigint").alias("missed_intervals"),
@@ -94,8 +110,8 @@ def row_count_status(counts: DataFrame, summary_layer: str = "gold") -> DataFram
     return agg.select(
         F.lit("row_counts").alias("check"),
         F.when(any_empty, F.lit("warning")).otherwise(F.lit("ok")).alias("status"),
-        F.when(any_empty, F.concat(F.lit("Empty layers: "), names))
-        .otherwise(F.format_string("All layers populated — %s: %d rows", F.lit(summary_layer),
+        F.when(any_empty, F.concat(F.lit(MSG_LAYERS_EMPTY), names))
+        .otherwise(F.format_string(MSG_LAYERS_OK, F.lit(summary_layer),
                                    F.col("summary_rows"))).alias("message"),
         F.col("summary_rows").cast("double").alias("value"),
     )
@@ -116,9 +132,9 @@ def data_gap_status(gaps: DataFrame) -> DataFrame:
     agg = gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if("has_gap").alias("gaps"))
     status = (F.when(F.col("n") == 0, F.lit("warning")).when(F.col("gaps") > 0, F.lit("warning"))
               .otherwise(F.lit("ok")))
-    message = (F.when(F.col("n") == 0, F.lit("No gold data available for gap analysis"))
-               .when(F.col("gaps") > 0, F.format_string("%d entities with gaps", F.col("gaps")))
-               .otherwise(F.lit("No significant data gaps detected")))
+    message = (F.when(F.col("n") == 0, F.lit(MSG_SPACING_NONE))
+               .when(F.col("gaps") > 0, F.format_string(MSG_SPACING_FOUND, F.col("gaps")))
+               .otherwise(F.lit(MSG_SPACING_OK)))
     return agg.select(F.lit("data_gap").alias("check"), status.alias("status"), message.alias("message"),
                       F.col("gaps").cast("double").alias("value"))
 
@@ -156,9 +172,9 @@ def dataset_size_status(sizes: DataFrame, warning_gb: float = SIZE_WARNING_GB,
     gb = round_half_away(F.col("size_bytes") / F.lit(1024.0 ** 3), 2)
     mb = round_half_away(F.col("size_bytes") / F.lit(1024.0 ** 2), 1)
     status = F.when(gb >= error_gb, F.lit("error")).when(gb >= warning_gb, F.lit("warning")).otherwise(F.lit("ok"))
-    message = (F.when(gb >= error_gb, F.format_string("Size critical: %.2fGB — consider aging off data", gb))
-               .when(gb >= warning_gb, F.format_string("Size elevated: %.2fGB", gb))
-               .otherwise(F.format_string("Size: %.1fMB", mb)))
+    message = (F.when(gb >= error_gb, F.format_string(MSG_SIZE_ERROR, gb))
+               .when(gb >= warning_gb, F.format_string(MSG_SIZE_WARNING, gb))
+               .otherwise(F.format_string(MSG_SIZE_OK, mb)))
     return sizes.select(F.lit("dataset_size").alias("check"), status.alias("status"), message.alias("message"),
                         mb.alias("value"), "size_bytes", "files")
 
@@ -167,7 +183,7 @@ def schema_check(df: DataFrame, expected: list[str], name: str = "schema") -> Da
     """Expected columns present? (the guard a reader runs before using a table)."""
     missing = [c for c in expected if c not in df.columns]
     status = "warning" if missing else "ok"
-    message = ("Missing columns: " + ", ".join(missing)) if missing else "All expected columns present"
+    message = (MSG_SCHEMA_MISSING + ", ".join(missing)) if missing else MSG_SCHEMA_OK
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(name).alias("check"), F.lit(status).alias("status"), F.lit(message).alias("message"),
         F.lit(float(len(expected) - len(missing))).alias("value"))

@@ -7,9 +7,15 @@ guard. Tables are the pre-registered views named like the Parquet files.
 
 from __future__ import annotations
 
+from tierline import settings as S
 from tierline.functions.numeric import EXACT_PRECISION, EXACT_SCALE, NUMBER_PATTERN
 
 
+def q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def r2(x: str, digits: int = 2) -> str:
     scale = f"{float(10 ** digits)}"
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale})"
@@ -271,9 +277,9 @@ ANOMALY_CTES = (f"""cur AS (
               WHEN abs(z) < 3.0 THEN 'red' ELSE 'critical' END AS status,
          current_price,
          CASE WHEN COALESCE(n, 0) >= 5 AND z IS NOT NULL AND NOT isnan(z) THEN {r2("z")} END AS z_score,
-         CASE WHEN COALESCE(n, 0) < 5 THEN 'insufficient data (need 5 points)'
-              WHEN z IS NOT NULL AND NOT isnan(z) THEN printf('z_score=%.2f', z)
-              ELSE 'std=0' END AS reason,
+         CASE WHEN COALESCE(n, 0) < 5 THEN {q(S.MSG_Z_SHORT % 5)}
+              WHEN z IS NOT NULL AND NOT isnan(z) THEN printf({q(S.MSG_Z_SCORE)}, z)
+              ELSE {q(S.MSG_Z_FLAT)} END AS reason,
          COALESCE(n, 0) AS n, {r6("mean")} AS mean, {r6("std")} AS std
   FROM zj)""")
 
@@ -606,9 +612,9 @@ ORACLE["freshness_status"] = with_bronze(f"""
 SELECT 'last_ingest' AS "check",
        CASE WHEN last IS NULL THEN 'warning' WHEN {_gap} >= 60 THEN 'error' WHEN {_gap} >= 15 THEN 'warning'
             ELSE 'ok' END AS status,
-       CASE WHEN last IS NULL THEN 'No data ingested yet — run the pipeline'
-            WHEN {_gap} >= 15 THEN printf('No new data for %.1f minutes', {_gap})
-            ELSE printf('Last ingest %.1f minutes ago', {_gap}) END AS message,
+       CASE WHEN last IS NULL THEN {q(S.MSG_FRESH_NONE)}
+            WHEN {_gap} >= 15 THEN printf({q(S.MSG_FRESH_STALE)}, {_gap})
+            ELSE printf({q(S.MSG_FRESH_OK)}, {_gap}) END AS message,
        {_gap} AS value, last AS last_ingested_at
 FROM (SELECT MAX(ingested_at) AS last FROM bp) t""")
 
@@ -621,9 +627,9 @@ def _missed(table: str, src: str) -> str:
     return f"""SELECT '{table}' AS "table", last AS last_ingested_at, {g1} AS gap_minutes,
        CASE WHEN last IS NOT NULL THEN greatest({exp} - 1, 0) END AS missed_intervals,
        COALESCE({exp} > 1, FALSE) AS has_gap,
-       CASE WHEN last IS NULL THEN 'No data in database yet — first run.'
-            WHEN {exp} > 1 THEN printf('Gap detected: %d missed intervals (%.1f minutes)', {exp} - 1, {g1})
-            ELSE printf('No gap detected. Last ingested %.1f minutes ago.', {g1}) END AS message
+       CASE WHEN last IS NULL THEN {q(S.MSG_GAP_NONE)}
+            WHEN {exp} > 1 THEN printf({q(S.MSG_GAP_FOUND)}, {exp} - 1, {g1})
+            ELSE printf({q(S.MSG_GAP_OK)}, {g1}) END AS message
 FROM (SELECT MAX(ingested_at) AS last FROM {src}) t"""
 
 
@@ -666,9 +672,9 @@ FRESH = f"""fr AS (
   SELECT 'last_ingest' AS "check",
          CASE WHEN last IS NULL THEN 'warning' WHEN {_gap} >= 60 THEN 'error' WHEN {_gap} >= 15 THEN 'warning'
               ELSE 'ok' END AS status,
-         CASE WHEN last IS NULL THEN 'No data ingested yet — run the pipeline'
-              WHEN {_gap} >= 15 THEN printf('No new data for %.1f minutes', {_gap})
-              ELSE printf('Last ingest %.1f minutes ago', {_gap}) END AS message,
+         CASE WHEN last IS NULL THEN {q(S.MSG_FRESH_NONE)}
+              WHEN {_gap} >= 15 THEN printf({q(S.MSG_FRESH_STALE)}, {_gap})
+              ELSE printf({q(S.MSG_FRESH_OK)}, {_gap}) END AS message,
          {_gap} AS value
   FROM (SELECT MAX(ingested_at) AS last FROM bp) t)"""
 GAP_STATUS = """gs AS (

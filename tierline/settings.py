@@ -70,6 +70,33 @@ ENTITY_TIME_ZONES = {
     "AESO": "America/Edmonton",
 }
 
+# --- fixed values: report texts (printf-style; Spark and the oracle share them)
+MSG_FRESH_NONE = "No data ingested yet — run the pipeline"
+MSG_FRESH_STALE = "No new data for %.1f minutes"
+MSG_FRESH_OK = "Last ingest %.1f minutes ago"
+MSG_GAP_NONE = "No data in database yet — first run."
+MSG_GAP_FOUND = "Gap detected: %d missed intervals (%.1f minutes)"
+MSG_GAP_OK = "No gap detected. Last ingested %.1f minutes ago."
+MSG_LAYERS_EMPTY = "Empty layers: "
+MSG_LAYERS_OK = "All layers populated — %s: %d rows"
+MSG_SPACING_NONE = "No gold data available for gap analysis"
+MSG_SPACING_FOUND = "%d entities with gaps"
+MSG_SPACING_OK = "No significant data gaps detected"
+MSG_SIZE_ERROR = "Size critical: %.2fGB — consider aging off data"
+MSG_SIZE_WARNING = "Size elevated: %.2fGB"
+MSG_SIZE_OK = "Size: %.1fMB"
+MSG_SCHEMA_OK = "All expected columns present"
+MSG_SCHEMA_MISSING = "Missing columns: "
+MSG_FIELD_PRESENT = "Field '%s' is present"
+MSG_OPTIONAL_MISSING = "Optional field '%s' is missing from DataFrame"
+MSG_REQUIRED_MISSING = "Required field '%s' is missing from DataFrame"
+MSG_REQUIRED_NULLS = "Field '%s' has %d null values but is required non-null"
+MSG_WRONG_TYPE = "Field '%s' expected type '%s'"
+MSG_BAD_VALUES = "Field '%s' has %d values not of type '%s'"
+MSG_Z_SHORT = "insufficient data (need %d points)"
+MSG_Z_SCORE = "z_score=%.2f"
+MSG_Z_FLAT = "std=0"
+
 # --- fixed values: health check -> domain ---------------------------------
 CHECK_DOMAINS = {
     "connectivity": "System",
