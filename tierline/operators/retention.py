@@ -104,26 +104,23 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
                       col: str = "ingested_at") -> DataFrame:
     """Size rule: >= cap -> cut both feeds at the prices' median arrival; >= warning -> warn.
 
-    One row: size, action, cutoff, and archived/kept row counts per feed.
+    One row: size, action, cutoff, and archived/kept row counts per feed, from
+    one aggregate over both feeds (tagged and stacked, so no join is needed).
     """
     over_cap = size_gb >= cap_gb
     cut = F.lit(median_cutoff_value(prices, col)[2] if over_cap else None).cast("timestamp")
     action = "aged off" if over_cap else ("warning" if size_gb >= warning_gb else "none")
+    both = (prices.select(F.col(col).alias("t"), F.lit("prices").alias("feed"))
+            .unionByName(mix.select(F.col(col).alias("t"), F.lit("mix").alias("feed"))))
+    old = F.col("t") < cut if over_cap else F.lit(False)
 
-    def counts(df: DataFrame, label: str) -> list[Column]:
-        if not over_cap:
-            return [F.lit(0).cast("bigint").alias(f"archived_{label}"),
-                    F.count(F.lit(1)).alias(f"kept_{label}")]
-        return [F.count_if(F.col(col) < cut).alias(f"archived_{label}"),
-                F.count_if(F.col(col) >= cut).alias(f"kept_{label}")]
-
-    p = prices.agg(*counts(prices, "prices"))
-    m = mix.agg(*counts(mix, "mix"))
-    head = p.select(F.lit(size_gb).alias("size_gb"), F.lit(action).alias("action"),
-                    cut.alias("cutoff"), "*")
-    # both sides are single-row aggregates; pair them on a constant key
-    return (head.withColumn("__one", F.lit(1))
-            .join(F.broadcast(m.withColumn("__one", F.lit(1))), "__one").drop("__one"))
+    def counts(feed: str) -> list[Column]:
+        mine = F.col("feed") == feed
+        return [F.count_if(mine & old).alias(f"archived_{feed}"), F.count_if(mine & ~old).alias(f"kept_{feed}")]
+
+    return both.agg(*counts("prices"), *counts("mix")).select(
+        F.lit(size_gb).alias("size_gb"), F.lit(action).alias("action"), cut.alias("cutoff"),
+        "archived_prices", "kept_prices", "archived_mix", "kept_mix")
 
 
 def archive_export(df: DataFrame, cutoff: Column, path: str, col: str = "ingested_at") -> int:
