@@ -78,3 +78,11 @@ def test_unknown_source_and_dataset():
     with pytest.raises(KeyError):
         load_contract("feeds", "nope")
     assert load_contract("feeds", "prices") is PRICE_CONTRACT
+
+
+def test_unknown_contract_type_is_error(spark):
+    from tierline.settings import Contract, Field
+
+    odd = Contract("odd", (Field("entity", "string", False), Field("price", "money", True)))
+    r = C.contract_report(valid(spark), odd).collect()[0]
+    assert not r.valid and "Unknown type 'money' in contract for field 'price'" in r.errors

@@ -22,6 +22,7 @@ from tierline.settings import (
     MSG_OPTIONAL_MISSING,
     MSG_REQUIRED_MISSING,
     MSG_REQUIRED_NULLS,
+    MSG_UNKNOWN_TYPE,
     MSG_WRONG_TYPE,
     Contract,
 )
@@ -144,7 +145,11 @@ def contract_report(df: DataFrame, contract: Contract, by: str = "entity") -> Da
         (~F.col("nullable")) & (F.col("nulls") > 0),
         F.format_string(MSG_REQUIRED_NULLS, F.col("field"), F.col("nulls")))
     checked = F.col("non_null") > 0
+    known = F.col("expected").isin(*_TYPE_OK.keys())
     type_msg = F.when(
+        checked & ~known,
+        F.format_string(MSG_UNKNOWN_TYPE, F.col("expected"), F.col("field"))
+    ).when(
         checked & ~F.col("type_ok"),
         F.format_string(MSG_WRONG_TYPE, F.col("field"), F.col("expected"))
     ).when(

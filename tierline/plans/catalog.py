@@ -41,6 +41,18 @@ def compute_gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gold_summary(B.prices_e(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX, computed_at=COMPUTED_AT)
 
 
+def mix_table_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding-E silver mix as a stored table (written once per session, read back),
+    for the jobs that maintain gold from silver."""
+    def build() -> DataFrame:
+        from tierline.session import fresh_dir
+
+        path = fresh_dir(spark, "silver-mix-e")
+        B.mix_e(spark, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+    return session_memo(spark, ("mix_table_e", sf_dir), build)
+
+
 def gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding-E gold as a stored table: the input of every analytics query.
 
@@ -376,7 +388,7 @@ def _old_layout_gold(spark, sf_dir):
 def q_gold_incremental(spark, sf_dir):
     """Gold after an incremental run: hours already present are kept as first written."""
     p = B.prices_e(spark, sf_dir)
-    m = B.mix_e(spark, sf_dir)
+    m = mix_table_e(spark, sf_dir)
     cut = F.col("interval_start") < F.lit(GOLD_SPLIT).cast("timestamp")
     existing = G.gold_summary(p.filter(cut), m, B.E_MIX, computed_at=COMPUTED_AT)
     incoming = p.filter(F.col("interval_start") >= F.lit(SPLIT_EARLY).cast("timestamp"))
@@ -396,7 +408,7 @@ def q_count_incomplete(spark, sf_dir):
 
 @query("gold_backfill")
 def q_gold_backfill(spark, sf_dir):
-    return G.gold_backfill(_old_layout_gold(spark, sf_dir), B.mix_e(spark, sf_dir), B.E_MIX)
+    return G.gold_backfill(_old_layout_gold(spark, sf_dir), mix_table_e(spark, sf_dir), B.E_MIX)
 
 
 # --- data health (binding E; now = last arrival + 20 minutes) -------------------------
@@ -645,7 +657,7 @@ def q_stream_medallion(spark, sf_dir):
     landing = f"{base}/landing"
     first = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
     ST.land(first, landing)
-    mix = B.mix_e(spark, sf_dir)
+    mix = mix_table_e(spark, sf_dir)
     for _ in range(2):
         ST.run_medallion(ST.file_stream(spark, landing, first.schema), f"{base}/silver", f"{base}/gold",
                         f"{base}/checkpoint", mix, B.E_MIX, COMPUTED_AT)

@@ -93,6 +93,7 @@ MSG_REQUIRED_MISSING = "Required field '%s' is missing from DataFrame"
 MSG_REQUIRED_NULLS = "Field '%s' has %d null values but is required non-null"
 MSG_WRONG_TYPE = "Field '%s' expected type '%s'"
 MSG_BAD_VALUES = "Field '%s' has %d values not of type '%s'"
+MSG_UNKNOWN_TYPE = "Unknown type '%s' in contract for field '%s'"
 MSG_Z_SHORT = "insufficient data (need %d points)"
 MSG_Z_SCORE = "z_score=%.2f"
 MSG_Z_FLAT = "std=0"
