@@ -65,11 +65,6 @@ def exact_mean(c) -> Column:
     return exact_sum(c) / F.count(col_(c))
 
 
-def exact_sum_of_squares(c) -> Column:
-    x = as_exact(c)
-    return F.sum(x * x)
-
-
 def sample_stddev(c) -> Column:
     """Sample standard deviation (n-1) from exact moments.
 
