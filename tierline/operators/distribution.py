@@ -1,9 +1,12 @@
 """Distributions of the hourly price and the mix series, over gold.
 
-Per-entity order statistics (CDF, quartiles) run on gold, whose rows per
-entity are bounded by the hours of history. Everything that only counts or
-sums (histogram, totals, summaries) is an ordinary aggregate with map-side
-combining.
+Per-entity order statistics (CDF window, exact quartiles) run on gold, which
+holds at most one row per (entity, hour): one entity's group is bounded by the
+hours of history (87,600 for ten years) however large the raw feeds grow or
+however the rows are spread over entities. For raw-level inputs the quartile
+functions take ``approx=True`` (a mergeable sketch). Everything that only
+counts or sums (histogram, totals, summaries) is an ordinary aggregate with
+map-side combining.
 """
 
 from __future__ import annotations
@@ -52,21 +55,28 @@ def price_histogram(gold: DataFrame, col: str = "avg_price", bins: int = HISTOGR
     )
 
 
-def _quartile_stats(gold: DataFrame, col: str) -> DataFrame:
+def _quantiles(col: str, ps: list[float], approx: bool):
+    """Exact quantiles (linear interpolation) or, for raw-level inputs, the
+    mergeable ``percentile_approx`` sketch."""
+    arr = F.array(*[F.lit(p) for p in ps])
+    return F.percentile_approx(col, arr, 100000) if approx else F.percentile(col, arr)
+
+
+def _quartile_stats(gold: DataFrame, col: str, approx: bool = False) -> DataFrame:
     vals = gold.filter(F.col(col).isNotNull())
     return vals.groupBy("entity").agg(
         F.count(col).alias("n"),
-        F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        _quantiles(col, [0.25, 0.5, 0.75], approx).alias("q"),
         exact_mean(col).alias("mean"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     ).select("entity", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
              F.col("q")[2].alias("q3"), "mean", "min", "max")
 
 
-def box_stats(gold: DataFrame, col: str = "avg_price") -> DataFrame:
+def box_stats(gold: DataFrame, col: str = "avg_price", approx: bool = False) -> DataFrame:
     """Quartiles, mean, 1.5 IQR fences, whiskers (extreme values inside the
     fences) and the number of outliers per entity."""
-    q = _quartile_stats(gold, col)
+    q = _quartile_stats(gold, col, approx)
     iqr = F.col("q3") - F.col("q1")
     fenced = q.select("entity", "n", "q1", "median", "q3", "mean",
                       (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
@@ -84,9 +94,9 @@ def box_stats(gold: DataFrame, col: str = "avg_price") -> DataFrame:
         "whisker_low", "whisker_high", "outliers")
 
 
-def box_outliers(gold: DataFrame, col: str = "avg_price") -> DataFrame:
+def box_outliers(gold: DataFrame, col: str = "avg_price", approx: bool = False) -> DataFrame:
     """The rows outside the 1.5 IQR fences of their entity."""
-    q = _quartile_stats(gold, col)
+    q = _quartile_stats(gold, col, approx)
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("entity", (F.col("q1") - F.lit(1.5) * iqr).alias("lo"),
                       (F.col("q3") + F.lit(1.5) * iqr).alias("hi"))
@@ -96,10 +106,10 @@ def box_outliers(gold: DataFrame, col: str = "avg_price") -> DataFrame:
             .select("entity", "window_start", col))
 
 
-def quantile_spread(gold: DataFrame, col: str = "avg_price") -> DataFrame:
+def quantile_spread(gold: DataFrame, col: str = "avg_price", approx: bool = False) -> DataFrame:
     """Q0.25, Q0.75 and their difference per entity, 2 decimals."""
     q = (gold.filter(F.col(col).isNotNull()).groupBy("entity")
-         .agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.75))).alias("q")))
+         .agg(_quantiles(col, [0.25, 0.75], approx).alias("q")))
     return q.select("entity",
                     round_half_away(F.col("q")[0], 2).alias("q25"),
                     round_half_away(F.col("q")[1], 2).alias("q75"),

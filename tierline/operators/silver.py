@@ -93,3 +93,13 @@ def append(df: DataFrame, path: str, partition_col: str | None = None,
         out.write.mode("append").partitionBy(partition_col).parquet(path)
     else:
         out.write.mode("append").parquet(path)
+
+
+def insert_counts(existing: DataFrame | None, inserted: DataFrame) -> DataFrame:
+    """One row: rows inserted by a load and the table total after it.
+
+    One aggregate over both sides, tagged and stacked (no join).
+    """
+    new = inserted.select(F.lit(1).alias("__new"))
+    both = new if existing is None else new.unionByName(existing.select(F.lit(0).alias("__new")))
+    return both.agg(F.count_if(F.col("__new") == 1).alias("inserted"), F.count(F.lit(1)).alias("total"))

@@ -348,6 +348,14 @@ def q_silver_prices(spark, sf_dir):
     return SV.silver_prices(norm_x(spark, sf_dir, since=SPLIT_EARLY), existing)
 
 
+@query("silver_insert_counts")
+def q_silver_insert_counts(spark, sf_dir):
+    """Rows the second batch inserts into silver prices, and the table total after it."""
+    existing = SV.silver_prices(norm_x(spark, sf_dir, until=SPLIT_LATE))
+    new = SV.silver_prices(norm_x(spark, sf_dir, since=SPLIT_EARLY), existing)
+    return SV.insert_counts(existing, new)
+
+
 @query("silver_mix")
 def q_silver_mix(spark, sf_dir):
     existing = SV.silver_mix(norm_mix_x(spark, sf_dir, until=SPLIT_LATE), None, contract=MIX_CONTRACT)

@@ -532,6 +532,16 @@ WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_s
                   AND COALESCE(s1.location, '') = COALESCE(s2.location, ''))"""
 
 
+ORACLE["silver_insert_counts"] = w(
+    raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
+    raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2"),
+    """s2new AS (
+  SELECT * FROM s2 WHERE NOT EXISTS (
+    SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_start = s2.interval_start
+      AND COALESCE(s1.location, '') = COALESCE(s2.location, '')))""") + """
+SELECT (SELECT COUNT(*) FROM s2new) AS inserted, (SELECT COUNT(*) FROM s2new) + (SELECT COUNT(*) FROM s1) AS total"""
+
+
 def gated_new_mix(batch: str, name: str) -> str:
     return f"""{name}_nc AS (
   SELECT entity, COUNT(*) FILTER (WHERE time IS NULL) AS bad FROM {batch} GROUP BY entity),
