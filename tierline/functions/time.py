@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,31 @@ def plus_minutes(c, minutes: int) -> Column:
 def minutes_between(later, earlier) -> Column:
     """Elapsed minutes as DOUBLE, microsecond-exact."""
     return (F.unix_micros(col_(later).cast("timestamp")) - F.unix_micros(col_(earlier).cast("timestamp"))) / F.lit(60_000_000.0)
+
+
+def instant(value) -> Column:
+    """A point in time as a TIMESTAMP column.
+
+    Columns pass through; text is parsed in the session zone (UTC); a naive
+    ``datetime`` is read as UTC wall-clock time and an aware one converted.
+    Python datetimes are never handed to Spark as objects, because PySpark
+    would convert them with the local zone of the Python process.
+    """
+    if value is None:
+        return F.lit(None).cast("timestamp")
+    if isinstance(value, Column):
+        return value.cast("timestamp")
+    if isinstance(value, dt.datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp")
+    if isinstance(value, dt.date):
+        return F.lit(value.isoformat()).cast("timestamp")
+    return F.lit(str(value)).cast("timestamp")
+
+
+def instant_micros(micros: int | None) -> Column:
+    """A TIMESTAMP literal from epoch microseconds (exact, zone-free)."""
+    if micros is None:
+        return F.lit(None).cast("timestamp")
+    return F.timestamp_micros(F.lit(int(micros)))

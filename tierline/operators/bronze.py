@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierline.functions.time import instant
 from tierline.operators.normalize import first_present
 from tierline.settings import DEFAULT_MIX, MixSpec
 
@@ -41,9 +42,7 @@ MIX_SOURCES = {
 def _ingested(value) -> Column:
     if value is None:
         return F.current_timestamp()
-    if isinstance(value, Column):
-        return value.cast("timestamp")
-    return F.lit(value).cast("timestamp")
+    return instant(value)
 
 
 def raw_json(df: DataFrame) -> Column:

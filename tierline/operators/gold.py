@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierline.functions.numeric import exact_mean, round_half_away
-from tierline.functions.time import hour_start, plus_hours
+from tierline.functions.time import hour_start, instant, plus_hours
 from tierline.settings import DEFAULT_MIX, MixSpec
 
 KEY = ["entity", "window_start"]
@@ -24,7 +24,7 @@ KEY = ["entity", "window_start"]
 def _computed_at(value) -> Column:
     if value is None:
         return F.current_timestamp()
-    return F.lit(value).cast("timestamp")
+    return instant(value)
 
 
 def hourly_prices(prices: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.functions.numeric import round_half_away
-from tierline.functions.time import minutes_between
+from tierline.functions.time import instant, minutes_between
 from tierline.settings import (
     CHECK_DOMAINS,
     MSG_FRESH_NONE,
@@ -44,9 +44,7 @@ CHECK_COLUMNS = ["check", "status", "message", "value"]
 def _as_of(value) -> Column:
     if value is None:
         return F.current_timestamp()
-    if isinstance(value, Column):
-        return value.cast("timestamp")
-    return F.lit(value).cast("timestamp")
+    return instant(value)
 
 
 def last_ingest(bronze: DataFrame, table: str, col: str = "ingested_at") -> DataFrame:

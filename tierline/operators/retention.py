@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierline.functions.numeric import round_half_away
+from tierline.functions.time import instant, instant_micros
 from tierline.settings import ARCHIVE_LISTING_LIMIT, BRONZE_CAP_GB, BRONZE_WARNING_GB, RETENTION_DAYS
 
 
@@ -49,12 +50,14 @@ def _pick(counts: DataFrame, k: int):
     """
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = counts.withColumn("cum", F.sum("cnt").over(w)).withColumn("prev", F.col("cum") - F.col("cnt"))
-    row = c.filter((F.col("prev") <= k) & (F.lit(k) < F.col("cum"))).select("b", "prev").first()
+    row = (c.filter((F.col("prev") <= k) & (F.lit(k) < F.col("cum")))
+           .select(F.unix_micros("b").alias("b"), "prev").first())
     return None if row is None else (row["b"], row["prev"])
 
 
 def kth_instant(df: DataFrame, col: str, k: int):
-    """Exact k-th smallest instant (0-based, duplicates counted), or None.
+    """Exact k-th smallest instant (0-based, duplicates counted) as epoch
+    microseconds, or None.
 
     Selection in three rounds: count per day over the whole input, per second
     inside the chosen day, per instant inside the chosen second. Each round is
@@ -70,10 +73,12 @@ def kth_instant(df: DataFrame, col: str, k: int):
     if day is None:
         return None
     r1 = k - day[1]
-    in_day = vals.filter((t >= F.lit(day[0])) & (t < F.lit(day[0]) + F.expr("INTERVAL 1 DAY")))
+    d0 = instant_micros(day[0])
+    in_day = vals.filter((t >= d0) & (t < d0 + F.expr("INTERVAL 1 DAY")))
     sec = _pick(in_day.groupBy(F.date_trunc("second", t).alias("b")).agg(cnt), r1)
     r2 = r1 - sec[1]
-    in_sec = in_day.filter((t >= F.lit(sec[0])) & (t < F.lit(sec[0]) + F.expr("INTERVAL 1 SECOND")))
+    s0 = instant_micros(sec[0])
+    in_sec = in_day.filter((t >= s0) & (t < s0 + F.expr("INTERVAL 1 SECOND")))
     return _pick(in_sec.groupBy(t.alias("b")).agg(cnt), r2)[0]
 
 
@@ -83,12 +88,17 @@ def median_position(n: int) -> int:
 
 
 def median_cutoff_value(df: DataFrame, col: str = "ingested_at"):
-    """(n, k, cutoff instant) of the older-half cut."""
+    """(n, k, cutoff as epoch microseconds) of the older-half cut."""
     n = df.agg(F.count(col)).first()[0]
     k = median_position(n)
     return n, k, kth_instant(df, col, k)
 
 
+def median_cutoff_instant(df: DataFrame, col: str = "ingested_at") -> Column:
+    """The older-half cutoff as a TIMESTAMP literal (null for empty input)."""
+    return instant_micros(median_cutoff_value(df, col)[2])
+
+
 def median_cutoff(df: DataFrame, col: str = "ingested_at") -> DataFrame:
     """The instant at 0-based position rint(n / 2) in arrival order (one row: n, k, cutoff).
 
@@ -96,7 +106,7 @@ def median_cutoff(df: DataFrame, col: str = "ingested_at") -> DataFrame:
     """
     n, k, cut = median_cutoff_value(df, col)
     return df.agg(F.count(col).alias("n")).select(
-        "n", F.lit(k).cast("bigint").alias("k"), F.lit(cut).cast("timestamp").alias("cutoff"))
+        "n", F.lit(k).cast("bigint").alias("k"), instant_micros(cut).alias("cutoff"))
 
 
 def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
@@ -108,7 +118,7 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
     one aggregate over both feeds (tagged and stacked, so no join is needed).
     """
     over_cap = size_gb >= cap_gb
-    cut = F.lit(median_cutoff_value(prices, col)[2] if over_cap else None).cast("timestamp")
+    cut = median_cutoff_instant(prices, col) if over_cap else instant(None)
     action = "aged off" if over_cap else ("warning" if size_gb >= warning_gb else "none")
     both = (prices.select(F.col(col).alias("t"), F.lit("prices").alias("feed"))
             .unionByName(mix.select(F.col(col).alias("t"), F.lit("mix").alias("feed"))))
@@ -163,7 +173,7 @@ def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",
     The partition predicate lets the scan skip every partition older than the
     cutoff's date; rows of the boundary date are filtered exactly.
     """
-    cut = F.lit(cutoff).cast("timestamp") if not isinstance(cutoff, Column) else cutoff
+    cut = instant(cutoff)
     src_df = spark.read.parquet(src)
     kept = src_df.filter((F.col(partition_col) >= F.to_date(cut)) & (F.col(col) >= cut))
     kept.write.mode("errorifexists").partitionBy(partition_col).parquet(dst)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tierline.functions.numeric import round_half_away
+from tierline.functions.time import instant
 from tierline.settings import (
     DEFAULT_MIX,
     DEFAULT_ROW_LIMIT,
@@ -77,7 +77,7 @@ def filter_entities(df: DataFrame, entities: list[str]) -> DataFrame:
 
 def filter_time_range(df: DataFrame, start, end, col: str = "window_start") -> DataFrame:
     """Inclusive time range; naive bounds are read as UTC (the session zone)."""
-    return df.filter(F.col(col).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return df.filter(F.col(col).between(instant(start), instant(end)))
 
 
 def head_per_entity(df: DataFrame, n: int = DEFAULT_ROW_LIMIT,
@@ -134,6 +134,3 @@ def status_board(rows: DataFrame, anomalies: DataFrame) -> DataFrame:
             .select("entity", "window_start", "avg_price",
                     F.coalesce(F.col("status"), F.lit("grey")).alias("status"), "z_score"))
 
-
-def round_price(c: str, digits: int = 2):
-    return round_half_away(F.col(c), digits)

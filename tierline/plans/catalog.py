@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tierline.operators import gold as G
 from tierline.session import ensure_session
 from tierline.sources import bindings as B
+from tierline.functions.time import instant
 from tierline.sources.tables import session_memo
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +26,25 @@ REGISTRY: dict[str, QueryFn] = {}
 COMPUTED_AT = dt.datetime(2024, 2, 1, 0, 0, 0)
 
 
+def as_wall_clock(df: DataFrame) -> DataFrame:
+    """Instants as UTC wall-clock TIMESTAMP_NTZ at the result boundary.
+
+    Operators work on TIMESTAMP instants; a result handed to another engine or
+    to Python is given as naive UTC time (the SQL TIMESTAMP type), so it reads
+    the same whatever the reader's local time zone.
+    """
+    from pyspark.sql import types as T
+
+    cols = {f.name: F.col(f"`{f.name}`").cast("timestamp_ntz")
+            for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    return df.withColumns(cols) if cols else df
+
+
 def query(name: str):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_session(spark)
-            return fn(spark, sf_dir)
+            return as_wall_clock(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
@@ -387,8 +402,8 @@ def q_raw_json_audit(spark, sf_dir):
 # --- gold maintenance (binding E) ----------------------------------------------------
 def _old_layout_gold(spark, sf_dir):
     g = gold_e(spark, sf_dir)
-    old = g.filter(F.col("window_start") < F.lit(EVOLVE_SPLIT).cast("timestamp")).drop(*B.E_MIX.components)
-    new = g.filter(F.col("window_start") >= F.lit(EVOLVE_SPLIT).cast("timestamp"))
+    old = g.filter(F.col("window_start") < instant(EVOLVE_SPLIT)).drop(*B.E_MIX.components)
+    new = g.filter(F.col("window_start") >= instant(EVOLVE_SPLIT))
     return G.evolve_schema(old, new)
 
 
@@ -397,9 +412,9 @@ def q_gold_incremental(spark, sf_dir):
     """Gold after an incremental run: hours already present are kept as first written."""
     p = B.prices_e(spark, sf_dir)
     m = mix_table_e(spark, sf_dir)
-    cut = F.col("interval_start") < F.lit(GOLD_SPLIT).cast("timestamp")
+    cut = F.col("interval_start") < instant(GOLD_SPLIT)
     existing = G.gold_summary(p.filter(cut), m, B.E_MIX, computed_at=COMPUTED_AT)
-    incoming = p.filter(F.col("interval_start") >= F.lit(SPLIT_EARLY).cast("timestamp"))
+    incoming = p.filter(F.col("interval_start") >= instant(SPLIT_EARLY))
     new = G.gold_incremental(incoming, m, existing, B.E_MIX, computed_at=COMPUTED_AT)
     return G.append_gold(existing, new)
 
@@ -563,7 +578,7 @@ def q_median_cutoff(spark, sf_dir):
 def q_archive_split(spark, sf_dir):
     """Archive and keep counts at the median cutoff; they add up to the input."""
     b = bronze_e(spark, sf_dir)
-    cut = F.lit(R.median_cutoff_value(b)[2]).cast("timestamp")
+    cut = R.median_cutoff_instant(b)
     return b.agg(F.count_if(F.col("ingested_at") < cut).alias("archived"),
                  F.count_if(F.col("ingested_at") >= cut).alias("kept"),
                  F.count(F.lit(1)).alias("total"))
@@ -580,7 +595,7 @@ def q_archive_export(spark, sf_dir):
     """Rows older than the median cutoff written to a new archive, read back."""
     b = bronze_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
-    R.archive_export(b, F.lit(R.median_cutoff_value(b)[2]).cast("timestamp"), path)
+    R.archive_export(b, R.median_cutoff_instant(b), path)
     return spark.read.parquet(path)
 
 
@@ -589,7 +604,7 @@ def q_archive_listing(spark, sf_dir):
     """Newest files of an archive written from the bronze feed."""
     b = bronze_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
-    R.archive_export(b.repartition(4, "entity"), F.lit(R.median_cutoff_value(b)[2]).cast("timestamp"), path)
+    R.archive_export(b.repartition(4, "entity"), R.median_cutoff_instant(b), path)
     return R.archive_listing(spark, path).select("file_name", "size_bytes", "size_mb")
 
 
@@ -622,11 +637,11 @@ def q_stream_late_rows(spark, sf_dir):
     landing, sink, ckpt = _stream_dirs(spark, "stream-late")
     p = B.prices_e(spark, sf_dir)
     t = F.col("interval_start")
-    split = F.lit(STREAM_SPLIT).cast("timestamp")
+    split = instant(STREAM_SPLIT)
     ST.land(p.filter(t < split), landing)
     stream = ST.file_stream(spark, landing, p.schema)
     ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream), sink, ckpt))
-    late = p.filter((t >= F.lit(SPLIT_EARLY).cast("timestamp")) & (t < F.lit(SPLIT_LATE).cast("timestamp")))
+    late = p.filter((t >= instant(SPLIT_EARLY)) & (t < instant(SPLIT_LATE)))
     ST.land(p.filter(t >= split).unionByName(late), landing)
     ST.run_available(ST.to_parquet(ST.hourly_price_stream(ST.file_stream(spark, landing, p.schema)), sink, ckpt))
     return spark.read.parquet(sink)

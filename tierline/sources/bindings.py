@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.functions.numeric import exact_sum
+from tierline.functions.time import instant
 from tierline.settings import MixSpec
 from tierline.sources.tables import read_table, session_memo
 
@@ -118,9 +119,9 @@ def _text_price(value, event_id):
 def _between(df: DataFrame, col: str, since, until) -> DataFrame:
     """Batch split by event time: since <= col < until (either bound optional)."""
     if since is not None:
-        df = df.filter(F.col(col).cast("timestamp") >= F.lit(since).cast("timestamp"))
+        df = df.filter(F.col(col).cast("timestamp") >= instant(since))
     if until is not None:
-        df = df.filter(F.col(col).cast("timestamp") < F.lit(until).cast("timestamp"))
+        df = df.filter(F.col(col).cast("timestamp") < instant(until))
     return df
 
 

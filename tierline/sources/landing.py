@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierline.functions.time import instant
+
 CORRUPT_COLUMN = "_corrupt_record"
 
 
@@ -70,6 +72,6 @@ def history_range(df: DataFrame, end, days: int = 30, col: str = "interval_start
 
     On a date-partitioned table the bounds reach the scan as partition filters.
     """
-    end_c = F.lit(end).cast("timestamp")
+    end_c = instant(end)
     start_c = end_c - F.make_interval(days=F.lit(days))
     return df.filter(F.col(col).between(start_c, end_c))
