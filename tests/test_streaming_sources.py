@@ -109,3 +109,26 @@ def test_shared_dir_comes_from_session(spark):
     assert shared_dir(spark) == base
     assert fresh_dir(spark, "x").startswith(base.rstrip("/") + "/tierline/x-")
     assert F is not None
+
+
+def test_instant_literals_are_utc_whatever_the_input(spark):
+    from tierline.functions.time import instant, instant_micros
+
+    aware = dt.datetime(2026, 1, 1, 1, 0, tzinfo=dt.timezone(dt.timedelta(hours=1)))
+    row = spark.range(1).select(
+        instant(dt.datetime(2026, 1, 1, 0, 0)).alias("naive"),
+        instant(aware).alias("aware"),
+        instant("2026-01-01 00:00:00").alias("text"),
+        instant_micros(1767225600000000).alias("micros"),
+        instant(None).alias("none"),
+    ).select(*[F.unix_micros(c).alias(c) for c in ("naive", "aware", "text", "micros", "none")]).collect()[0]
+    assert row.naive == row.aware == row.text == row.micros == 1767225600000000 and row.none is None
+
+
+def test_silver_append_partitions_by_event_date(spark, tmp_dir):
+    from tierline.operators.silver import append
+
+    append(rows(spark, [(ts(0), 1.0), (ts(0, day=2), 2.0)]), tmp_dir, "event_date", "interval_start")
+    append(rows(spark, [(ts(0, day=3), 3.0)]), tmp_dir, "event_date", "interval_start")
+    back = spark.read.parquet(tmp_dir)
+    assert back.count() == 3 and back.select("event_date").distinct().count() == 3
