@@ -153,3 +153,16 @@ def test_entity_coverage(spark):
     obs = spark.createDataFrame([("A",), ("C",)], "entity string")
     got = {r.entity: r.status for r in H.entity_coverage(obs, ["A", "B"]).collect()}
     assert got == {"A": "active", "B": "not observed", "C": "not configured"}
+
+
+def test_local_window_zone_abbreviation(spark):
+    rows = spark.createDataFrame(
+        [("A", dt.datetime(2026, 7, 1, 12)), ("B", dt.datetime(2026, 7, 1, 12)),
+         ("C", dt.datetime(2026, 1, 15, 12)), ("D", dt.datetime(2026, 7, 1, 12))],
+        "entity string, window_end timestamp")
+    zones = SN.zone_table(spark, {"A": "America/Chicago", "B": "Europe/Berlin", "C": "America/Chicago",
+                                  "D": "Asia/Kolkata"})
+    got = {r.entity: (r.zone_abbr, r.label) for r in SN.local_window(rows, zones, hours=48).collect()}
+    assert got["A"][0] == "CDT" and got["B"][0] == "CEST" and got["C"][0] == "CST"
+    assert got["D"][0] == "UTC+05:30"
+    assert got["C"][1] == "Window: Jan 13 06:00AM to Jan 15 06:00AM CST"

@@ -19,6 +19,8 @@ from tierline.settings import (
     LOOKBACK_HOURS,
     PRICE_ELEVATED_MAX,
     PRICE_NORMAL_MAX,
+    WINDOW_LABEL_PREFIX,
+    ZONE_ABBREVIATIONS,
     MixSpec,
 )
 
@@ -101,18 +103,27 @@ def price_band(df: DataFrame, col: str = "avg_price", normal_max: float = PRICE_
 
 
 def zone_table(spark, zones: dict[str, str] | None = None) -> DataFrame:
-    """Entity -> IANA zone, a fixed small table (safe to broadcast)."""
+    """Entity -> IANA zone with its standard offset and abbreviations: a fixed
+    small table (safe to broadcast)."""
     zones = ENTITY_TIME_ZONES if zones is None else zones
-    schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("tz", T.StringType())])
-    return spark.createDataFrame(sorted(zones.items()), schema)
+    rows = [(e, z, *ZONE_ABBREVIATIONS.get(z, (None, None, None))) for e, z in sorted(zones.items())]
+    schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("tz", T.StringType()),
+                           T.StructField("std_offset", T.IntegerType()), T.StructField("std_abbr", T.StringType()),
+                           T.StructField("dst_abbr", T.StringType())])
+    return spark.createDataFrame(rows, schema)
 
 
 def local_window(rows: DataFrame, zones: DataFrame, hours: int = LOOKBACK_HOURS) -> DataFrame:
-    """Lookback window of each row in the entity's local time, with a label.
-
-    Unknown entities fall back to UTC. The zone table is a fixed mapping, so
-    broadcasting it is bounded by construction.
+    """Lookback window of each row in the entity's local time, with a label
+    ending in the zone abbreviation at the window end.
+
+    Spark formats instants in the session zone only, so the abbreviation is
+    derived: the local UTC offset at the window end is compared with the
+    zone's standard offset (daylight time when they differ). Zones without an
+    abbreviation get ``UTC±hh:mm``; entities without a zone use UTC. The zone
+    table is a fixed mapping, so broadcasting it is bounded by construction.
     """
+    utc = ZONE_ABBREVIATIONS["UTC"]
     tz = F.coalesce(F.col("tz"), F.lit("UTC"))
     end = F.col("window_end")
     start = end - F.make_interval(hours=F.lit(hours))
@@ -120,10 +131,20 @@ def local_window(rows: DataFrame, zones: DataFrame, hours: int = LOOKBACK_HOURS)
     j = rows.join(F.broadcast(zones), "entity", "left")
     local_start = F.from_utc_timestamp(start, tz)
     local_end = F.from_utc_timestamp(end, tz)
+    offset = ((F.unix_micros(local_end) - F.unix_micros(end)) / F.lit(60_000_000)).cast("int")
+    std = F.coalesce(F.col("std_offset"), F.when(F.col("tz").isNull(), F.lit(utc[0])))
+    fallback = F.format_string("UTC%s%02d:%02d", F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")),
+                               F.abs(offset) / 60, F.abs(offset) % 60)
+    abbr = (F.when(F.col("tz").isNull(), F.lit(utc[1]))
+            .when(std.isNull(), fallback)
+            .when(offset == std, F.col("std_abbr"))
+            .otherwise(F.col("dst_abbr")))
+    label = F.concat(F.lit(WINDOW_LABEL_PREFIX), F.date_format(local_start, fmt), F.lit(" to "),
+                     F.date_format(local_end, fmt), F.lit(" "), abbr)
     return j.select(
         "entity", "window_end", tz.alias("tz"),
         local_start.alias("local_start"), local_end.alias("local_end"),
-        F.concat(F.date_format(local_start, fmt), F.lit(" to "), F.date_format(local_end, fmt)).alias("label"),
+        abbr.alias("zone_abbr"), label.alias("label"),
     )
 
 

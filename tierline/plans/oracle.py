@@ -244,17 +244,28 @@ SELECT entity, window_start, avg_price,
        CASE WHEN avg_price < 50.0 THEN 'normal' WHEN avg_price < 100.0 THEN 'off'
             WHEN avg_price IS NOT NULL THEN 'inverse' END AS band
 FROM gold""")
+_ZONE_ROWS = ", ".join(f"('{z}', {o}, '{a}', '{d}')" for z, (o, a, d) in S.ZONE_ABBREVIATIONS.items())
 ORACLE["local_window"] = with_gold(f"""
-SELECT entity, window_end, tz, local_start, local_end,
-       strftime(local_start, '%b %d %I:%M%p') || ' to ' || strftime(local_end, '%b %d %I:%M%p') AS label
+SELECT entity, window_end, tz, local_start, local_end, zone_abbr,
+       {q(S.WINDOW_LABEL_PREFIX)} || strftime(local_start, '%b %d %I:%M%p') || ' to '
+         || strftime(local_end, '%b %d %I:%M%p') || ' ' || zone_abbr AS label
 FROM (
-  SELECT g.entity, g.window_end, COALESCE(z.tz, 'UTC') AS tz,
-         timezone(COALESCE(z.tz, 'UTC'), (g.window_end - INTERVAL 48 HOUR) AT TIME ZONE 'UTC') AS local_start,
-         timezone(COALESCE(z.tz, 'UTC'), g.window_end AT TIME ZONE 'UTC') AS local_end
-  FROM gold g LEFT JOIN zones z ON g.entity = z.entity
-  WHERE g.window_start = {LATEST}) t""", """zones AS (
+  SELECT *, CASE WHEN zone_tz IS NULL THEN 'UTC'
+                 WHEN std_offset IS NULL THEN printf('UTC%s%02d:%02d', CASE WHEN off < 0 THEN '-' ELSE '+' END,
+                                                     abs(off) // 60, abs(off) % 60)
+                 WHEN off = std_offset THEN std_abbr ELSE dst_abbr END AS zone_abbr
+  FROM (
+    SELECT g.entity, g.window_end, z.tz AS zone_tz, COALESCE(z.tz, 'UTC') AS tz,
+           timezone(COALESCE(z.tz, 'UTC'), (g.window_end - INTERVAL 48 HOUR) AT TIME ZONE 'UTC') AS local_start,
+           timezone(COALESCE(z.tz, 'UTC'), g.window_end AT TIME ZONE 'UTC') AS local_end,
+           CAST((epoch_us(timezone(COALESCE(z.tz, 'UTC'), g.window_end AT TIME ZONE 'UTC'))
+                 - epoch_us(g.window_end)) // 60000000 AS INTEGER) AS off,
+           a.std_offset, a.std_abbr, a.dst_abbr
+    FROM gold g LEFT JOIN zones z ON g.entity = z.entity LEFT JOIN abbr a ON z.tz = a.tz
+    WHERE g.window_start = {LATEST}) t) u""", """zones AS (
   SELECT * FROM (VALUES ('click', 'America/Chicago'), ('purchase', 'America/New_York'),
-                        ('signup', 'America/Los_Angeles'), ('view', 'Europe/Berlin')) v(entity, tz))""")
+                        ('signup', 'America/Los_Angeles'), ('view', 'Europe/Berlin')) v(entity, tz))""",
+    f"abbr AS (SELECT * FROM (VALUES {_ZONE_ROWS}) v(tz, std_offset, std_abbr, dst_abbr))")
 
 # --- anomaly (gold E) -----------------------------------------------------------
 def r6(x: str) -> str:

@@ -70,6 +70,19 @@ ENTITY_TIME_ZONES = {
     "AESO": "America/Edmonton",
 }
 
+# --- fixed values: zone abbreviations: zone -> (standard UTC offset in minutes,
+# standard-time abbreviation, daylight-time abbreviation) ------------------
+ZONE_ABBREVIATIONS = {
+    "America/Chicago": (-360, "CST", "CDT"),
+    "America/Los_Angeles": (-480, "PST", "PDT"),
+    "America/New_York": (-300, "EST", "EDT"),
+    "America/Toronto": (-300, "EST", "EDT"),
+    "America/Edmonton": (-420, "MST", "MDT"),
+    "Europe/Berlin": (60, "CET", "CEST"),
+    "UTC": (0, "UTC", "UTC"),
+}
+WINDOW_LABEL_PREFIX = "Window: "
+
 # --- fixed values: report texts (printf-style; Spark and the oracle share them)
 MSG_FRESH_NONE = "No data ingested yet — run the pipeline"
 MSG_FRESH_STALE = "No new data for %.1f minutes"
