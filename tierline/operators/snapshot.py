@@ -134,7 +134,7 @@ def local_window(rows: DataFrame, zones: DataFrame, hours: int = LOOKBACK_HOURS)
     offset = ((F.unix_micros(local_end) - F.unix_micros(end)) / F.lit(60_000_000)).cast("int")
     std = F.coalesce(F.col("std_offset"), F.when(F.col("tz").isNull(), F.lit(utc[0])))
     fallback = F.format_string("UTC%s%02d:%02d", F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")),
-                               F.abs(offset) / 60, F.abs(offset) % 60)
+                               F.floor(F.abs(offset) / 60).cast("int"), F.abs(offset) % 60)
     abbr = (F.when(F.col("tz").isNull(), F.lit(utc[1]))
             .when(std.isNull(), fallback)
             .when(offset == std, F.col("std_abbr"))
