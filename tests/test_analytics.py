@@ -166,3 +166,22 @@ def test_local_window_zone_abbreviation(spark):
     assert got["A"][0] == "CDT" and got["B"][0] == "CEST" and got["C"][0] == "CST"
     assert got["D"][0] == "UTC+05:30"
     assert got["C"][1] == "Window: Jan 13 06:00AM to Jan 15 06:00AM CST"
+
+
+def test_size_retention_actions(spark):
+    prices = instants(spark, 10)
+    mix = instants(spark, 4)
+    none = R.retention_by_size(prices, mix, size_gb=1.0).collect()[0]
+    assert (none.action, none.archived_prices, none.kept_prices, none.cutoff) == ("none", 0, 10, None)
+    warn = R.retention_by_size(prices, mix, size_gb=4.5).collect()[0]
+    assert (warn.action, warn.archived_prices, warn.kept_mix) == ("warning", 0, 4)
+    cut = R.retention_by_size(prices, mix, size_gb=5.0).collect()[0]
+    assert cut.action == "aged off" and cut.cutoff == ts(0) + dt.timedelta(seconds=7 * 5)
+    assert (cut.archived_prices, cut.kept_prices) == (5, 5) and cut.archived_mix + cut.kept_mix == 4
+
+
+def test_empty_inputs_give_empty_results(spark):
+    empty = gold(spark, []).limit(0)
+    assert D.price_cdf(empty).count() == 0 and D.box_stats(empty).count() == 0
+    assert SN.latest_rows(empty).count() == 0 and H.gap_by_entity(empty).count() == 0
+    assert R.median_cutoff(instants(spark, 0)).collect()[0].cutoff is None
