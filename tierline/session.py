@@ -28,6 +28,26 @@ LOCAL_CONF = {
 }
 
 
+# Settings this design assumes on a large cluster (apply in spark-defaults or
+# pass to build_session). Partitions are sized by bytes, not counts: AQE starts
+# from many shuffle partitions and coalesces them to ~256 MB, splits skewed
+# join partitions, and scans read ~256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str = "local[8]", app: str = "tierline", **conf) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in {**LOCAL_CONF, **REQUIRED_CONF, **conf}.items():
