@@ -13,11 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierline.functions.time import instant, plus_minutes
+from tierline.operators import anomaly as Z
+from tierline.operators import bronze as BR
+from tierline.operators import contracts as CT
+from tierline.operators import distribution as D
 from tierline.operators import gold as G
-from tierline.session import ensure_session
+from tierline.operators import health as H
+from tierline.operators import normalize as N
+from tierline.operators import retention as R
+from tierline.operators import silver as SV
+from tierline.operators import snapshot as SN
+from tierline.session import ensure_session, fresh_dir
+from tierline.settings import MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS
 from tierline.sources import bindings as B
-from tierline.functions.time import instant
+from tierline.sources import landing as L
 from tierline.sources.tables import session_memo
+from tierline.streaming import feeds as ST
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -60,8 +72,6 @@ def mix_table_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding-E silver mix as a stored table (written once per session, read back),
     for the jobs that maintain gold from silver."""
     def build() -> DataFrame:
-        from tierline.session import fresh_dir
-
         path = fresh_dir(spark, "silver-mix-e")
         B.mix_e(spark, sf_dir).write.parquet(path)
         return spark.read.parquet(path)
@@ -76,8 +86,6 @@ def gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     and read back, as the analytics read the gold layer in production.
     """
     def build() -> DataFrame:
-        from tierline.session import fresh_dir
-
         path = fresh_dir(spark, "gold-e")
         compute_gold_e(spark, sf_dir).sortWithinPartitions("entity", "window_start").write.parquet(path)
         return spark.read.parquet(path)
@@ -110,9 +118,6 @@ def q_land_mix(spark, sf_dir):
 
 
 # --- snapshot and history (gold E) ---------------------------------------------
-from tierline.operators import anomaly as Z  # noqa: E402
-from tierline.operators import distribution as D  # noqa: E402
-from tierline.operators import snapshot as SN  # noqa: E402
 
 SELECTED_ENTITIES = ["click", "purchase", "view"]
 RANGE_START = "2024-01-10 00:00:00"
@@ -240,11 +245,6 @@ def q_history_summary(spark, sf_dir):
 
 
 # --- normalization, contracts, silver (binding X) -------------------------------
-from tierline.operators import bronze as BR  # noqa: E402
-from tierline.operators import contracts as CT  # noqa: E402
-from tierline.operators import normalize as N  # noqa: E402
-from tierline.operators import silver as SV  # noqa: E402
-from tierline.settings import MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS  # noqa: E402
 
 # Arrival batches: the first covers event time before SPLIT_LATE, the second
 # starts at SPLIT_EARLY, so a day of rows arrives twice.
@@ -435,10 +435,6 @@ def q_gold_backfill(spark, sf_dir):
 
 
 # --- data health (binding E; now = last arrival + 20 minutes) -------------------------
-from tierline.functions.time import plus_minutes  # noqa: E402
-from tierline.operators import health as H  # noqa: E402
-from tierline.operators import retention as R  # noqa: E402
-from tierline.session import fresh_dir  # noqa: E402,F811
 
 CONFIGURED_ENTITIES = ["click", "error", "purchase", "refund", "signup"]
 AS_OF_LAG_MINUTES = 20
@@ -609,7 +605,6 @@ def q_archive_listing(spark, sf_dir):
 
 
 # --- streaming (binding E / X landed as files) ------------------------------------------------
-from tierline.streaming import feeds as ST  # noqa: E402
 
 STREAM_SPLIT = "2024-01-16 12:30:00"    # first landing batch ends inside an hour
 
@@ -689,7 +684,6 @@ def q_stream_medallion(spark, sf_dir):
 
 
 # --- landed-file sources (binding E written as files, read back) ---------------------------
-from tierline.sources import landing as L  # noqa: E402
 
 HISTORY_END = "2024-01-30 00:00:00"
 HISTORY_DAYS = 7
