@@ -723,3 +723,23 @@ def q_gold_summary_sql(spark, sf_dir):
     register_views(spark, sf_dir, prefix="e_")
     return spark.sql(gold_sql("e_silver_prices", "e_silver_mix", list(B.E_MIX.components),
                               computed_at=COMPUTED_AT.isoformat(sep=" ")))
+
+
+@query("stream_two_feeds")
+def q_stream_two_feeds(spark, sf_dir):
+    """Both raw feeds landed in two rounds; per round the mix stream loads silver
+    mix, then the price stream loads silver prices and gold against that table."""
+    base = fresh_dir(spark, "stream-two-feeds")
+    first_p = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
+    first_m = B.raw_mix_x(spark, sf_dir, until=SPLIT_LATE)
+    ST.land(first_p, f"{base}/landing-prices")
+    ST.land(first_m, f"{base}/landing-mix")
+    for _ in range(2):
+        ST.run_mix_silver(ST.file_stream(spark, f"{base}/landing-mix", first_m.schema),
+                          f"{base}/silver-mix", f"{base}/checkpoint-mix")
+        ST.run_medallion(ST.file_stream(spark, f"{base}/landing-prices", first_p.schema),
+                         f"{base}/silver", f"{base}/gold", f"{base}/checkpoint-prices",
+                         f"{base}/silver-mix", computed_at=COMPUTED_AT)
+        ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-prices")
+        ST.land(B.raw_mix_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-mix")
+    return spark.read.parquet(f"{base}/gold").drop("batch_id")

@@ -792,3 +792,25 @@ WHERE interval_start BETWEEN TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY AN
 ORACLE["land_prices_json"] = ORACLE["land_prices"]
 ORACLE["land_mix_csv"] = ORACLE["land_mix"]
 ORACLE["gold_summary_sql"] = ORACLE["gold_summary"]
+
+ORACLE["stream_two_feeds"] = w(
+    raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
+    raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2"),
+    """s2new AS (
+  SELECT * FROM s2 WHERE NOT EXISTS (
+    SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_start = s2.interval_start
+      AND COALESCE(s1.location, '') = COALESCE(s2.location, '')))""",
+    RAW_MIX_E,
+    raw_mix_x(until="2024-01-16 00:00:00", name="rm1"), norm_mix_x("rm1", "nm1"), gated_new_mix("nm1", "m1"),
+    raw_mix_x(since="2024-01-15 00:00:00", name="rm2"), norm_mix_x("rm2", "nm2"), gated_new_mix("nm2", "m2"),
+    """m2new AS (SELECT * FROM m2 WHERE NOT EXISTS (
+  SELECT 1 FROM m1 WHERE m1.entity = m2.entity AND m1.time = m2.time))""",
+    "silver_mix_all AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2new)",
+    hourly_mix_sql("silver_mix_all", FUELS),
+    hourly_prices_sql("s1", "hp1"),
+    f"g1 AS ({gold_select('hp1', 'hm', FUELS)})",
+    """fresh2 AS (
+  SELECT * FROM s2new s WHERE NOT EXISTS (
+    SELECT 1 FROM g1 WHERE g1.entity = s.entity AND g1.window_start = date_trunc('hour', s.interval_start)))""",
+    hourly_prices_sql("fresh2", "hp2"),
+    f"g2 AS ({gold_select('hp2', 'hm', FUELS)})") + "SELECT * FROM g1 UNION ALL SELECT * FROM g2"

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tierline.functions.numeric import SCALE, round_half_away, scaled
 from tierline.operators import gold as G
 from tierline.operators.contracts import contract_report, gate_by_entity
-from tierline.operators.normalize import normalize_prices
-from tierline.operators.silver import new_price_rows
-from tierline.settings import DEFAULT_MIX, PRICE_CONTRACT, MixSpec
+from tierline.operators.normalize import normalize_mix, normalize_prices
+from tierline.operators.silver import new_mix_rows, new_price_rows
+from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_CONTRACT, MixSpec
 
 STREAM_TIMEOUT_S = 600
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -140,20 +140,34 @@ class MedallionBatch:
     so replaying batch N (after a failure) rewrites exactly its own output.
     """
 
-    def __init__(self, silver_path: str, gold_path: str, mix: DataFrame, spec: MixSpec = DEFAULT_MIX,
+    def __init__(self, silver_path: str, gold_path: str, mix: DataFrame | str, spec: MixSpec = DEFAULT_MIX,
                  computed_at=None):
+        """``mix`` is the silver mix: a DataFrame, or the folder of a silver mix
+        table that another stream keeps (read as it stands at each batch)."""
         self.silver_path = silver_path
         self.gold_path = gold_path
         self.mix = mix
         self.spec = spec
         self.computed_at = computed_at
 
-    def _prior(self, spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    @staticmethod
+    def _prior(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
+        """The rows of a batch-folder table written before ``batch_id`` (all when None)."""
         try:
             df = spark.read.parquet(path)
         except Exception:  # noqa: BLE001 - no batch written yet
             return None
-        return df.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        if batch_id is not None:
+            df = df.filter(F.col("batch_id") < batch_id)
+        return df.drop("batch_id")
+
+    def _mix(self, spark: SparkSession) -> DataFrame:
+        if isinstance(self.mix, str):
+            mix = self._prior(spark, self.mix, None)
+            if mix is None:
+                raise RuntimeError(f"no silver mix at {self.mix}")
+            return mix
+        return self.mix
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -173,13 +187,42 @@ class MedallionBatch:
         fresh.write.mode("overwrite").parquet(f"{self.silver_path}/batch_id={batch_id}")
         new_silver = spark.read.parquet(f"{self.silver_path}/batch_id={batch_id}")
         gold_before = self._prior(spark, self.gold_path, batch_id)
+        mix = self._mix(spark)
         if gold_before is None:
-            new_gold = G.gold_summary(new_silver, self.mix, self.spec, self.computed_at)
+            new_gold = G.gold_summary(new_silver, mix, self.spec, self.computed_at)
         else:
-            new_gold = G.gold_incremental(new_silver, self.mix, gold_before, self.spec, self.computed_at)
+            new_gold = G.gold_incremental(new_silver, mix, gold_before, self.spec, self.computed_at)
         new_gold.write.mode("overwrite").parquet(f"{self.gold_path}/batch_id={batch_id}")
 
 
+class MixSilverBatch:
+    """``foreachBatch`` body for the mix feed: raw files -> normalize -> contract
+    gate -> new silver mix rows, written to ``batch_id=N`` (overwrite, so a
+    replayed batch replaces its own output)."""
+
+    def __init__(self, silver_path: str, spec: MixSpec = DEFAULT_MIX, contract=MIX_CONTRACT):
+        self.silver_path = silver_path
+        self.spec = spec
+        self.contract = contract
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        norm = normalize_mix(batch, mix=self.spec).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            gated = gate_by_entity(norm, contract_report(norm, self.contract))
+            before = MedallionBatch._prior(spark, self.silver_path, batch_id)
+            fresh = new_mix_rows(gated, before, self.spec, bounds_from=norm)
+            fresh.write.mode("overwrite").parquet(f"{self.silver_path}/batch_id={batch_id}")
+        finally:
+            norm.unpersist()
+
+
+def run_mix_silver(raw_stream: DataFrame, silver_path: str, checkpoint: str, spec: MixSpec = DEFAULT_MIX):
+    writer = (raw_stream.writeStream.foreachBatch(MixSilverBatch(silver_path, spec))
+              .option("checkpointLocation", checkpoint))
+    return run_available(writer)
+
+
 def run_medallion(raw_stream: DataFrame, silver_path: str, gold_path: str, checkpoint: str,
                  mix: DataFrame, spec: MixSpec = DEFAULT_MIX, computed_at=None):
     body = MedallionBatch(silver_path, gold_path, mix, spec, computed_at)
