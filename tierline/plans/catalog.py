@@ -443,21 +443,26 @@ SIZE_GB = 5.5
 
 
 def _stored_bronze(spark, key, build_rows):
-    """A bronze table written once per session (partitioned by ingest date) and read back."""
+    """(path, table) of a bronze table written once per session (partitioned by
+    ingest date) and read back."""
     def build():
         path = fresh_dir(spark, key)
         BR.write_bronze(build_rows(), path)
-        return spark.read.parquet(path)
+        return path, spark.read.parquet(path)
     return session_memo(spark, (key, "table"), build)
 
 
-def bronze_table_e(spark, sf_dir):
-    """Stored bronze prices of binding E (arrival time = event time, audit text aside),
-    with its ``ingest_date`` partition column."""
+def bronze_stored_e(spark, sf_dir):
+    """(path, table) of the stored bronze prices of binding E (arrival time = event
+    time, audit text aside), with its ``ingest_date`` partition column."""
     return _stored_bronze(spark, f"bronze-e-{sf_dir}".replace("/", "_"), lambda: BR.bronze_prices(
         B.prices_e(spark, sf_dir), ingested_at=F.col("interval_start")).drop("raw_json"))
 
 
+def bronze_table_e(spark, sf_dir):
+    return bronze_stored_e(spark, sf_dir)[1]
+
+
 def bronze_e(spark, sf_dir):
     return bronze_table_e(spark, sf_dir).drop("ingest_date")
 
@@ -466,7 +471,7 @@ def bronze_mix_e(spark, sf_dir):
     srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
     return _stored_bronze(spark, f"bronze-mix-e-{sf_dir}".replace("/", "_"), lambda: BR.bronze_mix(
         B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json")
-    ).drop("ingest_date")
+    )[1].drop("ingest_date")
 
 
 def as_of_e(spark, sf_dir):
@@ -743,3 +748,23 @@ def q_stream_two_feeds(spark, sf_dir):
         ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-prices")
         ST.land(B.raw_mix_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-mix")
     return spark.read.parquet(f"{base}/gold").drop("batch_id")
+
+
+@query("evolve_schema_files")
+def q_evolve_schema_files(spark, sf_dir):
+    """Gold written in two layouts into one date-partitioned folder, read back with mergeSchema."""
+    path = fresh_dir(spark, "gold-evolve")
+    g = gold_e(spark, sf_dir)
+    split = instant(EVOLVE_SPLIT)
+    G.write_gold(g.filter(F.col("window_start") < split).drop(*B.E_MIX.components), path)
+    G.write_gold(g.filter(F.col("window_start") >= split), path)
+    return G.read_gold(spark, path).drop("window_date").select(*g.columns)
+
+
+@query("retention_rewrite")
+def q_retention_rewrite(spark, sf_dir):
+    """Copy-on-write age retention of the stored bronze table into a new version, read back."""
+    src_path, _ = bronze_stored_e(spark, sf_dir)
+    path = fresh_dir(spark, "bronze-retained")
+    R.retain_table(spark, src_path, path, R.age_cutoff(as_of_e(spark, sf_dir), AGE_DAYS))
+    return spark.read.parquet(path).drop("ingest_date")

@@ -814,3 +814,6 @@ ORACLE["stream_two_feeds"] = w(
     SELECT 1 FROM g1 WHERE g1.entity = s.entity AND g1.window_start = date_trunc('hour', s.interval_start)))""",
     hourly_prices_sql("fresh2", "hp2"),
     f"g2 AS ({gold_select('hp2', 'hm', FUELS)})") + "SELECT * FROM g1 UNION ALL SELECT * FROM g2"
+
+ORACLE["evolve_schema_files"] = ORACLE["evolve_schema"]
+ORACLE["retention_rewrite"] = ORACLE["retention_by_age"]
