@@ -74,17 +74,25 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     it, so later calls and ``DataFrame.checkpoint()`` agree.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tierline-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)       # so DataFrame.checkpoint() uses the same folder
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None for a Spark Connect session)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder (never reused or cleared)."""
     path = shared_dir(spark, "tierline", f"{label}-{uuid.uuid4().hex[:12]}")
