@@ -86,3 +86,11 @@ def test_unknown_contract_type_is_error(spark):
     odd = Contract("odd", (Field("entity", "string", False), Field("price", "money", True)))
     r = C.contract_report(valid(spark), odd).collect()[0]
     assert not r.valid and "Unknown type 'money' in contract for field 'price'" in r.errors
+
+
+def test_missing_entity_column_is_reported_and_gated(spark):
+    df = valid(spark).drop("entity")
+    r = C.contract_report(df, PRICE_CONTRACT).collect()
+    assert len(r) == 1 and not r[0].valid and "Required field 'entity' is missing" in r[0].errors
+    assert C.gate_by_entity(df, C.contract_report(df, PRICE_CONTRACT)).count() == 0
+    assert C.quarantine(df, C.contract_report(df, PRICE_CONTRACT)).count() == 3

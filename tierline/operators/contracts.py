@@ -91,7 +91,8 @@ def contract_counts(df: DataFrame, contract: Contract, by: str = "entity") -> Da
         flag = _type_failure(df, f.name, f.type)
         aggs.append((F.count_if(flag) if flag is not None else F.lit(0).cast("bigint")).alias(f"t__{f.name}"))
         aggs.append(F.count(F.col(f.name)).alias(f"v__{f.name}"))
-    wide = df.groupBy(F.col(by).alias("entity")).agg(*aggs)
+    key = F.col(by) if by in df.columns else F.lit(None).cast("string")   # one group when absent
+    wide = df.groupBy(key.alias("entity")).agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(f.name).alias("field"),
                  F.lit(f.nullable).alias("nullable"),
@@ -187,11 +188,15 @@ def gate_by_entity(df: DataFrame, report: DataFrame) -> DataFrame:
     when its measured size is under the broadcast threshold and falls back to
     a shuffle join otherwise.
     """
+    if "entity" not in df.columns:        # no entity, nothing can pass the gate
+        return df.limit(0)
     failing = report.filter(~F.col("valid") & F.col("entity").isNotNull()).select("entity")
     return df.filter(F.col("entity").isNotNull()).join(failing, "entity", "left_anti")
 
 
 def quarantine(df: DataFrame, report: DataFrame) -> DataFrame:
     """The complement of ``gate_by_entity``: rows of failing or null entities."""
+    if "entity" not in df.columns:
+        return df
     failing = report.filter(~F.col("valid")).select("entity")
     return df.filter(F.col("entity").isNull()).unionByName(df.join(failing, "entity", "left_semi"))
