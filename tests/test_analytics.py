@@ -185,3 +185,15 @@ def test_empty_inputs_give_empty_results(spark):
     assert D.price_cdf(empty).count() == 0 and D.box_stats(empty).count() == 0
     assert SN.latest_rows(empty).count() == 0 and H.gap_by_entity(empty).count() == 0
     assert R.median_cutoff(instants(spark, 0)).collect()[0].cutoff is None
+
+
+def test_size_retention_without_prices_takes_no_action(spark):
+    r = R.retention_by_size(instants(spark, 0), instants(spark, 3), size_gb=6.0).collect()[0]
+    assert (r.action, r.cutoff, r.archived_mix, r.kept_mix) == ("none", None, 0, 3)
+
+
+def test_snapshot_on_old_layout_gold(spark):
+    from tierline.settings import MixSpec
+    g = gold(spark, [("A", ts(0), 1.0), ("A", ts(1), 2.0)])
+    snap = SN.snapshot_lookback(g, hours=48, mix=MixSpec()).collect()[0]
+    assert (snap.avg_price, snap.range_min, snap.range_max) == (2.0, 1.0, 2.0)

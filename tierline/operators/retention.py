@@ -117,9 +117,10 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
     One row: size, action, cutoff, and archived/kept row counts per feed, from
     one aggregate over both feeds (tagged and stacked, so no join is needed).
     """
-    over_cap = size_gb >= cap_gb
-    cut = median_cutoff_instant(prices, col) if over_cap else instant(None)
-    action = "aged off" if over_cap else ("warning" if size_gb >= warning_gb else "none")
+    cut_micros = median_cutoff_value(prices, col)[2] if size_gb >= cap_gb else None
+    over_cap = cut_micros is not None          # nothing to cut without a cutoff
+    cut = instant_micros(cut_micros)
+    action = "aged off" if over_cap else ("warning" if warning_gb <= size_gb < cap_gb else "none")
     both = (prices.select(F.col(col).alias("t"), F.lit("prices").alias("feed"))
             .unionByName(mix.select(F.col(col).alias("t"), F.lit("mix").alias("feed"))))
     old = F.col("t") < cut if over_cap else F.lit(False)

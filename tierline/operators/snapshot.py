@@ -57,9 +57,9 @@ def snapshot_lookback(gold: DataFrame, hours: int = LOOKBACK_HOURS, mix: MixSpec
                 .groupBy("entity")
                 .agg(F.min("avg_price").alias("range_min"), F.max("avg_price").alias("range_max")))
     cur = gold.filter(F.col("window_start") == latest)
+    extra = [c for c in (mix.share_col, *mix.components, "computed_at") if c in gold.columns]
     return (cur.join(lookback, "entity")
-            .select("entity", "window_start", "window_end", "avg_price", "range_min", "range_max",
-                    mix.share_col, *mix.components, "computed_at")
+            .select("entity", "window_start", "window_end", "avg_price", "range_min", "range_max", *extra)
             .orderBy("entity"))
 
 
@@ -68,8 +68,8 @@ def price_history(gold: DataFrame) -> DataFrame:
 
 
 def mix_history(gold: DataFrame, mix: MixSpec = DEFAULT_MIX) -> DataFrame:
-    return (gold.select("entity", "window_start", "window_end", "avg_price", mix.share_col, *mix.components)
-            .orderBy("entity", "window_start"))
+    extra = [c for c in (mix.share_col, *mix.components) if c in gold.columns]
+    return gold.select("entity", "window_start", "window_end", "avg_price", *extra).orderBy("entity", "window_start")
 
 
 def filter_entities(df: DataFrame, entities: list[str]) -> DataFrame:
