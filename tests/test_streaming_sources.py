@@ -132,3 +132,15 @@ def test_silver_append_partitions_by_event_date(spark, tmp_dir):
     append(rows(spark, [(ts(0, day=3), 3.0)]), tmp_dir, "event_date", "interval_start")
     back = spark.read.parquet(tmp_dir)
     assert back.count() == 3 and back.select("event_date").distinct().count() == 3
+
+
+def test_unreadable_landed_file_is_skipped(spark, tmp_dir):
+    import os
+
+    path = f"{tmp_dir}/parquet"
+    L.write_landed(rows(spark, [(ts(0), 1.0), (ts(1), 2.0)]), path, "parquet")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    with open(os.path.join(local, "part-99999-broken.parquet"), "wb") as fh:
+        fh.write(b"not a parquet file")
+    got = L.read_landed(spark, path, PRICES, "parquet", skip_bad_files=True)
+    assert sorted(r.price for r in got.collect()) == [1.0, 2.0]
