@@ -65,3 +65,25 @@ def test_query_matches_oracle(spark, duck, name):
     oc, o = _rows(ocols, cur.fetchall())
     assert sc == oc
     assert s == o
+
+
+def test_results_do_not_depend_on_python_time_zone(spark, duck):
+    """Timestamps are handed out as UTC wall-clock, whatever the reader's zone."""
+    import os
+    import time
+
+    old = os.environ.get("TZ")
+    os.environ["TZ"] = "America/New_York"
+    time.tzset()
+    try:
+        df = QUERIES["latest_rows"](spark, SF_SMALL)
+        sc, s = _rows(df.columns, [tuple(r) for r in df.collect()])
+        cur = duck.execute(ORACLE["latest_rows"])
+        oc, o = _rows([d[0] for d in cur.description], cur.fetchall())
+        assert sc == oc and s == o
+    finally:
+        if old is None:
+            os.environ.pop("TZ", None)
+        else:
+            os.environ["TZ"] = old
+        time.tzset()
