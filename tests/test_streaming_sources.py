@@ -144,3 +144,13 @@ def test_unreadable_landed_file_is_skipped(spark, tmp_dir):
         fh.write(b"not a parquet file")
     got = L.read_landed(spark, path, PRICES, "parquet", skip_bad_files=True)
     assert sorted(r.price for r in got.collect()) == [1.0, 2.0]
+
+
+def test_dedup_stream_precombine_hot_copies(spark, tmp_dir):
+    landing, sink, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    hot = [(ts(0), 1.0)] * 300                          # one row sent very many times
+    ST.land(rows(spark, hot + [(ts(1), 2.0), (ts(2), 3.0)]).repartition(4), landing, files=4)
+    stream = ST.dedup_stream(ST.file_stream(spark, landing, PRICES), precombine=True)
+    ST.run_available(ST.to_parquet(stream, sink, ckpt))
+    got = sorted((r.interval_start, r.price) for r in spark.read.parquet(sink).collect())
+    assert got == [(ts(0), 1.0), (ts(1), 2.0), (ts(2), 3.0)]

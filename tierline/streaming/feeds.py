@@ -121,12 +121,32 @@ def gold_join_stream(prices: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_
         spec.share_col, *spec.components)
 
 
-def dedup_stream(prices: DataFrame, delay: str = "2 days") -> DataFrame:
+def precombine_copies(df: DataFrame) -> DataFrame:
+    """Drop exact copies inside each Arrow batch of each partition.
+
+    Stateless and without a shuffle (allowed in a stream), so it runs before
+    the stateful dedup's shuffle: a feed re-sending one row many times then
+    sends at most one copy per batch to the task that owns the key. It moves
+    the rows through Python (Arrow batches), so it is opt-in.
+    """
+    def drop_copies(batches):
+        for pdf in batches:
+            yield pdf.drop_duplicates()
+    return df.mapInPandas(drop_copies, df.schema)
+
+
+def dedup_stream(prices: DataFrame, delay: str = "2 days", precombine: bool = False) -> DataFrame:
     """Silver idempotence on a stream: one row per (entity, start, location),
-    with null location treated as empty, remembered for ``delay`` of event time."""
+    with null location treated as empty, remembered for ``delay`` of event time.
+
+    Spark's streaming dedup has no map-side combine; ``precombine=True`` adds
+    ``precombine_copies`` for feeds where one row can arrive very many times.
+    """
     rows = (prices.filter(F.col("entity").isNotNull() & F.col("interval_start").isNotNull()
                           & F.col("price").isNotNull())
             .withColumn("__loc", F.coalesce(F.col("location"), F.lit(""))))
+    if precombine:
+        rows = precombine_copies(rows)
     return (rows.withWatermark("interval_start", delay)
             .dropDuplicatesWithinWatermark(["entity", "interval_start", "__loc"])
             .drop("__loc"))
