@@ -125,13 +125,26 @@ def _between(df: DataFrame, col: str, since, until) -> DataFrame:
     return df
 
 
+def _landed(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A raw feed batch as landed files: written once per session to the
+    shared folder and read back, as the feed reaches the pipeline in production."""
+    def land() -> DataFrame:
+        from tierline.session import fresh_dir
+
+        path = fresh_dir(spark, "landed-" + "-".join(str(k) for k in key[:1]))
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+    return session_memo(spark, key, land)
+
+
 def raw_prices_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     """Binding X raw price feed: API column names, text values, dirt, repeats.
 
-    ``since``/``until`` cut the feed into arrival batches by event time.
+    ``since``/``until`` cut the feed into arrival batches by event time; each
+    batch is landed as files once per session and read from there.
     """
-    return session_memo(spark, ("raw_prices_x", sf_dir, since, until),
-                        lambda: _raw_prices_x(spark, sf_dir, since, until))
+    return _landed(spark, ("raw_prices_x", sf_dir, since, until),
+                   lambda: _raw_prices_x(spark, sf_dir, since, until))
 
 
 def _raw_prices_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
@@ -163,8 +176,9 @@ _X_MIX_NAMES = ("Natural Gas", "Wind", "Solar", "Coal", "Nuclear", "Other")
 
 
 def raw_mix_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
-    return session_memo(spark, ("raw_mix_x", sf_dir, since, until),
-                        lambda: _raw_mix_x(spark, sf_dir, since, until))
+    """Binding X raw mix feed batch, landed as files once per session (see raw_prices_x)."""
+    return _landed(spark, ("raw_mix_x", sf_dir, since, until),
+                   lambda: _raw_mix_x(spark, sf_dir, since, until))
 
 
 def _raw_mix_x(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
