@@ -72,6 +72,12 @@ def kth_instant(df: DataFrame, col: str, k: int):
     day = _pick(vals.groupBy(F.date_trunc("day", t).alias("b")).agg(cnt), k)
     if day is None:
         return None
+    return _kth_in_day(vals, t, day, k)
+
+
+def _kth_in_day(vals: DataFrame, t: Column, day: tuple, k: int):
+    """Rounds two and three of ``kth_instant`` inside the chosen day."""
+    cnt = F.count(F.lit(1)).alias("cnt")
     r1 = k - day[1]
     d0 = instant_micros(day[0])
     in_day = vals.filter((t >= d0) & (t < d0 + F.expr("INTERVAL 1 DAY")))
@@ -82,16 +88,26 @@ def kth_instant(df: DataFrame, col: str, k: int):
     return _pick(in_sec.groupBy(t.alias("b")).agg(cnt), r2)[0]
 
 
-def median_position(n: int) -> int:
-    """0-based position n / 2 rounded half to even (2, 2, 3, 4 for n = 4..7)."""
-    return round(n / 2)
-
-
 def median_cutoff_value(df: DataFrame, col: str = "ingested_at"):
-    """(n, k, cutoff as epoch microseconds) of the older-half cut."""
-    n = df.agg(F.count(col)).first()[0]
-    k = median_position(n)
-    return n, k, kth_instant(df, col, k)
+    """(n, k, cutoff as epoch microseconds) of the older-half cut.
+
+    The first selection round also yields n (the total of the per-day counts),
+    so n, k = rint(n / 2) and the chosen day come from one job.
+    """
+    t = F.col(col).cast("timestamp")
+    vals = df.filter(F.col(col).isNotNull())
+    days = vals.groupBy(F.date_trunc("day", t).alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = (days.withColumn("n", F.sum("cnt").over(Window.partitionBy()))
+         .withColumn("k", F.rint(F.col("n") / F.lit(2.0)).cast("bigint"))
+         .withColumn("cum", F.sum("cnt").over(w))
+         .withColumn("prev", F.col("cum") - F.col("cnt")))
+    row = (c.filter((F.col("prev") <= F.col("k")) & (F.col("k") < F.col("cum")))
+           .select(F.unix_micros("b").alias("b"), "prev", "n", "k").first())
+    if row is None:
+        return 0, 0, None
+    n, k = row["n"], row["k"]
+    return n, k, _kth_in_day(vals, t, (row["b"], row["prev"]), k)
 
 
 def median_cutoff_instant(df: DataFrame, col: str = "ingested_at") -> Column:
