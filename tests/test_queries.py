@@ -87,3 +87,24 @@ def test_results_do_not_depend_on_python_time_zone(spark, duck):
         else:
             os.environ["TZ"] = old
         time.tzset()
+
+
+# Queries that run streams or writes while being defined; their read-back has no joins.
+_EAGER = {"stream_gold", "stream_late_rows", "stream_dedup", "stream_gold_join", "stream_medallion",
+          "stream_two_feeds", "archive_export", "archive_listing", "land_prices_json", "land_mix_csv",
+          "evolve_schema_files", "retention_rewrite"}
+
+
+def test_no_query_plans_a_nested_loop_or_cartesian_join(spark):
+    """With broadcast joins off (the at-scale plan), every join is an equi-join."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bad = []
+        for name in sorted(set(QUERIES) - _EAGER):
+            plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            if "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan:
+                bad.append(name)
+        assert bad == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
