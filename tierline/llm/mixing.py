@@ -54,8 +54,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
 def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> list[int]:
     """Seats by highest quotients votes / (2 k + 1), each party up to its ``most``; ties to the lower index.
 
-    All but the last few seats are dealt at once: with divisor d a party surely
-    has floor(votes / d - 1/2) seats when the sum of those stays below ``seats``.
+    All but the last few seats are dealt at once: the seats whose quotient is at
+    least d / 2, floor(votes / d + 1/2) of each party, come before all others.
     """
     n = len(votes)
     seats = min(seats, sum(m for v, m in zip(votes, most) if v > 0))
@@ -64,7 +64,7 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> lis
         return got
 
     def at(d: float) -> list[int]:
-        return [min(m, max(0, math.floor(v / d - 0.5))) if v > 0 else 0 for v, m in zip(votes, most)]
+        return [min(m, max(0, math.floor(v / d + 0.5))) if v > 0 else 0 for v, m in zip(votes, most)]
 
     low, high = 0.0, 4.0 * max(votes) + 1      # at(high) is all zero; a small divisor fills every party
     for _ in range(200):

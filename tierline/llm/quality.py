@@ -193,7 +193,7 @@ def _rescale(pdf: pd.DataFrame) -> pd.DataFrame:
     n = best["n"].to_numpy()
     middle = int(np.searchsorted(np.cumsum(n), n.sum() / 2))
     factor = max(1.0, _edge(best["bin"].iloc[middle]) / 4.351)   # median of chi-square, 5 degrees
-    row = best.iloc[0].to_dict()
+    row = {c: best[c].iloc[0] for c in best.columns}    # column by column: a row of mixed types would turn ids into floats
     row |= {f"p{i}{j}": row[f"p{i}{j}"] / factor for i in range(DIM) for j in range(i, DIM)}
     return _frame([{k: row[k] for k in _frame([]).columns}])
 
