@@ -29,7 +29,7 @@ def test_stream_restart_emits_each_hour_once(spark, tmp_dir):
     landing, sink, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
     ST.land(rows(spark, [(ts(0, 10), 10.0), (ts(1, 10), 20.0)]), landing, files=1)
     run = lambda: ST.run_available(ST.to_parquet(
-        ST.hourly_price_stream(ST.file_stream(spark, landing, PRICES)), sink, ckpt))
+        ST.hourly_price_stream(ST.file_stream(spark, landing, PRICES), "0 seconds"), sink, ckpt))
     run()
     first = {r.window_start: r.avg_price for r in spark.read.parquet(sink).collect()}
     assert first == {ts(0): 10.0}                       # hour 1 still open
@@ -45,7 +45,7 @@ def test_dedup_stream_across_batches(spark, tmp_dir):
     landing, sink, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
     ST.land(rows(spark, [(ts(0), 1.0), (ts(0), 1.0), (ts(1), 2.0)]), landing, files=1)
     for _ in range(2):
-        ST.run_available(ST.to_parquet(ST.dedup_stream(ST.file_stream(spark, landing, PRICES)), sink, ckpt))
+        ST.run_available(ST.to_parquet(ST.dedup_stream(ST.file_stream(spark, landing, PRICES), "2 days"), sink, ckpt))
         ST.land(rows(spark, [(ts(1), 2.0), (ts(2), 3.0)]), landing, files=1)
     assert sorted(r.interval_start for r in spark.read.parquet(sink).collect()) == [ts(0), ts(1), ts(2)]
 
@@ -146,11 +146,35 @@ def test_unreadable_landed_file_is_skipped(spark, tmp_dir):
     assert sorted(r.price for r in got.collect()) == [1.0, 2.0]
 
 
-def test_dedup_stream_precombine_hot_copies(spark, tmp_dir):
+def test_dedup_stream_keeps_rows_of_one_key_that_differ(spark, tmp_dir):
     landing, sink, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
-    hot = [(ts(0), 1.0)] * 300                          # one row sent very many times
-    ST.land(rows(spark, hot + [(ts(1), 2.0), (ts(2), 3.0)]).repartition(4), landing, files=4)
-    stream = ST.dedup_stream(ST.file_stream(spark, landing, PRICES), precombine=True)
-    ST.run_available(ST.to_parquet(stream, sink, ckpt))
-    got = sorted((r.interval_start, r.price) for r in spark.read.parquet(sink).collect())
-    assert got == [(ts(0), 1.0), (ts(1), 2.0), (ts(2), 3.0)]
+    ST.land(rows(spark, [(ts(0), 1.0), (ts(0), 1.0), (ts(0), 1.5)]), landing)
+    ST.run_available(ST.to_parquet(ST.dedup_stream(ST.file_stream(spark, landing, PRICES), "2 days"), sink, ckpt))
+    assert sorted(r.price for r in spark.read.parquet(sink).collect()) == [1.0, 1.5]
+
+
+def test_prior_raises_on_an_unreadable_table(spark, tmp_dir):
+    import os
+
+    import pytest
+
+    assert ST.MedallionBatch._prior(spark, f"{tmp_dir}/none", None) is None
+    os.makedirs(f"{tmp_dir}/broken/batch_id=0")
+    with open(f"{tmp_dir}/broken/batch_id=0/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        ST.MedallionBatch._prior(spark, f"{tmp_dir}/broken", None)
+
+
+def test_medallion_keeps_bronze_and_quarantine(spark, tmp_dir):
+    raw = B.raw_prices_x(spark, SF_SMALL, until="2024-01-10 00:00:00")
+    body = ST.MedallionBatch(f"{tmp_dir}/silver", f"{tmp_dir}/gold", B.mix_e(spark, SF_SMALL), B.E_MIX, "2024-02-01 00:00:00",
+                             bronze_path=f"{tmp_dir}/bronze", quarantine_path=f"{tmp_dir}/quarantine")
+    body(raw, 0)
+    assert spark.read.parquet(f"{tmp_dir}/bronze").count() == raw.count()
+    held = spark.read.parquet(f"{tmp_dir}/quarantine")
+    assert held.count() > 0
+    silver = spark.read.parquet(f"{tmp_dir}/silver")
+    assert "event_date" in silver.columns
+    body(raw, 1)       # a later batch prunes the stored silver by date and adds nothing
+    assert spark.read.parquet(f"{tmp_dir}/silver").count() == silver.count()

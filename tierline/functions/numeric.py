@@ -3,14 +3,13 @@
 Two things make naive results engine-dependent: the order in which doubles
 are summed (it differs with partitioning) and the rounding rule of the
 built-in ROUND. Sums here are taken over integers (the value in units of
-10^-4, rounded half away from zero), which is exact and order-free, and
-rounding is written out as one fixed formula.
-
-Integer sums run on Spark's primitive-long fast path: measured on lineitem,
-ten of them cost about what ten double sums cost, while DECIMAL(18,4) sums
-(whose DECIMAL(28,4) buffers leave the compact-long path) cost five times as
-much. The mean of scaled integers is (double(S) / 10^4) / n, which equals the
-DECIMAL form's double(S / 10^4) / n bit for bit.
+10^-8, rounded half away from zero), which is order-free, and rounding is
+written out as one fixed formula.
+
+Integer sums run on Spark's primitive-long fast path, where DECIMAL sums cost
+about five times as much. A sum that leaves the 64-bit range, or a value that
+would, falls back to the plain double sum: large values are never saturated
+and never fail the job.
 """
 
 from __future__ import annotations
@@ -21,9 +20,11 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Inputs are held to this many decimals for exact sums (the stated limit).
-EXACT_SCALE = 4
-EXACT_PRECISION = 18
+# Order-free sums hold their inputs to this many decimals, and to magnitudes below EXACT_LIMIT.
+EXACT_SCALE = 8
+EXACT_LIMIT = 9e9
+# Doubles from here on have no fraction left to round.
+WHOLE_FROM = 2.0 ** 52
 
 # A number as text: optional sign, digits with optional fraction (or a bare
 # fraction), optional exponent. Rejects Spark-only forms such as "12.5f" or
@@ -36,47 +37,52 @@ def col_(c) -> Column:
 
 
 def round_half_away(c, digits: int = 2) -> Column:
-    """sign(x) * floor(|x| * 10^d + 0.5) / 10^d, the same formula as the oracle."""
-    c = col_(c)
+    """sign(x) * floor(|x| * 10^d + 0.5) / 10^d; a value with no fraction left (or NaN) as it is.
+
+    Spark's floor of a double is a BIGINT, so the formula must not see values
+    beyond its range.
+    """
+    c = col_(c).cast("double")
     scale = float(10 ** digits)
-    return F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    rounded = F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(F.abs(c) < F.lit(WHOLE_FROM / scale), rounded).otherwise(c)
 
 
 SCALE = float(10 ** EXACT_SCALE)
 
 
-def as_exact(c) -> Column:
-    return col_(c).cast(f"decimal({EXACT_PRECISION},{EXACT_SCALE})")
-
-
 def scaled(c) -> Column:
-    """The value in units of 10^-4 as BIGINT, rounded half away from zero."""
-    c = col_(c)
-    return (F.signum(c) * F.floor(F.abs(c) * F.lit(SCALE) + F.lit(0.5))).cast("bigint")
+    """The value in units of 10^-8 as BIGINT, rounded half away from zero; null from EXACT_LIMIT on."""
+    c = col_(c).cast("double")
+    units = (F.signum(c) * F.floor(F.abs(c) * F.lit(SCALE) + F.lit(0.5))).cast("bigint")
+    return F.when(F.abs(c) < F.lit(EXACT_LIMIT), units)
 
 
-def exact_sum(c) -> Column:
-    """Order-independent sum, returned as DOUBLE (null when no non-null input)."""
-    return F.sum(scaled(c)).cast("double") / F.lit(SCALE)
+def exact_sum(c, over=None) -> Column:
+    """Order-independent sum as DOUBLE (null when no non-null input), optionally over a window.
+
+    With a value from EXACT_LIMIT on, or a sum outside 64 bits, the plain double
+    sum.
+    """
+    c = col_(c).cast("double")
+    agg = (lambda a: a.over(over)) if over is not None else (lambda a: a)
+    plain = agg(F.sum(c))
+    exact = agg(F.try_sum(scaled(c))).cast("double") / F.lit(SCALE)
+    return F.when(agg(F.max(F.abs(c))) >= F.lit(EXACT_LIMIT), plain).otherwise(F.coalesce(exact, plain))
 
 
 def exact_mean(c) -> Column:
     """Order-independent mean: exact integer sum, then fixed double divisions."""
-    return exact_sum(c) / F.count(col_(c))
+    return exact_sum(c) / F.nullif(F.count(col_(c)), F.lit(0))
 
 
 def sample_stddev(c) -> Column:
-    """Sample standard deviation (n-1) from exact moments.
+    """Sample standard deviation (n - 1), null for fewer than two values.
 
-    var = (sum(x^2) - sum(x)^2 / n) / (n - 1); both sums are exact decimals and
-    the combination is done once in double. Null for fewer than two values.
+    The built-in merges centred moments, so equal values give exactly 0 and
+    large values with a small spread do not cancel.
     """
-    x = as_exact(c)
-    n = F.count(col_(c))
-    s1 = F.sum(x).cast("double")
-    s2 = F.sum(x * x).cast("double")
-    var = (s2 - s1 * s1 / n) / F.nullif(n - F.lit(1), F.lit(0))
-    return F.sqrt(F.when(var < F.lit(0.0), F.lit(0.0)).otherwise(var))
+    return F.stddev_samp(col_(c).cast("double"))
 
 
 def coerce_numeric(c, fill: float | None = 0.0) -> Column:

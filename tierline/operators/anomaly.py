@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions.numeric import exact_mean, round_half_away, sample_stddev
 from tierline.operators.snapshot import latest_rows
-from tierline.settings import DEFAULT_THRESHOLDS, MSG_Z_FLAT, MSG_Z_SCORE, MSG_Z_SHORT, Thresholds
+from tierline.settings import DEFAULT_THRESHOLDS, MSG_Z_FLAT, MSG_Z_NO_VALUE, MSG_Z_SCORE, MSG_Z_SHORT, Thresholds
 
 STAT_DIGITS = 6   # published precision of the baseline statistics
 
@@ -64,12 +64,12 @@ def anomaly_status(z: Column, th: Thresholds = DEFAULT_THRESHOLDS) -> Column:
 
 
 def anomaly_scores(gold: DataFrame, col: str = "avg_price", th: Thresholds = DEFAULT_THRESHOLDS,
-                   current: DataFrame | None = None) -> DataFrame:
+                   current: DataFrame | None = None, approx: bool = False) -> DataFrame:
     """Status of each entity's current value against its whole gold history.
 
     ``current`` defaults to the rows at the global latest window. The history
     includes the current hour. Output: entity, status, current_price, z_score
-    (2 decimals), reason, n, mean, std.
+    (2 decimals), reason, and the baseline: n, mean, std, q25, q75, spread.
     """
     cur = latest_rows(gold) if current is None else current
     vals = gold.filter(F.col(col).isNotNull())
@@ -77,6 +77,7 @@ def anomaly_scores(gold: DataFrame, col: str = "avg_price", th: Thresholds = DEF
         F.count(col).alias("n"),
         exact_mean(col).alias("mean"),
         sample_stddev(col).alias("std"),
+        _quartiles(col, approx).alias("q"),
     )
     j = cur.select("entity", F.col(col).alias("current_price")).join(base, "entity", "left")
     enough = F.coalesce(F.col("n"), F.lit(0)) >= th.min_points
@@ -85,6 +86,7 @@ def anomaly_scores(gold: DataFrame, col: str = "avg_price", th: Thresholds = DEF
     status = F.when(~enough, F.lit("grey")).otherwise(anomaly_status(z, th))
     reason = (F.when(~enough, F.lit(MSG_Z_SHORT % th.min_points))
               .when(z_ok, F.format_string(MSG_Z_SCORE, z))
+              .when(F.col("current_price").isNull() | F.isnan("current_price"), F.lit(MSG_Z_NO_VALUE))
               .otherwise(F.lit(MSG_Z_FLAT)))
     return j.select(
         "entity", status.alias("status"), "current_price",
@@ -93,4 +95,7 @@ def anomaly_scores(gold: DataFrame, col: str = "avg_price", th: Thresholds = DEF
         F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n"),
         round_half_away(F.col("mean"), STAT_DIGITS).alias("mean"),
         round_half_away(F.col("std"), STAT_DIGITS).alias("std"),
+        round_half_away(F.col("q")[0], STAT_DIGITS).alias("q25"),
+        round_half_away(F.col("q")[1], STAT_DIGITS).alias("q75"),
+        round_half_away(F.col("q")[1] - F.col("q")[0], STAT_DIGITS).alias("spread"),
     )

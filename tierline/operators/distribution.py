@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierline.functions.numeric import SCALE, exact_mean, round_half_away, scaled
+from tierline.functions.numeric import exact_mean, exact_sum, round_half_away
 from tierline.operators.snapshot import latest_rows
 from tierline.settings import DEFAULT_MIX, HISTOGRAM_BINS, MIX_DISPLAY_MIN, MixSpec
 
@@ -126,7 +126,7 @@ def mix_timeseries(gold: DataFrame, mix: MixSpec = DEFAULT_MIX) -> DataFrame:
     """Mix series in long form, nulls as 0, without components whose total for
     the entity is 0 (an all-zero series is not drawn)."""
     long = _long_mix(gold, mix).withColumn("value", F.coalesce(F.col("value"), F.lit(0.0)))
-    totals = (long.groupBy("entity", "component").agg(F.sum(scaled("value")).alias("total"))
+    totals = (long.groupBy("entity", "component").agg(exact_sum("value").alias("total"))
               .filter(F.col("total") != 0).select("entity", "component"))
     return long.join(totals, ["entity", "component"], "left_semi")
 
@@ -136,7 +136,7 @@ def mix_share(gold: DataFrame, mix: MixSpec = DEFAULT_MIX, min_value: float = MI
     ``min_value``, rounded to 1 decimal, as percent of the shown total."""
     long = _long_mix(latest_rows(gold), mix).filter(F.col("value") > min_value)
     shown = long.withColumn("value", round_half_away(F.col("value"), 1))
-    total = F.sum(scaled("value")).over(Window.partitionBy("entity")).cast("double") / F.lit(SCALE)
+    total = exact_sum("value", over=Window.partitionBy("entity"))
     return shown.select("entity", "component", "value",
                         round_half_away(F.col("value") / total * F.lit(100.0), 2).alias("pct"))
 

@@ -72,17 +72,23 @@ def gold_incremental(prices: DataFrame, mix: DataFrame, existing_gold: DataFrame
     """Gold rows for (entity, hour) pairs not yet in ``existing_gold``.
 
     First write wins: an hour already summarized is never recomputed, even if
-    later rows for it arrive. The mix side is pruned to the incoming time range
-    by scalar subqueries, which reach the scan as partition filters when the
-    mix table is partitioned by date.
+    later rows for it arrive. Existing gold and the mix are pruned to the
+    incoming time range, and to its dates when they are stored by date
+    (``window_date``, ``event_date``).
     """
     # The NOT-IN predicate depends only on the group key, so filtering groups
     # after aggregating equals filtering rows before: the shuffle then moves
     # partial aggregates, and the anti-join sees one row per (entity, hour).
-    agg = hourly_prices(prices).join(existing_gold.select(*KEY), KEY, "left_anti")
     b = prices.agg(F.struct(hour_start(F.min("interval_start")).alias("lo"),
                             plus_hours(hour_start(F.max("interval_start")), 1).alias("hi"))).scalar()
-    m = mix.filter((F.col(spec.time_col) >= b.getField("lo")) & (F.col(spec.time_col) < b.getField("hi")))
+    lo, hi = b.getField("lo"), b.getField("hi")
+    known = existing_gold.filter((F.col("window_start") >= lo) & (F.col("window_start") < hi))
+    if "window_date" in existing_gold.columns:     # Spark derives no date range from a time range
+        known = known.filter((F.col("window_date") >= F.to_date(lo)) & (F.col("window_date") <= F.to_date(hi)))
+    agg = hourly_prices(prices).join(known.select(*KEY), KEY, "left_anti")
+    m = mix.filter((F.col(spec.time_col) >= lo) & (F.col(spec.time_col) < hi))
+    if "event_date" in mix.columns:
+        m = m.filter((F.col("event_date") >= F.to_date(lo)) & (F.col("event_date") <= F.to_date(hi)))
     return _assemble(agg, hourly_mix(m, spec), spec, computed_at)
 
 

@@ -177,10 +177,10 @@ def list_files(spark, path: str, glob: str = "*.parquet") -> DataFrame:
 
 
 def archive_listing(spark, path: str, limit: int = ARCHIVE_LISTING_LIMIT) -> DataFrame:
-    """Newest archive files first (by name, which leads with the export time), size in MB."""
+    """Newest archive files first (by modification time, then name), size in MB."""
     files = list_files(spark, path).withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
     return (files.withColumn("size_mb", round_half_away(F.col("size_bytes") / F.lit(1024.0 ** 2), 1))
-            .orderBy(F.col("file_path").desc()).limit(limit))
+            .orderBy(F.col("modified").desc(), F.col("file_path").desc()).limit(limit))
 
 
 def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",

@@ -23,6 +23,7 @@ from tierline.operators.contracts import contract_report, gate_by_entity
 from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_CONTRACT, PRICE_SILVER_COLUMNS, MixSpec
 
 PRICE_KEY = ["entity", "interval_start", "__loc"]
+DATE_COL = "event_date"     # partition column of a stored silver table
 
 
 def _time_pruned(existing: DataFrame, incoming: DataFrame, time_col: str) -> DataFrame:
@@ -32,7 +33,10 @@ def _time_pruned(existing: DataFrame, incoming: DataFrame, time_col: str) -> Dat
     map-side), a superset of the range of the rows that survive the gate.
     """
     b = incoming.agg(F.struct(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))).scalar()
-    return existing.filter((F.col(time_col) >= b.getField("lo")) & (F.col(time_col) <= b.getField("hi")))
+    rows = existing.filter((F.col(time_col) >= b.getField("lo")) & (F.col(time_col) <= b.getField("hi")))
+    if DATE_COL in existing.columns:     # Spark derives no date range from a time range
+        rows = rows.filter((F.col(DATE_COL) >= F.to_date(b.getField("lo"))) & (F.col(DATE_COL) <= F.to_date(b.getField("hi"))))
+    return rows
 
 
 def new_price_rows(batch: DataFrame, existing: DataFrame | None, bounds_from: DataFrame | None = None) -> DataFrame:

@@ -239,9 +239,15 @@ def q_mix_share(spark, sf_dir):
 
 @query("history_summary")
 def q_history_summary(spark, sf_dir):
-    """Date range, rows, entities and hours per entity of the selected entities."""
+    """Date range, rows, entities and hours per entity of the whole history."""
+    return D.history_summary(gold_e(spark, sf_dir))
+
+
+@query("hours_per_selected")
+def q_hours_per_selected(spark, sf_dir):
+    """Rows and hours per entity of the selected entities."""
     g = SN.filter_entities(gold_e(spark, sf_dir), SELECTED_ENTITIES)
-    return D.history_summary(g, entities=len(SELECTED_ENTITIES))
+    return D.history_summary(g, entities=len(SELECTED_ENTITIES)).select("rows", "hours_per_entity")
 
 
 # --- normalization, contracts, silver (binding X) -------------------------------
@@ -612,6 +618,8 @@ def q_archive_listing(spark, sf_dir):
 # --- streaming (binding E / X landed as files) ------------------------------------------------
 
 STREAM_SPLIT = "2024-01-16 12:30:00"    # first landing batch ends inside an hour
+NO_DELAY = "0 seconds"                  # these feeds land in time order
+RESEND_DELAY = "60 days"                # a re-sent row may be as old as the whole feed
 
 
 def _stream_dirs(spark, label):
@@ -626,7 +634,7 @@ def q_stream_gold(spark, sf_dir):
     p = B.prices_e(spark, sf_dir)
     ST.land(p, landing)
     stream = ST.file_stream(spark, landing, p.schema)
-    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream), sink, ckpt))
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream, NO_DELAY), sink, ckpt))
     return spark.read.parquet(sink)
 
 
@@ -640,22 +648,26 @@ def q_stream_late_rows(spark, sf_dir):
     split = instant(STREAM_SPLIT)
     ST.land(p.filter(t < split), landing)
     stream = ST.file_stream(spark, landing, p.schema)
-    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream), sink, ckpt))
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(stream, NO_DELAY), sink, ckpt))
     late = p.filter((t >= instant(SPLIT_EARLY)) & (t < instant(SPLIT_LATE)))
     ST.land(p.filter(t >= split).unionByName(late), landing)
-    ST.run_available(ST.to_parquet(ST.hourly_price_stream(ST.file_stream(spark, landing, p.schema)), sink, ckpt))
+    ST.run_available(ST.to_parquet(ST.hourly_price_stream(ST.file_stream(spark, landing, p.schema), NO_DELAY), sink, ckpt))
     return spark.read.parquet(sink)
 
 
 @query("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    """Normalized raw feed, landed in two overlapping batches, deduplicated by key."""
+    """Normalized raw feed, landed in two overlapping batches, each distinct row once.
+
+    The first batch also holds corrected copies (same key, another market name),
+    which are rows of their own.
+    """
     landing, sink, ckpt = _stream_dirs(spark, "stream-dedup")
     first = B.raw_prices_x(spark, sf_dir, until=SPLIT_LATE)
-    ST.land(first, landing)
+    ST.land(first.unionByName(first.withColumn("Market", F.lit("CORRECTED"))), landing)
     for _ in range(2):
         stream = N.normalize_prices(ST.file_stream(spark, landing, first.schema))
-        ST.run_available(ST.to_parquet(ST.dedup_stream(stream), sink, ckpt))
+        ST.run_available(ST.to_parquet(ST.dedup_stream(stream, RESEND_DELAY), sink, ckpt))
         ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), landing)
     return spark.read.parquet(sink)
 
@@ -669,7 +681,7 @@ def q_stream_gold_join(spark, sf_dir):
     ST.land(m, f"{base}/mix")
     ps = ST.file_stream(spark, f"{base}/prices", p.schema)
     ms = ST.file_stream(spark, f"{base}/mix", m.schema)
-    ST.run_available(ST.to_parquet(ST.gold_join_stream(ps, ms, B.E_MIX), f"{base}/sink", f"{base}/checkpoint"))
+    ST.run_available(ST.to_parquet(ST.gold_join_stream(ps, ms, NO_DELAY, B.E_MIX), f"{base}/sink", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/sink")
 
 
@@ -683,9 +695,10 @@ def q_stream_medallion(spark, sf_dir):
     mix = mix_table_e(spark, sf_dir)
     for _ in range(2):
         ST.run_medallion(ST.file_stream(spark, landing, first.schema), f"{base}/silver", f"{base}/gold",
-                        f"{base}/checkpoint", mix, B.E_MIX, COMPUTED_AT)
+                        f"{base}/checkpoint", mix, B.E_MIX, COMPUTED_AT,
+                        bronze_path=f"{base}/bronze", quarantine_path=f"{base}/quarantine")
         ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), landing)
-    return spark.read.parquet(f"{base}/gold").drop("batch_id")
+    return spark.read.parquet(f"{base}/gold").drop("batch_id", "window_date")
 
 
 # --- landed-file sources (binding E written as files, read back) ---------------------------
@@ -747,7 +760,7 @@ def q_stream_two_feeds(spark, sf_dir):
                          f"{base}/silver-mix", computed_at=COMPUTED_AT)
         ST.land(B.raw_prices_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-prices")
         ST.land(B.raw_mix_x(spark, sf_dir, since=SPLIT_EARLY), f"{base}/landing-mix")
-    return spark.read.parquet(f"{base}/gold").drop("batch_id")
+    return spark.read.parquet(f"{base}/gold").drop("batch_id", "window_date")
 
 
 @query("evolve_schema_files")

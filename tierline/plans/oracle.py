@@ -8,7 +8,7 @@ guard. Tables are the pre-registered views named like the Parquet files.
 from __future__ import annotations
 
 from tierline import settings as S
-from tierline.functions.numeric import EXACT_PRECISION, EXACT_SCALE, NUMBER_PATTERN
+from tierline.functions.numeric import NUMBER_PATTERN
 
 
 def q(text: str) -> str:
@@ -21,13 +21,9 @@ def r2(x: str, digits: int = 2) -> str:
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5) / {scale})"
 
 
-def sc(x: str) -> str:
-    """The value in units of 10^-4 as BIGINT, rounded half away from zero."""
-    return f"CAST(sign({x}) * floor(abs({x}) * 10000.0 + 0.5) AS BIGINT)"
-
-
-def xsum(x: str) -> str:
-    return f"(CAST(SUM({sc(x)}) AS DOUBLE) / 10000.0)"
+def xsum(x: str, over: str = "") -> str:
+    """Decimal sum (8 decimals), independent of the order of rows."""
+    return f"CAST(SUM(CAST({x} AS DECIMAL(27,8))) {over} AS DOUBLE)"
 
 
 def xmean(x: str) -> str:
@@ -35,12 +31,7 @@ def xmean(x: str) -> str:
 
 
 def xstd(x: str) -> str:
-    d = f"CAST({x} AS DECIMAL({EXACT_PRECISION},{EXACT_SCALE}))"
-    s1 = f"CAST(SUM({d}) AS DOUBLE)"
-    s2 = f"CAST(SUM({d} * {d}) AS DOUBLE)"
-    n = f"COUNT({x})"
-    var = f"(({s2} - {s1} * {s1} / {n}) / NULLIF({n} - 1, 0))"
-    return f"sqrt(CASE WHEN {var} < 0.0 THEN 0.0 ELSE {var} END)"
+    return f"STDDEV_SAMP({x})"
 
 
 def coerce(x: str, fill: str = "0.0") -> str:
@@ -86,10 +77,9 @@ _mix_cols = ",\n         ".join(
 RAW_MIX_E = f"""
 raw_mix_e AS (
   SELECT event_type AS entity,
-         date_trunc('hour', ts) + to_minutes(CAST(floor(minute(ts) / 15) * 15 AS BIGINT)) AS time,
+         date_trunc('hour', ts) + to_minutes(CAST(floor(minute(ts) / 15) * 15 AS BIGINT)) + INTERVAL 1 HOUR AS time,
          {_mix_cols}
   FROM events
-  WHERE NOT (event_type = 'view' AND hour(ts) = 3)
   GROUP BY 1, 2)"""
 
 # share is taken over the already filled components, as on the Spark side
@@ -280,19 +270,22 @@ ANOMALY_CTES = (f"""cur AS (
                 """zj AS (
   SELECT cur.entity, current_price, n, mean, std, (current_price - mean) / NULLIF(std, 0.0) AS z
   FROM cur LEFT JOIN base ON cur.entity = base.entity)""",
+                spark_quantiles("gold", "avg_price", {"q25": 0.25, "q75": 0.75}),
                 f"""scores AS (
-  SELECT entity,
-         CASE WHEN COALESCE(n, 0) < 5 THEN 'grey'
+  SELECT zj.entity,
+         CASE WHEN COALESCE(zj.n, 0) < 5 THEN 'grey'
               WHEN z IS NULL OR isnan(z) THEN 'grey'
               WHEN abs(z) < 1.0 THEN 'green' WHEN abs(z) < 2.0 THEN 'yellow'
               WHEN abs(z) < 3.0 THEN 'red' ELSE 'critical' END AS status,
          current_price,
-         CASE WHEN COALESCE(n, 0) >= 5 AND z IS NOT NULL AND NOT isnan(z) THEN {r2("z")} END AS z_score,
-         CASE WHEN COALESCE(n, 0) < 5 THEN {q(S.MSG_Z_SHORT % 5)}
+         CASE WHEN COALESCE(zj.n, 0) >= 5 AND z IS NOT NULL AND NOT isnan(z) THEN {r2("z")} END AS z_score,
+         CASE WHEN COALESCE(zj.n, 0) < 5 THEN {q(S.MSG_Z_SHORT % 5)}
               WHEN z IS NOT NULL AND NOT isnan(z) THEN printf({q(S.MSG_Z_SCORE)}, z)
+              WHEN current_price IS NULL OR isnan(current_price) THEN {q(S.MSG_Z_NO_VALUE)}
               ELSE {q(S.MSG_Z_FLAT)} END AS reason,
-         COALESCE(n, 0) AS n, {r6("mean")} AS mean, {r6("std")} AS std
-  FROM zj)""")
+         COALESCE(zj.n, 0) AS n, {r6("mean")} AS mean, {r6("std")} AS std,
+         {r6("q25")} AS q25, {r6("q75")} AS q75, {r6("q75 - q25")} AS spread
+  FROM zj LEFT JOIN qt ON zj.entity = qt.entity)""")
 
 ORACLE["anomaly_scores"] = with_gold("SELECT * FROM scores", *ANOMALY_CTES)
 ORACLE["status_board"] = with_gold(f"""
@@ -349,7 +342,7 @@ _long = " UNION ALL ".join(
 ORACLE["mix_timeseries"] = with_gold("""
 SELECT l.entity, l.window_start, l.component, l.value FROM lg l
 JOIN (SELECT entity, component FROM lg GROUP BY entity, component
-      HAVING SUM(CAST(sign(value) * floor(abs(value) * 10000.0 + 0.5) AS BIGINT)) <> 0) t
+      HAVING SUM(CAST(value AS DECIMAL(27,8))) <> 0) t
   ON l.entity = t.entity AND l.component = t.component""",
     f"lg AS (SELECT entity, window_start, component, COALESCE(value, 0.0) AS value FROM ({_long}) u)")
 _long_latest = " UNION ALL ".join(
@@ -357,11 +350,14 @@ _long_latest = " UNION ALL ".join(
     for c in E_COMPONENTS)
 ORACLE["mix_share"] = with_gold(f"""
 SELECT entity, component, value,
-       {r2("value / (CAST(SUM(" + sc("value") + ") OVER (PARTITION BY entity) AS DOUBLE) / 10000.0) * 100.0")} AS pct
+       {r2("value / " + xsum("value", "OVER (PARTITION BY entity)") + " * 100.0")} AS pct
 FROM (SELECT entity, component, {r2("value", 1)} AS value FROM ({_long_latest}) u WHERE value > 1.0) s""")
 ORACLE["history_summary"] = with_gold("""
 SELECT MIN(window_start) AS first_window, MAX(window_start) AS last_window, COUNT(*) AS rows,
-       COUNT(DISTINCT entity) AS entities, CAST(floor(COUNT(*) / 3) AS BIGINT) AS hours_per_entity
+       COUNT(DISTINCT entity) AS entities, CAST(floor(COUNT(*) / COUNT(DISTINCT entity)) AS BIGINT) AS hours_per_entity
+FROM gold""")
+ORACLE["hours_per_selected"] = with_gold("""
+SELECT COUNT(*) AS rows, CAST(floor(COUNT(*) / 3) AS BIGINT) AS hours_per_entity
 FROM gold WHERE entity IN ('click', 'purchase', 'view')""")
 
 # --- binding X -----------------------------------------------------------------
@@ -762,8 +758,8 @@ SELECT entity, window_start, window_start + INTERVAL 1 HOUR AS window_end, avg_p
 FROM hp WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events)"""
 ORACLE["stream_gold"] = w(PRICES_E, hourly_prices_sql("prices_e")) + _HOURLY_CLOSED
 ORACLE["stream_late_rows"] = ORACLE["stream_gold"]
-ORACLE["stream_dedup"] = w(raw_x(), norm_x()) + """
-SELECT DISTINCT * FROM norm_x
+ORACLE["stream_dedup"] = w(raw_x(), norm_x(), raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1")) + """
+SELECT DISTINCT * FROM (SELECT * FROM norm_x UNION ALL SELECT * REPLACE ('CORRECTED' AS market) FROM nx1) u
 WHERE entity IS NOT NULL AND interval_start IS NOT NULL AND price IS NOT NULL"""
 ORACLE["stream_gold_join"] = with_gold(f"""
 SELECT entity, window_start, window_end, avg_price, max_price, min_price, share_pct, {", ".join(E_COMPONENTS)}

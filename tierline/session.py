@@ -77,6 +77,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     sc = _context(spark)
     if not base and sc is not None:
         base = sc.getCheckpointDir()
+    if not base and sc is not None and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if not base:
         base = tempfile.mkdtemp(prefix="tierline-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -110,6 +110,7 @@ MSG_UNKNOWN_TYPE = "Unknown type '%s' in contract for field '%s'"
 MSG_Z_SHORT = "insufficient data (need %d points)"
 MSG_Z_SCORE = "z_score=%.2f"
 MSG_Z_FLAT = "std=0"
+MSG_Z_NO_VALUE = "no current price"
 
 # --- fixed values: health check -> domain ---------------------------------
 CHECK_DOMAINS = {

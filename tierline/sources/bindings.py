@@ -26,7 +26,7 @@ from tierline.sources.tables import read_table, session_memo
 # --- fixed values: binding E ----------------------------------------------
 E_MIX = MixSpec(components=("c0", "c1", "c2", "c3", "c4", "c5"), share_of=("c1", "c2"))
 E_MIX_BUCKET_MINUTES = 15
-E_MIX_LEFT_OUT = ("view", 3)            # (event_type, hour of day) with no mix rows
+E_MIX_LAG_HOURS = 1                     # the mix feed is an hour behind, so prices begin without a mix
 E_SYNTHETIC_EVERY = 10                  # event_id % 10 = 0 -> market SYNTHETIC
 
 # --- fixed values: binding S ----------------------------------------------
@@ -74,21 +74,20 @@ def _raw_mix_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding E mix feed before normalization: components may be null.
 
     One row per (event_type, 15-minute bucket); component i is the exact sum
-    of ``value`` over the bucket's events with ``event_id % 6 = i``. The slice
-    E_MIX_LEFT_OUT has no mix rows, so gold has hours without a mix.
+    of ``value`` over the bucket's events with ``event_id % 6 = i``, stamped
+    E_MIX_LAG_HOURS later, so gold has hours without a mix.
     """
     ev = events(spark, sf_dir)
     ts = _instant("ts")
-    kind, hour = E_MIX_LEFT_OUT
-    kept = ev.filter(~((F.col("event_type") == kind) & (F.hour(ts) == hour)))
     slot = F.col("event_id") % len(E_MIX.components)
     aggs = [
         exact_sum(F.when(slot == i, F.col("value"))).alias(name)
         for i, name in enumerate(E_MIX.components)
     ]
-    return (kept
+    lag = F.make_dt_interval(F.lit(0), F.lit(E_MIX_LAG_HOURS))
+    return (ev
             .groupBy(F.col("event_type").alias("entity"),
-                     _bucket_start(ts, E_MIX_BUCKET_MINUTES).alias(E_MIX.time_col))
+                     (_bucket_start(ts, E_MIX_BUCKET_MINUTES) + lag).alias(E_MIX.time_col))
             .agg(*aggs))
 
 

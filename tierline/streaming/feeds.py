@@ -9,23 +9,24 @@ Checkpoints and sinks live under the shared folder (``session.shared_dir``),
 so a restarted driver or a lost executor resumes from the last commit. The
 ``foreachBatch`` medallion job writes every micro-batch to its own ``batch_id``
 folder with overwrite, so a replayed batch replaces its own output instead of
-duplicating it.
+duplicating it; inside it rows are partitioned by date, so a batch reads only
+its own dates of the tables written before.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions.numeric import SCALE, round_half_away, scaled
+from tierline.functions.numeric import exact_mean, round_half_away
 from tierline.operators import gold as G
-from tierline.operators.contracts import contract_report, gate_by_entity
+from tierline.operators.contracts import contract_report, gate_by_entity, quarantine
 from tierline.operators.normalize import normalize_mix, normalize_prices
 from tierline.operators.silver import new_mix_rows, new_price_rows
 from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_CONTRACT, MixSpec
 
-STREAM_TIMEOUT_S = 600
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,10 +45,9 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def land(df: DataFrame, landing: str, files: int | None = 4) -> None:
-    """Drop a batch of raw rows into the landing folder as new Parquet files
-    (at most ``files`` of them, merged without a shuffle; None keeps one file
-    per partition)."""
+def land(df: DataFrame, landing: str, files: int | None = None) -> None:
+    """Drop a batch of raw rows into the landing folder as new Parquet files,
+    one per partition (or at most ``files``, merged without a shuffle)."""
     out = df.coalesce(files) if files else df
     out.write.mode("append").parquet(landing)
 
@@ -60,10 +60,15 @@ def file_stream(spark: SparkSession, landing: str, schema, max_files: int | None
     return reader.parquet(landing)
 
 
-def run_available(stream_writer, timeout: int = STREAM_TIMEOUT_S):
-    """Start with ``availableNow``: process everything landed so far, then stop."""
+def run_available(stream_writer, timeout: int | None = None):
+    """Start with ``availableNow``: process everything landed so far, then stop.
+
+    No time limit unless the caller sets one: a backlog takes as long as it takes.
+    """
     q = stream_writer.trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError(f"stream did not finish within {timeout}s")
     if q.exception() is not None:
@@ -76,80 +81,84 @@ def to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append"):
             .option("checkpointLocation", checkpoint).outputMode(mode))
 
 
-def hourly_price_stream(prices: DataFrame, delay: str = "0 seconds", time_col: str = "interval_start") -> DataFrame:
-    """Tumbling one-hour avg/max/min per entity, emitted when the hour closes."""
+def hourly_price_stream(prices: DataFrame, delay: str, time_col: str = "interval_start") -> DataFrame:
+    """Tumbling one-hour avg/max/min per entity, emitted when the hour closes.
+
+    ``delay`` is how far behind the newest row a row may arrive and still count.
+    """
     w = F.window(F.col(time_col), "1 hour")
     agg = (prices.withWatermark(time_col, delay)
            .groupBy(w.alias("w"), F.col("entity"))
-           .agg(F.sum(scaled("price")).alias("s"), F.count("price").alias("n"),
+           .agg(exact_mean("price").alias("avg"),
                 F.max("price").alias("mx"), F.min("price").alias("mn")))
     return agg.select(
         "entity", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        round_half_away(F.col("s").cast("double") / F.lit(SCALE) / F.col("n")).alias("avg_price"),
+        round_half_away("avg").alias("avg_price"),
         round_half_away(F.col("mx")).alias("max_price"),
         round_half_away(F.col("mn")).alias("min_price"),
     )
 
 
-def hourly_mix_stream(mix: DataFrame, spec: MixSpec = DEFAULT_MIX, delay: str = "0 seconds") -> DataFrame:
+def hourly_mix_stream(mix: DataFrame, delay: str, spec: MixSpec = DEFAULT_MIX) -> DataFrame:
     w = F.window(F.col(spec.time_col), "1 hour")
     cols = [spec.share_col, *spec.components]
     agg = (mix.withWatermark(spec.time_col, delay)
            .groupBy(w.alias("w"), F.col("entity"))
-           .agg(*[F.sum(scaled(c)).alias(f"s_{c}") for c in cols],
-                *[F.count(c).alias(f"n_{c}") for c in cols]))
+           .agg(*[exact_mean(c).alias(f"a_{c}") for c in cols]))
     return agg.select(
         F.col("entity").alias("m_entity"), F.col("w").alias("m_w"),
-        *[round_half_away(F.col(f"s_{c}").cast("double") / F.lit(SCALE) / F.col(f"n_{c}")).alias(c) for c in cols])
+        *[round_half_away(f"a_{c}").alias(c) for c in cols])
 
 
-def gold_join_stream(prices: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX,
-                     delay: str = "0 seconds") -> DataFrame:
+def gold_join_stream(prices: DataFrame, mix: DataFrame, delay: str, spec: MixSpec = DEFAULT_MIX) -> DataFrame:
     """Hourly prices left-joined to hourly mix, both streaming (append mode)."""
     w = F.window(F.col("interval_start"), "1 hour")
     p = (prices.withWatermark("interval_start", delay)
          .groupBy(w.alias("w"), F.col("entity"))
-         .agg(F.sum(scaled("price")).alias("s"), F.count("price").alias("n"),
+         .agg(exact_mean("price").alias("avg"),
               F.max("price").alias("mx"), F.min("price").alias("mn")))
-    m = hourly_mix_stream(mix, spec, delay)
+    m = hourly_mix_stream(mix, delay, spec)
     j = p.join(m, (p.entity == m.m_entity) & (p.w == m.m_w), "left_outer")
     return j.select(
         "entity", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        round_half_away(F.col("s").cast("double") / F.lit(SCALE) / F.col("n")).alias("avg_price"),
+        round_half_away("avg").alias("avg_price"),
         round_half_away(F.col("mx")).alias("max_price"),
         round_half_away(F.col("mn")).alias("min_price"),
         spec.share_col, *spec.components)
 
 
-def precombine_copies(df: DataFrame) -> DataFrame:
-    """Drop exact copies inside each Arrow batch of each partition.
+def dedup_stream(prices: DataFrame, delay: str) -> DataFrame:
+    """Complete rows of a price stream, each distinct row once, remembered for ``delay`` of event time.
 
-    Stateless and without a shuffle (allowed in a stream), so it runs before
-    the stateful dedup's shuffle: a feed re-sending one row many times then
-    sends at most one copy per batch to the task that owns the key. It moves
-    the rows through Python (Arrow batches), so it is opt-in.
+    As in a silver batch, rows that share a key but differ all enter; what a key
+    of an earlier batch refuses is decided by ``MedallionBatch``, which reads
+    the table written so far. ``delay`` is how far behind the newest row a row
+    may arrive; later ones are dropped, so choose it from the feed.
     """
-    def drop_copies(batches):
-        for pdf in batches:
-            yield pdf.drop_duplicates()
-    return df.mapInPandas(drop_copies, df.schema)
+    rows = prices.filter(F.col("entity").isNotNull() & F.col("interval_start").isNotNull()
+                         & F.col("price").isNotNull())
+    return rows.withWatermark("interval_start", delay).dropDuplicatesWithinWatermark(prices.columns)
 
 
-def dedup_stream(prices: DataFrame, delay: str = "2 days", precombine: bool = False) -> DataFrame:
-    """Silver idempotence on a stream: one row per (entity, start, location),
-    with null location treated as empty, remembered for ``delay`` of event time.
+def write_batch(df: DataFrame, path: str, batch_id: int, date_col: str, time_col: str) -> None:
+    """One batch's rows in its own folder (overwritten by a replay), by date inside it."""
+    (df.withColumn(date_col, F.to_date(time_col)).write.mode("overwrite").partitionBy(date_col)
+     .parquet(f"{path}/batch_id={batch_id}"))
 
-    Spark's streaming dedup has no map-side combine; ``precombine=True`` adds
-    ``precombine_copies`` for feeds where one row can arrive very many times.
-    """
-    rows = (prices.filter(F.col("entity").isNotNull() & F.col("interval_start").isNotNull()
-                          & F.col("price").isNotNull())
-            .withColumn("__loc", F.coalesce(F.col("location"), F.lit(""))))
-    if precombine:
-        rows = precombine_copies(rows)
-    return (rows.withWatermark("interval_start", delay)
-            .dropDuplicatesWithinWatermark(["entity", "interval_start", "__loc"])
-            .drop("__loc"))
+
+def read_batch(spark: SparkSession, df: DataFrame, path: str, batch_id: int, date_col: str) -> DataFrame:
+    """The batch just written, without the partition column (schema given: it may be empty)."""
+    schema = df.withColumn(date_col, F.lit(None).cast("date")).schema
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}").drop(date_col)
+
+
+def keep_aside(raw: DataFrame, norm: DataFrame, report: DataFrame, bronze_path: str | None,
+               quarantine_path: str | None, batch_id: int) -> None:
+    """The batch as it came, and what the contract gate holds back, each to its own table."""
+    if bronze_path:
+        raw.write.mode("overwrite").parquet(f"{bronze_path}/batch_id={batch_id}")
+    if quarantine_path:
+        quarantine(norm, report).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
 
 
 class MedallionBatch:
@@ -161,9 +170,13 @@ class MedallionBatch:
     """
 
     def __init__(self, silver_path: str, gold_path: str, mix: DataFrame | str, spec: MixSpec = DEFAULT_MIX,
-                 computed_at=None):
+                 computed_at=None, bronze_path: str | None = None, quarantine_path: str | None = None):
         """``mix`` is the silver mix: a DataFrame, or the folder of a silver mix
-        table that another stream keeps (read as it stands at each batch)."""
+        table that another stream keeps (read as it stands at each batch).
+        ``bronze_path`` keeps every batch as it came, ``quarantine_path`` the
+        rows that the contract gate holds back."""
+        self.bronze_path = bronze_path
+        self.quarantine_path = quarantine_path
         self.silver_path = silver_path
         self.gold_path = gold_path
         self.mix = mix
@@ -172,11 +185,17 @@ class MedallionBatch:
 
     @staticmethod
     def _prior(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
-        """The rows of a batch-folder table written before ``batch_id`` (all when None)."""
+        """The rows of a batch-folder table written before ``batch_id`` (all when None).
+
+        Only a missing path means that no batch was written yet; any other
+        failure is raised, since an unread table would let every key in again.
+        """
         try:
             df = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - no batch written yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
         if batch_id is not None:
             df = df.filter(F.col("batch_id") < batch_id)
         return df.drop("batch_id")
@@ -196,23 +215,25 @@ class MedallionBatch:
         # source files for each. Released when the batch is done.
         norm = normalize_prices(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._load(spark, norm, batch_id)
+            self._load(spark, batch, norm, batch_id)
         finally:
             norm.unpersist()
 
-    def _load(self, spark: SparkSession, norm: DataFrame, batch_id: int) -> None:
-        gated = gate_by_entity(norm, contract_report(norm, PRICE_CONTRACT))
+    def _load(self, spark: SparkSession, raw: DataFrame, norm: DataFrame, batch_id: int) -> None:
+        report = contract_report(norm, PRICE_CONTRACT)
+        keep_aside(raw, norm, report, self.bronze_path, self.quarantine_path, batch_id)
+        gated = gate_by_entity(norm, report)
         silver_before = self._prior(spark, self.silver_path, batch_id)
         fresh = new_price_rows(gated, silver_before, bounds_from=norm)
-        fresh.write.mode("overwrite").parquet(f"{self.silver_path}/batch_id={batch_id}")
-        new_silver = spark.read.parquet(f"{self.silver_path}/batch_id={batch_id}")
+        write_batch(fresh, self.silver_path, batch_id, "event_date", "interval_start")
+        new_silver = read_batch(spark, fresh, self.silver_path, batch_id, "event_date")
         gold_before = self._prior(spark, self.gold_path, batch_id)
         mix = self._mix(spark)
         if gold_before is None:
             new_gold = G.gold_summary(new_silver, mix, self.spec, self.computed_at)
         else:
             new_gold = G.gold_incremental(new_silver, mix, gold_before, self.spec, self.computed_at)
-        new_gold.write.mode("overwrite").parquet(f"{self.gold_path}/batch_id={batch_id}")
+        write_batch(new_gold, self.gold_path, batch_id, "window_date", "window_start")
 
 
 class MixSilverBatch:
@@ -220,31 +241,36 @@ class MixSilverBatch:
     gate -> new silver mix rows, written to ``batch_id=N`` (overwrite, so a
     replayed batch replaces its own output)."""
 
-    def __init__(self, silver_path: str, spec: MixSpec = DEFAULT_MIX, contract=MIX_CONTRACT):
+    def __init__(self, silver_path: str, spec: MixSpec = DEFAULT_MIX, contract=MIX_CONTRACT,
+                 bronze_path: str | None = None, quarantine_path: str | None = None):
         self.silver_path = silver_path
         self.spec = spec
         self.contract = contract
+        self.bronze_path = bronze_path
+        self.quarantine_path = quarantine_path
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         norm = normalize_mix(batch, mix=self.spec).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            gated = gate_by_entity(norm, contract_report(norm, self.contract))
+            report = contract_report(norm, self.contract)
+            keep_aside(batch, norm, report, self.bronze_path, self.quarantine_path, batch_id)
+            gated = gate_by_entity(norm, report)
             before = MedallionBatch._prior(spark, self.silver_path, batch_id)
             fresh = new_mix_rows(gated, before, self.spec, bounds_from=norm)
-            fresh.write.mode("overwrite").parquet(f"{self.silver_path}/batch_id={batch_id}")
+            write_batch(fresh, self.silver_path, batch_id, "event_date", self.spec.time_col)
         finally:
             norm.unpersist()
 
 
-def run_mix_silver(raw_stream: DataFrame, silver_path: str, checkpoint: str, spec: MixSpec = DEFAULT_MIX):
-    writer = (raw_stream.writeStream.foreachBatch(MixSilverBatch(silver_path, spec))
+def run_mix_silver(raw_stream: DataFrame, silver_path: str, checkpoint: str, spec: MixSpec = DEFAULT_MIX, **aside):
+    writer = (raw_stream.writeStream.foreachBatch(MixSilverBatch(silver_path, spec, **aside))
               .option("checkpointLocation", checkpoint))
     return run_available(writer)
 
 
 def run_medallion(raw_stream: DataFrame, silver_path: str, gold_path: str, checkpoint: str,
-                 mix: DataFrame, spec: MixSpec = DEFAULT_MIX, computed_at=None):
-    body = MedallionBatch(silver_path, gold_path, mix, spec, computed_at)
+                 mix: DataFrame, spec: MixSpec = DEFAULT_MIX, computed_at=None, **aside):
+    body = MedallionBatch(silver_path, gold_path, mix, spec, computed_at, **aside)
     writer = raw_stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return run_available(writer)
