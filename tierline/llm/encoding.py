@@ -1,37 +1,44 @@
-"""Tokenizer access for Spark tasks: exact ids with a bounded memo of text chunks.
-
-A chunk ends at a space that stands between two Latin letters. Both public BPE
-vocabularies always break a pre-token there, normalise each side on its own and
-never let a special string span it, so a text's ids are the concatenation of
-its chunks' ids. Repeated chunks are then encoded once per memo generation.
+"""Tokenizer access for Spark tasks: exact ids with a bounded memo of text pieces.
+
+A text of plain characters only (printable ASCII, tab, line breaks and Latin-1
+letters) is split by the vocabulary's own pre-token pattern, whose classes are
+plain sets there; its normal form is the text itself or its lower case. Each
+distinct pre-token goes through the library's BPE model once per memo
+generation.
+
+Any other text is cut into chunks at spaces between two Latin letters. Both
+public vocabularies always break a pre-token there, normalise each side on its
+own and never let a special string span it, so a text's ids are the
+concatenation of its chunks' ids, each encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 from collections.abc import Callable, Sequence
 
 import public_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = re.compile(f"(?<=[{_LATIN}]) (?=[{_LATIN}])")
+_NOT_PLAIN = re.compile(f"[^ -~\\t\\n\\r{_LATIN[6:]}]|<\\|")     # "<|" may begin a special string
 
-MEMO_CHUNKS = 600_000   # entries kept before the memo starts afresh
+MEMO_PIECES = 800_000   # entries kept before a memo starts afresh
 MEMO_CHARS = 48         # longer chunks are encoded but not remembered
 
 _LOADED: dict[str, object] = {}
-_MEMOS: dict[tuple, "ChunkMemo"] = {}
+_MEMOS: dict[tuple, "PieceMemo"] = {}
 
 
 def load(name: str):
     """The tokenizer of a public vocabulary file, once per Python process."""
     if name not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         _LOADED[name] = Tokenizer.from_file(public_tokenizers.path(name))
     return _LOADED[name]
 
@@ -42,46 +49,72 @@ def version_digest(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class ChunkMemo:
-    """Encodes texts chunk by chunk; ``value`` turns a chunk's ids into what is kept."""
+class PieceMemo:
+    """Encodes texts piece by piece; ``value`` turns a piece's ids into what is kept."""
 
     def __init__(self, name: str, value: Callable):
         self.tokenizer = load(name)
         self.value = value
-        self.memo: dict[str, object] = {}
-
-    def _fill(self, chunks: set[str], into: dict) -> None:
+        self.chunks: dict[str, object] = {}
+        self.pretokens: dict[str, object] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        normal = json.dumps(spec["normalizer"])
+        self.lower = "Lowercase" in normal
+        split = [p for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
+        pattern = split[0]["pattern"]["Regex"] if split else public_tokenizers.PATTERN
+        # on plain characters the Unicode classes are these sets
+        inside = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(
+            r"[^\s\p{L}\p{N}]", f"[^ \\t\\n\\r0-9{_LATIN}]")
+        inside = inside.replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]")
+        inside = inside.replace(r"(?!\S)", r"(?![^ \t\n\r])").replace(r"\s", r"[ \t\n\r]")
+        self.pattern = re.compile(inside)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c) for c in (*range(32, 127), 9, 10, 13, *range(0xC0, 0x100))]
+        self.byte_level = str.maketrans({c: "".join(p for p, _ in level.pre_tokenize_str(c)) for c in plain})
+
+    def _fill_chunks(self, chunks: set[str], into: dict) -> None:
         todo = list(chunks)
         for at in range(0, len(todo), 2000):
             part = todo[at:at + 2000]
             for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 into[chunk] = self.value(enc.ids)
 
+    def _plain(self, text: str) -> list:
+        memo, bpe = self.pretokens, self.tokenizer.model.tokenize
+        parts = self.pattern.findall(text.lower() if self.lower else text)
+        new = set(parts).difference(memo)
+        for p in new:
+            memo[p] = self.value([t.id for t in bpe(p.translate(self.byte_level))])
+        out = [memo[p] for p in parts]
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del memo[p]
+        if len(memo) > MEMO_PIECES:
+            self.pretokens = {}
+        return out
+
+    def _mixed(self, text: str) -> list:
+        memo, extra = self.chunks, {}
+        first, *rest = _CUT.split(text)
+        parts = [first, *[" " + p for p in rest]]
+        new = set(parts).difference(memo)
+        self._fill_chunks({p for p in new if len(p) <= MEMO_CHARS}, memo)
+        self._fill_chunks({p for p in new if len(p) > MEMO_CHARS}, extra)
+        out = [extra[p] if p in extra else memo[p] for p in parts]
+        if len(memo) > MEMO_PIECES:
+            self.chunks = {}
+        return out
+
     def values(self, texts: Sequence[str]) -> list[list]:
-        """Per text, the values of its chunks in order."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        split = []
-        for t in texts:
-            parts = _CUT.split(t)
-            split.append([parts[0], *[" " + p for p in parts[1:]]])
-        memo, extra, short, long = self.memo, {}, set(), set()
-        for parts in split:
-            for p in set(parts):
-                if p not in memo:
-                    (short if len(p) <= MEMO_CHARS else long).add(p)
-        self._fill(short, memo)
-        self._fill(long, extra)
-        if extra:
-            return [[memo[p] if p in memo else extra[p] for p in parts] for parts in split]
-        return [[memo[p] for p in parts] for parts in split]
-
-
-def chunk_memo(name: str, value: Callable) -> ChunkMemo:
+        """Per text, the values of its pieces in order."""
+        return [self._mixed(t) if _NOT_PLAIN.search(t) else self._plain(t) for t in texts]
+
+
+def piece_memo(name: str, value: Callable) -> PieceMemo:
     """The process's memo for a tokenizer and a value function; tasks of one worker share it."""
     key = (name, value.__module__, value.__qualname__)
     if key not in _MEMOS:
-        _MEMOS[key] = ChunkMemo(name, value)
+        _MEMOS[key] = PieceMemo(name, value)
     return _MEMOS[key]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.llm.common import stored
-from tierline.llm.encoding import chunk_memo, id_bytes
+from tierline.llm.encoding import piece_memo, id_bytes
 
 GROUPS = 96              # equal-cardinality groups of large pieces
 SMALL_SHARE = 16         # a piece of at most capacity / SMALL_SHARE tokens is small
@@ -40,7 +40,7 @@ def _cutter(tokenizer: str, capacity: int):
     size = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = chunk_memo(tokenizer, id_bytes)
+        memo = piece_memo(tokenizer, id_bytes)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.llm.encoding import chunk_memo, n_ids, version_digest
+from tierline.llm.encoding import piece_memo, n_ids, version_digest
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
@@ -36,7 +36,7 @@ def _cached(spark, cache_path: str, version: str) -> DataFrame | None:
 
 def _counter(name: str):
     def run(batches):
-        memo = chunk_memo(name, n_ids)
+        memo = piece_memo(name, n_ids)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [sum(v) for v in memo.values(texts)]
