@@ -17,13 +17,15 @@ from tierline.functions.numeric import round_half_away
 from tierline.functions.time import instant, instant_micros
 from tierline.settings import ARCHIVE_LISTING_LIMIT, BRONZE_CAP_GB, BRONZE_WARNING_GB, RETENTION_DAYS
 
+PARTITION_COL = "ingest_date"     # the arrival date a stored bronze table is partitioned by
+
 
 def age_cutoff(as_of: Column, days: int = RETENTION_DAYS) -> Column:
     return as_of.cast("timestamp") - F.make_interval(days=F.lit(days))
 
 
 def retention_by_age(bronze: DataFrame, cutoff: Column, col: str = "ingested_at",
-                     partition_col: str = "ingest_date") -> DataFrame:
+                     partition_col: str = PARTITION_COL) -> DataFrame:
     """The rows that stay: arrival at or after the cutoff.
 
     On a table partitioned by ingest date the implied date predicate reaches
@@ -36,8 +38,15 @@ def retention_by_age(bronze: DataFrame, cutoff: Column, col: str = "ingested_at"
 
 
 def archive_split(df: DataFrame, cutoff: Column, col: str = "ingested_at") -> tuple[DataFrame, DataFrame]:
-    """(archive, keep) by one predicate; every row with a non-null instant is in exactly one."""
-    return df.filter(F.col(col) < cutoff), df.filter(F.col(col) >= cutoff)
+    """(archive, keep) by one predicate; every row with a non-null instant is in exactly one.
+
+    On a table partitioned by ingest date each side reads its own dates only.
+    """
+    old, keep = df.filter(F.col(col) < cutoff), df.filter(F.col(col) >= cutoff)
+    if PARTITION_COL in df.columns:
+        old = old.filter(F.col(PARTITION_COL) <= F.to_date(cutoff))
+        keep = keep.filter(F.col(PARTITION_COL) >= F.to_date(cutoff))
+    return old, keep
 
 
 def _pick(counts: DataFrame, k: int):
@@ -81,6 +90,8 @@ def _kth_in_day(vals: DataFrame, t: Column, day: tuple, k: int):
     r1 = k - day[1]
     d0 = instant_micros(day[0])
     in_day = vals.filter((t >= d0) & (t < d0 + F.expr("INTERVAL 1 DAY")))
+    if PARTITION_COL in vals.columns:
+        in_day = in_day.filter(F.col(PARTITION_COL) == F.to_date(d0))
     sec = _pick(in_day.groupBy(F.date_trunc("second", t).alias("b")).agg(cnt), r1)
     r2 = r1 - sec[1]
     s0 = instant_micros(sec[0])
@@ -150,6 +161,38 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
         "archived_prices", "kept_prices", "archived_mix", "kept_mix")
 
 
+def apply_size_retention(spark, feeds: dict[str, str], base: str, by: str,
+                         warning_gb: float = BRONZE_WARNING_GB, cap_gb: float = BRONZE_CAP_GB,
+                         col: str = "ingested_at"):
+    """Size rule carried out on stored bronze tables (``feeds``: name -> path).
+
+    The stored size of all feeds is measured from their files. At the cap,
+    every feed is cut at the median arrival of feed ``by``: its older rows go
+    to ``base/archive/<feed>`` and the others, with rows that carry no arrival
+    time, to the new table version ``base/kept/<feed>``. Below the cap nothing
+    is written. Returns (size in GB, action, cutoff in epoch microseconds or
+    None); action is ``aged off``, ``warning`` or ``none``.
+    """
+    sizes = [list_files(spark, p).agg(F.sum("size_bytes").alias("b")) for p in feeds.values()]
+    total = sizes[0]
+    for s in sizes[1:]:
+        total = total.unionByName(s)
+    size_gb = (total.agg(F.sum("b")).first()[0] or 0) / 1024.0 ** 3
+    if size_gb < cap_gb:
+        return size_gb, "warning" if size_gb >= warning_gb else "none", None
+    cut_micros = median_cutoff_value(spark.read.parquet(feeds[by]), col)[2]
+    if cut_micros is None:
+        return size_gb, "none", None
+    cut = instant_micros(cut_micros)
+    for name, path in feeds.items():
+        table = spark.read.parquet(path)
+        old, keep = archive_split(table, cut, col)
+        undated = table.filter(F.col(col).isNull())
+        old.drop(PARTITION_COL).write.parquet(f"{base}/archive/{name}")
+        keep.unionByName(undated).write.partitionBy(PARTITION_COL).parquet(f"{base}/kept/{name}")
+    return size_gb, "aged off", cut_micros
+
+
 def archive_export(df: DataFrame, cutoff: Column, path: str, col: str = "ingested_at") -> int:
     """Write rows older than the cutoff to a Parquet archive; returns the row count.
 
@@ -159,7 +202,7 @@ def archive_export(df: DataFrame, cutoff: Column, path: str, col: str = "ingeste
     from pyspark.sql import Observation
 
     obs = Observation("archive")
-    old = df.filter(F.col(col) < cutoff).observe(obs, F.count(F.lit(1)).alias("rows"))
+    old = archive_split(df, cutoff, col)[0].observe(obs, F.count(F.lit(1)).alias("rows"))
     old.write.mode("errorifexists").parquet(path)
     return int(obs.get.get("rows", 0))
 
@@ -184,7 +227,7 @@ def archive_listing(spark, path: str, limit: int = ARCHIVE_LISTING_LIMIT) -> Dat
 
 
 def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",
-                 partition_col: str = "ingest_date") -> None:
+                 partition_col: str = PARTITION_COL) -> None:
     """Copy-on-write retention of a date-partitioned table into a new version.
 
     The partition predicate lets the scan skip every partition older than the

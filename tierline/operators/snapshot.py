@@ -77,9 +77,18 @@ def filter_entities(df: DataFrame, entities: list[str]) -> DataFrame:
     return df.filter(F.col("entity").isin(*entities))
 
 
-def filter_time_range(df: DataFrame, start, end, col: str = "window_start") -> DataFrame:
-    """Inclusive time range; naive bounds are read as UTC (the session zone)."""
-    return df.filter(F.col(col).between(instant(start), instant(end)))
+def filter_time_range(df: DataFrame, start, end, col: str = "window_start",
+                      partition_col: str = "window_date") -> DataFrame:
+    """Inclusive time range; naive bounds are read as UTC (the session zone).
+
+    On a table stored by ``partition_col`` (the date of ``col``) only the
+    range's partitions are read.
+    """
+    lo, hi = instant(start), instant(end)
+    rows = df.filter(F.col(col).between(lo, hi))
+    if partition_col in df.columns:
+        rows = rows.filter(F.col(partition_col).between(F.to_date(lo), F.to_date(hi)))
+    return rows
 
 
 def head_per_entity(df: DataFrame, n: int = DEFAULT_ROW_LIMIT,

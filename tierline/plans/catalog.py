@@ -92,6 +92,24 @@ def gold_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_memo(spark, ("gold_e", sf_dir), build)
 
 
+def gold_by_date_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding-E gold stored by ``window_date``: the input of range reads."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "gold-by-date-e")
+        G.write_gold(gold_e(spark, sf_dir), path)
+        return spark.read.parquet(path)
+    return session_memo(spark, ("gold_by_date_e", sf_dir), build)
+
+
+def prices_by_date_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding-E silver prices stored by ``event_date``."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "silver-prices-e")
+        SV.append(B.prices_e(spark, sf_dir), path, SV.DATE_COL, "interval_start")
+        return spark.read.parquet(path)
+    return session_memo(spark, ("prices_by_date_e", sf_dir), build)
+
+
 @query("gold_summary")
 def q_gold_summary(spark, sf_dir):
     """Hourly price avg/max/min per entity left-joined to hourly mix averages."""
@@ -162,7 +180,8 @@ def q_filter_entities(spark, sf_dir):
 
 @query("filter_time_range")
 def q_filter_time_range(spark, sf_dir):
-    return SN.filter_time_range(gold_e(spark, sf_dir), RANGE_START, RANGE_END)
+    """Gold rows of a time range, read from gold stored by window date."""
+    return SN.filter_time_range(gold_by_date_e(spark, sf_dir), RANGE_START, RANGE_END).drop("window_date")
 
 
 @query("head_per_entity")
@@ -473,11 +492,15 @@ def bronze_e(spark, sf_dir):
     return bronze_table_e(spark, sf_dir).drop("ingest_date")
 
 
-def bronze_mix_e(spark, sf_dir):
+def bronze_mix_stored_e(spark, sf_dir):
+    """(path, table) of the stored bronze mix of binding E, with ``ingest_date``."""
     srcs = {c: (c,) for c in ("time", *B.E_MIX.components)}
     return _stored_bronze(spark, f"bronze-mix-e-{sf_dir}".replace("/", "_"), lambda: BR.bronze_mix(
-        B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json")
-    )[1].drop("ingest_date")
+        B.raw_mix_e(spark, sf_dir), ingested_at=F.col("time"), sources=srcs, mix=B.E_MIX).drop("raw_json"))
+
+
+def bronze_mix_e(spark, sf_dir):
+    return bronze_mix_stored_e(spark, sf_dir)[1].drop("ingest_date")
 
 
 def as_of_e(spark, sf_dir):
@@ -578,17 +601,17 @@ def q_retention_by_age(spark, sf_dir):
 
 @query("median_cutoff")
 def q_median_cutoff(spark, sf_dir):
-    return R.median_cutoff(bronze_e(spark, sf_dir))
+    return R.median_cutoff(bronze_table_e(spark, sf_dir))
 
 
 @query("archive_split")
 def q_archive_split(spark, sf_dir):
     """Archive and keep counts at the median cutoff; they add up to the input."""
-    b = bronze_e(spark, sf_dir)
-    cut = R.median_cutoff_instant(b)
-    return b.agg(F.count_if(F.col("ingested_at") < cut).alias("archived"),
-                 F.count_if(F.col("ingested_at") >= cut).alias("kept"),
-                 F.count(F.lit(1)).alias("total"))
+    b = bronze_table_e(spark, sf_dir)
+    old, keep = R.archive_split(b, R.median_cutoff_instant(b))
+    both = old.select(F.lit(True).alias("old")).unionByName(keep.select(F.lit(False).alias("old")))
+    return both.agg(F.count_if("old").alias("archived"), F.count_if(~F.col("old")).alias("kept"),
+                    F.count(F.lit(1)).alias("total"))
 
 
 @query("retention_by_size")
@@ -597,13 +620,42 @@ def q_retention_by_size(spark, sf_dir):
     return R.retention_by_size(bronze_e(spark, sf_dir), bronze_mix_e(spark, sf_dir), SIZE_GB)
 
 
+@query("retention_by_size_stored")
+def q_retention_by_size_stored(spark, sf_dir):
+    """The size rule carried out at a cap of 0 GB (any stored size is over it): both
+    feeds archived and rewritten at the prices' median arrival, counted as read back."""
+    feeds = {"prices": bronze_stored_e(spark, sf_dir)[0], "mix": bronze_mix_stored_e(spark, sf_dir)[0]}
+    base = fresh_dir(spark, "bronze-by-size")
+    _, action, _ = R.apply_size_retention(spark, feeds, base, by="prices", warning_gb=0.0, cap_gb=0.0)
+    if action != "aged off":        # no row has an arrival time: the tables stay as they are
+        return R.retention_by_size(bronze_e(spark, sf_dir), bronze_mix_e(spark, sf_dir), 0.0).drop("size_gb", "cutoff")
+    parts = {f"{state}_{feed}": spark.read.parquet(f"{base}/{folder}/{feed}")
+             for feed in feeds for state, folder in (("archived", "archive"), ("kept", "kept"))}
+    rows = H.layer_row_counts(parts)
+    return rows.agg(F.lit(action).alias("action"),
+                    *[F.sum(F.when(F.col("layer") == c, F.col("rows"))).alias(c) for c in parts])
+
+
+@query("medallion_stored")
+def q_medallion_stored(spark, sf_dir):
+    """Bronze -> silver -> gold over stored layers: both bronze tables are normalized,
+    gated and loaded to silver stored by event date; gold is built from what was stored."""
+    base = fresh_dir(spark, "medallion")
+    prices = N.normalize_prices(bronze_e(spark, sf_dir).drop("interval_end", "ingested_at"))
+    SV.append(SV.silver_prices(prices), f"{base}/prices", SV.DATE_COL, "interval_start")
+    mix = N.normalize_mix(bronze_mix_e(spark, sf_dir), mix=B.E_MIX, column_map={})
+    SV.append(SV.silver_mix(mix, mix=B.E_MIX), f"{base}/mix", SV.DATE_COL, B.E_MIX.time_col)
+    return G.gold_summary(spark.read.parquet(f"{base}/prices"), spark.read.parquet(f"{base}/mix"), B.E_MIX,
+                          computed_at=COMPUTED_AT)
+
+
 @query("archive_export")
 def q_archive_export(spark, sf_dir):
     """Rows older than the median cutoff written to a new archive, read back."""
-    b = bronze_e(spark, sf_dir)
+    b = bronze_table_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
     R.archive_export(b, R.median_cutoff_instant(b), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("ingest_date")
 
 
 @query("archive_listing")
@@ -710,7 +762,7 @@ HISTORY_DAYS = 7
 @query("history_range_scan")
 def q_history_range_scan(spark, sf_dir):
     """The 7 days of prices before the end date."""
-    return L.history_range(B.prices_e(spark, sf_dir), HISTORY_END, HISTORY_DAYS)
+    return L.history_range(prices_by_date_e(spark, sf_dir), HISTORY_END, HISTORY_DAYS).drop(SV.DATE_COL)
 
 
 @query("land_prices_json")

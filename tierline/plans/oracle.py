@@ -750,6 +750,17 @@ FROM (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS a
      (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_mix,
              COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_mix FROM bm) m""", MEDIAN)
 
+ORACLE["retention_by_size_stored"] = with_bronze("""
+SELECT 'aged off' AS action, p.archived_prices, p.kept_prices, m.archived_mix, m.kept_mix
+FROM (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_prices,
+             COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_prices FROM bp) p,
+     (SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived_mix,
+             COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept_mix FROM bm) m""", MEDIAN)
+ORACLE["medallion_stored"] = w(
+    PRICES_E, "silver_e AS (SELECT DISTINCT * FROM prices_e WHERE price IS NOT NULL AND interval_start IS NOT NULL)",
+    hourly_prices_sql("silver_e"), RAW_MIX_E, MIX_E, hourly_mix_sql("mix_e", E_COMPONENTS)) + (
+    gold_select("hp", "hm", E_COMPONENTS))
+
 # --- streaming ------------------------------------------------------------------------
 # A stream emits an hour once the watermark (max event time seen, no delay)
 # passes its end; with two inputs the watermark is the smaller of the two.

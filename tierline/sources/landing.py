@@ -67,11 +67,16 @@ def write_landed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def history_range(df: DataFrame, end, days: int = 30, col: str = "interval_start") -> DataFrame:
+def history_range(df: DataFrame, end, days: int = 30, col: str = "interval_start",
+                  partition_col: str = "event_date") -> DataFrame:
     """Rows of the ``days`` before ``end`` (inclusive bounds, naive bounds in UTC).
 
-    On a date-partitioned table the bounds reach the scan as partition filters.
+    When the table is stored by ``partition_col`` (the UTC date of ``col``) the
+    implied dates are stated too, since Spark derives none from a time range.
     """
     end_c = instant(end)
     start_c = end_c - F.make_interval(days=F.lit(days))
-    return df.filter(F.col(col).between(start_c, end_c))
+    rows = df.filter(F.col(col).between(start_c, end_c))
+    if partition_col in df.columns:
+        rows = rows.filter(F.col(partition_col).between(F.to_date(start_c), F.to_date(end_c)))
+    return rows
