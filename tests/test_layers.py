@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.conftest import ts
@@ -123,3 +124,51 @@ def test_write_gold_partitions_by_window_date(spark, tmp_dir):
     back = G.read_gold(spark, tmp_dir)
     assert back.count() == 2 and "window_date" in back.columns
     assert back.filter("window_date = DATE'2026-01-02'").count() == 1
+
+
+def test_size_rule_carried_out_on_stored_feeds(spark, tmp_path):
+    from tierline.operators.bronze import write_bronze
+    from tierline.operators.retention import apply_size_retention
+
+    feeds = {}
+    for feed in ("prices", "mix"):
+        rows = [(feed, f"2024-01-0{d} 12:00:00") for d in (1, 2, 3, 4)] + [(feed, None)]
+        df = spark.createDataFrame(rows, "entity string, at string").select(
+            "entity", F.col("at").cast("timestamp").alias("ingested_at"))
+        feeds[feed] = str(tmp_path / feed)
+        write_bronze(df, feeds[feed])
+    size, action, cut = apply_size_retention(spark, feeds, str(tmp_path / "none"), by="prices")
+    assert size > 0 and (action, cut) == ("none", None) and not (tmp_path / "none").exists()
+    assert apply_size_retention(spark, feeds, str(tmp_path / "none"), by="prices", warning_gb=0.0)[1] == "warning"
+    base = str(tmp_path / "cut")
+    assert apply_size_retention(spark, feeds, base, by="prices", warning_gb=0.0, cap_gb=0.0)[1] == "aged off"
+    for feed in feeds:      # rows without an arrival time stay
+        assert spark.read.parquet(f"{base}/archive/{feed}").count() == 2
+        kept = spark.read.parquet(f"{base}/kept/{feed}")
+        assert kept.count() == 3 and kept.filter("ingested_at IS NULL").count() == 1
+
+
+def test_range_reads_prune_partitions(spark, tmp_path):
+    from tierline.operators.gold import write_gold
+    from tierline.operators.retention import archive_split
+    from tierline.operators.snapshot import filter_time_range
+    from tierline.sources.landing import history_range
+
+    rows = spark.range(10).select(
+        F.lit("a").alias("entity"), F.expr("timestamp'2024-01-01 06:00:00' + make_interval(0, 0, 0, id)").alias("t"))
+    write_gold(rows.withColumnRenamed("t", "window_start"), str(tmp_path / "gold"))
+    gold = spark.read.parquet(str(tmp_path / "gold"))
+    picked = filter_time_range(gold, "2024-01-02 06:00:00", "2024-01-04 05:00:00")
+    assert picked.count() == 2
+    dated = rows.withColumn("event_date", F.to_date("t"))
+    dated.write.partitionBy("event_date").parquet(str(tmp_path / "silver"))
+    silver = spark.read.parquet(str(tmp_path / "silver"))
+    span = history_range(silver, "2024-01-05 06:00:00", 2, col="t")
+    assert span.count() == 3
+    bronze = silver.withColumnsRenamed({"t": "ingested_at", "event_date": "ingest_date"})
+    old, keep = archive_split(bronze, F.lit("2024-01-04 06:00:00").cast("timestamp"))
+    assert (old.count(), keep.count()) == (3, 7)
+    for df, column in ((picked, "window_date"), (span, "event_date"), (old, "event_date"), (keep, "event_date")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        assert column in filters and ("<=" in filters or ">=" in filters), filters
