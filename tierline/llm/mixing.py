@@ -9,7 +9,9 @@ blocks.
 
 Only the sources' sizes come to the driver (one row a source, checked against
 MAX_SOURCES); documents are ordered inside (source, shard) cells of about
-ROWS_PER_SHARD documents, so a hot source has many.
+ROWS_PER_SHARD documents, so a hot source has many. Beyond MOST_SHARDS shards a
+source's cells grow instead: sorting spills, while the table of a source's
+shards stays bounded.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ TOTAL_SHARE = 1.5          # share of all words that the mix takes
 MOST_REPEATS = 2           # a source's and a document's words are taken at most so often
 BLOCK_WORDS = 32
 ROWS_PER_SHARD = 2_000
+MOST_SHARDS = 65_536       # of a source; its shards' quotas are dealt by one task, larger sources have larger shards
 MAX_SOURCES = 100_000
 SEED = 20240
 
@@ -96,7 +99,7 @@ def _source_plan(sizes: DataFrame, weights, total_share: float):
     wish = targets(size, [weights[i % len(weights)] for i in range(len(rows))], total_share * sum(size))
     most = [MOST_REPEATS * math.ceil(s / BLOCK_WORDS) for s in size]
     quota = sainte_lague(wish, round(sum(wish) / BLOCK_WORDS), most)
-    return [(r["source"], size[i], float(wish[i]), int(quota[i]), max(1, math.ceil(r["rows"] / ROWS_PER_SHARD)))
+    return [(r["source"], size[i], float(wish[i]), int(quota[i]), min(MOST_SHARDS, max(1, math.ceil(r["rows"] / ROWS_PER_SHARD))))
             for i, r in enumerate(rows)]
 
 

@@ -30,7 +30,8 @@ from tierline.llm.encoding import piece_memo, id_bytes
 
 GROUPS = 96              # equal-cardinality groups of large pieces
 SMALL_SHARE = 16         # a piece of at most capacity / SMALL_SHARE tokens is small
-ROWS_PER_SALT = 20_000   # pieces ranked by one window partition, about
+ROWS_PER_SALT = 1_000    # pieces ranked by one window partition, about
+PIVOTS = 60              # column generation steps a size, at most; any basis gives valid configurations
 END_OF_DOCUMENT = b"\x00\x00\x00\x00"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -114,13 +115,14 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: fl
     """Whole configurations covering ``counts`` pieces of each size: (pattern, bins).
 
     Column generation until the fractional solution is within ``gap`` of the
-    bound its dual proves, its bins rounded down, and the rest covered by
-    first-fit decreasing.
+    bound its dual proves (or, should degenerate steps circle, for PIVOTS steps
+    a size), its bins rounded down, and the rest covered by first-fit
+    decreasing.
     """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     x = np.linalg.solve(basis, counts.astype(float))
-    while True:
+    for _ in range(PIVOTS * k):
         dual = np.linalg.solve(basis.T, np.ones(k))
         value, pattern = _knapsack(np.maximum(dual, 0), sizes, capacity)
         # dual / value is feasible, so its worth bounds the optimum from below
@@ -232,14 +234,18 @@ def _best_fit(plan: Plan, rooms: dict[int, int], smalls: dict[int, int]) -> None
 
 # --- distributed part --------------------------------------------------------------
 
-def ranked(p: DataFrame, by: str, total: int, label: str) -> DataFrame:
+def ranked(p: DataFrame, by: str, counts: dict[int, int], label: str) -> DataFrame:
     """Add ``rank``: 0, 1, ... within ``by``, through salted counts.
 
-    The salt of a row is fixed by its content, windows see one (value, salt)
-    cell, and a cell's first rank comes from the table of cell counts.
+    ``counts`` has the rows of each value of ``by`` (at most ``capacity + 1``
+    values) and sets a value's salts, so a frequent length has many and a rare
+    one a single one. The salt of a row is fixed by its id, windows see one
+    (value, salt) cell, and a cell's first rank comes from the table of cell
+    counts.
     """
-    salts = max(1, math.ceil(total / ROWS_PER_SALT))
-    salted = p.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
+    salts = _ranges([(v, math.ceil(n / ROWS_PER_SALT)) for v, n in counts.items()], [by, "_salts"], p.sparkSession)
+    salted = (p.join(F.broadcast(salts), by)     # bounded: a row a length
+              .withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts"))).drop("_salts"))
     cells = salted.groupBy(by, "_salt").count()
     before = Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(by, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
@@ -280,10 +286,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     small_most = capacity // SMALL_SHARE
     large = {n: c for n, c in by_length.items() if small_most < n < capacity}
     small = {n: c for n, c in by_length.items() if n <= small_most}
-    total = sum(large.values()) + sum(small.values())
-    if not total:
+    if not large and not small:
         return full
-    rest = ranked(p.where(F.col("length") < capacity), "length", total, "ranked")
+    rest = ranked(p.where(F.col("length") < capacity), "length", {**large, **small}, "ranked")
 
     plan = Plan(capacity)
     if large:
@@ -312,8 +317,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     if not small:
         return out
     room = big.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room"))
-    room = ranked(room.withColumn("row_id", F.col("sequence_id")), "room", max(1, plan.bins), "rooms")
-    _best_fit(plan, _counts(room, "room"), small)
+    rooms = _counts(room, "room")
+    room = ranked(room.withColumn("row_id", F.col("sequence_id")), "room", rooms, "rooms")
+    _best_fit(plan, rooms, small)
     fills = _ranges(plan.fills, ["length", "r0", "r1", "kind", "first", "per", "room_then"], spark)
     tiny = (rest.where(F.col("length") <= small_most).join(F.broadcast(fills), "length")
             .where((F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
