@@ -197,3 +197,17 @@ def test_snapshot_on_old_layout_gold(spark):
     g = gold(spark, [("A", ts(0), 1.0), ("A", ts(1), 2.0)])
     snap = SN.snapshot_lookback(g, hours=48, mix=MixSpec()).collect()[0]
     assert (snap.avg_price, snap.range_min, snap.range_max) == (2.0, 1.0, 2.0)
+
+
+def test_logical_size_counts_octets_and_values(spark):
+    df = spark.createDataFrame([("é", 1.0, None), (None, None, 3)], "a string, b double, c int")
+    assert H.logical_size(df).first().size_bytes == 2 + 8 + 8
+    assert H.logical_size(df.limit(0)).first().size_bytes == 0
+
+
+def test_archive_contents_newest_first(spark):
+    df = instants(spark, 3).unionByName(spark.createDataFrame([(ts(0, day=5),)], "ingested_at timestamp")
+                                        .withColumns({c: F.lit(None) for c in instants(spark, 1).columns if c != "ingested_at"}))
+    got = R.archive_contents(df).collect()
+    assert sum(r.rows for r in got) == 4
+    assert [r.archived_date for r in got] == sorted({r.archived_date for r in got}, reverse=True)

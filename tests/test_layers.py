@@ -172,3 +172,15 @@ def test_range_reads_prune_partitions(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
         assert column in filters and ("<=" in filters or ">=" in filters), filters
+
+
+def test_one_pass_gold_equals_two_feeds(spark):
+    facts = [("E", ts(0), 10.0, "x", 4.0, True), ("E", ts(0), 20.0, "y", 6.0, True), ("E", ts(0), 30.0, "x", 2.0, True),
+             ("E", ts(1), 5.0, None, 9.0, False), ("F", ts(0), None, "y", 3.0, True), ("F", ts(2), 1.0, None, 7.0, True)]
+    df = spark.createDataFrame(
+        facts, "entity string, interval_start timestamp, price double, category string, amount double, has_mix boolean")
+    one = G.gold_one_pass(df, ("x", "y"), MIX, computed_at="2026-02-01 00:00:00")
+    mix = [("E", ts(0), 6.0, 6.0, 50.0), ("F", ts(0), 0.0, 3.0, 0.0), ("F", ts(2), 0.0, 0.0, None)]
+    two = gold_of(spark, [(e, t, None, None, p, "R") for e, t, p, *_ in facts], mix)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert one.columns == two.columns

@@ -91,7 +91,7 @@ def test_results_do_not_depend_on_python_time_zone(spark, duck):
 
 # Queries that run streams or writes while being defined; their read-back has no joins.
 _EAGER = {"stream_gold", "stream_late_rows", "stream_dedup", "stream_gold_join", "stream_medallion",
-          "stream_two_feeds", "archive_export", "archive_listing", "land_prices_json", "land_mix_csv",
+          "stream_two_feeds", "archive_export", "archive_listing", "archive_contents", "land_prices_json", "land_mix_csv",
           "evolve_schema_files", "retention_rewrite"}
 
 
@@ -108,3 +108,23 @@ def test_no_query_plans_a_nested_loop_or_cartesian_join(spark):
         assert bad == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_gold_and_baseline_against_plain_duckdb(spark, duck):
+    """An independent form: DuckDB's own AVG and STDDEV_SAMP, none of the package's formulas."""
+    got = {(r.entity, r.window_start): r for r in QUERIES["gold_summary"](spark, SF_SMALL).collect()}
+    plain = duck.execute("""SELECT event_type, date_trunc('hour', ts), AVG(value), MAX(value), MIN(value)
+                            FROM events GROUP BY 1, 2""").fetchall()
+    assert len(plain) == len(got)
+    for entity, start, avg, high, low in plain:
+        r = got[entity, start]
+        # rounded to 2 decimals: half a cent, and the double's own error
+        for mine, theirs in ((r.avg_price, avg), (r.max_price, high), (r.min_price, low)):
+            assert abs(mine - theirs) <= 0.005 + 1e-9 * abs(theirs)
+    prices: dict[str, list[float]] = {}
+    for (entity, _), r in got.items():
+        prices.setdefault(entity, []).append(r.avg_price)
+    base = {r.entity: r for r in QUERIES["anomaly_baseline"](spark, SF_SMALL).collect()}
+    for entity, values in prices.items():
+        std, mean = duck.execute("SELECT STDDEV_SAMP(v), AVG(v) FROM (SELECT unnest(?) AS v)", [values]).fetchone()
+        assert abs(base[entity].std - std) <= 1e-5 and abs(base[entity].mean - mean) <= 1e-5

@@ -81,15 +81,16 @@ def box_stats(gold: DataFrame, col: str = "avg_price", approx: bool = False) ->
     fenced = q.select("entity", "n", "q1", "median", "q3", "mean",
                       (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
                       (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
-    vals = gold.filter(F.col(col).isNotNull()).select("entity", col)
-    inside = (F.col(col) >= F.col("lower_fence")) & (F.col(col) <= F.col("upper_fence"))
-    per = vals.join(fenced.select("entity", "lower_fence", "upper_fence"), "entity").groupBy("entity").agg(
-        F.min(F.when(inside, F.col(col))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(col))).alias("whisker_high"),
+    vals = gold.filter(F.col(col).isNotNull()).select("entity", F.col(col).alias("__v"))
+    inside = (F.col("__v") >= F.col("lower_fence")) & (F.col("__v") <= F.col("upper_fence"))
+    # the quartiles ride along as grouping columns, so they are computed once
+    per = vals.join(fenced, "entity").groupBy(*fenced.columns).agg(
+        F.min(F.when(inside, F.col("__v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("__v"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )
     r = lambda c: round_half_away(F.col(c), STAT_DIGITS).alias(c)
-    return fenced.join(per, "entity").select(
+    return per.select(
         "entity", "n", r("q1"), r("median"), r("q3"), r("mean"), r("lower_fence"), r("upper_fence"),
         "whisker_low", "whisker_high", "outliers")
 
@@ -125,10 +126,15 @@ def _long_mix(gold: DataFrame, mix: MixSpec) -> DataFrame:
 def mix_timeseries(gold: DataFrame, mix: MixSpec = DEFAULT_MIX) -> DataFrame:
     """Mix series in long form, nulls as 0, without components whose total for
     the entity is 0 (an all-zero series is not drawn)."""
-    long = _long_mix(gold, mix).withColumn("value", F.coalesce(F.col("value"), F.lit(0.0)))
-    totals = (long.groupBy("entity", "component").agg(exact_sum("value").alias("total"))
-              .filter(F.col("total") != 0).select("entity", "component"))
-    return long.join(totals, ["entity", "component"], "left_semi")
+    comps = [c for c in mix.components if c in gold.columns]
+    wide = gold.select("entity", "window_start",
+                       *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in comps])
+    # one row of totals an entity is joined to the wide rows; only then they are made long
+    totals = wide.groupBy("entity").agg(*[exact_sum(c).alias(f"__total_{c}") for c in comps])
+    series = F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("value"),
+                                F.col(f"__total_{c}").alias("__total")) for c in comps])
+    return (wide.join(totals, "entity").select("entity", "window_start", F.inline(series))
+            .filter(F.col("__total") != 0).drop("__total"))
 
 
 def mix_share(gold: DataFrame, mix: MixSpec = DEFAULT_MIX, min_value: float = MIX_DISPLAY_MIN) -> DataFrame:

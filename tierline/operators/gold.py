@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierline.functions.numeric import exact_mean, round_half_away
+from tierline.functions.numeric import exact_mean, exact_sum, round_half_away
 from tierline.functions.time import hour_start, instant, plus_hours
+from tierline.operators.normalize import coerce_numeric, renewable_share
 from tierline.settings import DEFAULT_MIX, MixSpec
 
 KEY = ["entity", "window_start"]
@@ -67,6 +68,29 @@ def gold_summary(prices: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX,
     return _assemble(hourly_prices(prices), hourly_mix(mix, spec), spec, computed_at)
 
 
+def gold_one_pass(facts: DataFrame, categories, spec: MixSpec = DEFAULT_MIX, computed_at=None) -> DataFrame:
+    """Gold from rows that carry both a price and a mix amount: one aggregate, no join of feeds.
+
+    ``facts(entity, interval_start, price, category, amount, has_mix)``: the
+    amounts of ``categories[i]`` in an hour make up component i. It equals
+    ``gold_summary`` when each hour has at most one mix row, the sum of its
+    amounts. Hours without a row that ``has_mix`` keep null mix columns.
+    """
+    comps = list(spec.components)
+    rows = facts.groupBy("entity", hour_start("interval_start").alias("window_start")).agg(
+        round_half_away(exact_mean("price")).alias("avg_price"),
+        round_half_away(F.max("price")).alias("max_price"),
+        round_half_away(F.min("price")).alias("min_price"),
+        F.bool_or("has_mix").alias("__mixed"),
+        *[exact_sum(F.when(F.col("category") == v, F.col("amount"))).alias(c) for v, c in zip(categories, comps)])
+    rows = renewable_share(coerce_numeric(rows, comps), spec)
+    return rows.select(
+        "entity", "window_start", plus_hours(F.col("window_start"), 1).alias("window_end"),
+        "avg_price", "max_price", "min_price",
+        *[F.when(F.col("__mixed"), round_half_away(c)).alias(c) for c in [spec.share_col, *comps]],
+        _computed_at(computed_at).alias("computed_at"))
+
+
 def gold_incremental(prices: DataFrame, mix: DataFrame, existing_gold: DataFrame,
                      spec: MixSpec = DEFAULT_MIX, computed_at=None) -> DataFrame:
     """Gold rows for (entity, hour) pairs not yet in ``existing_gold``.

@@ -226,6 +226,13 @@ def archive_listing(spark, path: str, limit: int = ARCHIVE_LISTING_LIMIT) -> Dat
             .orderBy(F.col("modified").desc(), F.col("file_path").desc()).limit(limit))
 
 
+def archive_contents(archive: DataFrame, col: str = "ingested_at") -> DataFrame:
+    """Rows and time range of an archive per arrival date, newest first."""
+    return (archive.groupBy(F.to_date(col).alias("archived_date"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.min(col).alias("earliest"), F.max(col).alias("latest"))
+            .orderBy(F.col("archived_date").desc()))
+
+
 def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",
                  partition_col: str = PARTITION_COL) -> None:
     """Copy-on-write retention of a date-partitioned table into a new version.

@@ -129,15 +129,15 @@ def local_window(rows: DataFrame, zones: DataFrame, hours: int = LOOKBACK_HOURS)
     Spark formats instants in the session zone only, so the abbreviation is
     derived: the local UTC offset at the window end is compared with the
     zone's standard offset (daylight time when they differ). Zones without an
-    abbreviation get ``UTC±hh:mm``; entities without a zone use UTC. The zone
-    table is a fixed mapping, so broadcasting it is bounded by construction.
+    abbreviation get ``UTC±hh:mm``; entities without a zone use UTC. Spark
+    broadcasts the zone table by its size.
     """
     utc = ZONE_ABBREVIATIONS["UTC"]
     tz = F.coalesce(F.col("tz"), F.lit("UTC"))
     end = F.col("window_end")
     start = end - F.make_interval(hours=F.lit(hours))
     fmt = "MMM dd hh:mma"
-    j = rows.join(F.broadcast(zones), "entity", "left")
+    j = rows.join(zones, "entity", "left")
     local_start = F.from_utc_timestamp(start, tz)
     local_end = F.from_utc_timestamp(end, tz)
     offset = ((F.unix_micros(local_end) - F.unix_micros(end)) / F.lit(60_000_000)).cast("int")

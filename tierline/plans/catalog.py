@@ -118,7 +118,13 @@ def q_gold_summary(spark, sf_dir):
 
 @query("gold_summary_star")
 def q_gold_summary_star(spark, sf_dir):
-    """Gold over the star binding: lineitem x supplier x nation prices, order-priority mix."""
+    """Gold over the star binding (unit prices, revenue by order priority) in one aggregate."""
+    return G.gold_one_pass(B.facts_s(spark, sf_dir), B.S_PRIORITIES, B.S_MIX, computed_at=COMPUTED_AT)
+
+
+@query("gold_summary_star_feeds")
+def q_gold_summary_star_feeds(spark, sf_dir):
+    """The same gold from the star binding's two separate feeds."""
     return G.gold_summary(B.prices_s(spark, sf_dir), B.mix_s(spark, sf_dir), B.S_MIX,
                           computed_at=COMPUTED_AT)
 
@@ -381,24 +387,43 @@ def q_contract_quarantine(spark, sf_dir):
     return CT.quarantine(n, CT.contract_report(n, PRICE_CONTRACT))
 
 
+def first_prices_x(spark, sf_dir):
+    """Silver prices after the first arrival batch, stored by ``event_date``."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "silver-prices-x")
+        SV.append(SV.silver_prices(norm_x(spark, sf_dir, until=SPLIT_LATE)), path, SV.DATE_COL, "interval_start")
+        return spark.read.parquet(path)
+    return session_memo(spark, ("first_prices_x", sf_dir), build)
+
+
+def first_mix_x(spark, sf_dir):
+    """Silver mix after the first arrival batch, stored by ``event_date``."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "silver-mix-x")
+        first = SV.silver_mix(norm_mix_x(spark, sf_dir, until=SPLIT_LATE), None, contract=MIX_CONTRACT)
+        SV.append(first, path, SV.DATE_COL, "time")
+        return spark.read.parquet(path)
+    return session_memo(spark, ("first_mix_x", sf_dir), build)
+
+
 @query("silver_prices")
 def q_silver_prices(spark, sf_dir):
-    """Rows the second batch adds to silver after the first batch was loaded."""
-    existing = SV.silver_prices(norm_x(spark, sf_dir, until=SPLIT_LATE))
+    """Rows the second batch adds to silver after the first batch was loaded and stored."""
+    existing = first_prices_x(spark, sf_dir)
     return SV.silver_prices(norm_x(spark, sf_dir, since=SPLIT_EARLY), existing)
 
 
 @query("silver_insert_counts")
 def q_silver_insert_counts(spark, sf_dir):
     """Rows the second batch inserts into silver prices, and the table total after it."""
-    existing = SV.silver_prices(norm_x(spark, sf_dir, until=SPLIT_LATE))
+    existing = first_prices_x(spark, sf_dir)
     new = SV.silver_prices(norm_x(spark, sf_dir, since=SPLIT_EARLY), existing)
     return SV.insert_counts(existing, new)
 
 
 @query("silver_mix")
 def q_silver_mix(spark, sf_dir):
-    existing = SV.silver_mix(norm_mix_x(spark, sf_dir, until=SPLIT_LATE), None, contract=MIX_CONTRACT)
+    existing = first_mix_x(spark, sf_dir)
     return SV.silver_mix(norm_mix_x(spark, sf_dir, since=SPLIT_EARLY), existing, contract=MIX_CONTRACT)
 
 
@@ -432,16 +457,33 @@ def _old_layout_gold(spark, sf_dir):
     return G.evolve_schema(old, new)
 
 
+def mix_by_date_e(spark, sf_dir):
+    """Binding-E silver mix stored by ``event_date``."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "silver-mix-by-date-e")
+        SV.append(mix_table_e(spark, sf_dir), path, SV.DATE_COL, B.E_MIX.time_col)
+        return spark.read.parquet(path)
+    return session_memo(spark, ("mix_by_date_e", sf_dir), build)
+
+
+def existing_gold_e(spark, sf_dir):
+    """Gold of the prices before GOLD_SPLIT, stored by ``window_date``."""
+    def build() -> DataFrame:
+        path = fresh_dir(spark, "gold-existing-e")
+        first = B.prices_e(spark, sf_dir).filter(F.col("interval_start") < instant(GOLD_SPLIT))
+        G.write_gold(G.gold_summary(first, mix_table_e(spark, sf_dir), B.E_MIX, computed_at=COMPUTED_AT), path)
+        return spark.read.parquet(path)
+    return session_memo(spark, ("existing_gold_e", sf_dir), build)
+
+
 @query("gold_incremental")
 def q_gold_incremental(spark, sf_dir):
     """Gold after an incremental run: hours already present are kept as first written."""
-    p = B.prices_e(spark, sf_dir)
-    m = mix_table_e(spark, sf_dir)
-    cut = F.col("interval_start") < instant(GOLD_SPLIT)
-    existing = G.gold_summary(p.filter(cut), m, B.E_MIX, computed_at=COMPUTED_AT)
-    incoming = p.filter(F.col("interval_start") >= instant(SPLIT_EARLY))
-    new = G.gold_incremental(incoming, m, existing, B.E_MIX, computed_at=COMPUTED_AT)
-    return G.append_gold(existing, new)
+    existing = existing_gold_e(spark, sf_dir)
+    incoming = prices_by_date_e(spark, sf_dir).filter(
+        (F.col("interval_start") >= instant(SPLIT_EARLY)) & (F.col(SV.DATE_COL) >= F.to_date(instant(SPLIT_EARLY))))
+    new = G.gold_incremental(incoming, mix_by_date_e(spark, sf_dir), existing, B.E_MIX, computed_at=COMPUTED_AT)
+    return G.append_gold(existing.drop("window_date"), new)
 
 
 @query("evolve_schema")
@@ -529,7 +571,7 @@ def q_missed_intervals(spark, sf_dir):
 
 def _layers(spark, sf_dir):
     return {"bronze_prices": bronze_e(spark, sf_dir), "bronze_mix": bronze_mix_e(spark, sf_dir),
-            "silver_prices": B.prices_e(spark, sf_dir), "silver_mix": B.mix_e(spark, sf_dir),
+            "silver_prices": prices_by_date_e(spark, sf_dir), "silver_mix": mix_table_e(spark, sf_dir),
             "gold": gold_e(spark, sf_dir)}
 
 
@@ -566,6 +608,12 @@ def q_dataset_size_status(spark, sf_dir):
     return H.dataset_size_status(H.dataset_size(spark, table_path(sf_dir, "events")))
 
 
+@query("logical_size_status")
+def q_logical_size_status(spark, sf_dir):
+    """Size status of the bronze prices by the bytes of their values."""
+    return H.dataset_size_status(H.logical_size(bronze_e(spark, sf_dir)))
+
+
 def _health_checks(spark, sf_dir):
     g = gold_e(spark, sf_dir)
     return H.health_report(
@@ -573,6 +621,7 @@ def _health_checks(spark, sf_dir):
         H.row_count_status(H.layer_row_counts(_layers(spark, sf_dir))),
         H.data_gap_status(H.gap_by_entity(g, expected_minutes=5)),
         H.schema_check(g, ["avg_price", "window_end", *B.E_MIX.components]),
+        H.dataset_size_status(H.logical_size(bronze_e(spark, sf_dir))),
     )
 
 
@@ -617,7 +666,7 @@ def q_archive_split(spark, sf_dir):
 @query("retention_by_size")
 def q_retention_by_size(spark, sf_dir):
     """Size rule at 5.5 GB (over the cap): both feeds cut at the prices' median arrival."""
-    return R.retention_by_size(bronze_e(spark, sf_dir), bronze_mix_e(spark, sf_dir), SIZE_GB)
+    return R.retention_by_size(bronze_table_e(spark, sf_dir), bronze_mix_e(spark, sf_dir), SIZE_GB)
 
 
 @query("retention_by_size_stored")
@@ -661,12 +710,21 @@ def q_archive_export(spark, sf_dir):
 @query("archive_listing")
 def q_archive_listing(spark, sf_dir):
     """Newest files of an archive written from the bronze feed."""
-    b = bronze_e(spark, sf_dir)
+    b = bronze_table_e(spark, sf_dir)
     path = fresh_dir(spark, "archive")
-    R.archive_export(b.repartition(4, "entity"), R.median_cutoff_instant(b), path)
+    R.archive_export(b, R.median_cutoff_instant(b), path)
     return R.archive_listing(spark, path).select("file_name", "size_bytes", "size_mb")
 
 
+@query("archive_contents")
+def q_archive_contents(spark, sf_dir):
+    """Rows per arrival date of an archive written from the bronze feed, newest first."""
+    b = bronze_table_e(spark, sf_dir)
+    path = fresh_dir(spark, "archive")
+    R.archive_export(b, R.median_cutoff_instant(b), path)
+    return R.archive_contents(spark.read.parquet(path))
+
+
 # --- streaming (binding E / X landed as files) ------------------------------------------------
 
 STREAM_SPLIT = "2024-01-16 12:30:00"    # first landing batch ends inside an hour

@@ -201,6 +201,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["gold_summary"] = with_gold("SELECT * FROM gold")
 ORACLE["gold_summary_star"] = f"WITH {GOLD_S_CTES}\n{gold_select('hp', 'hm', S_COMPONENTS)}"
+ORACLE["gold_summary_star_feeds"] = ORACLE["gold_summary_star"]
 ORACLE["land_prices"] = f"WITH {PRICES_E}\nSELECT * FROM prices_e"
 ORACLE["land_mix"] = f"WITH {RAW_MIX_E}\nSELECT * FROM raw_mix_e"
 
@@ -702,10 +703,24 @@ GAP_STATUS = """gs AS (
               ELSE 'No significant data gaps detected' END AS message,
          CAST(COUNT(*) FILTER (WHERE has_gap) AS DOUBLE) AS value
   FROM gaps)"""
+_texts = " + ".join(f"COALESCE(strlen({c}), 0)" for c in ("entity", "location", "location_type", "market"))
+_values = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 8 END"
+                     for c in ("interval_start", "interval_end", "price", "ingested_at"))
+_gb, _mb = r2("(size_bytes / 1073741824.0)"), r2("(size_bytes / 1048576.0)", 1)
+SIZE = f"""sz AS (
+  SELECT 'dataset_size' AS "check",
+         CASE WHEN {_gb} >= 2.0 THEN 'error' WHEN {_gb} >= 1.0 THEN 'warning' ELSE 'ok' END AS status,
+         CASE WHEN {_gb} >= 2.0 THEN printf({q(S.MSG_SIZE_ERROR)}, {_gb})
+              WHEN {_gb} >= 1.0 THEN printf({q(S.MSG_SIZE_WARNING)}, {_gb})
+              ELSE printf({q(S.MSG_SIZE_OK)}, {_mb}) END AS message,
+         {_mb} AS value, size_bytes
+  FROM (SELECT CAST(COALESCE(SUM({_texts} + {_values}), 0) AS BIGINT) AS size_bytes FROM bp) t)"""
+ORACLE["logical_size_status"] = with_bronze("SELECT * FROM sz", SIZE)
 REPORT = """report AS (
   SELECT * FROM fr UNION ALL SELECT * FROM rs UNION ALL SELECT * FROM gs
+  UNION ALL SELECT "check", status, message, value FROM sz
   UNION ALL SELECT 'schema', 'ok', 'All expected columns present', 8.0 FROM (SELECT COUNT(*) FROM gold) t)"""
-_HEALTH = (LAYER_COUNTS, ROW_STATUS, GAPS, FRESH, GAP_STATUS, REPORT)
+_HEALTH = (LAYER_COUNTS, ROW_STATUS, GAPS, FRESH, GAP_STATUS, SIZE, REPORT)
 ORACLE["health_report"] = with_bronze("SELECT * FROM report", *_HEALTH)
 ORACLE["health_rollup"] = with_bronze("""
 SELECT COUNT(*) AS checks,
@@ -738,6 +753,9 @@ MEDIAN = """med AS (
 ORACLE["retention_by_age"] = with_bronze(f"SELECT * FROM bp WHERE ingested_at >= {AS_OF} - INTERVAL 10 DAY")
 ORACLE["median_cutoff"] = with_bronze("SELECT * FROM med", MEDIAN)
 ORACLE["archive_export"] = with_bronze("SELECT * FROM bp WHERE ingested_at < (SELECT cutoff FROM med)", MEDIAN)
+ORACLE["archive_contents"] = with_bronze("""
+SELECT CAST(ingested_at AS DATE) AS archived_date, COUNT(*) AS rows, MIN(ingested_at) AS earliest, MAX(ingested_at) AS latest
+FROM bp WHERE ingested_at < (SELECT cutoff FROM med) GROUP BY 1 ORDER BY 1 DESC""", MEDIAN)
 ORACLE["archive_split"] = with_bronze("""
 SELECT COUNT(*) FILTER (WHERE ingested_at < (SELECT cutoff FROM med)) AS archived,
        COUNT(*) FILTER (WHERE ingested_at >= (SELECT cutoff FROM med)) AS kept,

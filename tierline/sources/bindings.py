@@ -226,6 +226,27 @@ def _prices_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def facts_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems with their unit price and their revenue by order priority (orders: one row a key).
+
+    Both feeds of the star binding in one read of each table; a ship date is a
+    day, so a day's prices and its mix fall in the same hour.
+    """
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    sn = _supplier_nation(spark, sf_dir)
+    rows = li.join(sn, li.l_suppkey == sn.s_suppkey).join(od, li.l_orderkey == od.o_orderkey, "left")
+    return rows.select(
+        F.col("n_name").alias("entity"),
+        F.date_trunc("day", _instant("l_shipdate")).cast("timestamp").alias("interval_start"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
+        F.col("o_orderpriority").alias("category"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("o_orderkey").isNotNull().alias("has_mix"),
+    )
+
+
 def raw_mix_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_memo(spark, ("raw_mix_s", sf_dir), lambda: _raw_mix_s(spark, sf_dir))
 
