@@ -252,12 +252,12 @@ def verdicts(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int]) -> Data
     """
     groups, params, n_groups = fitted
     own = params.where((F.col("g") >= 0) | (F.col("g") < -1)).where(F.col("rows") >= MIN_ROWS)
-    every = params.where(F.col("g") == -1).select(*[F.col(c).alias(f"_all_{c}") for c in params.columns])
     p_names = [c for c in params.columns if c not in ("g", "start", "logdet", "rows")]
+    every = params.where(F.col("g") == -1).select(*p_names).first()    # one row; none if no row passed the base rules
     # one row a (lang, source) with the group's estimate, else the one over all
-    table = groups.join(own, "g", "left").crossJoin(F.broadcast(every))   # exactly one row
-    table = table.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"),
-                         *[F.coalesce(F.col(c), F.col(f"_all_{c}")).alias(c) for c in p_names])
+    table = groups.join(own, "g", "left").select(
+        F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"),
+        *[F.coalesce(F.col(c), F.lit(every[c] if every else None).cast("double")).alias(c) for c in p_names])
     table = stored(table, "quality-table").select(
         "_q_lang", "_q_source", F.struct(*p_names).alias("_q_p"))
     on = stats["lang"].eqNullSafe(F.col("_q_lang")) & stats["source"].eqNullSafe(F.col("_q_source"))
