@@ -2,10 +2,11 @@
 
 Pages are nodes under a canonical form of their url (no scheme, fragment,
 tracking parameters or trailing slash). Canonical links and redirects found in
-the pages' html, and any further edges given, connect nodes; a block decision
-of a rule reaches the pages of the same component that no rule decides, unless
-a rule explicitly allows a page of that component: inside a component allow takes
-precedence over block, and a page's own rule over both.
+the pages' html, and any further edges given, connect nodes, whether or not a
+node is a page; a block decision of a rule on any url of a component reaches its
+pages that no rule decides, unless a rule explicitly allows a url of that
+component: inside a component allow takes precedence over block, and a page's
+own rule over both.
 """
 
 from __future__ import annotations
@@ -73,38 +74,49 @@ def resolved(link: Column, url: Column) -> Column:
             .otherwise(F.concat(scheme, F.lit("://"), host(url), F.regexp_extract(path(url), "^(.*/)", 1), link)))
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)`` between a page's node and those its canonical link and redirect name."""
+def page_links(pages: DataFrame) -> DataFrame:
+    """``(a, b)``: a page's url and the urls its canonical link and redirect name."""
     html, url = F.col("html"), F.col("url")
     links = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
                     F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
     found = pages.where(F.instr(url, "://") > 0).select("url", F.explode(links).alias("link")).where("link <> ''")
-    return found.select(node(url).alias("a"), node(resolved(F.col("link"), url)).alias("b")).where("a <> b")
+    return found.select(url.alias("a"), resolved(F.col("link"), url).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, decided_by)`` for every row of ``pages(page_id, url, html)``.
 
     A page's own rule decides. Without one, a page of a component with a blocked
-    page is blocked, unless the component also has an explicitly allowed page;
-    everything else is allowed. ``edges(a, b)`` adds known redirects as urls. A
+    url (a page, or only the end of an edge) is blocked, unless the component also
+    has an explicitly allowed url; everything else is allowed. ``edges(a, b)``
+    adds known redirects as urls. A
     null url or one without ``://`` has an empty host and path, fits no rule and
     has no aliases. Repeated rows each get a row; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    links = page_edges(pages)
+    links = page_links(pages)
     if edges is not None:
-        links = links.unionByName(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
-    roots = stored(components(links, "a", "b"), "url-roots")
+        links = links.unionByName(edges.select("a", "b"))
+    # each end with its own rule: urls of one node may differ in their path's last slash
+    ends = [F.struct(node(F.col(c)).alias("node"), matching_rule(host(F.col(c)), path(F.col(c)), rules)["verdict"].alias("hit"))
+            .alias(c) for c in ("a", "b")]
+    links = stored(links.select(*ends), "url-links")
+    nodes = links.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a <> b")
+    roots = stored(components(nodes, "a", "b"), "url-roots")
     judged = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     judged = (judged.withColumn("_hit", matching_rule(F.col("host"), F.col("path"), rules))
               .withColumn("_node", node(F.col("url"))).drop("url"))
     judged = judged.join(roots, judged["_node"] == roots["node"], "left")
     judged = judged.withColumn("_class", F.coalesce("root", "_node")).drop("node", "root")
+    # urls that are only known as the end of an edge decide like pages
+    known = (links.select(F.explode(F.array("a", "b")).alias("end")).select("end.node", F.col("end.hit").alias("_verdict"))
+             .where(F.col("_verdict").isNotNull()).distinct()
+             .join(roots, "node", "left").select(F.coalesce("root", "node").alias("_class"), "_verdict"))
+    hits = judged.select("_class", F.col("_hit.verdict").alias("_verdict")).unionByName(known)
     # decisions per class: partial aggregates, so a hub of aliases meets as a few rows
-    decided = (judged.where(F.col("_class").isNotNull() & F.col("_hit").isNotNull()).groupBy("_class")
-               .agg(F.bool_or(F.col("_hit.verdict") == "allow").alias("_allowed"),
-                    F.bool_or(F.col("_hit.verdict") == "block").alias("_blocked")))
+    decided = (hits.where(F.col("_class").isNotNull() & F.col("_verdict").isNotNull()).groupBy("_class")
+               .agg(F.bool_or(F.col("_verdict") == "allow").alias("_allowed"),
+                    F.bool_or(F.col("_verdict") == "block").alias("_blocked")))
     out = judged.join(decided, "_class", "left")
     alias = F.coalesce(F.col("_blocked") & ~F.col("_allowed"), F.lit(False))
     verdict = F.when(F.col("_hit").isNotNull(), F.col("_hit.verdict")).when(alias, "block").otherwise("allow")
