@@ -75,3 +75,14 @@ def test_random_graphs_against_union_find(spark):
         want[i] = (rule(x) or ("block" if "block" in found and "allow" not in found else "allow"), by)
     assert judged(spark, pages, edges) == want
     assert len(set(want.values())) == 5
+
+
+def test_hub_and_long_chain_of_links_in_html(spark):
+    """The component path as registered: edges from html only, ends that are no pages."""
+    pages = [page(i, f"http://hub{i}.org/x", refresh("http://foo.net/es/hub")) for i in range(300)]
+    pages += [page(1000 + i, f"http://chain.org/{i}", canonical(f"http://chain.org/{i + 1}" if i < 299 else "http://foo.net/fr/end"))
+              for i in range(300)]
+    pages += [page(2000 + i, f"http://p{i}.org/x", canonical(f"http://q{i}.org/x")) for i in range(300)]
+    got = judged(spark, pages)
+    assert {k for k, v in got.items() if v == ("block", "alias")} == {*range(300), *range(1000, 1300)}
+    assert {v for k, v in got.items() if k >= 2000} == {("allow", "default")}
