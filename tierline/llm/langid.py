@@ -3,9 +3,10 @@
 A text's subwords are the byte 2-, 3- and 4-grams of its lower-cased UTF-8
 form, hashed into buckets. Their embeddings are averaged and a linear softmax
 on the average gives the languages' probabilities. Embeddings and softmax are
-trained by stochastic gradient descent in numpy on a bounded sample; a second,
-disjoint part of the sample calibrates the temperature and the confidence below
-which a document is rejected.
+trained by stochastic gradient descent in numpy on a bounded sample of distinct
+texts; a second, disjoint part of it calibrates the temperature. The confidence
+below which a document is rejected is the REJECT_SHARE quantile of that part and
+of a larger sample of further texts, which the model has not seen either.
 
 The average being linear, a trained model scores a text by looking up one
 logit row per subword, so a task carries a table of buckets x languages.
@@ -22,10 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierline.llm.common import stored
+
 BUCKETS = 1 << 15
 WIDTH = 16                  # embedding dimensions
 SAMPLE_PER_LANG = 600       # labelled rows per language used to learn, about (documented bound)
 EPOCHS, RATE = 12, 0.5
+CALIBRATE_PER_LANG = 2_500  # further distinct texts per language that set the rejection, about (documented bound)
 REJECT_SHARE = 0.002        # share of calibration documents that rejection may cost
 GRAM = (2, 3, 4)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +72,7 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     accept: float = 0.0
+    held: tuple[float, ...] = ()     # confidences of the rows that calibrated the temperature
 
     def scores(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.langs)), 0
@@ -92,6 +97,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Model:
     number = {l: i for i, l in enumerate(langs)}
     feats = [(*subword_counts(t), number[l]) for t, l in rows]
     held = [f for i, f in enumerate(feats) if i % 5 == 4] or feats
+    held_texts = [t for i, (t, _) in enumerate(rows) if i % 5 == 4] or [t for t, _ in rows]
     teach = [f for i, f in enumerate(feats) if i % 5 != 4]
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -119,27 +125,53 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Model:
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
-    top = np.sort(_softmax(z / model.temperature).max(axis=1))
-    # halfway between an even guess and the confidence that all but a small share reach
-    floor = float(top[int(REJECT_SHARE * len(top))])
-    model.accept = (floor + 1 / len(langs)) / 2 if len(langs) > 1 else 0.0
+    model.held = tuple(float(_softmax(model.scores(t)).max()) for t in held_texts)
+    model.accept = _threshold(model, model.held)
     return model
 
 
-def training_rows(docs: DataFrame, learn_from: Column, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, str]]:
-    """A bounded, reproducible sample: per language about ``per_lang`` rows of least hash.
+def _threshold(model: Model, confidences) -> float:
+    """The confidence that all but REJECT_SHARE of the calibration texts reach.
+
+    With fewer than 1 / REJECT_SHARE texts that is the least confidence of all.
+    """
+    top = np.sort(np.asarray(confidences, dtype=np.float64))
+    return float(top[int(REJECT_SHARE * len(top))]) if len(model.langs) > 1 and len(top) else 0.0
+
+
+def _sample(docs: DataFrame, learn_from: Column, per_lang: int, further: int) -> DataFrame | None:
+    """``(text, lang, teaches)``: distinct texts, per language about ``per_lang`` of least hash and ``further`` of the next.
 
-    The share of each language is set from its count over all rows, then rows
-    whose content hash falls below it are taken.
+    The share of each language is set from its count of distinct texts, then rows
+    whose content hash falls below it are taken: copies of a text fall together
+    and are one row, so no text is on both sides.
     """
-    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    counts = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
-        return []
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_lang / n))])
-    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    taken = known.where(point < F.element_at(share, F.col("lang"))).select("text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in taken]
+        return None
+
+    def share(n: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for lang, k in sorted(counts.items()) for v in (lang, min(1.0, n / k))]), F.col("lang"))
+
+    point = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) / float(1 << 30)
+    taken = known.withColumn("point", point).where(F.col("point") < share(per_lang + further))
+    # a text under two labels is one row; it teaches if it does under either
+    one = (taken.groupBy(F.md5("text").alias("key"))
+           .agg(F.min("lang").alias("lang"), F.first("text").alias("text"), F.bool_or(F.col("point") < share(per_lang)).alias("teaches")))
+    return one.select("text", "lang", "teaches")
+
+
+def trained(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, further: int = CALIBRATE_PER_LANG) -> Model:
+    """The model of a table's labelled rows, its rejection calibrated on texts it has not learned from."""
+    taken = _sample(docs, ~held_out(), per_lang, further)
+    if taken is None:
+        return fit([])
+    taken = stored(taken, "language-sample")
+    model = fit([(r["text"], r["lang"]) for r in taken.where("teaches").select("text", "lang").collect()])
+    scored = taken.where("not teaches").select(predictor(model)(F.col("text")).alias("p")).where(F.col("p.lang_pred") != UNDETERMINED)
+    model.accept = _threshold(model, [*model.held, *(r["score"] for r in scored.select("p.score").collect())])
+    return model
 
 
 def predictor(model: Model):
@@ -173,14 +205,14 @@ def identify(docs: DataFrame) -> DataFrame:
     the text alone. Repeated rows each get a row; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    model = fit(training_rows(docs, ~held_out()))
+    model = trained(docs)
     out = docs.select("doc_id", held_out().alias("held_out"), predictor(model)(F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with enough confidence, unchanged."""
-    model = fit(training_rows(docs, ~held_out()))
+    model = trained(docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     judged = docs.select(F.struct(*columns).alias("doc"), predictor(model)(F.col("text")).alias("p"))
     return judged.where("p.accepted").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
