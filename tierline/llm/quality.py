@@ -35,7 +35,7 @@ VALUE_BINS = 16            # value bins of the starting medians: units to a bin
 DIST_BINS = 400            # distance bins, geometric in the squared distance
 HALF = 0.75                # share of a group's rows the estimate is concentrated on
 STEPS = 6                  # concentration steps from each of the two starts
-MIN_ROWS = 50              # smaller groups take the estimate over all groups
+MIN_ROWS = 50              # smaller groups take their language's estimate, smaller languages the one over all groups
 # least spread of each statistic, in the same transformed units: no ordinary text is
 # an outlier only because its group is (nearly) constant in one of them
 FLOOR = np.array([0.35, 0.15, 0.15, 0.40, 0.30])
@@ -211,26 +211,27 @@ def _edge(b: int) -> float:
 def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """MCD estimates of a statistics table with lang, source and a struct ``s``.
 
-    Returns the groups (lang, source, g), the parameters per g (g = -1: over all
-    groups) and the number of groups. Rows that fail the base rules take no
-    part.
+    Returns the groups (lang, source, g, and their language's gl), the parameters
+    per g and gl (-1: over all groups) and the number of groups. Rows that fail
+    the base rules take no part.
     """
     good = stats.where(~base_failed("s")).select("lang", "source", *_vector("s"))
     groups = good.groupBy("lang", "source").count()
+    by_lang = F.xxhash64(F.lit("lang"), "lang", F.col("lang").isNull())
     groups = stored(groups.select("lang", "source", F.xxhash64("lang", "source", F.col("lang").isNull(),
-                                                               F.col("source").isNull()).alias("g")), "quality-groups")
+                                                               F.col("source").isNull()).alias("g"), by_lang.alias("gl")), "quality-groups")
     n_groups = groups.count()
     x = [f"x{i}" for i in range(DIM)]
     by = F.xxhash64("lang", "source", F.col("lang").isNull(), F.col("source").isNull())
-    # each row counts for its group and for the estimate over all (g = -1)
-    rows = good.select(F.explode(F.array(by, F.lit(-1).cast("long"))).alias("g"), *x)
+    # each row counts for its group, its language and for the estimate over all (g = -1)
+    rows = good.select(F.explode(F.array(by, by_lang, F.lit(-1).cast("long"))).alias("g"), *x)
 
     bins = (rows.select("g", F.posexplode(F.array(*[F.floor(F.col(c) / VALUE_BINS) for c in x])).alias("i", "bin"))
             .groupBy("g", "i", "bin").agg(F.count("*").alias("n")))
     medians = bins.groupBy("g").applyInPandas(_start_from_bins, PARAMS)
     moments = rows.groupBy("g").agg(*_sums()).groupBy("g").applyInPandas(_all_rows, PARAMS)
     params = stored(medians.unionByName(moments), "quality-start")
-    bound = 2 * (n_groups + 1)
+    bound = 2 * (2 * n_groups + 1)
 
     def binned(keep: list[str]) -> DataFrame:
         near = rows.join(broadcast_if_small(params, bound), "g").withColumn("d2", _distance())
@@ -254,10 +255,11 @@ def verdicts(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int]) -> Data
     own = params.where((F.col("g") >= 0) | (F.col("g") < -1)).where(F.col("rows") >= MIN_ROWS)
     p_names = [c for c in params.columns if c not in ("g", "start", "logdet", "rows")]
     every = params.where(F.col("g") == -1).select(*p_names).first()    # one row; none if no row passed the base rules
-    # one row a (lang, source) with the group's estimate, else the one over all
-    table = groups.join(own, "g", "left").select(
+    of_lang = own.select(F.col("g").alias("gl"), *[F.col(c).alias(f"l_{c}") for c in p_names])
+    # one row a (lang, source) with the group's estimate, else its language's, else the one over all
+    table = groups.join(own, "g", "left").join(of_lang, "gl", "left").select(
         F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"),
-        *[F.coalesce(F.col(c), F.lit(every[c] if every else None).cast("double")).alias(c) for c in p_names])
+        *[F.coalesce(F.col(c), F.col(f"l_{c}"), F.lit(every[c] if every else None).cast("double")).alias(c) for c in p_names])
     table = stored(table, "quality-table").select(
         "_q_lang", "_q_source", F.struct(*p_names).alias("_q_p"))
     on = stats["lang"].eqNullSafe(F.col("_q_lang")) & stats["source"].eqNullSafe(F.col("_q_source"))
@@ -281,8 +283,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails the base rules. Null lang or
     source is a group of its own. Groups with fewer than MIN_ROWS good rows are
-    judged by the estimate over all groups. An empty table gives an empty
-    result; other columns are ignored, whatever their names.
+    judged by their language's estimate, those of a language with fewer by the
+    one over all groups. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     stats = stored(with_statistics(docs.select("doc_id", "lang", "source", "text"), "s").drop("text"), "quality-stats")
     judged = verdicts(stats, estimates(stats))
