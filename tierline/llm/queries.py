@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierline.llm import langid, licences, mixing, neighbours, ngram, packing, quality, sharding, tokens, urls
+from tierline.llm import (forest, importance, langid, licences, mixing, neighbours, ngram, packing, phrases, quality,
+                          sharding, tokens, urls)
 from tierline.llm.common import fresh_dir, read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +80,29 @@ def op10(spark, sf_dir):
     return ngram.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op11_importance_resampling")
+def op11(spark, sf_dir):
+    """Weight, score and rank of every document against the benchmark's word distribution."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_minhash_forest")
+def op12(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return forest.forest_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_mining")
+def op13(spark, sf_dir):
+    """The first phrases of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 ORACLE = {
     "op1_licence_scan": licences.scan_sql(),
     "op6_sharding": sharding.placements_sql(),
+    "op11_importance_resampling": "SELECT doc_id, n_features, weight, score, rank FROM (" + importance.resample_sql() + ")",
+    "op12_minhash_forest": forest.forest_classes_sql(),
+    "op13_phrase_mining": phrases.collocations_sql(),
 }
