@@ -8,6 +8,12 @@ to each other, so one pass over the sorted stream counts the phrases of every
 length: a stack holds the current window's beginnings, and a beginning is
 complete as soon as the stream leaves it.
 
+A window is cut short before a pair or triple of words that cannot be frequent:
+nothing that holds it can be a candidate. A first pass counts pairs and triples
+in a table of bounded size, where those that share a slot add up; a slot below
+the least count proves all of its own rare. That only saves work: with every
+slot full the counts are the same.
+
 The phrases that are frequent enough are then kept in two orders. In prefix
 order a phrase follows its own beginnings and precedes its extensions to the
 right: one pass with a stack of counts gives the count of each first part and
@@ -23,10 +29,14 @@ a table of a few rows a task.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +50,20 @@ SCORE_SCALE = 2_000_000
 TOP = 2000
 NO_LANG = "und"
 
+MOST_SLOTS = 1 << 27        # counters of pairs and triples, a byte each
+BLOCK = 1 << 18             # counters sent on at a time
+SALTS = 64                  # first stage of adding the tables of all tasks up
 WINDOWS_KEPT = 200_000      # distinct windows a task counts before it hands them on
-SLICE = 1 << 20             # bytes of a piece that are split into words at a time
+HASHES_KEPT = 500_000       # word hashes a task remembers
+SLOTS_HELD = 1 << 20        # slots a task holds before it counts them
+SLICE = 1 << 20             # bytes of a text that are split into words at a time
 BATCH = 4096
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\x0b\x0c\r" else c for c in range(256))
-
 # Keys of the streams are words joined by a zero byte, the least byte, so that a phrase's extensions
-# directly follow it. Zero bytes inside a word (and the escape itself) are escaped.
+# directly follow it. Zero bytes inside a word (and the escape itself) are escaped. Between words of a
+# text a zero byte stands for the end of a piece.
 _END = b"\0"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\x0b\x0c\r" else c for c in range(256))
 
 
 def _escape(word: bytes) -> bytes:
@@ -60,68 +75,189 @@ def _unescape(word: bytes) -> bytes:
 
 
 def word_runs(text: str | None, overlap: int = LONGEST - 1) -> Iterator[tuple[list[bytes], int]]:
-    """The words of each piece of a whole text, as (words, how many of them open a window).
+    """The words of a whole text with a zero byte at the end of each piece, as (words, how many open a window).
 
-    A piece beyond SLICE bytes comes in several runs: the last ``overlap`` words
+    A text beyond SLICE bytes comes in several runs: the last ``overlap`` items
     of a run come again, as the first of the next, which is where they count.
     """
-    data = (text or "").encode().translate(_LOWER)
-    if b"\0" in data or b"\1" in data:
-        data = _escape(data)
-    at = 0
+    data = _escape((text or "").encode()).translate(_LOWER)
+    at, held = 0, []
     while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        held: list[bytes] = []
-        while at < end:
-            stop = end
-            if end - at > SLICE:
-                cut = [c for c in (data.find(b" ", at + SLICE, end), data.find(b"\t", at + SLICE, end)) if c >= 0]
-                stop = min(cut, default=end)
-            run = held + data[at:stop].split()
-            at = stop
-            if at >= end:
-                yield run, len(run)
-            else:
-                held = run[max(0, len(run) - overlap):]
-                yield run, len(run) - len(held)
-        at = end + 1
-
-
-def _window_counter(longest: int):
-    pad = [b""] * (longest - 1)
-
-    def emit(kept: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in kept.items():
+        stop = len(data)
+        if stop - at > SLICE:
+            stop = min([c for c in (data.find(b, at + SLICE) for b in (b" ", b"\t", b"\n")) if c >= 0], default=stop)
+        run = held + data[at:stop].replace(b"\n", b" \0 ").split()
+        at = stop
+        held = run[max(0, len(run) - overlap):] if at < len(data) else []
+        yield run, len(run) - len(held)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def slots_for(n_bytes: int) -> int:
+    """Size of the table for so much text: a power of two, half a slot to one a word, up to MOST_SLOTS."""
+    return min(MOST_SLOTS, max(BLOCK, 1 << (n_bytes // 16).bit_length()))
+
+
+def _slots(run: list[bytes], lang: int, hashes: _Hashes, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the pair and of the triple that begin at each word; -1 where the piece or the run ends in them."""
+    h = np.fromiter(map(hashes.__getitem__, run), dtype=np.uint64, count=len(run))
+    inside = h != np.uint64(hashes[_END])
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    code, out = h ^ np.uint64(lang), []
+    for k in (1, 2):
+        code = code[:-1] * odd + h[k:]
+        code = code ^ (code >> np.uint64(32))
+        inside = inside[:-1] & inside[1:]
+        at = ((code * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)).astype(np.int64) % slots
+        at[~inside] = -1
+        out.append(np.concatenate([at, np.full(len(run) - len(at), -1, np.int64)]))
+    return out[0], out[1]
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[str | None, bytes]]:
+    for text, lang in zip(batch.column("text"), batch.column("lang")):
+        lang = lang.as_py()
+        yield text.as_py(), (NO_LANG if lang is None else lang).encode()
+
+
+def _pair_counter(slots: int):
+    """A task's pair counts, at most 255 each, in compressed blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table, hashes = np.zeros(slots, dtype=np.uint8), _Hashes()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            at, n = at[at >= 0], n[at >= 0]
+            table[at] = np.minimum(table[at] + n, 255).astype(np.uint8)
+            held.clear()
+
+        for batch in batches:
+            for text, lang in _rows_of(batch):
+                code = xxhash.xxh3_64_intdigest(lang)
+                for words, _ in word_runs(text, 2):             # a triple across a cut is in the next run
+                    held += _slots(words, code, hashes, slots)
+                    size += 2 * len(words)
+                if size > SLOTS_HELD:
+                    add()
+                    size = 0
+                if len(hashes) > HASHES_KEPT:
+                    hashes.clear()
+        add()
+        salt = TaskContext.get().partitionId() % SALTS
+        for at in range(0, slots, BLOCK):
+            if table[at:at + BLOCK].any():
+                yield _block_row(at // BLOCK, salt, table[at:at + BLOCK])
+    return run
+
+
+def _block_row(block: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()),
+                                       pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["block", "salt", "counts"])
+
+
+def _block_adder():
+    """Sums, at most 255, of the counts of each (block, salt) of a sorted stream."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            for block, salt, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "salt", "counts")]):
+                part = np.frombuffer(zlib.decompress(counts), np.uint8)
+                if (block, salt) == now:
+                    total = np.minimum(total.astype(np.uint16) + part, 255).astype(np.uint8)
+                else:
+                    if now:
+                        yield _block_row(*now, total)
+                    now, total = (block, salt), part
+        if now:
+            yield _block_row(*now, total)
+    return run
+
+
+def frequent_slots(docs: DataFrame, least: int, slots: int) -> bytes:
+    """Packed bits: whether what falls into a slot can occur ``least`` times; ``slots`` / 8 bytes, whatever the data."""
+    shape = "block int, salt int, counts binary"
+    counts = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_pair_counter(slots), shape)
+    for salt in (F.col("salt"), F.lit(0)):        # tables of tasks by salt, then the salts' sums
+        counts = counts.select("block", salt.alias("salt"), "counts").repartition("block", "salt")
+        counts = counts.sortWithinPartitions("block", "salt").mapInArrow(_block_adder(), shape)
+    may = np.zeros(slots, dtype=bool)
+    for row in counts.toLocalIterator():
+        at = row["block"] * BLOCK
+        part = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        may[at:at + len(part)] = part >= min(least, 255)
+    return np.packbits(may).tobytes()
+
+
+def window_widths(opening: int, longest: int, may: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Words of the window of each of the first ``opening`` words: as long as its pairs and triples may be frequent."""
+    pair, triple = may
+    triple = triple & pair
+    triple[:-1] &= pair[1:]
+    width, going = np.ones(opening, dtype=np.int64), np.ones(opening, dtype=bool)
+    for step in range(longest - 1):
+        ahead = (pair if step == 0 else triple[step - 1:])[:opening]
+        going[:len(ahead)] &= ahead
+        going[len(ahead):] = False
+        width += going
+    return width
+
+
+def _window_counter(longest: int, bits: bytes, slots: int):
+    def emit(kept: dict[bytes, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for lang, (single, longer) in kept.items():
             head = _escape(lang) + _END
-            rows = sorted((head + _END.join(w).rstrip(_END), n) for w, n in counts.items())
+            rows = [(head + w, n) for w, n in single.items() if w != _END]
+            rows += [(head + _END.join(w), n) for w, n in longer.items()]
+            rows.sort()
             for at in range(0, len(rows), 50_000):
                 keys, ns = zip(*rows[at:at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ns, pa.int64())], ["key", "n"])
         kept.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, Counter] = {}
+        table = np.frombuffer(bits, np.uint8)
+
+        def may(at: np.ndarray) -> np.ndarray:
+            return (at >= 0) & ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+        hashes = _Hashes()
+        kept: dict[bytes, tuple[Counter, Counter]] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang")):
-                lang = lang.as_py()
-                counts = kept.setdefault((NO_LANG if lang is None else lang).encode(), Counter())
-                for words, opening in word_runs(text.as_py(), longest - 1):
-                    padded = words + pad
-                    counts.update(zip(*[padded[i:i + opening] for i in range(longest)]))
-                    if len(counts) > WINDOWS_KEPT:
+            for text, lang in _rows_of(batch):
+                code = xxhash.xxh3_64_intdigest(lang)
+                for words, opening in word_runs(text, longest - 1):
+                    single, longer = kept.setdefault(lang, (Counter(), Counter()))
+                    pair, triple = _slots(words, code, hashes, slots)
+                    width = window_widths(opening, longest, (may(pair), may(triple)))
+                    single.update(compress(words, (width == 1).tolist()))
+                    at = np.flatnonzero(width > 1)
+                    longer.update([tuple(words[i:i + k]) for i, k in zip(at.tolist(), width[at].tolist())])
+                    if len(single) + len(longer) > WINDOWS_KEPT:
                         yield from emit(kept)
-                        counts = kept.setdefault((NO_LANG if lang is None else lang).encode(), Counter())
-            if sum(map(len, kept.values())) > WINDOWS_KEPT:
+                if len(hashes) > HASHES_KEPT:
+                    hashes.clear()
+            if sum(len(a) + len(b) for a, b in kept.values()) > WINDOWS_KEPT:
                 yield from emit(kept)
         yield from emit(kept)
     return run
 
 
-def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``(key, n)``: windows of up to ``longest`` words with counts, combined inside tasks; a key may occur again."""
+def windows(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, slots: int | None = None) -> DataFrame:
+    """``(key, n)``: windows with counts, combined inside tasks; a key may occur again."""
+    if slots is None:
+        slots = slots_for(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    bits = frequent_slots(docs, least, slots)
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
-        _window_counter(longest), "key binary, n long")
+        _window_counter(longest, bits, slots), "key binary, n long")
 
 
 def _shared(one: list[bytes], other: list[bytes]) -> int:
@@ -295,7 +431,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT
     whole, in slices; repeated rows count again; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    phrases = stored(frequent(stored(windows(docs, longest), "windows"), least), "phrases")
+    phrases = stored(frequent(stored(windows(docs, longest, least), "windows"), least), "phrases")
     return scored(phrases, cover, scale, top)
 
 
