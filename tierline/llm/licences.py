@@ -105,6 +105,17 @@ LONG = [
      r"in the documentation and or other materials provided with the distribution(?: and)?", "bsdBinary"),
     (r"(?:neither )?the names? of SLOT may(?: not)? be used to endorse or promote products derived from (?:this|the) software "
      r"without(?: specific)? prior written permission(?: SLOT)?", "bsdEndorse"),
+    (r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted "
+     r"provided that the above copyright notice and this permission notice appear in all copies", "iscGrant"),
+    (r"this source code form is subject to the terms of the mozilla public license v[\x20|]2\.0", "mpl2"),
+    (r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2\.0"
+     r"(?: which (?:accompanies this distribution and )?is available at)?", "epl2"),
+    (r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+     r"and redistribute it freely subject to the following restrictions", "zlibGrant"),
+    (r"this is free and unencumbered software released into the public domain", "unlicense"),
+    (r"to the extent possible under law SLOT ha(?:s|ve) waived all copyright and related or neighboring rights to SLOT", "cc0"),
+    (r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+     r"documentation covered by this license(?: the software)? to use reproduce display distribute execute and transmit the software", "bslGrant"),
 ]
 for _family, _names, _versions in FAMILIES:
     for _v in _versions.split():
@@ -132,6 +143,8 @@ LONG_RULES = [
     (["apacheTitle", "apache2", "apacheUse", "apacheCopy"], "Apache-2.0"),
     *[([f"{f}Free", f"orLater{v}"], f"{f.upper()}-{v if '.' in v else v + '.0'}-or-later")
       for f, _, versions in FAMILIES for v in versions.split() if (f, v) != ("gpl", "3")],
+    (["iscGrant", "asIs"], "ISC"), (["iscGrant"], "ISC"), (["mpl2"], "MPL-2.0"), (["epl2"], "EPL-2.0"), (["zlibGrant"], "Zlib"),
+    (["unlicense"], "Unlicense"), (["cc0"], "CC0-1.0"), (["bslGrant"], "BSL-1.0"),
 ]
 NAME_RULES = [(["gplTitle3"], "GPL-3.0"), (["gplTitle2"], "GPL-2.0"), (["apacheTitle"], "Apache-2.0"),
               (["bsd3Name"], "BSD-3-Clause"), (["bsd2Name"], "BSD-2-Clause"),
@@ -140,14 +153,15 @@ ALL_RULES = LONG_RULES + RULES + NAME_RULES
 
 # a text with none of these words has no known sentence; checked before any splitting
 HINT = "licen|copyright|permission|redistribut|provided|reserved|endorse|version"     # of scan_sql()
-WIDE_HINT = HINT + r"|gnu\s+[al]?gpl|cc[\s-]+by"
+WIDE_HINT = HINT + r"|gnu\s+[al]?gpl|cc[\s-]+by|unencumbered"
 BREAK = r"[!?;:]+|\.+(?:[ \t\r]+|$)|\n|\.+\n"      # of scan_sql()
 USED = "#"
-# marks in the normalised text: | strong, line end weak
+# Marks in the normalised text: | strong, line end weak, ~ a dash or dots of their own. Every step is linear in the
+# text: no repeated group (Java matches those by recursion) and no run that a later start would scan again.
 MARKS = [(r"\|", " "), (r"https?://\S*[a-z0-9/]", " ; $0 ; "),
-         (r"[!?]+|\.+(?![a-z0-9.-])|\n(?:[^a-z0-9\n]*\n)+", "|"), (r"[;:]", "\n"),
-         (r"[^a-z0-9.|\n-]+", " "), (r"(?<![a-z0-9.-])[.-]+(?![a-z0-9.-])", " "),
-         (r"[ \n]*\|[ \n|]*", "|"), (r" *\n[ \n]*", "\n")]
+         (r"[!?]+|(?<!\.)\.++(?![a-z0-9-])|\n[^a-z0-9]*\n", "|"), (r"[;:]", "\n"),
+         (r"[^a-z0-9.|\n-]+", " "), (r"(?<![a-z0-9.-])[.-]++(?![a-z0-9.-])", "~"),
+         (r" ?~[ ~]*", "~"), (r"[ ~]?\n[ ~\n]*", "\n"), (r"[ ~\n]?\|[ ~\n|]*", "|")]
 
 
 def _pattern(template: str, space: str, any_mark: str) -> str:
@@ -169,7 +183,7 @@ def marked(text: Column) -> Column:
     out = F.lower(text)
     for found, mark in MARKS:
         out = F.regexp_replace(out, found, mark)
-    return F.regexp_replace(F.concat(F.lit("|"), F.trim(out), F.lit("|")), r"[ \n]*\|[ \n|]*", "|")
+    return F.regexp_replace(F.concat(F.lit("|"), F.trim(out), F.lit("|")), r"[ ~\n]?\|[ ~\n|]*", "|")
 
 
 def _ids(sentence: Column) -> Column:
@@ -196,7 +210,8 @@ def scan(docs: DataFrame) -> DataFrame:
     ``licences`` lists the matched rules' licences in rule order, each once;
     ``n_unmatched`` counts known sentences that no rule used; ``verdict`` is
     none, recognised or partial (some known sentence unused). A null or empty
-    text has no sentence. Repeated rows each get a row; an empty table gives an
+    text has no sentence; texts of any length are read whole, in time linear in
+    their length whatever they hold. Repeated rows each get a row; an empty table gives an
     empty result; other columns are ignored, whatever their names.
     """
     out = docs.select("doc_id", identifiers(F.col("text")).alias("sentence_ids"))
