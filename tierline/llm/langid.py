@@ -33,7 +33,11 @@ CALIBRATE_PER_LANG = 2_500  # further distinct texts per language that set the r
 REJECT_SHARE = 0.002        # share of calibration documents that rejection may cost
 GRAM = (2, 3, 4)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (numerals such as ½ or Ⅷ are not)."""
+    return any(c.isalpha() for c in text)
 UNDETERMINED = "und"
 PART = 1 << 16              # bytes of a text hashed at a time
 
@@ -90,7 +94,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]], seed: int = 11) -> Model:
     """Train on (text, lang) rows; every fifth row calibrates instead of teaching."""
-    rows = sorted(((t, l) for t, l in rows if t and LETTER.search(t)), key=lambda r: (zlib.crc32(r[0].encode()), r))
+    rows = sorted(((t, l) for t, l in rows if t and has_letter(t)), key=lambda r: (zlib.crc32(r[0].encode()), r))
     langs = sorted({l for _, l in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -181,7 +185,7 @@ def predictor(model: Model):
     def predict(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            if not t or not LETTER.search(t) or not shared.langs:
+            if not t or not has_letter(t) or not shared.langs:
                 out.append((UNDETERMINED, 0.0, False))
                 continue
             p = _softmax(shared.scores(t))
