@@ -9,9 +9,10 @@ that holds it.
 
 Copies of one text are one class before anything else. Buckets with the same
 members as one of a lower tree add nothing and are dropped. A large bucket is
-split into chunks and verified chunk against chunk, each in its own task group
-of bounded size; groups return link counts and a spanning forest, never their
-pairs.
+split into chunks, bounded in texts and in bytes (one very long text is a chunk),
+and verified chunk against chunk, each in its own task group; groups return link
+counts and a spanning forest, never their pairs. A bucket of n chunks costs
+n^2 / 2 groups: the exact number of links of every text asks for its pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 5                  # labels of a full trie path
 RECALL = 0.9999            # target for a pair exactly at the threshold
-CHUNK = 256                # texts of a bucket chunk
+CHUNK = 256                # texts of a bucket chunk, and
+CHUNK_BYTES = 2 << 20      # bytes of their shingle hashes
 PART = 4096                # shingles hashed at a time
 
 
@@ -88,18 +90,19 @@ def labels(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
 def _signer(words: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, signs, seen = [], [], {}
+            keys, signs, sizes, seen = [], [], [], {}
             for t in batch.column("text").to_pylist():
                 t = t or ""
                 key = hashlib.md5(t.encode()).hexdigest()
                 if key not in seen:
                     s = shingles(t, words)
-                    seen[key] = labels(s, trees, depth).tolist() if len(s) else None
+                    seen[key] = labels(s, trees, depth).tolist() if len(s) else None, len(s)
                 keys.append(key)
-                signs.append(seen[key])
+                signs.append(seen[key][0])
+                sizes.append(seen[key][1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(signs, pa.list_(pa.int64()))],
-                ["doc_id", "key", "labels"])
+                [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(signs, pa.list_(pa.int64())),
+                 pa.array(sizes, pa.int64())], ["doc_id", "key", "labels", "size"])
     return run
 
 
@@ -222,18 +225,19 @@ def _classes(docs: DataFrame, words: int, threshold: float, trees: int) -> tuple
     """``(signed rows, per distinct text: key, copy_id, links, class_key, class_id)``."""
     depth = matched_depth(threshold, trees)
     signed = stored(docs.select("doc_id", "text").mapInArrow(
-        _signer(words, trees, depth), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, labels array<long>"),
+        _signer(words, trees, depth), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, labels array<long>, size long"),
         "signed")
-    texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first("labels").alias("labels")), "texts")
-    nodes = texts.select("key", F.posexplode("labels").alias("tree", "label"))
+    texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.first("labels").alias("labels"),
+                                             F.first("size").alias("size")), "texts")
+    nodes = texts.select("key", "size", F.posexplode("labels").alias("tree", "label"))
     buckets = (nodes.groupBy("tree", "label")
-               .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
+               .agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.bit_xor(F.xxhash64("key")).alias("x"),
                     F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
                .where("n > 1"))
     # of buckets with the same members the one in the lowest tree is kept
-    kept = (buckets.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "label")).alias("b"))
-            .select("n", "b.tree", "b.label"))
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    kept = (buckets.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "label")).alias("b"), F.first("bytes").alias("bytes"))
+            .select("n", "bytes", "b.tree", "b.label"))
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("key"), parts).cast("int")
     places = (nodes.join(kept, ["tree", "label"]).withColumn("own", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -249,7 +253,7 @@ def _classes(docs: DataFrame, words: int, threshold: float, trees: int) -> tuple
     found = stored(grouped.mapInArrow(_verifier(threshold, trees), "key string, links long, root string"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = stored(components(found, "key", "root"), "link-roots")
-    known = (texts.drop("labels").join(links, "key", "left")
+    known = (texts.drop("labels", "size").join(links, "key", "left")
              .join(roots.withColumnRenamed("node", "key"), "key", "left")
              .withColumn("class_key", F.coalesce("root", "key")).drop("root"))
     known = stored(known, "text-classes")
