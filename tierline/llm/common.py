@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Rows per Arrow batch for whole texts. Texts vary from a word to megabytes, so
 # a batch of Spark's default 10,000 rows could fill a Python worker.
 TEXT_BATCH_ROWS = 500
+TEXT_BATCH_BYTES = 16 << 20
 
 # A side is broadcast only after its rows have been counted against this bound.
 BROADCAST_ROWS = 10_000
@@ -36,10 +37,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """What the operators rely on: UTC, small Arrow batches of texts, our package on the executors."""
+    """What the operators rely on: UTC, Arrow batches bounded in rows and bytes, our package on the executors."""
     ensure_session(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
     return spark
 
 
@@ -47,14 +49,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(table_path(sf_dir, name))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder (with the session's codec, or ``codec``) and read it back.
 
     Cuts the lineage: lost executors cost a re-read, not the work before.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
