@@ -52,8 +52,8 @@ NO_LANG = "und"
 
 MOST_SLOTS = 1 << 27        # counters of pairs and triples, a byte each
 BLOCK = 1 << 18             # counters sent on at a time
-SALTS = 64                  # first stage of adding the tables of all tasks up
-WINDOWS_KEPT = 200_000      # distinct windows a task counts before it hands them on
+TASKS_ADDED = 64            # tasks whose tables are added up first, before the sums of all
+WINDOWS_KEPT = 400_000      # distinct windows a task counts before it hands them on
 HASHES_KEPT = 500_000       # word hashes a task remembers
 SLOTS_HELD = 1 << 20        # slots a task holds before it counts them
 SLICE = 1 << 20             # bytes of a text that are split into words at a time
@@ -152,7 +152,7 @@ def _pair_counter(slots: int):
                 if len(hashes) > HASHES_KEPT:
                     hashes.clear()
         add()
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() // TASKS_ADDED
         for at in range(0, slots, BLOCK):
             if table[at:at + BLOCK].any():
                 yield _block_row(at // BLOCK, salt, table[at:at + BLOCK])
@@ -161,7 +161,7 @@ def _pair_counter(slots: int):
 
 def _block_row(block: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()),
-                                       pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["block", "salt", "counts"])
+                                       pa.array([zlib.compress(counts.tobytes())], pa.binary())], ["block", "salt", "counts"])
 
 
 def _block_adder():
@@ -186,7 +186,7 @@ def frequent_slots(docs: DataFrame, least: int, slots: int) -> bytes:
     """Packed bits: whether what falls into a slot can occur ``least`` times; ``slots`` / 8 bytes, whatever the data."""
     shape = "block int, salt int, counts binary"
     counts = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_pair_counter(slots), shape)
-    for salt in (F.col("salt"), F.lit(0)):        # tables of tasks by salt, then the salts' sums
+    for salt in (F.col("salt"), F.lit(0)):        # tables of some tasks, then their sums
         counts = counts.select("block", salt.alias("salt"), "counts").repartition("block", "salt")
         counts = counts.sortWithinPartitions("block", "salt").mapInArrow(_block_adder(), shape)
     may = np.zeros(slots, dtype=bool)
@@ -212,15 +212,14 @@ def window_widths(opening: int, longest: int, may: tuple[np.ndarray, np.ndarray]
 
 
 def _window_counter(longest: int, bits: bytes, slots: int):
-    def emit(kept: dict[bytes, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for lang, (single, longer) in kept.items():
+    def emit(kept: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in kept.items():
             head = _escape(lang) + _END
-            rows = [(head + w, n) for w, n in single.items() if w != _END]
-            rows += [(head + _END.join(w), n) for w, n in longer.items()]
-            rows.sort()
+            rows = sorted(counts.items())
             for at in range(0, len(rows), 50_000):
                 keys, ns = zip(*rows[at:at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ns, pa.int64())], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([head + k for k in keys], pa.binary()), pa.array(ns, pa.int64())],
+                                                 ["key", "n"])
         kept.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,24 +229,30 @@ def _window_counter(longest: int, bits: bytes, slots: int):
             return (at >= 0) & ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
         hashes = _Hashes()
-        kept: dict[bytes, tuple[Counter, Counter]] = {}
+        singles: dict[bytes, Counter] = {}
+        longer: dict[bytes, Counter] = {}
         for batch in batches:
             for text, lang in _rows_of(batch):
                 code = xxhash.xxh3_64_intdigest(lang)
                 for words, opening in word_runs(text, longest - 1):
-                    single, longer = kept.setdefault(lang, (Counter(), Counter()))
                     pair, triple = _slots(words, code, hashes, slots)
                     width = window_widths(opening, longest, (may(pair), may(triple)))
-                    single.update(compress(words, (width == 1).tolist()))
+                    count = singles.setdefault(lang, Counter())
+                    count.update(compress(words, (width == 1).tolist()))
+                    count.pop(_END, None)
                     at = np.flatnonzero(width > 1)
-                    longer.update([tuple(words[i:i + k]) for i, k in zip(at.tolist(), width[at].tolist())])
-                    if len(single) + len(longer) > WINDOWS_KEPT:
-                        yield from emit(kept)
+                    longer.setdefault(lang, Counter()).update(
+                        [_END.join(words[i:i + k]) for i, k in zip(at.tolist(), width[at].tolist())])
+                    for kept in (singles, longer):
+                        if len(kept[lang]) > WINDOWS_KEPT:
+                            yield from emit(kept)
                 if len(hashes) > HASHES_KEPT:
                     hashes.clear()
-            if sum(len(a) + len(b) for a, b in kept.values()) > WINDOWS_KEPT:
-                yield from emit(kept)
-        yield from emit(kept)
+            for kept in (singles, longer):
+                if sum(map(len, kept.values())) > WINDOWS_KEPT:
+                    yield from emit(kept)
+        yield from emit(singles)
+        yield from emit(longer)
     return run
 
 
@@ -431,7 +436,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT
     whole, in slices; repeated rows count again; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
-    phrases = stored(frequent(stored(windows(docs, longest, least), "windows"), least), "phrases")
+    phrases = stored(frequent(stored(windows(docs, longest, least), "windows", "zstd"), least), "phrases")
     return scored(phrases, cover, scale, top)
 
 
