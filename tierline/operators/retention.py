@@ -1,14 +1,19 @@
 """Retention by age and by size, with a Parquet archive of what is removed.
 
-Plain Parquet has no DELETE, so retention is copy-on-write: the kept rows are
-written to a new version of the table (never over the path being read), and
-the removed rows to the archive. With the table partitioned by ingest date,
-whole partitions older than the cutoff are never read; only the boundary
-partition is rewritten.
+Plain Parquet has no DELETE. ``retain_table`` is copy-on-write: the kept rows
+are written to a new version of the table, and the removed rows to the archive.
+``age_off`` works in place on tables partitioned by ingest date: whole
+partitions older than the cutoff are dropped unread, and only the boundary
+partition is rewritten, by a dynamic partition overwrite.
+
+A row without an arrival time is of unknown age: every rule keeps it (it is
+not older than any cutoff).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,26 +31,32 @@ def age_cutoff(as_of: Column, days: int = RETENTION_DAYS) -> Column:
 
 def retention_by_age(bronze: DataFrame, cutoff: Column, col: str = "ingested_at",
                      partition_col: str = PARTITION_COL) -> DataFrame:
-    """The rows that stay: arrival at or after the cutoff.
+    """The rows that stay: arrival at or after the cutoff, or unknown.
 
     On a table partitioned by ingest date the implied date predicate reaches
     the scan as a partition filter, so older partitions are never read.
     """
-    keep = F.col(col) >= cutoff
+    keep = _not_before(F.col(col), cutoff)
     if partition_col in bronze.columns:
-        keep = (F.col(partition_col) >= F.to_date(cutoff)) & keep
+        keep = _not_before(F.col(partition_col), F.to_date(cutoff)) & keep
     return bronze.filter(keep)
 
 
+def _not_before(c: Column, cutoff: Column) -> Column:
+    return c.isNull() | (c >= cutoff)
+
+
 def archive_split(df: DataFrame, cutoff: Column, col: str = "ingested_at") -> tuple[DataFrame, DataFrame]:
-    """(archive, keep) by one predicate; every row with a non-null instant is in exactly one.
+    """(archive, keep) by one predicate; every row is in exactly one (one without an instant is kept).
 
-    On a table partitioned by ingest date each side reads its own dates only.
+    Without a cutoff (null: nothing to cut) every row is kept. On a table
+    partitioned by ingest date each side reads its own dates only.
     """
-    old, keep = df.filter(F.col(col) < cutoff), df.filter(F.col(col) >= cutoff)
+    old, keep = df.filter(F.col(col) < cutoff), df.filter(_not_before(F.col(col), cutoff) | cutoff.isNull())
     if PARTITION_COL in df.columns:
-        old = old.filter(F.col(PARTITION_COL) <= F.to_date(cutoff))
-        keep = keep.filter(F.col(PARTITION_COL) >= F.to_date(cutoff))
+        day = F.to_date(cutoff)
+        old = old.filter(F.col(PARTITION_COL) <= day)
+        keep = keep.filter(_not_before(F.col(PARTITION_COL), day) | day.isNull())
     return old, keep
 
 
@@ -150,7 +161,8 @@ def retention_by_size(prices: DataFrame, mix: DataFrame, size_gb: float,
     action = "aged off" if over_cap else ("warning" if warning_gb <= size_gb < cap_gb else "none")
     both = (prices.select(F.col(col).alias("t"), F.lit("prices").alias("feed"))
             .unionByName(mix.select(F.col(col).alias("t"), F.lit("mix").alias("feed"))))
-    old = F.col("t") < cut if over_cap else F.lit(False)
+    # a row without an arrival time is kept
+    old = F.coalesce(F.col("t") < cut, F.lit(False)) if over_cap else F.lit(False)
 
     def counts(feed: str) -> list[Column]:
         mine = F.col("feed") == feed
@@ -187,9 +199,8 @@ def apply_size_retention(spark, feeds: dict[str, str], base: str, by: str,
     for name, path in feeds.items():
         table = spark.read.parquet(path)
         old, keep = archive_split(table, cut, col)
-        undated = table.filter(F.col(col).isNull())
         old.drop(PARTITION_COL).write.parquet(f"{base}/archive/{name}")
-        keep.unionByName(undated).write.partitionBy(PARTITION_COL).parquet(f"{base}/kept/{name}")
+        keep.write.partitionBy(PARTITION_COL).parquet(f"{base}/kept/{name}")
     return size_gb, "aged off", cut_micros
 
 
@@ -233,6 +244,100 @@ def archive_contents(archive: DataFrame, col: str = "ingested_at") -> DataFrame:
             .orderBy(F.col("archived_date").desc()))
 
 
+def _delete_folder(spark, path: str) -> None:
+    """Remove a folder of the table's own file system (a metadata call of the driver)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def age_off(spark, feeds: dict[str, str], cutoff, col: str = "ingested_at",
+            partition_col: str = PARTITION_COL) -> DataFrame:
+    """Age rule carried out in place on stored bronze tables (``feeds``: name -> path).
+
+    Each table is partitioned by ``partition_col``, the date of ``col``. Its
+    partitions before the cutoff's date go as a whole: their rows are counted
+    from the file footers (no column is read) and the folders removed. The
+    boundary partition is read alone; if it holds older rows its others replace
+    it by a dynamic partition overwrite, which leaves every other partition
+    untouched. Rows without an arrival time lie in the null partition and stay.
+
+    One row a feed: feed, removed, dropped_partitions, rewritten_partitions.
+    The steps can be repeated: a run that was cut short is finished by the next
+    (its ``removed`` then counts what was left).
+    """
+    cut_micros = spark.range(1).select(F.unix_micros(instant(cutoff))).first()[0]
+    done = []
+    for name, path in feeds.items():
+        if cut_micros is None:                                  # nothing has an arrival time
+            done.append((name, 0, 0, 0))
+            continue
+        cut = instant_micros(cut_micros)
+        table, day = spark.read.parquet(path), F.to_date(cut)
+        # at most one row a day of history
+        old = table.filter(F.col(partition_col) < day).groupBy(partition_col).count().collect()
+        here = table.filter(F.col(partition_col) == day)
+        before = here.agg(F.count_if(F.col(col) < cut).alias("old"), F.count(F.lit(1)).alias("n")).first()
+        gone = {str(r[partition_col]) for r in old}
+        removed, rewritten = sum(r["count"] for r in old) + before["old"], 0
+        if 0 < before["old"] < before["n"]:
+            kept = here.filter(_not_before(F.col(col), cut))
+            (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(partition_col).parquet(path))
+            rewritten = 1
+        elif before["old"]:
+            gone.add(str(spark.range(1).select(day).first()[0]))
+        for d in sorted(gone):
+            _delete_folder(spark, f"{path}/{partition_col}={d}")
+        done.append((name, removed, len(gone), rewritten))
+    return spark.createDataFrame(done, "feed string, removed long, dropped_partitions long, rewritten_partitions long")
+
+
+# --- archive with a manifest -----------------------------------------------------------------
+
+ARCHIVE_DATE = "archived_date"
+
+
+def export_archive(df: DataFrame, cutoff: Column, path: str, exported_at: Column | None = None,
+                   col: str = "ingested_at") -> None:
+    """Rows older than the cutoff to ``path/data`` by export and arrival date, and a manifest of the files to ``path/manifest``.
+
+    Several exports may share a path: each adds a folder of files and its own
+    manifest rows. The manifest is made by one aggregate over the files just
+    written (their arrival column only): file name, date, rows, first and last
+    arrival, and when the export ran.
+    """
+    spark = df.sparkSession
+    export = f"{path}/data/export={uuid.uuid4().hex[:12]}"
+    old = archive_split(df, cutoff, col)[0].withColumn(ARCHIVE_DATE, F.to_date(col)).drop(PARTITION_COL)
+    old.repartition(ARCHIVE_DATE).write.partitionBy(ARCHIVE_DATE).parquet(export)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    at = F.current_timestamp() if exported_at is None else exported_at.cast("timestamp")
+    files = (spark.read.schema(old.schema).parquet(export).select(name.alias("file_name"), ARCHIVE_DATE, col)
+             .groupBy("file_name", ARCHIVE_DATE)
+             .agg(F.count(F.lit(1)).alias("rows"), F.min(col).alias("earliest"), F.max(col).alias("latest")))
+    files.withColumn("exported_at", at).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _archive_files(spark, path: str) -> DataFrame | None:
+    """The manifest rows written so far (None before the first export)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def archive_manifest(spark, path: str, limit: int = ARCHIVE_LISTING_LIMIT) -> DataFrame:
+    """The archive's newest files first (by export, date and name), read from the manifest alone."""
+    files = _archive_files(spark, path)
+    if files is None:
+        raise FileNotFoundError(f"no archive at {path}")
+    return files.orderBy(F.col("exported_at").desc(), F.col(ARCHIVE_DATE).desc(), F.col("file_name").desc()).limit(limit)
+
+
 def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",
                  partition_col: str = PARTITION_COL) -> None:
     """Copy-on-write retention of a date-partitioned table into a new version.
@@ -242,5 +347,5 @@ def retain_table(spark, src: str, dst: str, cutoff, col: str = "ingested_at",
     """
     cut = instant(cutoff)
     src_df = spark.read.parquet(src)
-    kept = src_df.filter((F.col(partition_col) >= F.to_date(cut)) & (F.col(col) >= cut))
+    kept = retention_by_age(src_df, cut, col, partition_col)
     kept.write.mode("errorifexists").partitionBy(partition_col).parquet(dst)

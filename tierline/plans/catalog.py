@@ -891,3 +891,43 @@ def q_retention_rewrite(spark, sf_dir):
     path = fresh_dir(spark, "bronze-retained")
     R.retain_table(spark, src_path, path, R.age_cutoff(as_of_e(spark, sf_dir), AGE_DAYS))
     return spark.read.parquet(path).drop("ingest_date")
+
+
+# --- retention in place, archive manifest (binding E with some arrival times unknown) ------------
+
+def _undated_copy(spark, sf_dir):
+    """Fresh copies of both bronze feeds, by ingest date; rows of second 7 and mix rows of hour 5 carry no arrival time."""
+    base = fresh_dir(spark, "bronze-undated")
+    known = {"prices": (bronze_e(spark, sf_dir), F.second("interval_start") != 7),
+             "mix": (bronze_mix_e(spark, sf_dir), F.hour("time") != 5)}
+    for feed, (table, dated) in known.items():
+        BR.write_bronze(table.withColumn("ingested_at", F.when(dated, F.col("ingested_at"))), f"{base}/{feed}")
+    return {feed: f"{base}/{feed}" for feed in known}
+
+
+@query("retention_by_age_both")
+def q_retention_by_age_both(spark, sf_dir):
+    """A 10-day age rule carried out in place on both feeds: rows removed, kept and kept without an arrival time."""
+    feeds = _undated_copy(spark, sf_dir)
+    last = spark.read.parquet(feeds["prices"]).select(plus_minutes(F.max("ingested_at"), AS_OF_LAG_MINUTES)).scalar()
+    done = R.age_off(spark, feeds, R.age_cutoff(last, AGE_DAYS))
+    left = None
+    for feed, path in feeds.items():
+        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("ingested_at").isNull()).alias("undated"),
+                                            F.min("ingested_at").alias("earliest")).withColumn("feed", F.lit(feed))
+        left = part if left is None else left.unionByName(part)
+    return done.join(left, "feed").select("feed", "removed", "kept", "undated", "earliest", "rewritten_partitions")
+
+
+@query("archive_manifest")
+def q_archive_manifest(spark, sf_dir):
+    """The archive of the rows before the median arrival, exported in two steps, as its manifest lists it."""
+    b = bronze_table_e(spark, sf_dir)
+    path = fresh_dir(spark, "archive-manifest")
+    early = instant(SPLIT_ARCHIVE)
+    R.export_archive(R.archive_split(b, early)[0], early, path, instant("2024-02-01 00:00:00"))
+    R.export_archive(R.archive_split(b, early)[1], R.median_cutoff_instant(b), path, instant("2024-02-02 00:00:00"))
+    return R.archive_manifest(spark, path, limit=1000).drop("file_name")
+
+
+SPLIT_ARCHIVE = "2024-01-05 00:00:00"

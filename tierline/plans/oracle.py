@@ -842,3 +842,19 @@ ORACLE["stream_two_feeds"] = w(
 
 ORACLE["evolve_schema_files"] = ORACLE["evolve_schema"]
 ORACLE["retention_rewrite"] = ORACLE["retention_by_age"]
+
+# --- retention in place, archive manifest -------------------------------------------------------
+_UNDATED = ("up AS (SELECT CASE WHEN second(interval_start) <> 7 THEN ingested_at END AS t FROM bp)",
+            "um AS (SELECT CASE WHEN hour(time) <> 5 THEN ingested_at END AS t FROM bm)",
+            "cut AS (SELECT MAX(t) + INTERVAL 20 MINUTE - INTERVAL 10 DAY AS c FROM up)")
+ORACLE["retention_by_age_both"] = with_bronze(" UNION ALL ".join(f"""
+SELECT '{feed}' AS feed, COUNT(*) FILTER (WHERE t < c) AS removed, COUNT(*) FILTER (WHERE t IS NULL OR t >= c) AS kept,
+       COUNT(*) FILTER (WHERE t IS NULL) AS undated, MIN(t) FILTER (WHERE t >= c) AS earliest,
+       CAST(bool_or(t < c AND CAST(t AS DATE) = CAST(c AS DATE))
+            AND bool_or(t >= c AND CAST(t AS DATE) = CAST(c AS DATE)) AS BIGINT) AS rewritten_partitions
+FROM {src}, cut GROUP BY c""" for feed, src in (("prices", "up"), ("mix", "um"))), *_UNDATED)
+ORACLE["archive_manifest"] = with_bronze("""
+SELECT CAST(ingested_at AS DATE) AS archived_date, COUNT(*) AS rows, MIN(ingested_at) AS earliest, MAX(ingested_at) AS latest,
+       CASE WHEN ingested_at < TIMESTAMP '2024-01-05 00:00:00' THEN TIMESTAMP '2024-02-01 00:00:00'
+            ELSE TIMESTAMP '2024-02-02 00:00:00' END AS exported_at
+FROM bp WHERE ingested_at < (SELECT cutoff FROM med) GROUP BY 1, 5""", MEDIAN)
