@@ -1,12 +1,12 @@
 """Distributions of the hourly price and the mix series, over gold.
 
-Per-entity order statistics (CDF window, exact quartiles) run on gold, which
-holds at most one row per (entity, hour): one entity's group is bounded by the
-hours of history (87,600 for ten years) however large the raw feeds grow or
-however the rows are spread over entities. For raw-level inputs the quartile
-functions take ``approx=True`` (a mergeable sketch). Everything that only
-counts or sums (histogram, totals, summaries) is an ordinary aggregate with
-map-side combining.
+The CDF ranks rows across all tasks. Exact quartiles run per entity on gold,
+which holds at most one row per (entity, hour): one entity's group is bounded
+by the hours of history (87,600 for ten years) however large the raw feeds
+grow; for raw-level inputs they take ``approx=True`` (a mergeable sketch), and
+``summaries`` keeps such sketches by day. Everything that only counts or sums
+(histogram, totals, summaries) is an ordinary aggregate with map-side
+combining.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierline.functions.numeric import exact_mean, exact_sum, round_half_away
+from tierline.functions.ranking import ranked
 from tierline.operators.snapshot import latest_rows
 from tierline.settings import DEFAULT_MIX, HISTOGRAM_BINS, MIX_DISPLAY_MIN, MixSpec
 
@@ -26,12 +27,13 @@ def price_cdf(gold: DataFrame, col: str = "avg_price") -> DataFrame:
     """Empirical CDF per entity: i / n * 100 for the i-th value in ascending order.
 
     Ties get distinct positions (ordered by window_start), unlike cume_dist.
+    Ranks come from a sort over all tasks (``functions.ranking``): no task holds
+    a whole entity, so the input may as well be raw prices.
     """
-    vals = gold.filter(F.col(col).isNotNull()).select("entity", "window_start", col)
-    w = Window.partitionBy("entity").orderBy(F.col(col), F.col("window_start"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("entity"))
-    return vals.select("entity", "window_start", col,
-                       (F.row_number().over(w) / n * F.lit(100.0)).alias("cdf_pct"))
+    vals = gold.filter(F.col(col).isNotNull()).select("entity", "window_start", F.col(col).alias("__v"))
+    placed = ranked(vals, ["entity"], [F.col("__v").asc(), F.col("window_start").asc()], "__i", size="__n")
+    return placed.select("entity", "window_start", F.col("__v").alias(col),
+                         (F.col("__i") / F.col("__n") * F.lit(100.0)).alias("cdf_pct"))
 
 
 def price_histogram(gold: DataFrame, col: str = "avg_price", bins: int = HISTOGRAM_BINS) -> DataFrame:

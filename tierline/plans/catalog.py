@@ -24,6 +24,7 @@ from tierline.operators import normalize as N
 from tierline.operators import retention as R
 from tierline.operators import silver as SV
 from tierline.operators import snapshot as SN
+from tierline.operators import summaries as SU
 from tierline.session import ensure_session, fresh_dir
 from tierline.settings import MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS
 from tierline.sources import bindings as B
@@ -931,3 +932,38 @@ def q_archive_manifest(spark, sf_dir):
 
 
 SPLIT_ARCHIVE = "2024-01-05 00:00:00"
+
+
+# --- statistics of gold from daily summaries (binding E) ------------------------------------------
+
+SUMMARY_SPLIT = "2024-01-20 00:00:00"       # the second load brings the days from here on
+
+
+def gold_days_e(spark, sf_dir):
+    """The stored daily summaries of gold, loaded in two increments of whole days; the later one is loaded twice."""
+    def build():
+        path = fresh_dir(spark, "gold-days-e")
+        g, t = gold_e(spark, sf_dir), F.col("window_start")
+        SU.add_days(g.filter(t < instant(SUMMARY_SPLIT)), path)
+        for _ in range(2):
+            SU.add_days(g.filter(t >= instant(SUMMARY_SPLIT)), path)
+        return SU.read_days(spark, path)
+    return session_memo(spark, ("gold_days_e", sf_dir), build)
+
+
+@query("anomaly_baseline_incremental")
+def q_anomaly_baseline_incremental(spark, sf_dir):
+    """Mean, deviation and quartiles per entity from merged daily moments and sketches."""
+    return SU.baseline_from_days(gold_days_e(spark, sf_dir))
+
+
+@query("box_stats_incremental")
+def q_box_stats_incremental(spark, sf_dir):
+    """Quartiles, fences and extremes per entity from merged daily sketches."""
+    return SU.box_from_days(gold_days_e(spark, sf_dir))
+
+
+@query("anomaly_scores_incremental")
+def q_anomaly_scores_incremental(spark, sf_dir):
+    """Status of each entity's latest price against the merged daily moments."""
+    return SU.scores_from_days(gold_days_e(spark, sf_dir), gold_by_date_e(spark, sf_dir).drop("window_date"))

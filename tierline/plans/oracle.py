@@ -858,3 +858,20 @@ SELECT CAST(ingested_at AS DATE) AS archived_date, COUNT(*) AS rows, MIN(ingeste
        CASE WHEN ingested_at < TIMESTAMP '2024-01-05 00:00:00' THEN TIMESTAMP '2024-02-01 00:00:00'
             ELSE TIMESTAMP '2024-02-02 00:00:00' END AS exported_at
 FROM bp WHERE ingested_at < (SELECT cutoff FROM med) GROUP BY 1, 5""", MEDIAN)
+
+# --- statistics of gold from daily summaries: below SKETCH_K values a sketch's quantiles are exact ----
+_QD = """qd AS (
+  SELECT entity, COUNT(avg_price) AS n, quantile_disc(avg_price, 0.25) AS q1, quantile_disc(avg_price, 0.5) AS median,
+         quantile_disc(avg_price, 0.75) AS q3 FROM gold WHERE avg_price IS NOT NULL GROUP BY entity)"""
+ORACLE["anomaly_baseline_incremental"] = with_gold(f"""
+SELECT m.entity, m.n, {r6("m.mean")} AS mean, {r6("m.std")} AS std, q.q1 AS q25, q.q3 AS q75,
+       {r6("q.q3 - q.q1")} AS spread, m.n >= 5 AS has_baseline
+FROM (SELECT entity, COUNT(avg_price) AS n, {xmean("avg_price")} AS mean, {xstd("avg_price")} AS std
+      FROM gold WHERE avg_price IS NOT NULL GROUP BY entity) m JOIN qd q ON m.entity = q.entity""", _QD)
+ORACLE["box_stats_incremental"] = with_gold(f"""
+SELECT f.entity, f.n, f.q1, f.median, f.q3, {r6("f.lo")} AS lower_fence, {r6("f.hi")} AS upper_fence, f.low, f.high,
+       f.low < f.lo OR f.high > f.hi AS has_outliers
+FROM (SELECT q.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, e.low, e.high FROM qd q
+      JOIN (SELECT entity, MIN(avg_price) AS low, MAX(avg_price) AS high FROM gold GROUP BY entity) e ON q.entity = e.entity) f""", _QD)
+ORACLE["anomaly_scores_incremental"] = with_gold(
+    "SELECT entity, status, current_price, z_score, reason, n FROM scores", *ANOMALY_CTES)
