@@ -62,3 +62,41 @@ def instant_micros(micros: int | None) -> Column:
     if micros is None:
         return F.lit(None).cast("timestamp")
     return F.timestamp_micros(F.lit(int(micros)))
+
+
+def zone_transitions(zones: list[str], first_year: int = 1970, last_year: int = 2037) -> list[tuple[str, int, int, int, str]]:
+    """(zone, from, to, offset, abbreviation) of every interval between changes of the zones' clocks.
+
+    ``from`` and ``to`` are epoch seconds (``to`` exclusive), the offset is in
+    minutes east of UTC. Taken from the tz database of the driver: a few rows a
+    zone and year, whatever the data. Intervals cover the whole span given.
+    """
+    from zoneinfo import ZoneInfo
+
+    def second(year: int) -> int:
+        return int(dt.datetime(year, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+
+    rows = []
+    for name in sorted(set(zones)):
+        zone = ZoneInfo(name)
+
+        def clock(at: int) -> tuple[int, str]:
+            local = dt.datetime.fromtimestamp(at, zone)
+            return int(local.utcoffset().total_seconds() // 60), local.tzname()
+
+        start = at = second(first_year)
+        end, now = second(last_year + 1), clock(at)
+        while at < end:
+            ahead = min(at + 7 * 86400, end)        # clocks never change back and forth within a week
+            then = clock(ahead)
+            if then != now:
+                low, high = at, ahead               # the first second of the new clock
+                while high - low > 1:
+                    mid = (low + high) // 2
+                    low, high = (mid, high) if clock(mid) == now else (low, mid)
+                rows.append((name, start, high, *now))
+                start, now = high, clock(high)
+                ahead = high
+            at = ahead
+        rows.append((name, start, end, *now))
+    return rows

@@ -100,6 +100,26 @@ def layer_row_counts(layers: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def layer_totals(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """(layer, table, rows) per table, per layer (table null) and over all (both null), tables as (layer, name).
+
+    One count aggregate a table, then one ROLLUP over the few counts.
+    """
+    counts = None
+    for (layer, name), df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(layer).alias("layer"), F.lit(name).alias("table"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.rollup("layer", "table").agg(F.sum("rows").alias("rows"))
+
+
+def layer_status(totals: DataFrame, order: list[str], summary_layer: str = "gold") -> DataFrame:
+    """Row check of whole layers: a warning naming the layers without a row in any table, else ok with the summary layer's rows."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("layer"))
+    layers = totals.filter(F.col("layer").isNotNull() & F.col("table").isNull()).select(
+        rank.cast("int").alias("position"), "layer", "rows")
+    return row_count_status(layers, summary_layer)
+
+
 def row_count_status(counts: DataFrame, summary_layer: str = "gold") -> DataFrame:
     """Warning naming the empty layers, else ok with the summary layer's rows."""
     agg = counts.agg(

@@ -7,6 +7,8 @@ missing optional columns are skipped, unknown columns are dropped at the end.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,6 +163,42 @@ def normalize_mix(df: DataFrame, entity: str | None = None, mix: MixSpec = DEFAU
     return project_to_contract(out, mix.silver_columns())
 
 
+def failure_metrics(df: DataFrame, times: list[str], numbers: list[str]) -> list[Column]:
+    """Per column, the values that normalization cannot read: text that is no time, or no plain number (null is no failure)."""
+    out = []
+    for c in [c for c in times if c in df.columns]:
+        out.append(F.count_if(F.col(c).isNotNull() & F.col(c).cast("string").try_cast("timestamp").isNull()).alias(c))
+    for c in [c for c in numbers if c in df.columns]:
+        out.append(F.count_if(F.col(c).isNotNull() & _coerce(F.col(c), None).isNull()).alias(c))
+    return out
+
+
+def normalize_counted(df: DataFrame, name: str, write, mix: MixSpec | None = None, **options) -> DataFrame:
+    """Normalize a raw feed, hand the result to ``write`` once, and return its failures: (column, failures, rows).
+
+    The failures are counted by metrics observed on the renamed rows while they
+    pass (``DataFrame.observe``), so the raw feed is read once. ``mix`` makes it
+    a mix feed; ``options`` go to ``normalize_prices`` or ``normalize_mix``.
+    """
+    from pyspark.sql import Observation
+
+    spark = df.sparkSession
+    cmap = options.pop("column_map", None)
+    if mix is None:
+        renamed = rename_by_contract(df, PRICE_COLUMN_MAP if cmap is None else cmap)
+        metrics = failure_metrics(renamed, ["interval_start", "interval_end"], ["price"])
+    else:
+        renamed = rename_by_contract(df, MIX_COLUMN_MAP if cmap is None else cmap)
+        metrics = failure_metrics(renamed, [mix.time_col], list(mix.components))
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    observed = renamed.observe(seen, F.count(F.lit(1)).alias("__rows"), *metrics)
+    write(normalize_prices(observed, column_map={}, **options) if mix is None
+          else normalize_mix(observed, mix=mix, column_map={}, **options))
+    counts = dict(seen.get)
+    rows = counts.pop("__rows")
+    return spark.createDataFrame([(c, int(n), int(rows)) for c, n in counts.items()], "column string, failures long, rows long")
+
+
 def union_feeds(*frames: DataFrame) -> DataFrame:
     """Stack feeds by column name; columns missing in one feed become null."""
     if not frames:

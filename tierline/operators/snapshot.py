@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tierline.functions.time import instant
+from tierline.functions.time import instant, zone_transitions
 from tierline.settings import (
     DEFAULT_MIX,
     DEFAULT_ROW_LIMIT,
@@ -157,6 +157,36 @@ def local_window(rows: DataFrame, zones: DataFrame, hours: int = LOOKBACK_HOURS)
     )
 
 
+def zone_clock_table(spark, zones: dict[str, str], first_year: int = 1970, last_year: int = 2037) -> DataFrame:
+    """Entity -> zone -> the intervals of its clock (see ``functions.time.zone_transitions``); zones may be any of the tz database."""
+    clocks = spark.createDataFrame(zone_transitions(list(zones.values()), first_year, last_year),
+                                   "tz string, from_s long, to_s long, offset int, abbr string")
+    return spark.createDataFrame(sorted(zones.items()), "entity string, tz string").join(clocks, "tz")
+
+
+def local_window_any_zone(rows: DataFrame, clocks: DataFrame, hours: int = LOOKBACK_HOURS) -> DataFrame:
+    """Lookback window of each row in its entity's local time, labelled with the zone abbreviation in force at the window end.
+
+    Joined on the entity, with the interval that holds the instant as a further
+    condition: a row meets the few intervals of its own zone. Entities without a
+    zone use UTC; instants outside the table's years have a null abbreviation.
+    """
+    end_s = F.floor(F.unix_micros("window_end") / 1_000_000)
+    names = clocks.select("entity", "tz").distinct()
+    zoned = rows.select("entity", "window_end").join(names, "entity", "left")
+    c = clocks.drop("tz").withColumnRenamed("entity", "c_entity")
+    j = zoned.join(c, (F.col("entity") == F.col("c_entity")) & (end_s >= F.col("from_s")) & (end_s < F.col("to_s")), "left")
+    tz = F.coalesce(F.col("tz"), F.lit("UTC"))
+    abbr = F.when(F.col("tz").isNull(), F.lit("UTC")).otherwise(F.col("abbr"))
+    local_start = F.from_utc_timestamp(F.col("window_end") - F.make_interval(hours=F.lit(hours)), tz)
+    local_end = F.from_utc_timestamp(F.col("window_end"), tz)
+    fmt = "MMM dd hh:mma"
+    label = F.concat(F.lit(WINDOW_LABEL_PREFIX), F.date_format(local_start, fmt), F.lit(" to "), F.date_format(local_end, fmt),
+                     F.lit(" "), abbr)
+    return j.select("entity", "window_end", tz.alias("tz"), local_start.alias("local_start"), local_end.alias("local_end"),
+                    abbr.alias("zone_abbr"), label.alias("label"))
+
+
 def status_board(rows: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Latest rows with their anomaly status; entities without a result are grey."""
     a = anomalies.select("entity", "status", "z_score")

@@ -26,7 +26,7 @@ from tierline.operators import silver as SV
 from tierline.operators import snapshot as SN
 from tierline.operators import summaries as SU
 from tierline.session import ensure_session, fresh_dir
-from tierline.settings import MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS
+from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_COLUMN_MAP, PRICE_CONTRACT, PRICE_SILVER_COLUMNS
 from tierline.sources import bindings as B
 from tierline.sources import landing as L
 from tierline.sources.tables import session_memo
@@ -967,3 +967,129 @@ def q_box_stats_incremental(spark, sf_dir):
 def q_anomaly_scores_incremental(spark, sf_dir):
     """Status of each entity's latest price against the merged daily moments."""
     return SU.scores_from_days(gold_days_e(spark, sf_dir), gold_by_date_e(spark, sf_dir).drop("window_date"))
+
+
+# --- streams with every row accounted for -----------------------------------------------------------
+
+LATE_DELAY = "2 HOURS"
+NEAR_SINCE = "2024-01-16 11:45:00"      # re-sent in the second landing, inside the delay
+
+
+def _late_ledger(spark, sf_dir):
+    """Two landings into the late-row ledger: the second re-sends a closed day (late), the rows just before the first
+    landing's end (inside the delay), and rows without a time."""
+    def build():
+        base = fresh_dir(spark, "stream-ledger")
+        p, t = B.prices_e(spark, sf_dir), F.col("interval_start")
+        split, landing = instant(STREAM_SPLIT), f"{base}/landing"
+        ST.land(p.filter(t < split), landing)
+        ST.run_late_ledger(ST.file_stream(spark, landing, p.schema), base, f"{base}/checkpoint", LATE_DELAY)
+        closed = p.filter((t >= instant(SPLIT_EARLY)) & (t < instant(SPLIT_LATE)))
+        near = p.filter((t >= instant(NEAR_SINCE)) & (t < split))
+        untimed = closed.withColumn("interval_start", F.lit(None).cast("timestamp"))
+        ST.land(p.filter(t >= split).unionByName(closed).unionByName(near).unionByName(untimed), landing)
+        ST.run_late_ledger(ST.file_stream(spark, landing, p.schema), base, f"{base}/checkpoint", LATE_DELAY)
+        return base, p.schema
+    return session_memo(spark, ("late_ledger", sf_dir), build)
+
+
+@query("stream_row_accounts")
+def q_stream_row_accounts(spark, sf_dir):
+    """Rows landed, emitted, late and still open per entity of the late-row ledger (emitted + late + open = landed)."""
+    base, schema = _late_ledger(spark, sf_dir)
+    return ST.row_accounts(spark, spark.read.schema(schema).parquet(f"{base}/landing"), base)
+
+
+@query("stream_ledger_gold")
+def q_stream_ledger_gold(spark, sf_dir):
+    """The closed hours the ledger emitted, each once, with the rows inside the delay counted."""
+    return spark.read.parquet(f"{_late_ledger(spark, sf_dir)[0]}/gold").drop("batch_id", "window_date")
+
+
+@query("stream_late_table")
+def q_stream_late_table(spark, sf_dir):
+    """The late rows of the ledger with their reasons."""
+    return spark.read.parquet(f"{_late_ledger(spark, sf_dir)[0]}/late").drop("batch_id")
+
+
+@query("stream_feed_accounts")
+def q_stream_feed_accounts(spark, sf_dir):
+    """Both raw feeds in two landings, the price stream's last batch replayed: rows landed, kept as they came,
+    held back by the contract gate, and entered into silver, per feed."""
+    base = fresh_dir(spark, "stream-accounts")
+    raws = {"prices": B.raw_prices_x, "mix": B.raw_mix_x}
+    first = {feed: raw(spark, sf_dir, until=SPLIT_LATE) for feed, raw in raws.items()}
+    second = {feed: raw(spark, sf_dir, since=SPLIT_EARLY) for feed, raw in raws.items()}
+    for batch in (first, second):
+        for feed, rows in batch.items():
+            ST.land(rows, f"{base}/landing-{feed}")
+        ST.run_mix_silver(ST.file_stream(spark, f"{base}/landing-mix", first["mix"].schema), f"{base}/silver-mix",
+                          f"{base}/checkpoint-mix", bronze_path=f"{base}/bronze-mix", quarantine_path=f"{base}/quarantine-mix")
+        ST.run_medallion(ST.file_stream(spark, f"{base}/landing-prices", first["prices"].schema), f"{base}/silver-prices",
+                         f"{base}/gold", f"{base}/checkpoint-prices", f"{base}/silver-mix", computed_at=COMPUTED_AT,
+                         bronze_path=f"{base}/bronze-prices", quarantine_path=f"{base}/quarantine-prices")
+    replay = ST.MedallionBatch(f"{base}/silver-prices", f"{base}/gold", f"{base}/silver-mix", computed_at=COMPUTED_AT,
+                               bronze_path=f"{base}/bronze-prices", quarantine_path=f"{base}/quarantine-prices")
+    replay(second["prices"], 1)
+    tables = {(feed, part): spark.read.parquet(f"{base}/{part}-{feed}")
+              for feed in raws for part in ("landing", "bronze", "quarantine", "silver")}
+    totals = H.layer_totals(tables).filter(F.col("table").isNotNull())
+    return totals.groupBy(F.col("layer").alias("feed")).agg(
+        *[F.sum(F.when(F.col("table") == part, F.col("rows"))).alias(part) for part in ("landing", "bronze", "quarantine", "silver")])
+
+
+# --- landing with a bad source, layers as a whole, any time zone, counted failures ------------------
+
+@query("land_isolated")
+def q_land_isolated(spark, sf_dir):
+    """Prices landed one folder a source, beside a source whose file is no Parquet: the ledger names exactly that file."""
+    path = fresh_dir(spark, "landing-isolated")
+    p = B.prices_e(spark, sf_dir)
+    p.withColumn("source", F.col("entity")).repartition("source").write.partitionBy("source").parquet(path)
+    spark.range(1).select(F.lit("this is no Parquet file").alias("value")).coalesce(1).write.text(f"{path}/source=broken")
+    rows, ledger = L.read_isolated(spark, path, p.schema)
+    spans = rows.groupBy("source").agg(F.min("interval_start").alias("earliest"), F.max("interval_start").alias("latest"))
+    return ledger.join(spans, "source", "left").select("source", "files", "files_read", F.size("skipped").alias("files_skipped"),
+                                                       "rows", "earliest", "latest")
+
+
+def _layer_tables(spark, sf_dir):
+    named = _layers(spark, sf_dir)
+    return {(name.split("_")[0], name.split("_")[-1] if "_" in name else "summary"): df for name, df in named.items()}
+
+
+@query("layer_row_totals")
+def q_layer_row_totals(spark, sf_dir):
+    """Rows per table, per layer (table null) and over all layers (both null)."""
+    return H.layer_totals(_layer_tables(spark, sf_dir))
+
+
+@query("layer_status")
+def q_layer_status(spark, sf_dir):
+    """Row check per layer, with a layer none of whose tables has a row (named by the warning)."""
+    tables = _layer_tables(spark, sf_dir)
+    empty = gold_e(spark, sf_dir).filter(F.col("window_end") < F.col("window_start"))
+    totals = H.layer_totals({**tables, ("platinum", "a"): empty, ("platinum", "b"): empty})
+    return H.layer_status(totals, ["bronze", "silver", "gold", "platinum"])
+
+
+ANY_ZONES = {"click": "Australia/Adelaide", "purchase": "America/St_Johns", "signup": "Asia/Kolkata", "view": "Europe/Lisbon"}
+
+
+@query("local_window_any_zone")
+def q_local_window_any_zone(spark, sf_dir):
+    """Local windows of each entity's latest hour, moved through a year across the clock changes of zones of any kind."""
+    g = SN.latest_rows(gold_e(spark, sf_dir)).select("entity", "window_end", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    moved = g.select("entity", (F.col("window_end") + F.make_dt_interval(days=F.col("k") * 30)).alias("window_end"))
+    return SN.local_window_any_zone(moved, SN.zone_clock_table(spark, ANY_ZONES, 2020, 2030))
+
+
+@query("normalize_failures")
+def q_normalize_failures(spark, sf_dir):
+    """Values per column that normalization could not read, counted while both raw feeds are normalized and stored."""
+    base = fresh_dir(spark, "normalize-counted")
+    out = None
+    for feed, raw, mix in (("prices", B.raw_prices_x(spark, sf_dir), None), ("mix", B.raw_mix_x(spark, sf_dir), DEFAULT_MIX)):
+        one = N.normalize_counted(raw, feed, lambda df, feed=feed: df.write.parquet(f"{base}/{feed}"), mix=mix).withColumn("feed", F.lit(feed))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -875,3 +875,93 @@ FROM (SELECT q.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, e.low,
       JOIN (SELECT entity, MIN(avg_price) AS low, MAX(avg_price) AS high FROM gold GROUP BY entity) e ON q.entity = e.entity) f""", _QD)
 ORACLE["anomaly_scores_incremental"] = with_gold(
     "SELECT entity, status, current_price, z_score, reason, n FROM scores", *ANOMALY_CTES)
+
+# --- streams with every row accounted for ---------------------------------------------------------
+_LEDGER = ("""b1 AS (SELECT * FROM prices_e WHERE interval_start < TIMESTAMP '2024-01-16 12:30:00'),
+closed AS (SELECT * FROM prices_e WHERE interval_start >= TIMESTAMP '2024-01-15 00:00:00' AND interval_start < TIMESTAMP '2024-01-16 00:00:00'),
+b2 AS (SELECT * FROM prices_e WHERE interval_start >= TIMESTAMP '2024-01-16 12:30:00'
+  UNION ALL SELECT * FROM closed
+  UNION ALL SELECT * FROM prices_e WHERE interval_start >= TIMESTAMP '2024-01-16 11:45:00' AND interval_start < TIMESTAMP '2024-01-16 12:30:00'
+  UNION ALL SELECT * REPLACE (CAST(NULL AS TIMESTAMP) AS interval_start) FROM closed),
+w1 AS (SELECT MAX(interval_start) - INTERVAL 2 HOUR AS w FROM b1),
+w2 AS (SELECT MAX(interval_start) - INTERVAL 2 HOUR AS w FROM prices_e),
+marked AS (
+  SELECT *, NULL AS late_reason FROM b1
+  UNION ALL SELECT b2.*, CASE WHEN interval_start IS NULL THEN 'no time'
+    WHEN date_trunc('hour', interval_start) + INTERVAL 1 HOUR <= w THEN 'closed hour' END FROM b2, w1),
+placed AS (SELECT marked.*, late_reason IS NULL AND date_trunc('hour', interval_start) + INTERVAL 1 HOUR <= w AS emitted FROM marked, w2)""",)
+ORACLE["stream_row_accounts"] = w(PRICES_E, *_LEDGER) + """
+SELECT entity, COUNT(*) AS landed, COUNT(*) FILTER (WHERE emitted) AS emitted, COUNT(late_reason) AS late,
+       COUNT(*) FILTER (WHERE late_reason IS NULL AND NOT emitted) AS open FROM placed GROUP BY entity"""
+ORACLE["stream_late_table"] = w(PRICES_E, *_LEDGER) + """
+SELECT entity, interval_start, location, location_type, price, market, late_reason FROM placed WHERE late_reason IS NOT NULL"""
+ORACLE["stream_ledger_gold"] = w(PRICES_E, *_LEDGER, "on_time AS (SELECT * FROM placed WHERE emitted)",
+                                 hourly_prices_sql("on_time", "hp")) + """
+SELECT hp.entity, hp.window_start, hp.window_start + INTERVAL 1 HOUR AS window_end, avg_price, max_price, min_price, rows
+FROM hp JOIN (SELECT entity, date_trunc('hour', interval_start) AS window_start, COUNT(*) AS rows FROM on_time GROUP BY 1, 2) c
+  ON hp.entity = c.entity AND hp.window_start = c.window_start"""
+
+
+def _held_back(batch: str, gate: str) -> str:
+    return (f"(SELECT COUNT(*) FROM {batch} b WHERE entity IS NULL OR EXISTS "
+            f"(SELECT 1 FROM {gate}_nc c WHERE c.entity = b.entity AND c.bad > 0))")
+
+
+ORACLE["stream_feed_accounts"] = w(
+    raw_x(until="2024-01-16 00:00:00", name="rx1"), norm_x("rx1", "nx1"), gated_new_prices("nx1", "s1"),
+    raw_x(since="2024-01-15 00:00:00", name="rx2"), norm_x("rx2", "nx2"), gated_new_prices("nx2", "s2"),
+    """s2new AS (
+  SELECT * FROM s2 WHERE NOT EXISTS (
+    SELECT 1 FROM s1 WHERE s1.entity = s2.entity AND s1.interval_start = s2.interval_start
+      AND COALESCE(s1.location, '') = COALESCE(s2.location, '')))""",
+    RAW_MIX_E,
+    raw_mix_x(until="2024-01-16 00:00:00", name="rm1"), norm_mix_x("rm1", "nm1"), gated_new_mix("nm1", "m1"),
+    raw_mix_x(since="2024-01-15 00:00:00", name="rm2"), norm_mix_x("rm2", "nm2"), gated_new_mix("nm2", "m2"),
+    """m2new AS (SELECT * FROM m2 WHERE NOT EXISTS (
+  SELECT 1 FROM m1 WHERE m1.entity = m2.entity AND m1.time = m2.time))""") + " UNION ALL ".join(f"""
+SELECT '{feed}' AS feed, (SELECT COUNT(*) FROM {r}1) + (SELECT COUNT(*) FROM {r}2) AS landing,
+       (SELECT COUNT(*) FROM {r}1) + (SELECT COUNT(*) FROM {r}2) AS bronze,
+       {_held_back(n + "1", g + "1")} + {_held_back(n + "2", g + "2")} AS quarantine,
+       (SELECT COUNT(*) FROM {g}1) + (SELECT COUNT(*) FROM {g}2new) AS silver"""
+    for feed, r, n, g in (("prices", "rx", "nx", "s"), ("mix", "rm", "nm", "m")))
+
+# --- landing with a bad source, layers as a whole, any time zone, counted failures ---------------
+ORACLE["land_isolated"] = w(PRICES_E) + """
+SELECT entity AS source, 1 AS files, 1 AS files_read, 0 AS files_skipped, COUNT(*) AS rows,
+       MIN(interval_start) AS earliest, MAX(interval_start) AS latest FROM prices_e GROUP BY entity
+UNION ALL SELECT 'broken', 1, 0, 1, 0, NULL, NULL"""
+_TABLES = """tc AS (
+  SELECT 'bronze' AS layer, 'prices' AS "table", COUNT(*) AS rows FROM bp UNION ALL SELECT 'bronze', 'mix', COUNT(*) FROM bm
+  UNION ALL SELECT 'silver', 'prices', COUNT(*) FROM prices_e UNION ALL SELECT 'silver', 'mix', COUNT(*) FROM mix_e
+  UNION ALL SELECT 'gold', 'summary', COUNT(*) FROM gold)"""
+ORACLE["layer_row_totals"] = with_bronze(
+    'SELECT layer, "table", CAST(SUM(rows) AS BIGINT) AS rows FROM tc GROUP BY ROLLUP (layer, "table")', _TABLES)
+ORACLE["layer_status"] = with_bronze("""
+SELECT 'row_counts' AS "check", 'warning' AS status, 'Empty layers: platinum' AS message,
+       CAST((SELECT COUNT(*) FROM gold) AS DOUBLE) AS value""")
+_ANY_ZONES = """clock AS (
+  SELECT * FROM (VALUES ('click', 'Australia/Adelaide', 630, 'ACDT'), ('click', 'Australia/Adelaide', 570, 'ACST'),
+    ('purchase', 'America/St_Johns', -210, 'NST'), ('purchase', 'America/St_Johns', -150, 'NDT'),
+    ('signup', 'Asia/Kolkata', 330, 'IST'), ('view', 'Europe/Lisbon', 0, 'WET'), ('view', 'Europe/Lisbon', 60, 'WEST'))
+    v(entity, tz, off, abbr)),
+moved AS (SELECT entity, window_end + to_days(CAST(30 * k AS INTEGER)) AS window_end FROM gold, range(12) r(k)
+  WHERE window_start = (SELECT MAX(window_start) FROM gold)),
+zoned AS (SELECT m.entity, m.window_end, COALESCE(z.tz, 'UTC') AS tz, z.tz AS known,
+    timezone(COALESCE(z.tz, 'UTC'), (m.window_end - INTERVAL 48 HOUR) AT TIME ZONE 'UTC') AS local_start,
+    timezone(COALESCE(z.tz, 'UTC'), m.window_end AT TIME ZONE 'UTC') AS local_end
+  FROM moved m LEFT JOIN (SELECT DISTINCT entity, tz FROM clock) z ON m.entity = z.entity)"""
+ORACLE["local_window_any_zone"] = with_gold(f"""
+SELECT z.entity, z.window_end, z.tz, z.local_start, z.local_end, CASE WHEN known IS NULL THEN 'UTC' ELSE c.abbr END AS zone_abbr,
+       {q(S.WINDOW_LABEL_PREFIX)} || strftime(local_start, '%b %d %I:%M%p') || ' to ' || strftime(local_end, '%b %d %I:%M%p')
+         || ' ' || CASE WHEN known IS NULL THEN 'UTC' ELSE c.abbr END AS label
+FROM zoned z LEFT JOIN clock c ON c.entity = z.entity AND CAST(c.off AS BIGINT) * 60000000 = epoch_us(z.local_end) - epoch_us(z.window_end)""", _ANY_ZONES)
+_MIX_NAMES = {"natural_gas": "Natural Gas", "wind": "Wind", "solar": "Solar", "coal": "Coal", "nuclear": "Nuclear", "other": "Other"}
+ORACLE["normalize_failures"] = w(raw_x(), RAW_MIX_E, raw_mix_x(), """rt AS (
+  SELECT COALESCE("Interval Start", CAST(time AS VARCHAR)) AS t, "LMP" AS p FROM raw_x)""") + f"""
+SELECT 'prices' AS feed, 'interval_start' AS "column", COUNT(*) FILTER (WHERE t IS NOT NULL AND TRY_CAST(t AS TIMESTAMP) IS NULL) AS failures,
+       COUNT(*) AS rows FROM rt
+UNION ALL SELECT 'prices', 'price', COUNT(*) FILTER (WHERE p IS NOT NULL AND NOT regexp_matches(p, '{_num}')), COUNT(*) FROM rt
+UNION ALL SELECT 'mix', 'time', 0, COUNT(*) FROM raw_mix_x
+""" + "".join(f"""UNION ALL SELECT 'mix', '{c}', COUNT(*) FILTER (WHERE CAST("{n}" AS VARCHAR) IS NOT NULL
+  AND NOT regexp_matches(CAST("{n}" AS VARCHAR), '{_num}')), COUNT(*) FROM raw_mix_x
+""" for c, n in _MIX_NAMES.items())

@@ -8,7 +8,7 @@ unreadable files can be skipped, so one bad source does not stop the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,34 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.format(fmt).load(path)
 
 
+def _same_form(path) -> Column:
+    """A file's path in one spelling (``file:/x`` and ``file:///x`` name one file; %-escapes undone)."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^([a-z][a-z0-9]*):/+", "$1:/")
+
+
+def read_isolated(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+                  source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(rows, ledger) of landed files, one folder ``source_col=<name>`` a source; a bad file stops nothing else.
+
+    Files that cannot be read are skipped. The ledger, one row a source, holds the
+    number of files landed and read, the rows, and the names of the files of
+    which no row was read (unreadable, or empty): the listed files less those
+    that the rows name as their origin. Listing reads no file body.
+    """
+    from tierline.operators.retention import list_files
+
+    whole = T.StructType([*[f for f in schema.fields if f.name != source_col], T.StructField(source_col, T.StringType())])
+    rows = read_landed(spark, path, whole, fmt, quarantine=False, skip_bad_files=True)
+    source = F.regexp_extract(F.col("file"), f"/{source_col}=([^/]*)/", 1)
+    listed = list_files(spark, path, "*").select(_same_form(F.col("file_path")).alias("file"))
+    read = rows.groupBy(_same_form(F.col("_metadata.file_path")).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    ledger = (listed.join(read, "file", "left").groupBy(source.alias(source_col))
+              .agg(F.count(F.lit(1)).alias("files"), F.count("rows").alias("files_read"),
+                   F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                   F.sort_array(F.collect_list(F.when(F.col("rows").isNull(), F.element_at(F.split("file", "/"), -1)))).alias("skipped")))
+    return rows, ledger
+
+
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the quarantine column, quarantined records).
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.functions.numeric import exact_mean, round_half_away
+from tierline.functions.time import instant_micros
 from tierline.operators import gold as G
 from tierline.operators.contracts import contract_report, gate_by_entity, quarantine
 from tierline.operators.normalize import normalize_mix, normalize_prices
@@ -220,7 +221,13 @@ class MedallionBatch:
             norm.unpersist()
 
     def _load(self, spark: SparkSession, raw: DataFrame, norm: DataFrame, batch_id: int) -> None:
-        report = contract_report(norm, PRICE_CONTRACT)
+        report = contract_report(norm, PRICE_CONTRACT).persist(StorageLevel.MEMORY_AND_DISK)    # a row an entity, read by gate and quarantine
+        try:
+            self._load_gated(spark, raw, norm, report, batch_id)
+        finally:
+            report.unpersist()
+
+    def _load_gated(self, spark: SparkSession, raw: DataFrame, norm: DataFrame, report: DataFrame, batch_id: int) -> None:
         keep_aside(raw, norm, report, self.bronze_path, self.quarantine_path, batch_id)
         gated = gate_by_entity(norm, report)
         silver_before = self._prior(spark, self.silver_path, batch_id)
@@ -263,6 +270,89 @@ class MixSilverBatch:
             norm.unpersist()
 
 
+class LateLedgerBatch:
+    """``foreachBatch`` body: hourly prices in which every landed row is accounted for.
+
+    A stateful streaming aggregate drops late rows without a trace. Here each
+    batch is split by the watermark that stood before it (newest event time of
+    all earlier batches less ``delay``, kept in ``progress``): rows whose hour
+    had closed by then, and rows without a time, go to ``late`` with the reason;
+    the others to ``on_time`` by date. Then the hours that the new watermark
+    closes are aggregated once, from the on-time rows of their dates alone, into
+    ``gold`` with their row counts.
+
+    Every table is a folder of ``batch_id=N`` written with overwrite and read
+    only up to the batch before, so a replayed batch gives the same result.
+    """
+
+    def __init__(self, base: str, delay: str, time_col: str = "interval_start"):
+        self.base, self.delay, self.time_col = base, delay, time_col
+
+    def _watermark(self, spark: SparkSession, batch_id: int):
+        """(watermark before the batch, newest event time before it) in epoch microseconds, or None."""
+        done = MedallionBatch._prior(spark, f"{self.base}/progress", batch_id)
+        if done is None:
+            return None, None
+        newest = F.max("newest")
+        row = done.agg(F.unix_micros(newest - F.expr(f"INTERVAL {self.delay}")).alias("w"), F.unix_micros(newest).alias("n")).first()
+        return row["w"], row["n"]
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, t = batch.sparkSession, F.col(self.time_col)
+        before, newest = self._watermark(spark, batch_id)
+        end = F.date_trunc("hour", t) + F.expr("INTERVAL 1 HOUR")
+        closed = F.coalesce(end <= instant_micros(before), F.lit(False)) if before is not None else F.lit(False)
+        reason = F.when(t.isNull(), F.lit("no time")).when(closed, F.lit("closed hour"))
+        rows = batch.withColumn("late_reason", reason).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._split(spark, rows, batch_id, before, newest)
+        finally:
+            rows.unpersist()
+
+    def _split(self, spark, rows: DataFrame, batch_id: int, before: int | None, newest: int | None) -> None:
+        t = F.col(self.time_col)
+        rows.filter("late_reason is not null").write.mode("overwrite").parquet(f"{self.base}/late/batch_id={batch_id}")
+        write_batch(rows.filter("late_reason is null").drop("late_reason"), f"{self.base}/on_time", batch_id, "event_date", self.time_col)
+        seen = F.greatest(F.max(t), instant_micros(newest))
+        progress = rows.agg(seen.alias("newest"))
+        progress.write.mode("overwrite").parquet(f"{self.base}/progress/batch_id={batch_id}")
+        after, _ = self._watermark(spark, batch_id + 1)
+        on_time = MedallionBatch._prior(spark, f"{self.base}/on_time", batch_id + 1)
+        end = F.date_trunc("hour", t) + F.expr("INTERVAL 1 HOUR")
+        now = instant_micros(after)
+        closing = on_time.filter((end <= now) & (F.col("event_date") <= F.to_date(now)))
+        if before is not None:
+            was = instant_micros(before)
+            closing = closing.filter((end > was) & (F.col("event_date") >= F.to_date(was - F.expr("INTERVAL 1 HOUR"))))
+        hours = (closing.groupBy("entity", F.date_trunc("hour", t).alias("window_start"))
+                 .agg(exact_mean("price").alias("avg"), F.max("price").alias("mx"), F.min("price").alias("mn"), F.count(F.lit(1)).alias("rows")))
+        hours = hours.select("entity", "window_start", (F.col("window_start") + F.expr("INTERVAL 1 HOUR")).alias("window_end"),
+                             round_half_away("avg").alias("avg_price"), round_half_away(F.col("mx")).alias("max_price"),
+                             round_half_away(F.col("mn")).alias("min_price"), "rows")
+        write_batch(hours, f"{self.base}/gold", batch_id, "window_date", "window_start")
+
+
+def run_late_ledger(stream: DataFrame, base: str, checkpoint: str, delay: str, time_col: str = "interval_start"):
+    writer = stream.writeStream.foreachBatch(LateLedgerBatch(base, delay, time_col)).option("checkpointLocation", checkpoint)
+    return run_available(writer)
+
+
+def row_accounts(spark: SparkSession, landing: DataFrame, base: str) -> DataFrame:
+    """Per entity: rows landed, in emitted hours, late, and in hours still open (landed is the sum of the others)."""
+    n = F.count(F.lit(1))
+    landed = landing.groupBy("entity").agg(n.alias("landed"))
+    read = lambda name: spark.read.parquet(f"{base}/{name}")
+    emitted = read("gold").groupBy("entity").agg(F.sum("rows").alias("emitted"))
+    late = read("late").groupBy("entity").agg(n.alias("late"))
+    on_time = read("on_time").groupBy("entity").agg(n.alias("on_time"))
+    out = landed
+    for part in (emitted, late, on_time):
+        c = part.columns[1]
+        out = out.alias("l").join(part.alias("r"), F.col("l.entity").eqNullSafe(F.col("r.entity")), "left").select(
+            "l.*", F.coalesce(F.col(f"r.{c}"), F.lit(0)).cast("bigint").alias(c))
+    return out.withColumn("open", F.col("on_time") - F.col("emitted")).drop("on_time")
+
+
 def run_mix_silver(raw_stream: DataFrame, silver_path: str, checkpoint: str, spec: MixSpec = DEFAULT_MIX, **aside):
     writer = (raw_stream.writeStream.foreachBatch(MixSilverBatch(silver_path, spec, **aside))
               .option("checkpointLocation", checkpoint))
