@@ -113,3 +113,11 @@ def test_failures_are_counted_while_the_feed_is_stored(spark, tmp_dir):
     mix = spark.createDataFrame([("a", "2026-01-01 00:00:00", "x", "1")], "entity string, time string, wind string, solar string")
     got = N.normalize_counted(mix, "m", lambda df: df.write.parquet(f"{tmp_dir}/m"), mix=DEFAULT_MIX)
     assert {r["column"]: r["failures"] for r in got.collect()} == {"time": 0, "wind": 1, "solar": 0}
+
+
+def test_backfill_reads_the_mix_of_the_incomplete_dates_only(spark):
+    from tests.conftest import SF_SMALL
+    from tierline.plans.catalog import REGISTRY
+
+    plan = REGISTRY["gold_backfill"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_date" in plan and "scalar-subquery" in plan

@@ -149,6 +149,8 @@ def gold_backfill(gold: DataFrame, mix: DataFrame, spec: MixSpec = DEFAULT_MIX)
     b = gold.filter(needs).agg(F.struct(F.min("window_start").alias("lo"),
                                         plus_hours(F.max("window_start"), 1).alias("hi"))).scalar()
     m = mix.filter((F.col(spec.time_col) >= b.getField("lo")) & (F.col(spec.time_col) < b.getField("hi")))
+    if "event_date" in mix.columns:       # stored by date: read those dates only
+        m = m.filter(F.col("event_date").between(F.to_date(b.getField("lo")), F.to_date(b.getField("hi")))).drop("event_date")
     hourly = hourly_mix(m, spec).select(
         *KEY, *[F.col(c).alias(f"__new_{c}") for c in filled])
     joined = gold.join(hourly, KEY, "left")

@@ -499,7 +499,7 @@ def q_count_incomplete(spark, sf_dir):
 
 @query("gold_backfill")
 def q_gold_backfill(spark, sf_dir):
-    return G.gold_backfill(_old_layout_gold(spark, sf_dir), mix_table_e(spark, sf_dir), B.E_MIX)
+    return G.gold_backfill(_old_layout_gold(spark, sf_dir), mix_by_date_e(spark, sf_dir), B.E_MIX)
 
 
 # --- data health (binding E; now = last arrival + 20 minutes) -------------------------
