@@ -927,7 +927,7 @@ SELECT '{feed}' AS feed, (SELECT COUNT(*) FROM {r}1) + (SELECT COUNT(*) FROM {r}
 
 # --- landing with a bad source, layers as a whole, any time zone, counted failures ---------------
 ORACLE["land_isolated"] = w(PRICES_E) + """
-SELECT entity AS source, 1 AS files, 1 AS files_read, 0 AS files_skipped, COUNT(*) AS rows,
+SELECT entity AS source, CAST(1 AS BIGINT) AS files, CAST(1 AS BIGINT) AS files_read, 0 AS files_skipped, COUNT(*) AS rows,
        MIN(interval_start) AS earliest, MAX(interval_start) AS latest FROM prices_e GROUP BY entity
 UNION ALL SELECT 'broken', 1, 0, 1, 0, NULL, NULL"""
 _TABLES = """tc AS (
