@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,46 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8 ** (d + 1)) ** ngram.TREES < ngram.RECALL
 
 
+def test_shorter_nodes_add_links_and_count_none_twice(spark, monkeypatch):
+    """With few trees and too deep a prefix, nodes shortened one by one find links that the deep ones miss."""
+    rows = documents(40, seed=21) + near_group(30, seed=7)
+    want = brute_classes(rows)
+    monkeypatch.setattr(ngram, "matched_depth", lambda *a: 5)
+    found = {}
+    for small in (0, 32):
+        monkeypatch.setattr(ngram, "SMALL", small)
+        got = ngram.near_duplicates(frame(spark, rows).repartition(5), trees=3).collect()
+        assert all(r.n_links <= want[t][2] for r, t in zip(sorted(got, key=lambda r: r.doc_id), [t for _, t, *_ in sorted(rows)]))
+        found[small] = sum(r.n_links for r in got)
+    assert found[0] < found[32]
+
+
+def test_matcher_names_the_nodes_of_a_sorted_stream():
+    """Cut anywhere between tasks, the stream names each node's texts, the shorter ones where they add pairs."""
+    rng = random.Random(8)
+    wide = lambda x: x.to_bytes(ngram.MINIMUM, "big")
+    rows = sorted((bytes([rng.randrange(2)]) + wide(rng.randrange(6)) + wide(rng.randrange(3)) + wide(rng.randrange(2))
+                   + i.to_bytes(ngram.KEY, "big"), rng.randint(5, 12)) for i in range(90))
+    deep, short = 1 + 2 * ngram.MINIMUM, 1 + ngram.MINIMUM
+    nodes, shorter = defaultdict(set), defaultdict(set)
+    for path, size in rows:
+        nodes[path[:deep]].add(path[-ngram.KEY:])
+        shorter[path[:short]].add((path[-ngram.KEY:], size, path[:deep]))
+    for cuts in ([], [45], [10, 11, 12, 60], list(range(1, 90))):
+        seen = defaultdict(set)
+        for lo, hi in zip([0, *cuts], [*cuts, 90]):
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[lo:hi]], pa.binary()), pa.array([r[1] for r in rows[lo:hi]])],
+                                               ["path", "size"])
+            for out in ngram._matcher(2, 0.8, 32)(iter([batch])):
+                for r in out.to_pylist():
+                    seen[bytes([r["tree"]]) + r["prefix"]].add(r["key"])
+        for prefix, keys in nodes.items():
+            assert len(keys) < 2 or seen[prefix] == keys
+        for prefix, texts in shorter.items():
+            adds = any(x[2] != y[2] and min(x[1], y[1]) >= 0.8 * max(x[1], y[1]) for x in texts for y in texts)
+            assert not adds or len(texts) > 32 or seen[prefix] == {x[0] for x in texts}
+
+
 # --- pipeline -----------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):

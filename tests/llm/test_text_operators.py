@@ -406,9 +406,12 @@ def test_mix_contract(docs, empty, rows):
 def test_mixed_documents_hold_the_taken_words(docs, rows):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    out = defaultdict(int)
+    out, texts = defaultdict(int), defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text or "")
     for r in mixed.collect():
         assert r.n_chars == len(r.text)
+        assert any(r.text in t for t in texts[r.doc_id])     # line breaks and all
         out[r.doc_id] += len(words(r.text))
     want = defaultdict(int)
     for r in mixing.mix(docs).collect():

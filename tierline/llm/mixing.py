@@ -174,14 +174,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row per whole copy and a row per partly taken run of words.
 
     Columns are those of ``docs``; ``n_chars`` of a partly taken document, if the
-    table has that column, is the length of what was taken.
+    table has that column, is the length of what was taken. A run of words is the
+    part of the text from its first to its last word, white space between as it was.
+    A text that is null or has no word yields no row; repeated rows are each taken
+    for themselves; an empty table gives an empty result.
     """
     mixed = mix(docs, keep="_doc", **options)
-    words = F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0))
+    # each word with the white space before it
+    words = F.regexp_extract_all(F.col("_doc.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
     def run(first, n):
         whole = (first == 0) & (n == F.col("size"))
-        cut = F.when(whole, F.col("_doc.text")).otherwise(F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), " "))
+        cut = F.when(whole, F.col("_doc.text")).otherwise(F.regexp_replace(
+            F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), ""), r"^[\x20\x09-\x0D]+", ""))
         return F.when(n > 0, cut)
 
     texts = F.concat(F.array_repeat(F.col("_doc.text"), F.col("full_copies").cast("int")),
