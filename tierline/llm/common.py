@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(table_path(sf_dir, name))
 
 
+def _give_back() -> None:
+    """Hand a Python worker's freed memory back to the system (allocators keep it otherwise)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A ``mapInArrow`` function that gives memory back at the end of a task.
+
+    Workers live on between tasks and stages; what one stage needed for a moment
+    must not add to the next one's need.
+    """
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+    return tidied
+
+
 def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder (with the session's codec, or ``codec``) and read it back.
 

@@ -28,7 +28,7 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = re.compile(f"(?<=[{_LATIN}]) (?=[{_LATIN}])")
 _NOT_PLAIN = re.compile(f"[^ -~\\t\\n\\r{_LATIN[6:]}]|<\\|")     # "<|" may begin a special string
 
-MEMO_PIECES = 250_000   # entries kept before a memo starts afresh: about 50 MB, as entries are short
+MEMO_PIECES = 100_000   # entries kept before a memo starts afresh: about 20 MB, as entries are short
 MEMO_CHARS = 48         # longer chunks are encoded but not remembered
 
 _LOADED: dict[str, object] = {}

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import components, stored
+from tierline.llm.common import components, stored, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -120,7 +120,7 @@ def _signer(words: int, trees: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.binary()),
                  pa.array(sizes, pa.int64())], ["doc_id", "key", "paths", "size"])
-    return run
+    return tidy(run)
 
 
 MEMBERS = "key binary, tree int, prefix binary, size long"
@@ -188,7 +188,7 @@ def _matcher(matched: int, threshold: float, small: int):
         if below is not None:
             leave_below(at_end=True)
         yield _member_rows(out)
-    return run
+    return tidy(run)
 
 
 def _member_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def _adder(trees: int, matched: int, threshold: float, small: int):
                     group[key] = size, path
             yield _pair_rows(out)
         yield _pair_rows(solve())
-    return run
+    return tidy(run)
 
 
 def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,7 +260,7 @@ def _shipper(words: int, trees: int, matched: int):
                         rows, size = [], 0
             if rows:
                 yield _shipped(rows)
-    return run
+    return tidy(run)
 
 
 def _shipped(rows: list[tuple]) -> pa.RecordBatch:
@@ -351,7 +351,7 @@ def _verifier(threshold: float, trees: int):
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())],
             ["key", "links", "root"])
-    return run
+    return tidy(run)
 
 
 def _classes(docs: DataFrame, words: int, threshold: float, trees: int) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import stored
+from tierline.llm.common import stored, tidy
 from tierline.llm.encoding import piece_memo, id_bytes
 
 GROUPS = 96              # equal-cardinality groups of large pieces
@@ -58,7 +58,7 @@ def _cutter(tokenizer: str, capacity: int):
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-    return run
+    return tidy(run)
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
