@@ -86,3 +86,14 @@ def test_hub_and_long_chain_of_links_in_html(spark):
     got = judged(spark, pages)
     assert {k for k, v in got.items() if v == ("block", "alias")} == {*range(300), *range(1000, 1300)}
     assert {v for k, v in got.items() if k >= 2000} == {("allow", "default")}
+
+
+def test_urls_without_a_node_keep_apart(spark):
+    """Null urls and urls without ``://`` are nobody's alias, whatever their ids; each row stays."""
+    pages = [(None, None, None), (None, "no scheme", None), (1, None, None), (1, None, None), (2, "net/es/1", None),
+             page(3, "http://foo.net/es/1"), page(4, "http://#1"), page(5, "http://a.org/x", canonical("http://foo.net/es/1"))]
+    rows = urls.judge(clashing(frame(spark, pages, SCHEMA))).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        want = {3: ("block", "rule"), 5: ("block", "alias")}.get(r.page_id, ("allow", "default"))
+        assert (r.verdict, r.decided_by) == want

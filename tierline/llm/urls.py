@@ -103,9 +103,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
     links = stored(links.select(*ends), "url-links")
     nodes = links.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a <> b")
     roots = stored(components(nodes, "a", "b"), "url-roots")
+    # urls without a node join nothing: a key of each page's own, which no node has ("#" is in none),
+    # spreads them over the tasks of both joins
+    nowhere = F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     judged = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     judged = (judged.withColumn("_hit", matching_rule(F.col("host"), F.col("path"), rules))
-              .withColumn("_node", node(F.col("url"))).drop("url"))
+              .withColumn("_node", F.coalesce(node(F.col("url")), nowhere)).drop("url"))
     judged = judged.join(roots, judged["_node"] == roots["node"], "left")
     judged = judged.withColumn("_class", F.coalesce("root", "_node")).drop("node", "root")
     # urls that are only known as the end of an edge decide like pages
