@@ -53,6 +53,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(table_path(sf_dir, name))
 
 
+# What encoding tasks remember in a Python worker; tasks of other kinds drop it.
+MEMOS: dict = {}
+
+
 def _give_back() -> None:
     """Hand a Python worker's freed memory back to the system (allocators keep it otherwise)."""
     gc.collect()
@@ -62,16 +66,18 @@ def _give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
+def tidy(run: Callable, memos: bool = False) -> Callable:
     """A ``mapInArrow`` function that gives memory back at the end of a task.
 
     Workers live on between tasks and stages; what one stage needed for a moment
-    must not add to the next one's need.
+    must not add to the next one's need. Only tasks with ``memos`` leave MEMOS to the next.
     """
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            if not memos:
+                MEMOS.clear()
             _give_back()
     return tidied
 

@@ -24,15 +24,16 @@ from collections.abc import Callable, Sequence
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
+from tierline.llm.common import MEMOS
+
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = re.compile(f"(?<=[{_LATIN}]) (?=[{_LATIN}])")
 _NOT_PLAIN = re.compile(f"[^ -~\\t\\n\\r{_LATIN[6:]}]|<\\|")     # "<|" may begin a special string
 
-MEMO_PIECES = 100_000   # entries kept before a memo starts afresh: about 20 MB, as entries are short
+MEMO_PIECES = 250_000   # entries kept before a memo starts afresh: about 50 MB, as entries are short
 MEMO_CHARS = 48         # longer chunks are encoded but not remembered
 
 _LOADED: dict[str, object] = {}
-_MEMOS: dict[tuple, "PieceMemo"] = {}
 
 
 def load(name: str):
@@ -113,9 +114,9 @@ class PieceMemo:
 def piece_memo(name: str, value: Callable) -> PieceMemo:
     """The process's memo for a tokenizer and a value function; tasks of one worker share it."""
     key = (name, value.__module__, value.__qualname__)
-    if key not in _MEMOS:
-        _MEMOS[key] = PieceMemo(name, value)
-    return _MEMOS[key]
+    if key not in MEMOS:
+        MEMOS[key] = PieceMemo(name, value)
+    return MEMOS[key]
 
 
 def n_ids(ids: Sequence[int]) -> int:

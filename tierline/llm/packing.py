@@ -58,7 +58,7 @@ def _cutter(tokenizer: str, capacity: int):
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-    return tidy(run)
+    return tidy(run, memos=True)
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048) -> DataFrame:
