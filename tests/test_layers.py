@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.conftest import ts
+from tierline.operators import contracts as C
 from tierline.operators import gold as G
 from tierline.operators import silver as S
 from tierline.settings import MixSpec
@@ -116,6 +118,44 @@ def test_hot_group_of_copies_is_collapsed_map_side(spark):
     assert exchange_at >= 0 and plan.find("HashAggregate", exchange_at) > exchange_at
 
 
+@pytest.fixture
+def large_inputs(spark):
+    """Plans as for tables above the broadcast threshold, in partitions as they are dealt out."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_silver_rows_are_not_dealt_out_by_entity(spark, large_inputs, monkeypatch, most):
+    """Two entities of many rows take more than two tasks; a failing list beyond the limit gates the same rows."""
+    if most is not None:
+        monkeypatch.setattr(C, "BROADCAST_ENTITIES", most)
+    good = [(e, ts(h % 24, h % 60), f"n{h}", None, float(h), "R") for e in "AB" for h in range(200)]
+    bad = [("C", None, "n", None, 1.0, "R"), ("C", ts(1), "n", None, 1.0, "R"), (None, ts(2), "n", None, 1.0, "R")]
+    out = S.silver_prices(prices(spark, good + good + bad).repartition(4))
+    mix_rows = [(e, ts(h % 24, h % 60), float(h), 1.0, 50.0) for e in "AB" for h in range(200)]
+    mixed = S.silver_mix(spark.createDataFrame([*mix_rows, ("C", None, 1.0, 1.0, 50.0)], MIX_SCHEMA), mix=MIX)
+    assert sorted(tuple(r)[4] for r in out.collect()) == sorted(r[4] for r in good)
+    assert {r.entity for r in out.collect()} == {r.entity for r in mixed.collect()} == {"A", "B"}
+    assert mixed.count() == len({r[:3] for r in mix_rows})
+    if most is None:
+        assert all(df.select(F.spark_partition_id()).distinct().count() > 2 for df in (out, mixed))
+
+
+def test_append_brings_a_date_together(spark, tmp_dir):
+    rows = spark.range(0, 2000, 1, 8).select(
+        "id", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, id % 2)").alias("t"))
+    S.append(rows, tmp_dir, S.DATE_COL, "t")
+    back = spark.read.parquet(tmp_dir)
+    assert back.count() == 2000 and back.select("id").distinct().count() == 2000
+    files = back.groupBy(S.DATE_COL).agg(F.count_distinct("_metadata.file_path").alias("n")).collect()
+    assert len(files) == 2 and all(r.n < 8 for r in files)
+
+
 def test_write_gold_partitions_by_window_date(spark, tmp_dir):
     mixdf = spark.createDataFrame([], MIX_SCHEMA)
     g = G.gold_summary(prices(spark, [("E", ts(0, 5), "n", None, 10.0, "R"),

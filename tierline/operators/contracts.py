@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.functions.numeric import NUMBER_PATTERN
+from tierline.session import shared_dir
 from tierline.settings import (
     MSG_BAD_VALUES,
     MSG_FIELD_PRESENT,
@@ -27,6 +28,9 @@ from tierline.settings import (
     Contract,
 )
 
+# Up to so many failing entities go to every task; more meet the rows in a shuffle join.
+BROADCAST_ENTITIES = 100_000
+
 _TYPE_OK = {
     "string": (T.StringType,),
     "float": (T.DoubleType, T.FloatType, T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType),
@@ -181,22 +185,33 @@ def contract_report(df: DataFrame, contract: Contract, by: str = "entity") -> Da
     )
 
 
+def _failing_entities(report: DataFrame) -> DataFrame:
+    """The entities whose report is invalid, checked before the rows are planned.
+
+    Spark guesses the list's size by that of the whole batch, and so would deal
+    out every row of the batch by entity before it learns that the list is
+    short: a few entities then mean a few tasks, each as large as its entity.
+    The list is settled first (the report's one pass, checkpointed) and
+    broadcast by its count of rows.
+    """
+    shared_dir(report.sparkSession)      # names the checkpoint folder
+    failing = report.filter(~F.col("valid") & F.col("entity").isNotNull()).select("entity").checkpoint()
+    return F.broadcast(failing) if failing.count() <= BROADCAST_ENTITIES else failing
+
+
 def gate_by_entity(df: DataFrame, report: DataFrame) -> DataFrame:
     """Rows of entities whose report is valid. Rows with a null entity never pass.
 
-    The failing-entity list has one row per entity at most; Spark broadcasts it
-    when its measured size is under the broadcast threshold and falls back to
-    a shuffle join otherwise.
+    Rows stay in the partitions they are in unless more than
+    ``BROADCAST_ENTITIES`` entities fail; then it is a shuffle join.
     """
     if "entity" not in df.columns:        # no entity, nothing can pass the gate
         return df.limit(0)
-    failing = report.filter(~F.col("valid") & F.col("entity").isNotNull()).select("entity")
-    return df.filter(F.col("entity").isNotNull()).join(failing, "entity", "left_anti")
+    return df.filter(F.col("entity").isNotNull()).join(_failing_entities(report), "entity", "left_anti")
 
 
 def quarantine(df: DataFrame, report: DataFrame) -> DataFrame:
     """The complement of ``gate_by_entity``: rows of failing or null entities."""
     if "entity" not in df.columns:
         return df
-    failing = report.filter(~F.col("valid")).select("entity")
-    return df.filter(F.col("entity").isNull()).unionByName(df.join(failing, "entity", "left_semi"))
+    return df.filter(F.col("entity").isNull()).unionByName(df.join(_failing_entities(report), "entity", "left_semi"))

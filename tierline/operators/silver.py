@@ -77,23 +77,32 @@ def new_mix_rows(batch: DataFrame, existing: DataFrame | None, mix: MixSpec = DE
 
 def silver_prices(normalized: DataFrame, existing: DataFrame | None = None,
                   contract=PRICE_CONTRACT) -> DataFrame:
-    """Contract gate per entity, then the new distinct rows (what gets appended)."""
+    """The new distinct rows of the entities that pass the contract gate (what gets appended).
+
+    The gate goes by entity alone, so it may follow the distinct: rows are then
+    dealt out by the whole row. Spark moves a broadcast gate below the distinct.
+    """
     report = contract_report(normalized, contract)
-    return new_price_rows(gate_by_entity(normalized, report), existing, bounds_from=normalized)
+    return gate_by_entity(new_price_rows(normalized, existing), report).select(*PRICE_SILVER_COLUMNS)
 
 
 def silver_mix(normalized: DataFrame, existing: DataFrame | None = None,
                mix: MixSpec = DEFAULT_MIX, contract=MIX_CONTRACT) -> DataFrame:
     report = contract_report(normalized, contract)
-    return new_mix_rows(gate_by_entity(normalized, report), existing, mix, bounds_from=normalized)
+    return gate_by_entity(new_mix_rows(normalized, existing, mix), report).select(*mix.silver_columns())
 
 
 def append(df: DataFrame, path: str, partition_col: str | None = None,
            time_col: str | None = None) -> None:
-    """Append rows to a Parquet table, partitioned by event date when asked."""
+    """Append rows to a Parquet table, partitioned by event date when asked.
+
+    Rows are brought together by date first, in partitions of the advisory size
+    (a larger date is split): the sort by date starts in tasks of its own, and
+    a date is a few files instead of one a task.
+    """
     out = df
     if partition_col and time_col:
-        out = out.withColumn(partition_col, F.to_date(F.col(time_col)))
+        out = out.withColumn(partition_col, F.to_date(F.col(time_col))).hint("rebalance", partition_col)
         out.write.mode("append").partitionBy(partition_col).parquet(path)
     else:
         out.write.mode("append").parquet(path)

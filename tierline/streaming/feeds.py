@@ -26,7 +26,7 @@ from tierline.operators import gold as G
 from tierline.operators.contracts import contract_report, gate_by_entity, quarantine
 from tierline.operators.normalize import normalize_mix, normalize_prices
 from tierline.operators.silver import new_mix_rows, new_price_rows
-from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_CONTRACT, MixSpec
+from tierline.settings import DEFAULT_MIX, MIX_CONTRACT, PRICE_CONTRACT, PRICE_SILVER_COLUMNS, MixSpec
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -229,9 +229,8 @@ class MedallionBatch:
 
     def _load_gated(self, spark: SparkSession, raw: DataFrame, norm: DataFrame, report: DataFrame, batch_id: int) -> None:
         keep_aside(raw, norm, report, self.bronze_path, self.quarantine_path, batch_id)
-        gated = gate_by_entity(norm, report)
         silver_before = self._prior(spark, self.silver_path, batch_id)
-        fresh = new_price_rows(gated, silver_before, bounds_from=norm)
+        fresh = gate_by_entity(new_price_rows(norm, silver_before), report).select(*PRICE_SILVER_COLUMNS)
         write_batch(fresh, self.silver_path, batch_id, "event_date", "interval_start")
         new_silver = read_batch(spark, fresh, self.silver_path, batch_id, "event_date")
         gold_before = self._prior(spark, self.gold_path, batch_id)
@@ -262,9 +261,8 @@ class MixSilverBatch:
         try:
             report = contract_report(norm, self.contract)
             keep_aside(batch, norm, report, self.bronze_path, self.quarantine_path, batch_id)
-            gated = gate_by_entity(norm, report)
             before = MedallionBatch._prior(spark, self.silver_path, batch_id)
-            fresh = new_mix_rows(gated, before, self.spec, bounds_from=norm)
+            fresh = gate_by_entity(new_mix_rows(norm, before, self.spec), report).select(*self.spec.silver_columns())
             write_batch(fresh, self.silver_path, batch_id, "event_date", self.spec.time_col)
         finally:
             norm.unpersist()
